@@ -12,7 +12,23 @@ from pyspark.sql import types as T
 
 from .oracle_adapters import with_adapters
 
-ROUND_DIGITS = 6
+# Comparison rounding: about ten significant digits, by magnitude tier, so
+# that float-sum order differences between engines do not show.
+TIERS = [(1e12, -3), (1e9, 0), (1e6, 3), (1e3, 6)]
+LAST_DIGITS = 9
+
+
+def rounded(c):
+    a = F.abs(c)
+    out = None
+    for lim, d in TIERS:
+        out = F.when(a >= lim, F.round(c, d)) if out is None else out.when(a >= lim, F.round(c, d))
+    return out.otherwise(F.round(c, LAST_DIGITS))
+
+
+def sql_rounded(c: str) -> str:
+    arms = " ".join(f"WHEN abs({c}) >= {lim} THEN round({c}, {d})" for lim, d in TIERS)
+    return f"(CASE {arms} ELSE round({c}, {LAST_DIGITS}) END)"
 
 
 @dataclass
@@ -29,7 +45,7 @@ class Query:
             return None
         body = self.sql
         if self.floats:
-            repl = ", ".join(f"round({c}, {ROUND_DIGITS}) AS {c}" for c in self.floats)
+            repl = ", ".join(f"{sql_rounded(c)} AS {c}" for c in self.floats)
             body = f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) AS q"
         return with_adapters(body, self.adapters)
 
@@ -38,11 +54,11 @@ REGISTRY: dict[str, Query] = {}
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Comparison-friendly output: doubles rounded to 6 places (both sides)."""
+    """Comparison-friendly output: doubles rounded to ~10 significant digits (both sides)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`"), ROUND_DIGITS).alias(f.name))
+            cols.append(rounded(F.col(f"`{f.name}`")).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
