@@ -37,27 +37,33 @@ def time_halo(df: DataFrame, ts: str, bucket_s: int, halo_s: int) -> DataFrame:
     return df.select("*", F.inline(copies))
 
 
-def row_halo(df: DataFrame, keys, order, chunk_rows: int, halo_rows: int) -> DataFrame:
-    """Row-count halo chunks for ROWS frames.
-
-    A dense position per series comes from ``row_number`` inside day buckets
-    plus a running offset taken from a small per-(series, day) count table;
-    chunk = pos div ``chunk_rows``.  The last ``halo_rows`` rows of a chunk
-    are copied into the next chunk as halo, so a trailing frame of up to
-    ``halo_rows`` rows sees the same rows as on the whole series.
-    """
-    if halo_rows > chunk_rows:
-        raise ValueError("halo must not exceed the chunk size")
+def dense_position(df: DataFrame, keys, order, pos: str = "_pos") -> DataFrame:
+    """0-based position of each row inside its series (by ``order``) without
+    sending a whole series to one task: ``row_number`` inside day buckets plus
+    a running offset from a small per-(series, day) count table."""
     keys = list(keys)
     order = list(order)
-    coarse = F.floor(epoch_us(order[0]) / (86400 * US)).alias("_day")
-    d = df.withColumn("_day", coarse)
+    d = df.withColumn("_day", F.floor(epoch_us(order[0]) / (86400 * US)))
     counts = d.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
     w_prev = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_day", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
     w_in = Window.partitionBy(*keys, "_day").orderBy(*order)
-    pos = d.join(offsets, [*keys, "_day"]).withColumn(
-        "_pos", F.col("_off") + F.row_number().over(w_in) - 1).drop("_off", "_day")
+    return (d.join(offsets, [*keys, "_day"])
+            .withColumn(pos, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long"))
+            .drop("_off", "_day"))
+
+
+def row_halo(df: DataFrame, keys, order, chunk_rows: int, halo_rows: int) -> DataFrame:
+    """Row-count halo chunks for ROWS frames.
+
+    chunk = dense position div ``chunk_rows``.  The last ``halo_rows`` rows
+    of a chunk are copied into the next chunk as halo, so a trailing frame of
+    up to ``halo_rows`` rows sees the same rows as on the whole series.
+    Returns the rows with ``_pos``, ``_bucket`` and ``_halo``.
+    """
+    if halo_rows > chunk_rows:
+        raise ValueError("halo must not exceed the chunk size")
+    pos = dense_position(df, keys, order)
     c = F.floor(F.col("_pos") / chunk_rows)
     inner = F.col("_pos") - c * chunk_rows
     copies = F.when(inner >= chunk_rows - halo_rows,

@@ -124,6 +124,19 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT service, target, avg((y_pred - y_true) * (y_pred - y_true)) AS m,
                      avg(abs(y_pred - y_true)) AS a
               FROM predictions WHERE model = 'seasonal' GROUP BY service, target) g"""),
+    "records": (("experiments",), """
+        SELECT *, CASE WHEN load_users = 75 AND scenario = 'checkout' THEN 'failed'
+                       WHEN load_users = 5 AND replica_count = 4 THEN 'skipped'
+                       WHEN replica_count = 4 THEN 'completed_with_warnings' ELSE 'completed' END AS status
+        FROM (SELECT DISTINCT experiment_id, service AS target_service, scenario, replica_count, load_users
+              FROM experiments) r"""),
+    "deployments": ((), """
+        SELECT service || '-' || shard AS name, service, CAST(count(*) AS INTEGER) AS replicas,
+               CAST(count(*) FILTER (WHERE p_size > 5) AS INTEGER) AS ready_replicas,
+               count(DISTINCT p_partkey) AS n_containers
+        FROM (SELECT ['click', 'error', 'purchase', 'signup', 'view'][p_partkey % 5 + 1] AS service,
+                     p_partkey % 40 AS shard, p_partkey, p_size FROM part) p
+        GROUP BY 1, 2"""),
 }
 
 

@@ -18,17 +18,26 @@ TIERS = [(1e12, -3), (1e9, 0), (1e6, 3), (1e3, 6)]
 LAST_DIGITS = 9
 
 
+def _scaled(c, d: int):
+    # round-half-away-from-zero of c * 10^d, identical on both engines
+    return (F.round(c * (10 ** d), 0) / (10 ** d)) if d >= 0 else (F.round(c / (10 ** -d), 0) * (10 ** -d))
+
+
 def rounded(c):
     a = F.abs(c)
     out = None
     for lim, d in TIERS:
-        out = F.when(a >= lim, F.round(c, d)) if out is None else out.when(a >= lim, F.round(c, d))
-    return out.otherwise(F.round(c, LAST_DIGITS))
+        out = F.when(a >= lim, _scaled(c, d)) if out is None else out.when(a >= lim, _scaled(c, d))
+    return out.otherwise(_scaled(c, LAST_DIGITS))
+
+
+def _sql_scaled(c: str, d: int) -> str:
+    return f"(round({c} * {10 ** d}) / {10 ** d})" if d >= 0 else f"(round({c} / {10 ** -d}) * {10 ** -d})"
 
 
 def sql_rounded(c: str) -> str:
-    arms = " ".join(f"WHEN abs({c}) >= {lim} THEN round({c}, {d})" for lim, d in TIERS)
-    return f"(CASE {arms} ELSE round({c}, {LAST_DIGITS}) END)"
+    arms = " ".join(f"WHEN abs({c}) >= {lim} THEN {_sql_scaled(c, d)}" for lim, d in TIERS)
+    return f"(CASE {arms} ELSE {_sql_scaled(c, LAST_DIGITS)} END)"
 
 
 @dataclass

@@ -240,3 +240,25 @@ def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when((F.col("service") == "svc-4") & (t == "replica_target"), "failed").otherwise("success")
     return agg.select("service", "target", status.alias("status"), mse.alias("mse"), mae.alias("mae"),
                       r2.alias("r2"), confidence(m / 333.0).alias("confidence"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiment records (one per experiment id) with a run status."""
+    e = experiments(spark, sf_dir)
+    r = e.select("experiment_id", F.col("service").alias("target_service"), "scenario",
+                 "replica_count", "load_users").distinct()
+    status = (F.when((F.col("load_users") == 75) & (F.col("scenario") == "checkout"), "failed")
+              .when((F.col("load_users") == 5) & (F.col("replica_count") == 4), "skipped")
+              .when(F.col("replica_count") == 4, "completed_with_warnings").otherwise("completed"))
+    return r.withColumn("status", status)
+
+
+def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deployments: containers grouped per (service, p_partkey % 40)."""
+    c = table(spark, sf_dir, "part").select(
+        _pick(SERVICES, F.col("p_partkey") % 5).alias("service"),
+        (F.col("p_partkey") % 40).alias("shard"), F.col("p_partkey"), F.col("p_size"))
+    return c.groupBy(F.concat_ws("-", "service", F.col("shard").cast("string")).alias("name"), "service").agg(
+        F.count("*").cast("int").alias("replicas"),
+        F.count_if(F.col("p_size") > 5).cast("int").alias("ready_replicas"),
+        F.count_distinct("p_partkey").alias("n_containers"))
