@@ -1,4 +1,4 @@
 """Registered end-to-end plans (Spark) with their DuckDB oracle SQL."""
 
-from . import q_experiments, q_models, q_rightsize, q_series, q_strategy  # noqa: F401
+from . import q_experiments, q_features, q_models, q_rightsize, q_series, q_strategy  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
