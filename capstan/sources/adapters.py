@@ -36,7 +36,11 @@ def _pick(values, index_col) -> F.Column:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long metric samples: cpu_cores and mem_bytes rows per event (one scan)."""
-    ev = table(spark, sf_dir, "events")
+    return samples_of(table(spark, sf_dir, "events"))
+
+
+def samples_of(ev: DataFrame) -> DataFrame:
+    """The samples mapping on an events frame (batch or stream: projection only)."""
     pod = F.concat(F.lit("pod-"), F.col("user_id").cast("string"))
     pairs = F.array(
         F.struct(F.lit("cpu_cores").alias("metric"), (F.col("value") / 1000.0).alias("value")),
@@ -199,7 +203,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strategy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategy experiment samples; experiment = user, strategy by user_id % 4."""
-    ev = table(spark, sf_dir, "events")
+    return strategy_samples_of(table(spark, sf_dir, "events"))
+
+
+def strategy_samples_of(ev: DataFrame) -> DataFrame:
+    """The strategy-samples mapping on an events frame (batch or stream)."""
     u = F.col("user_id")
     k = _k()
     return ev.select(
