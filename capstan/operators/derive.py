@@ -100,19 +100,24 @@ def resample(df: DataFrame, cols, freq_s: int, keys=KEYS, ts="ts") -> DataFrame:
 def fill_gaps(df: DataFrame, cols, keys=KEYS, order=ORDER, pos: str | None = None) -> DataFrame:
     """F-9: linear interpolation by position between valid values; trailing
     gaps hold the last value; ±inf -> NULL; leading gaps take the first value
-    (backward fill); all-NULL series -> 0."""
+    (backward fill); all-NULL series -> 0.
+
+    Both neighbours come from RUNNING frames (the next valid value is the
+    last valid one in descending order), so every frame is O(1) per row;
+    an unbounded-following frame would be recomputed for every row.
+    """
     pos = pos or order[0]
-    w = series_window(keys, order)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    fwd = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    bwd = (Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+           .rowsBetween(Window.unboundedPreceding, 0))
     p = F.col(pos).cast("double")
     out = []
     for c in cols:
         v = F.when(F.abs(F.col(c)) == float("inf"), None).otherwise(F.col(c))
-        pv = F.last(v, ignorenulls=True).over(before)
-        pp = F.last(F.when(v.isNotNull(), p), ignorenulls=True).over(before)
-        nv = F.first(v, ignorenulls=True).over(after)
-        np_ = F.first(F.when(v.isNotNull(), p), ignorenulls=True).over(after)
+        pv = F.last(v, ignorenulls=True).over(fwd)
+        pp = F.last(F.when(v.isNotNull(), p), ignorenulls=True).over(fwd)
+        nv = F.last(v, ignorenulls=True).over(bwd)
+        np_ = F.last(F.when(v.isNotNull(), p), ignorenulls=True).over(bwd)
         interp = F.when(np_ == pp, pv).otherwise(pv + (nv - pv) * (p - pp) / (np_ - pp))
         filled = (F.when(v.isNotNull(), v).when(pv.isNotNull() & nv.isNotNull(), interp)
                   .when(pv.isNotNull(), pv).when(nv.isNotNull(), nv).otherwise(F.lit(0.0)))

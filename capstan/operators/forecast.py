@@ -4,7 +4,10 @@ seasonality + optional regressors, fitted per group by ridge least squares.
 The fit is Spark-native: the design row of every sample is a Column array;
 ONE aggregate per group sums the outer products ``x_i x_j`` and ``x_i y``
 (partial aggregation, so a hot group is reduced map-side); only the k x k
-solve per group runs in Python (``applyInPandas`` on one row per group).
+solves run in Python, batched with numpy over the one-row-per-group table
+(``mapInPandas``, no extra shuffle).  The aggregate has k(k+1)/2 buffer
+fields; sessions should allow whole-stage codegen that wide
+(``spark.sql.codegen.maxFields``, set by :func:`capstan.session.get_session`).
 Predictions are JVM-side dot products with the broadcast coefficient table.
 """
 
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import maybe_broadcast
+from ..session import cut_lineage, maybe_broadcast
 
 # Seasonal periods in hours, Fourier orders, changepoints, interval.
 DAY_H, WEEK_H = 24.0, 168.0
@@ -72,23 +75,33 @@ def fit_seasonal(df: DataFrame, keys, t: str, y: str, regressors=(), ridge: floa
         T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("sigma", T.DoubleType()),
         T.StructField("n", T.LongType())])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():          # one row per group
-            a = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    a[i, j] = a[j, i] = r[f"a_{i}_{j}"]
-            b = np.array([r[f"b_{i}"] for i in range(k)])
-            reg = ridge * max(1.0, float(np.trace(a)) / k)
-            beta = np.linalg.solve(a + reg * np.eye(k), b)
-            sse = float(r["yy"] - 2 * beta @ b + beta @ a @ beta)
-            dof = max(int(r["n"]) - k, 1)
-            rows.append({**{kk: r[kk] for kk in keys}, "lo": float(r["lo"]), "hi": float(r["hi"]),
-                         "beta": beta.tolist(), "sigma": math.sqrt(max(sse, 0.0) / dof), "n": int(r["n"])})
-        return pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
-
-    return normal.groupBy(*keys).applyInPandas(solve, out_schema)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def solve(batches):
+        # one row per group: assemble all k x k systems of the batch and
+        # solve them together (batched numpy), no per-row Python loop
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            g = len(pdf)
+            a = np.zeros((g, k, k))
+            for i, j in upper:
+                a[:, i, j] = a[:, j, i] = pdf[f"a_{i}_{j}"].to_numpy(dtype=float)
+            b = np.stack([pdf[f"b_{i}"].to_numpy(dtype=float) for i in range(k)], axis=1)
+            reg = ridge * np.maximum(1.0, np.trace(a, axis1=1, axis2=2) / k)
+            beta = np.linalg.solve(a + reg[:, None, None] * np.eye(k)[None], b[:, :, None])[:, :, 0]
+            sse = (pdf["yy"].to_numpy(dtype=float) - 2 * np.einsum("gi,gi->g", beta, b)
+                   + np.einsum("gi,gij,gj->g", beta, a, beta))
+            dof = np.maximum(pdf["n"].to_numpy() - k, 1)
+            out = pdf[keys].copy()
+            out["lo"] = pdf["lo"].astype(float)
+            out["hi"] = pdf["hi"].astype(float)
+            out["beta"] = list(beta)
+            out["sigma"] = np.sqrt(np.maximum(sse, 0.0) / dof)
+            out["n"] = pdf["n"].astype("int64")
+            yield out
+
+    return normal.mapInPandas(solve, out_schema)
 
 
 def seasonal_forecast(df: DataFrame, keys, t: str, y: str, horizon: int = 30, step: float = 0.25,
@@ -98,7 +111,9 @@ def seasonal_forecast(df: DataFrame, keys, t: str, y: str, horizon: int = 30, st
     bounds ``yhat -+ z sigma`` (z for a 90 % interval).  Future rows use 0
     for the regressors."""
     keys = list(keys)
-    coef = fit_seasonal(df, keys, t, y, regressors)
+    # the coefficient table (one row per group) is used twice: materialise it
+    # once in the shared checkpoint folder
+    coef = cut_lineage(fit_seasonal(df, keys, t, y, regressors))
     hist = df.select(*keys, F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y"),
                      *[F.col(r) for r in regressors], F.lit(False).alias("future"))
     fut = coef.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_i"), "hi").select(

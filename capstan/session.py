@@ -30,6 +30,8 @@ def get_session(master: str | None = None, app: str = "capstan",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # wide aggregates (normal equations, one-pass metric tables) stay in codegen
+        .config("spark.sql.codegen.maxFields", "1000")
         .config("spark.driver.memory", os.environ.get("CAPSTAN_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
