@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 from .oracle_adapters import with_adapters
 
-# Comparison rounding: about ten significant digits, by magnitude tier, so
-# that float-sum order differences between engines do not show.
-TIERS = [(1e12, -3), (1e9, 0), (1e6, 3), (1e3, 6)]
-LAST_DIGITS = 9
+# Comparison rounding: about twelve significant digits, by magnitude tier, so
+# that float-sum order differences between engines do not show, while values
+# with few exact decimals (sums / power-of-two counts) are kept exactly.
+TIERS = [(1e15, -4), (1e12, -1), (1e9, 2), (1e6, 5), (1e3, 8), (1.0, 11)]
+LAST_DIGITS = 12
 
 
 def _scaled(c, d: int):
