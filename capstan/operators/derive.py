@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
+from .windows import CHUNK_ROWS, by_chunks
 
 KEYS = ("experiment_id",)
 ORDER = ("idx",)
@@ -28,13 +29,16 @@ def delta(c: str, w) -> Column:
 
 
 def network_activity(df: DataFrame, keys=KEYS, order=ORDER, rx="net_rx_bytes_value", tx="net_tx_bytes_value",
-                     cpu="cpu_cores_value", out="network_activity_rate_value") -> DataFrame:
+                     cpu="cpu_cores_value", out="network_activity_rate_value",
+                     chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """F-1: Δrx + Δtx (first row 0); rows without network data use Δcpu."""
-    w = series_window(keys, order)
-    net = (F.col(rx) - F.lag(rx).over(w)) + (F.col(tx) - F.lag(tx).over(w))
-    first = F.lag(order[0]).over(w).isNull()
-    return df.withColumn(out, F.when(first, 0.0).when(F.col(rx).isNull() | F.col(tx).isNull(), delta(cpu, w))
-                         .otherwise(F.coalesce(net, delta(cpu, w))))
+    def run(d, parts):
+        w = series_window(parts, order)
+        net = (F.col(rx) - F.lag(rx).over(w)) + (F.col(tx) - F.lag(tx).over(w))
+        first = F.lag(order[0]).over(w).isNull()
+        return d.withColumn(out, F.when(first, 0.0).when(F.col(rx).isNull() | F.col(tx).isNull(), delta(cpu, w))
+                            .otherwise(F.coalesce(net, delta(cpu, w))))
+    return by_chunks(df, keys, order[0], 1, run, chunk_rows)
 
 
 def network_substitute(df: DataFrame, only_missing: bool = True, rx="net_rx_bytes_value",
@@ -53,11 +57,13 @@ def processing_intensity(df: DataFrame, cpu="cpu_cores_value", out="processing_i
 
 
 def service_stability(df: DataFrame, keys=KEYS, order=ORDER, restarts="pod_restarts_value",
-                      out="service_stability_value") -> DataFrame:
+                      out="service_stability_value", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """F-4: 1 / (1 + Δrestarts), first Δ 0; Δ clamped at 0 (defect D-6)."""
-    w = series_window(keys, order)
-    d = F.greatest(delta(restarts, w), F.lit(0.0))
-    return df.withColumn(out, F.try_divide(F.lit(1.0), 1.0 + d))
+    def run(d, parts):
+        w = series_window(parts, order)
+        dd = F.greatest(delta(restarts, w), F.lit(0.0))
+        return d.withColumn(out, F.try_divide(F.lit(1.0), 1.0 + dd))
+    return by_chunks(df, keys, order[0], 1, run, chunk_rows)
 
 
 def resource_pressure(df: DataFrame, keys=KEYS, cpu="cpu_cores_value", mem="mem_bytes_value",
@@ -72,11 +78,15 @@ def resource_pressure(df: DataFrame, keys=KEYS, cpu="cpu_cores_value", mem="mem_
     return j.withColumn(out, (c + m) / 2.0).drop("_mc", "_mm")
 
 
-def diff_features(df: DataFrame, cols, keys=KEYS, order=ORDER, names=None) -> DataFrame:
+def diff_features(df: DataFrame, cols, keys=KEYS, order=ORDER, names=None,
+                  chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """F-6: ``<c>_delta`` (or the given names) = c - previous c, first 0."""
-    w = series_window(keys, order)
     names = names or [f"{c}_delta" for c in cols]
-    return df.select("*", *[delta(c, w).alias(n) for c, n in zip(cols, names)])
+
+    def run(d, parts):
+        w = series_window(parts, order)
+        return d.select("*", *[delta(c, w).alias(n) for c, n in zip(cols, names)])
+    return by_chunks(df, keys, order[0], 1, run, chunk_rows)
 
 
 def change_flags(df: DataFrame, pairs) -> DataFrame:

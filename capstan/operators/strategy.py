@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantities import parse_cpu, parse_memory_gb
+from .windows import CHUNK_ROWS, by_chunks, dense_position
 
 # Collection interval of the strategy experiments and SLA limit.
 SAMPLE_INTERVAL_S = 30
@@ -81,15 +82,25 @@ def _experiment_window(order=("ts", "seq")):
     return Window.partitionBy("experiment_id").orderBy(*order)
 
 
-def stability_features(samples: DataFrame, n: int = VOLATILITY_WINDOW, order=("ts", "seq")) -> DataFrame:
+def stability_features(samples: DataFrame, n: int = VOLATILITY_WINDOW, order=("ts", "seq"),
+                       chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """L-4 + L-5 in one window pass: volatility = sample stdev of the previous
     <= n cpu utilisation values (current excluded; 0 with fewer than 2), and
-    scaling_event = replica count differs from the previous sample."""
-    w = _experiment_window(order)
-    prev = F.lag("replica_count").over(w)
-    vol = F.coalesce(F.stddev_samp("cpu_utilization").over(w.rowsBetween(-n, -1)), F.lit(0.0))
-    return samples.withColumn("volatility", vol).withColumn(
-        "scaling_event", F.coalesce(prev != F.col("replica_count"), F.lit(False)))
+    scaling_event = replica count differs from the previous sample.
+
+    Rows get a dense position per experiment (day-bucket row numbers plus
+    offsets), and the windows run per position chunk with an n-row halo, so
+    one long experiment never lands in a single task."""
+    def run(d, parts):
+        w = Window.partitionBy(*parts).orderBy(*order)
+        prev = F.lag("replica_count").over(w)
+        vol = F.coalesce(F.stddev_samp("cpu_utilization").over(w.rowsBetween(-n, -1)), F.lit(0.0))
+        return d.withColumn("volatility", vol).withColumn(
+            "scaling_event", F.coalesce(prev != F.col("replica_count"), F.lit(False)))
+    if chunk_rows is None:
+        return run(samples, ["experiment_id"])
+    pos = dense_position(samples, ["experiment_id"], order, "_spos")
+    return by_chunks(pos, ["experiment_id"], "_spos", n, run, chunk_rows).drop("_spos")
 
 
 def experiment_summary(samples: DataFrame) -> DataFrame:

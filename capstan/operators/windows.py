@@ -71,3 +71,34 @@ def row_halo(df: DataFrame, keys, order, chunk_rows: int, halo_rows: int) -> Dat
                             F.struct((c + 1).alias("_bucket"), F.lit(True).alias("_halo"))))\
         .otherwise(F.array(F.struct(c.alias("_bucket"), F.lit(False).alias("_halo"))))
     return pos.select("*", F.inline(copies))
+
+
+# Default rows per chunk for chunked trailing windows: large enough that the
+# halo copies are a negligible share, small enough for one task's memory.
+CHUNK_ROWS = 1_000_000
+
+
+def by_chunks(df: DataFrame, keys, pos: str, halo_rows: int, fn, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """Run a trailing-window operator per (series, position chunk).
+
+    ``pos`` is a dense 0-based position inside each series.  The last
+    ``halo_rows`` rows of every chunk are copied into the next chunk, so a
+    frame looking back at most ``halo_rows`` rows sees exactly the rows it
+    would see on the whole series; ``fn(frame_df, partition_keys)`` must
+    partition its windows by ``partition_keys``.  Halo copies are dropped from
+    the result.  ``chunk_rows=None`` runs ``fn`` on whole series.
+    """
+    keys = list(keys)
+    if chunk_rows is None:
+        return fn(df, keys)
+    if halo_rows > chunk_rows:
+        raise ValueError("halo must not exceed the chunk size")
+    c = F.floor(F.col(pos) / chunk_rows)
+    inner = F.col(pos) - c * chunk_rows
+    copies = F.when(inner >= chunk_rows - halo_rows,
+                    F.array(F.struct(c.alias("_chunk"), F.lit(False).alias("_halo")),
+                            F.struct((c + 1).alias("_chunk"), F.lit(True).alias("_halo"))))\
+        .otherwise(F.array(F.struct(c.alias("_chunk"), F.lit(False).alias("_halo"))))
+    x = df.select("*", F.inline(copies))
+    out = fn(x, [*keys, "_chunk"])
+    return out.where(~F.col("_halo")).drop("_chunk", "_halo")

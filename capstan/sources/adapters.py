@@ -141,10 +141,9 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(50.0) + F.col("value") / 10.0).alias("node_mem_util_value"))
     exp_id = F.format_string("%s_%s_replicas_%d_users_%d", "service", "scenario",
                              "replica_count", "load_users")
-    w = Window.partitionBy("experiment_id").orderBy("ts", "event_id")
-    return (base.withColumn("experiment_id", exp_id)
-            .withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
-            .withColumn("timestamp", F.concat(F.lit("t_"), F.col("idx").cast("string"))))
+    from ..operators.windows import dense_position
+    pos = dense_position(base.withColumn("experiment_id", exp_id), ["experiment_id"], ["ts", "event_id"], "idx")
+    return pos.withColumn("timestamp", F.concat(F.lit("t_"), F.col("idx").cast("string")))
 
 
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
