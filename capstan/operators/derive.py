@@ -107,33 +107,67 @@ def resample(df: DataFrame, cols, freq_s: int, keys=KEYS, ts="ts") -> DataFrame:
     return out.withColumn("bin_start", F.timestamp_seconds("bin_s"))
 
 
-def fill_gaps(df: DataFrame, cols, keys=KEYS, order=ORDER, pos: str | None = None) -> DataFrame:
+def fill_gaps(df: DataFrame, cols, keys=KEYS, order=ORDER, pos: str | None = None,
+              chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """F-9: linear interpolation by position between valid values; trailing
     gaps hold the last value; ±inf -> NULL; leading gaps take the first value
     (backward fill); all-NULL series -> 0.
 
-    Both neighbours come from RUNNING frames (the next valid value is the
-    last valid one in descending order), so every frame is O(1) per row;
-    an unbounded-following frame would be recomputed for every row.
+    A segmented scan, so no task holds a whole series and every frame is
+    O(1) per row:
+    1. rows are split into position chunks; inside each (series, chunk) the
+       previous / next valid value and position come from RUNNING frames in
+       both directions (never unbounded-following frames, which Spark
+       recomputes for every row);
+    2. a per-chunk summary (first and last valid value, one row per chunk)
+       gives each chunk the carry from earlier and later chunks through a
+       window over that small table;
+    3. the carries fill what the chunk itself cannot see.
     """
+    keys = list(keys)
     pos = pos or order[0]
-    fwd = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    bwd = (Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+    chunk = F.floor(F.col(pos) / chunk_rows) if chunk_rows else F.lit(0)
+    d = df.withColumn("_ck", chunk)
+    parts = [*keys, "_ck"]
+    fwd = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    bwd = (Window.partitionBy(*parts).orderBy(*[F.col(o).desc() for o in order])
            .rowsBetween(Window.unboundedPreceding, 0))
     p = F.col(pos).cast("double")
+    clean = {c: F.when(F.abs(F.col(c)) == float("inf"), None).otherwise(F.col(c)) for c in cols}
+    stage = []
+    for c in cols:
+        v = clean[c]
+        pt = F.struct(p.alias("p"), v.alias("v"))
+        stage += [F.last(F.when(v.isNotNull(), pt), ignorenulls=True).over(fwd).alias(f"_prev_{c}"),
+                  F.last(F.when(v.isNotNull(), pt), ignorenulls=True).over(bwd).alias(f"_next_{c}"),
+                  v.alias(f"_v_{c}")]
+    d = d.select("*", *stage)
+    # per-chunk carries over the small (series, chunk) summary
+    summ = d.groupBy(*parts).agg(*[x for c in cols for x in (
+        F.max_by(F.struct(p.alias("p"), F.col(f"_v_{c}").alias("v")),
+                 F.when(F.col(f"_v_{c}").isNotNull(), p)).alias(f"_last_{c}"),
+        F.min_by(F.struct(p.alias("p"), F.col(f"_v_{c}").alias("v")),
+                 F.when(F.col(f"_v_{c}").isNotNull(), p)).alias(f"_first_{c}"))])
+    before = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.col("_ck").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carries = summ.select(*parts, *[x for c in cols for x in (
+        F.last(F.when(F.col(f"_last_{c}.v").isNotNull(), F.col(f"_last_{c}")), ignorenulls=True)
+        .over(before).alias(f"_cin_{c}"),
+        F.last(F.when(F.col(f"_first_{c}.v").isNotNull(), F.col(f"_first_{c}")), ignorenulls=True)
+        .over(after).alias(f"_cout_{c}"))])
+    d = d.join(maybe_broadcast(carries), parts, "left")
     out = []
     for c in cols:
-        v = F.when(F.abs(F.col(c)) == float("inf"), None).otherwise(F.col(c))
-        pv = F.last(v, ignorenulls=True).over(fwd)
-        pp = F.last(F.when(v.isNotNull(), p), ignorenulls=True).over(fwd)
-        nv = F.last(v, ignorenulls=True).over(bwd)
-        np_ = F.last(F.when(v.isNotNull(), p), ignorenulls=True).over(bwd)
+        prev = F.coalesce(F.col(f"_prev_{c}"), F.col(f"_cin_{c}"))
+        nxt = F.coalesce(F.col(f"_next_{c}"), F.col(f"_cout_{c}"))
+        pv, pp, nv, np_ = prev["v"], prev["p"], nxt["v"], nxt["p"]
         interp = F.when(np_ == pp, pv).otherwise(pv + (nv - pv) * (p - pp) / (np_ - pp))
+        v = F.col(f"_v_{c}")
         filled = (F.when(v.isNotNull(), v).when(pv.isNotNull() & nv.isNotNull(), interp)
                   .when(pv.isNotNull(), pv).when(nv.isNotNull(), nv).otherwise(F.lit(0.0)))
         out.append(filled.alias(c))
     keep = [c for c in df.columns if c not in set(cols)]
-    return df.select(*keep, *out)
+    return d.select(*keep, *out)
 
 
 def pattern_features(df: DataFrame, keys=KEYS, idx: str = "idx") -> DataFrame:

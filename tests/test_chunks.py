@@ -42,3 +42,13 @@ def test_stability_chunked_equals_plain(spark):
     cols = ["volatility", "scaling_event"]
     assert a.count() == s.count()
     assert _rows(a, "seq", cols) == _rows(b, "seq", cols)
+
+
+def test_fill_gaps_chunked_equals_plain(spark):
+    g = ad.gappy(spark, SF).select("event_id", "experiment_id", "idx", "cpu_cores_value")
+    # long gaps: blank out whole runs so carries must cross several chunks
+    g = g.withColumn("cpu_cores_value", F.when((F.col("idx") % 17) < 9, None).otherwise(F.col("cpu_cores_value")))
+    a = dv.fill_gaps(g, ["cpu_cores_value"], chunk_rows=3)
+    b = dv.fill_gaps(g, ["cpu_cores_value"], chunk_rows=None)
+    assert _rows(a, "event_id", ["cpu_cores_value"]) == _rows(b, "event_id", ["cpu_cores_value"])
+    assert a.where(F.col("cpu_cores_value").isNull()).count() == 0
