@@ -46,13 +46,24 @@ def regression_metrics(pred: DataFrame, keys=GROUP, y="y_true", p="y_pred") -> D
         "max_error", "median_absolute_error", "smape", "mape_log", "wmape")
 
 
-def directional_accuracy(pred: DataFrame, keys=GROUP, order="idx", y="y_true", p="y_pred") -> DataFrame:
+def directional_accuracy(pred: DataFrame, keys=GROUP, order="idx", y="y_true", p="y_pred",
+                         chunk_rows: int | None = None) -> DataFrame:
     """V-6: share of steps where the truth and the prediction move the same
-    way (``diff > 0``); 0 when a group has fewer than two rows."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    up_t = (F.col(y) - F.lag(y).over(w)) > 0
-    up_p = (F.col(p) - F.lag(p).over(w)) > 0
-    steps = pred.select(*keys, F.when(F.lag(y).over(w).isNotNull(), (up_t == up_p).cast("int")).alias("agree"))
+    way (``diff > 0``); 0 when a group has fewer than two rows.  With
+    ``chunk_rows`` the lag runs per position chunk with a one-row halo."""
+    from .windows import by_chunks, dense_position
+
+    def run(d, parts):
+        w = Window.partitionBy(*parts).orderBy(order)
+        up_t = (F.col(y) - F.lag(y).over(w)) > 0
+        up_p = (F.col(p) - F.lag(p).over(w)) > 0
+        agree = F.when(F.lag(y).over(w).isNotNull(), (up_t == up_p).cast("int"))
+        return d.select("*", agree.alias("agree"))
+    if chunk_rows:
+        d = dense_position(pred, keys, [order], "_dpos", bucket=F.floor(F.col(order) / chunk_rows))
+        steps = by_chunks(d, keys, "_dpos", 1, run, chunk_rows)
+    else:
+        steps = run(pred, list(keys))
     return steps.groupBy(*keys).agg(F.coalesce(F.avg("agree"), F.lit(0.0)).alias("directional_accuracy"))
 
 

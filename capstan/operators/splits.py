@@ -7,7 +7,7 @@ so no split collects a series.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
@@ -31,12 +31,14 @@ def time_split(df: DataFrame, test: float = TEST_SHARE, keys=KEYS, pos: str = "i
 
 def random_split(df: DataFrame, id_col: str, test: float = TEST_SHARE, seed: int = SEED, keys=KEYS) -> DataFrame:
     """P-2: shuffled split: rows ordered by ``xxhash64(id, seed)``, the first
-    ``int(n (1 - test))`` are train - independent of partitioning."""
-    d = _with_n(df, keys)
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    r = F.row_number().over(Window.partitionBy(*keys).orderBy(h, F.col(id_col))) - 1
+    ``int(n (1 - test))`` are train - independent of partitioning.  The rank
+    is a dense position over hash buckets (the top 16 hash bits), so no task
+    sorts a whole group."""
+    from .windows import dense_position
+    d = _with_n(df, keys).withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    d = dense_position(d, keys, ["_h", id_col], "_r", bucket=F.shiftright("_h", 48))
     cut = F.floor(F.col("_n") * (1 - test))
-    return d.withColumn("split", F.when(r < cut, "train").otherwise("test")).drop("_n")
+    return d.withColumn("split", F.when(F.col("_r") < cut, "train").otherwise("test")).drop("_n", "_h", "_r")
 
 
 def expanding_folds(df: DataFrame, k: int, keys=KEYS, pos: str = "idx") -> DataFrame:

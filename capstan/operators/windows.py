@@ -37,13 +37,16 @@ def time_halo(df: DataFrame, ts: str, bucket_s: int, halo_s: int) -> DataFrame:
     return df.select("*", F.inline(copies))
 
 
-def dense_position(df: DataFrame, keys, order, pos: str = "_pos") -> DataFrame:
+def dense_position(df: DataFrame, keys, order, pos: str = "_pos", bucket=None) -> DataFrame:
     """0-based position of each row inside its series (by ``order``) without
-    sending a whole series to one task: ``row_number`` inside day buckets plus
-    a running offset from a small per-(series, day) count table."""
+    sending a whole series to one task: ``row_number`` inside buckets plus a
+    running offset from a small per-(series, bucket) count table.  Buckets
+    must be monotone in ``order``: by default the day of the first (time)
+    order column; any other monotone bucket expression can be given."""
     keys = list(keys)
     order = list(order)
-    d = df.withColumn("_day", F.floor(epoch_us(order[0]) / (86400 * US)))
+    b = bucket if bucket is not None else F.floor(epoch_us(order[0]) / (86400 * US))
+    d = df.withColumn("_day", b)
     counts = d.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
     w_prev = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_day", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))

@@ -56,7 +56,7 @@ def regression_metrics(spark, sf):
     GROUP BY service, target, model""")
 def directional_accuracy(spark, sf):
     """V-6: agreement of the direction of change."""
-    return sc.directional_accuracy(ad.predictions(spark, sf))
+    return sc.directional_accuracy(ad.predictions(spark, sf), chunk_rows=100_000)
 
 
 _CLF_COUNTS = """
