@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
-from .windows import CHUNK_ROWS, by_chunks
+from .windows import CHUNK_ROWS, chunked_pass
 
 KEYS = ("experiment_id",)
 ORDER = ("idx",)
@@ -28,17 +28,22 @@ def delta(c: str, w) -> Column:
     return F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
 
 
-def network_activity(df: DataFrame, keys=KEYS, order=ORDER, rx="net_rx_bytes_value", tx="net_tx_bytes_value",
-                     cpu="cpu_cores_value", out="network_activity_rate_value",
-                     chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """F-1: Δrx + Δtx (first row 0); rows without network data use Δcpu."""
+def network_activity_spec(order=ORDER, rx="net_rx_bytes_value", tx="net_tx_bytes_value",
+                          cpu="cpu_cores_value", out="network_activity_rate_value"):
+    """(halo, fn) of F-1."""
     def run(d, parts):
         w = series_window(parts, order)
         net = (F.col(rx) - F.lag(rx).over(w)) + (F.col(tx) - F.lag(tx).over(w))
         first = F.lag(order[0]).over(w).isNull()
         return d.withColumn(out, F.when(first, 0.0).when(F.col(rx).isNull() | F.col(tx).isNull(), delta(cpu, w))
                             .otherwise(F.coalesce(net, delta(cpu, w))))
-    return by_chunks(df, keys, order[0], 1, run, chunk_rows)
+    return 1, run
+
+
+def network_activity(df: DataFrame, keys=KEYS, order=ORDER, chunk_rows: int | None = CHUNK_ROWS,
+                     **names) -> DataFrame:
+    """F-1: Δrx + Δtx (first row 0); rows without network data use Δcpu."""
+    return chunked_pass(df, keys, order[0], [network_activity_spec(order, **names)], chunk_rows)
 
 
 def network_substitute(df: DataFrame, only_missing: bool = True, rx="net_rx_bytes_value",
@@ -56,14 +61,19 @@ def processing_intensity(df: DataFrame, cpu="cpu_cores_value", out="processing_i
     return df.withColumn(out, F.col(cpu))
 
 
-def service_stability(df: DataFrame, keys=KEYS, order=ORDER, restarts="pod_restarts_value",
-                      out="service_stability_value", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """F-4: 1 / (1 + Δrestarts), first Δ 0; Δ clamped at 0 (defect D-6)."""
+def service_stability_spec(order=ORDER, restarts="pod_restarts_value", out="service_stability_value"):
+    """(halo, fn) of F-4."""
     def run(d, parts):
         w = series_window(parts, order)
         dd = F.greatest(delta(restarts, w), F.lit(0.0))
         return d.withColumn(out, F.try_divide(F.lit(1.0), 1.0 + dd))
-    return by_chunks(df, keys, order[0], 1, run, chunk_rows)
+    return 1, run
+
+
+def service_stability(df: DataFrame, keys=KEYS, order=ORDER, chunk_rows: int | None = CHUNK_ROWS,
+                      **names) -> DataFrame:
+    """F-4: 1 / (1 + Δrestarts), first Δ 0; Δ clamped at 0 (defect D-6)."""
+    return chunked_pass(df, keys, order[0], [service_stability_spec(order, **names)], chunk_rows)
 
 
 def resource_pressure(df: DataFrame, keys=KEYS, cpu="cpu_cores_value", mem="mem_bytes_value",
@@ -78,15 +88,28 @@ def resource_pressure(df: DataFrame, keys=KEYS, cpu="cpu_cores_value", mem="mem_
     return j.withColumn(out, (c + m) / 2.0).drop("_mc", "_mm")
 
 
-def diff_features(df: DataFrame, cols, keys=KEYS, order=ORDER, names=None,
-                  chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """F-6: ``<c>_delta`` (or the given names) = c - previous c, first 0."""
+def diff_spec(cols, names=None, order=ORDER):
+    """(halo, fn) of F-6."""
     names = names or [f"{c}_delta" for c in cols]
 
     def run(d, parts):
         w = series_window(parts, order)
         return d.select("*", *[delta(c, w).alias(n) for c, n in zip(cols, names)])
-    return by_chunks(df, keys, order[0], 1, run, chunk_rows)
+    return 1, run
+
+
+def diff_features(df: DataFrame, cols, keys=KEYS, order=ORDER, names=None,
+                  chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """F-6: ``<c>_delta`` (or the given names) = c - previous c, first 0."""
+    return chunked_pass(df, keys, order[0], [diff_spec(cols, names, order)], chunk_rows)
+
+
+def derived_metrics(df: DataFrame, keys=KEYS, order=ORDER, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """F-1..F-5 together: one chunked window pass (activity, stability), the
+    column-wise substitutes, and one group aggregate (pressure)."""
+    d = chunked_pass(df, keys, order[0], [network_activity_spec(order), service_stability_spec(order)],
+                     chunk_rows)
+    return resource_pressure(processing_intensity(network_substitute(d)), keys)
 
 
 def change_flags(df: DataFrame, pairs) -> DataFrame:

@@ -105,3 +105,16 @@ def by_chunks(df: DataFrame, keys, pos: str, halo_rows: int, fn, chunk_rows: int
     x = df.select("*", F.inline(copies))
     out = fn(x, [*keys, "_chunk"])
     return out.where(~F.col("_halo")).drop("_chunk", "_halo")
+
+
+def chunked_pass(df: DataFrame, keys, pos: str, specs, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """Run several trailing-window specs ``(halo_rows, fn)`` in ONE chunked
+    pass: a single halo explode and a single exchange on (keys, chunk) that
+    every window of every spec shares."""
+    halo = max(h for h, _ in specs)
+
+    def run(d, parts):
+        for _, fn in specs:
+            d = fn(d, parts)
+        return d
+    return by_chunks(df, keys, pos, halo, run, chunk_rows)

@@ -9,6 +9,7 @@ from ..operators import features as fe
 from ..operators import scaling as sc
 from ..operators import splits as sp
 from ..operators import targets as tg
+from ..operators.windows import chunked_pass
 from ..sources import adapters as ad
 from .registry import register
 
@@ -40,12 +41,7 @@ def _lagd(c: str) -> str:
 def derived_metrics(spark, sf):
     """F-1..F-5: network activity, network substitute (missing only),
     processing intensity, service stability, resource pressure."""
-    e = ad.experiments(spark, sf)
-    e = dv.network_activity(e)
-    e = dv.network_substitute(e)
-    e = dv.processing_intensity(e)
-    e = dv.service_stability(e)
-    e = dv.resource_pressure(e)
+    e = dv.derived_metrics(ad.experiments(spark, sf))
     return e.select("event_id", "experiment_id", "idx", "network_activity_rate_value", "net_rx_bytes_value",
                     "net_tx_bytes_value", "processing_intensity_value", "service_stability_value",
                     "resource_pressure_value")
@@ -130,10 +126,9 @@ _LAGS = fe.LAGS
     FROM gappy {W}""")
 def lag_features(spark, sf):
     """F-10 (0-filled and NULL variants) and F-11 (self-filled lag 1)."""
-    g = ad.gappy(spark, sf)
-    g = fe.lag_features(g, ["node_cpu_util_value"], fill=0.0)
-    g = fe.lag_features(g, ["cpu_cores_value"], fill=None)
-    g = fe.lag_self_fill(g, ["cpu_cores_value", "mem_bytes_value"])
+    g = chunked_pass(ad.gappy(spark, sf), dv.KEYS, "idx", [
+        fe.lag_spec(["node_cpu_util_value"], fill=0.0), fe.lag_spec(["cpu_cores_value"], fill=None),
+        fe.self_fill_spec(["cpu_cores_value", "mem_bytes_value"])])
     return g.select("event_id", *[f"node_cpu_util_value_lag{k}" for k in _LAGS],
                     *[f"cpu_cores_value_lag{k}" for k in _LAGS], "cpu_cores_value_lag_1", "mem_bytes_value_lag_1")
 
@@ -162,9 +157,9 @@ _MIN1 = _roll_sql("node_cpu_util_value", fe.MIN1_WINDOWS, ("mean", "std"), 1, 0.
 def rolling(spark, sf):
     """F-12: full-window statistics incl. rolling median, and the min-1
     variant with std NULL -> 0."""
-    g = ad.gappy(spark, sf)
-    g = fe.rolling(g, ["cpu_cores_value"])
-    g = fe.rolling(g, ["node_cpu_util_value"], fe.MIN1_WINDOWS, ("mean", "std"), min_periods=1, std_fill=0.0)
+    g = chunked_pass(ad.gappy(spark, sf), dv.KEYS, "idx", [
+        fe.rolling_spec(["cpu_cores_value"]),
+        fe.rolling_spec(["node_cpu_util_value"], fe.MIN1_WINDOWS, ("mean", "std"), min_periods=1, std_fill=0.0)])
     return g.select("event_id", *[n for _, n in _FULL + _MIN1])
 
 
