@@ -48,8 +48,8 @@ def main() -> None:
 
     spark = get_session(f"local[{cpus}]", app="capstan-bench", shuffle_partitions=int(cpus))
     checkpoint_dir(spark)
-    # JVM / code-generation warm-up on the smallest tables (untimed)
-    warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    # JVM / code-generation warm-up on a smaller scale factor (untimed)
+    warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     if os.path.isdir(warm):
         for n in names:
             REGISTRY[n].build(spark, warm).write.format("noop").mode("overwrite").save()

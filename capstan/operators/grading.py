@@ -63,6 +63,7 @@ def pairwise_compare(metrics: DataFrame, models, keys=("service", "target")) ->
     pair_df = spark.createDataFrame(pairs, "model1 string, model2 string")
     m1 = metrics.select(*keys, F.col("model").alias("model1"), F.col("r2").alias("model1_r2"))
     m2 = metrics.select(*keys, F.col("model").alias("model2"), F.col("r2").alias("model2_r2"))
+    # the pair list is built from the model list argument: |models|^2 / 2 rows
     j = m1.join(F.broadcast(pair_df), "model1").join(m2, [*keys, "model2"])
     return j.select(
         *keys, "model1", "model2", "model1_r2", "model2_r2",
@@ -133,6 +134,7 @@ def compliance(model_results: DataFrame, standards: DataFrame | None = None) ->
     (inner join with the small broadcast standards table).
     """
     st = standards if standards is not None else standards_table(model_results.sparkSession)
+    # the standards table has one row per target (three by default)
     j = model_results.join(F.broadcast(st), "target")
     ok = (F.col("status") == "success")
     mse_ok = F.coalesce(F.col("mse") <= F.col("mse_max"), F.lit(False))

@@ -236,3 +236,27 @@ def evaluation_report(spark, sf):
     root = _scratch(spark, "evaluation")
     wr.write_report(lines, root)
     return spark.read.text(root)
+
+
+@register("pod_usage", adapters=["samples"], floats=["cpu_usage", "memory_usage"], sql="""
+    SELECT pod, 'app' AS container,
+           arg_max(value, (ts, seq)) FILTER (WHERE metric = 'cpu_cores') AS cpu_usage,
+           arg_max(value, (ts, seq)) FILTER (WHERE metric = 'mem_bytes') AS memory_usage
+    FROM samples WHERE contains(pod, 'pod-1') GROUP BY pod""")
+def pod_usage(spark, sf):
+    """A-8: per-pod usage lists (latest cpu and memory per container) written
+    as JSON and flattened back for the pods of one service name pattern."""
+    root = _scratch(spark, "usage")
+    s = ad.samples(spark, sf)
+    last = s.groupBy("pod", "container").agg(
+        F.max_by(F.when(F.col("metric") == "cpu_cores", F.col("value")),
+                 F.when(F.col("metric") == "cpu_cores", F.struct("ts", "seq"))).alias("cpu"),
+        F.max_by(F.when(F.col("metric") == "mem_bytes", F.col("value")),
+                 F.when(F.col("metric") == "mem_bytes", F.struct("ts", "seq"))).alias("mem"))
+    usage = last.groupBy("pod").agg(F.collect_list(F.struct(
+        F.col("container").alias("name"),
+        F.struct(F.col("cpu").alias("cpu"), F.col("mem").alias("memory")).alias("usage"))).alias("containers"))
+    usage.write.json(root)
+    back = spark.read.schema("pod string, containers array<struct<name string, usage struct<cpu double, "
+                             "memory double>>>").json(root)
+    return rd.flatten_usage(back, "pod-1").select("pod", "container", F.col("cpu_usage"), F.col("memory_usage"))

@@ -141,7 +141,7 @@ def flatten_usage(df: DataFrame, service: str) -> DataFrame:
     pods whose name contains the service."""
     x = df.where(F.col("pod").contains(service)).select("pod", F.explode("containers").alias("c"))
     return x.select("pod", F.col("c.name").alias("container"),
-                    F.col("c.usage")["cpu"].alias("cpu_usage"), F.col("c.usage")["memory"].alias("memory_usage"))
+                    F.col("c.usage.cpu").alias("cpu_usage"), F.col("c.usage.memory").alias("memory_usage"))
 
 
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:
