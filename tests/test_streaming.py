@@ -51,3 +51,16 @@ def test_profile_drops_rows_behind_watermark(spark):
     stream = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(d + "/*")
     out = spark.read.parquet(ss.run_to_table(ss.stream_profile(stream, "1 minute", "10 minutes"), "late"))
     assert out.agg(F.max("max")).first()[0] == 1.0          # the late 100.0 never counted
+
+
+def test_rightsize_stream_equals_batch_windows(spark):
+    ev = ss.table_stream(spark, f"{SF}/events.parquet")
+    got = spark.read.parquet(ss.run_to_table(ss.stream_rightsize(ss.sample_stream(ev)), "rs"))
+    s = ad.samples(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    mx = s.agg(F.max("ts")).first()[0]
+    batch = (s.groupBy("service", F.window("ts", "5 minutes", "2 minutes").alias("w"))
+             .agg(F.percentile_approx(F.when(F.col("metric") == "cpu_cores", F.col("value")), 0.95, 10000).alias("p95"))
+             .where(F.col("w.end") <= F.lit(mx) - F.expr("INTERVAL 10 MINUTES")))
+    a = {(r["service"], r["window_start"]): r["p95"] for r in got.collect()}
+    b = {(r["service"], r["w"]["start"]): r["p95"] for r in batch.collect()}
+    assert a == b
