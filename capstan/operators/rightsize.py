@@ -34,12 +34,26 @@ def usage_profile_cpu(samples: DataFrame, keys=("service",), value: str = "value
                       percentile: float = CPU_PERCENTILE, mode: str = "exact") -> DataFrame:
     """R-1: percentile + mean/median/std/min/max/count of cpu usage per key.
 
-    ``mode='approx'`` uses ``percentile_approx`` (bounded memory per group);
-    ``'exact'`` is linear interpolation like pandas' ``quantile``.
+    ``mode='exact'`` is linear interpolation like pandas' ``quantile``
+    (Spark ``percentile``: a value -> count map per group);
+    ``mode='bounded'`` gives the same exact values with bounded memory per
+    group (:func:`capstan.operators.quantiles.exact_quantile`), for groups too
+    large for one task; ``mode='approx'`` uses ``percentile_approx``.
     NULL values are skipped, as ``dropna`` does.
     """
     v = F.col(value)
-    return (samples.where(v.isNotNull()).groupBy(*keys).agg(
+    clean = samples.where(v.isNotNull())
+    stats = [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+             F.max(v).alias("max"), F.count(v).alias("count")]
+    if mode == "bounded":
+        from .quantiles import exact_quantile
+        keys = list(keys)
+        p = exact_quantile(clean, keys, value, percentile / 100.0, "percentile_value")
+        m = exact_quantile(clean, keys, value, 0.5, "median")
+        base = clean.groupBy(*keys).agg(*stats)
+        return (base.join(p, keys).join(m, keys)
+                .select(*keys, "percentile_value", "mean", "median", "std", "min", "max", "count"))
+    return (clean.groupBy(*keys).agg(
         _quantile(v, percentile / 100.0, mode).alias("percentile_value"),
         F.avg(v).alias("mean"),
         _quantile(v, 0.5, mode).alias("median"),

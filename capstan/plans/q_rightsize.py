@@ -59,6 +59,18 @@ def usage_profile_cpu(spark, sf):
     return rz.usage_profile_cpu(s)
 
 
+@register("usage_profile_cpu_bounded", adapters=["samples"],
+          floats=["percentile_value", "mean", "median", "std", '"min"', '"max"'], sql=f"""
+    SELECT service, quantile_cont(value, 0.95) AS percentile_value, avg(value) AS mean,
+           quantile_cont(value, 0.5) AS median, stddev_samp(value) AS std,
+           min(value) AS "min", max(value) AS "max", count(value) AS "count"
+    FROM samples WHERE {_CPU} GROUP BY service""")
+def usage_profile_cpu_bounded(spark, sf):
+    """R-1 with the bounded-memory exact quantile (same values as R-1)."""
+    s = ad.samples(spark, sf).where(F.col("metric") == "cpu_cores")
+    return rz.usage_profile_cpu(s, mode="bounded")
+
+
 @register("usage_profile_cpu_pod", adapters=["samples"],
           floats=["percentile_value", "mean", "median", "std", '"min"', '"max"'], sql=f"""
     SELECT service, pod, quantile_cont(value, 0.95) AS percentile_value, avg(value) AS mean,
