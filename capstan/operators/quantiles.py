@@ -80,3 +80,23 @@ def exact_quantile(df: DataFrame, keys, value: str, q: float, out: str = "quanti
                                     F.max(F.when(F.col("_rank") == F.col("r2"), F.col("_v"))).alias("_v2"),
                                     F.first("frac").alias("_f"))
     return res.select(*keys, (F.col("_v1") + F.col("_f") * (F.col("_v2") - F.col("_v1"))).alias(out))
+
+
+def quantile_table(df: DataFrame, keys, col: str, qs, mode: str = "exact", prefix: str | None = None) -> DataFrame:
+    """Per-group quantiles of ``col`` as columns ``<prefix><i>`` (i = index in
+    ``qs``): ``exact`` (Spark ``percentile``), ``bounded`` (exact, bounded
+    memory per group) or ``approx`` (``percentile_approx``)."""
+    keys = list(keys)
+    prefix = prefix or f"_q_{col}_"
+    if mode == "bounded":
+        out = None
+        for i, q in enumerate(qs):
+            t = exact_quantile(df, keys, col, q, f"{prefix}{i}")
+            out = t if out is None else out.join(t, keys)
+        return out
+    if mode == "approx":
+        arr = F.percentile_approx(col, list(qs), 10000)
+    else:
+        arr = F.percentile(col, list(qs))
+    t = df.groupBy(*keys).agg(arr.alias("_qs"))
+    return t.select(*keys, *[F.col("_qs")[i].alias(f"{prefix}{i}") for i in range(len(qs))])

@@ -117,14 +117,14 @@ def roc_auc(pred: DataFrame, keys=GROUP, label="label", proba="proba") -> DataFr
     group has one class only.
 
     Rows are first reduced to one row per (group, score) with positive and
-    total counts (partial aggregation), so the ordered window runs over
-    distinct scores rather than over all rows of a hot group.
+    total counts (partial aggregation); the count of lower scores comes from
+    bucketed prefix sums, so no window spans a whole hot group.
     """
+    from .windows import prefix_counts
     per_score = pred.groupBy(*keys, proba).agg(
         F.count("*").alias("c"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = Window.partitionBy(*keys).orderBy(proba).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    avg_rank = F.col("below") + (F.col("c") + 1) / 2.0
+    ranked = prefix_counts(per_score, keys, proba, "c")
+    avg_rank = F.col("_below") + (F.col("c") + 1) / 2.0
     agg = ranked.groupBy(*keys).agg(
         F.sum(F.col("pos") * avg_rank).alias("rank_sum"),
         F.sum("pos").alias("p"), (F.sum("c") - F.sum("pos")).alias("q"))

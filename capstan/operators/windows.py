@@ -118,3 +118,25 @@ def chunked_pass(df: DataFrame, keys, pos: str, specs, chunk_rows: int | None =
             d = fn(d, parts)
         return d
     return by_chunks(df, keys, pos, halo, run, chunk_rows)
+
+
+def prefix_counts(counts: DataFrame, keys, value: str, count: str, buckets: int = 4096) -> DataFrame:
+    """For a table of (group, value, count) rows, add ``_below``: the total
+    count of smaller values in the group.  The value range of each group is
+    cut into equi-width buckets; bucket totals (at most ``buckets`` rows per
+    group) give each bucket's offset and a running window inside each
+    (group, bucket) gives the rest, so no window spans a whole group."""
+    from ..session import maybe_broadcast
+    keys = list(keys)
+    rng = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    c = counts.join(maybe_broadcast(rng), keys)
+    v, lo, hi = F.col(value).cast("double"), F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    b = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * buckets), F.lit(buckets - 1))).otherwise(0)
+    c = c.withColumn("_vb", b.cast("int")).drop("_lo", "_hi")
+    tot = c.groupBy(*keys, "_vb").agg(F.sum(count).alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "_vb", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    c = c.join(maybe_broadcast(off), [*keys, "_vb"])
+    local = Window.partitionBy(*keys, "_vb").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return c.withColumn("_below", F.col("_off") + F.coalesce(F.sum(count).over(local), F.lit(0))) \
+            .drop("_vb", "_off")

@@ -20,3 +20,27 @@ def test_exact_quantile_matches_percentile_with_many_passes(spark):
         assert want.keys() == got.keys()
         for k in want:
             assert abs(want[k] - got[k]) <= 1e-9 * max(1.0, abs(want[k])), (q, k, want[k], got[k])
+
+
+def test_bounded_feature_modes_equal_exact(spark):
+    from capstan.operators import features as fe
+    from capstan.sources import adapters as ad
+    g = ad.gappy(spark, "/root/testdata/sf0.001").select("event_id", "experiment_id", "cpu_cores_value")
+
+    def rows(df, c):
+        return {r["event_id"]: None if r[c] is None else round(r[c], 12) for r in df.collect()}
+    assert rows(fe.impute_median(g, ["cpu_cores_value"], mode="bounded"), "cpu_cores_value") == \
+        rows(fe.impute_median(g, ["cpu_cores_value"]), "cpu_cores_value")
+    assert rows(fe.clip_outliers(g, ["cpu_cores_value"], k=0.5, mode="bounded"), "cpu_cores_value") == \
+        rows(fe.clip_outliers(g, ["cpu_cores_value"], k=0.5), "cpu_cores_value")
+
+
+def test_prefix_counts_brute_force(spark):
+    from capstan.operators.windows import prefix_counts
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 211).alias("v"),
+                                  F.lit(1).alias("c"))
+    counts = df.groupBy("g", "v").agg(F.sum("c").alias("c"))
+    got = {(r["g"], r["v"]): r["_below"] for r in prefix_counts(counts, ["g"], "v", "c", buckets=7).collect()}
+    rows = df.collect()
+    for (g, v), below in got.items():
+        assert below == sum(1 for r in rows if r["g"] == g and r["v"] < v)
