@@ -51,7 +51,8 @@ def dense_position(df: DataFrame, keys, order, pos: str = "_pos", bucket=None) -
     w_prev = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_day", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
     w_in = Window.partitionBy(*keys, "_day").orderBy(*order)
-    return (d.join(offsets, [*keys, "_day"])
+    from ..session import maybe_broadcast
+    return (d.join(maybe_broadcast(offsets), [*keys, "_day"])
             .withColumn(pos, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long"))
             .drop("_off", "_day"))
 
