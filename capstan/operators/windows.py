@@ -57,26 +57,6 @@ def dense_position(df: DataFrame, keys, order, pos: str = "_pos", bucket=None) -
             .drop("_off", "_day"))
 
 
-def row_halo(df: DataFrame, keys, order, chunk_rows: int, halo_rows: int) -> DataFrame:
-    """Row-count halo chunks for ROWS frames.
-
-    chunk = dense position div ``chunk_rows``.  The last ``halo_rows`` rows
-    of a chunk are copied into the next chunk as halo, so a trailing frame of
-    up to ``halo_rows`` rows sees the same rows as on the whole series.
-    Returns the rows with ``_pos``, ``_bucket`` and ``_halo``.
-    """
-    if halo_rows > chunk_rows:
-        raise ValueError("halo must not exceed the chunk size")
-    pos = dense_position(df, keys, order)
-    c = F.floor(F.col("_pos") / chunk_rows)
-    inner = F.col("_pos") - c * chunk_rows
-    copies = F.when(inner >= chunk_rows - halo_rows,
-                    F.array(F.struct(c.alias("_bucket"), F.lit(False).alias("_halo")),
-                            F.struct((c + 1).alias("_bucket"), F.lit(True).alias("_halo"))))\
-        .otherwise(F.array(F.struct(c.alias("_bucket"), F.lit(False).alias("_halo"))))
-    return pos.select("*", F.inline(copies))
-
-
 # Default rows per chunk for chunked trailing windows: large enough that the
 # halo copies are a negligible share, small enough for one task's memory.
 CHUNK_ROWS = 1_000_000

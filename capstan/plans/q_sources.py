@@ -17,7 +17,6 @@ from ..sources import adapters as ad
 from ..sources import readers as rd
 from ..sources import writers as wr
 from ..schemas import EXPERIMENTS_WIDE, INVENTORY, PODS
-from .q_models import _COMP_SQL  # noqa: F401  (documentation: compliance feeds A-15)
 from .q_strategy import _SUMMARY_SQL
 from .registry import register
 
