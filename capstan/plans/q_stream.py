@@ -23,7 +23,7 @@ def _events(spark, sf):
     HAVING time_bucket(INTERVAL 30 SECOND, ts) + INTERVAL 30 SECOND
            <= (SELECT max(ts) FROM samples) - INTERVAL 10 MINUTE""")
 def stream_profile(spark, sf):
-    """T-2: 30 s tumbling-window profile per (service, metric); windows are
+    """T-1 (file stream of samples) + T-2: 30 s tumbling-window profile per (service, metric); windows are
     final once the 10-minute watermark passes them."""
     path = st.run_to_table(st.stream_profile(st.sample_stream(_events(spark, sf))), "profile")
     out = spark.read.parquet(path)
