@@ -121,3 +121,20 @@ def prefix_counts(counts: DataFrame, keys, value: str, count: str, buckets: int
     local = Window.partitionBy(*keys, "_vb").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return c.withColumn("_below", F.col("_off") + F.coalesce(F.sum(count).over(local), F.lit(0))) \
             .drop("_vb", "_off")
+
+
+def by_chunks_both(df: DataFrame, keys, pos: str, halo_rows: int, fn, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Like :func:`by_chunks` for frames that look both ways (``rowsBetween(-h, h)``,
+    ``lag``/``lead`` up to h): the first and last ``halo_rows`` rows of each
+    chunk are copied into the previous and next chunk."""
+    keys = list(keys)
+    chunk_rows = max(chunk_rows, halo_rows)
+    c = F.floor(F.col(pos) / chunk_rows)
+    inner = F.col(pos) - c * chunk_rows
+    own = F.struct(c.alias("_chunk"), F.lit(False).alias("_halo"))
+    nxt = F.when(inner >= chunk_rows - halo_rows, F.struct((c + 1).alias("_chunk"), F.lit(True).alias("_halo")))
+    prv = F.when(inner < halo_rows, F.struct((c - 1).alias("_chunk"), F.lit(True).alias("_halo")))
+    copies = F.filter(F.array(own, nxt, prv), lambda s: s.isNotNull())
+    x = df.select("*", F.inline(copies))
+    out = fn(x, [*keys, "_chunk"])
+    return out.where(~F.col("_halo")).drop("_chunk", "_halo")

@@ -1,4 +1,4 @@
-"""Registered model queries (M-1..M-5, M-8, M-11, M-12, V-10).  These are
+"""Registered model queries (M-1..M-5, M-8, M-11, M-12, V-10, F-27).  These are
 seeded / iterative, so they carry no oracle SQL (rows-only check); their
 invariants are covered by tests/test_models.py."""
 
@@ -131,3 +131,12 @@ def cv_summary(spark, sf):
     mean = sum(scores) / len(scores)
     return spark.createDataFrame([(mean, statistics.pstdev(scores), min(scores), max(scores), scores)],
                                  "mean double, std double, min double, max double, scores array<double>")
+
+
+@register("oversample")
+def oversample(spark, sf):
+    """F-27: minority oversampling of the next-step increase class (F-24) on
+    cpu and node utilisation, with exact k = 5 nearest neighbours."""
+    from ..operators.oversample import oversample as smote
+    t = tg.future_change_target(ad.experiments(spark, sf))
+    return smote(t, ["cpu_cores_value", "node_cpu_util_value"], "y_class", k=5)
