@@ -33,10 +33,10 @@ _TS_SQL = "CASE WHEN event_id % 50 = 0 THEN 'bad' ELSE \"timestamp\" END"
 
 @register("sample_index", adapters=["experiments"], sql=f"""
     SELECT experiment_id, event_id,
-           CASE WHEN avg(CAST(starts_with(ts_text, 't_') AS DOUBLE)) OVER p = 1.0
-                THEN TRY_CAST(regexp_extract(ts_text, '^t_(\\d+)$', 1) AS BIGINT) END AS time_index_strict,
-           CASE WHEN avg(CAST(starts_with(ts_text, 't_') AS DOUBLE)) OVER p > 0.8
-                THEN coalesce(TRY_CAST(regexp_extract(ts_text, '^t_(\\d+)$', 1) AS BIGINT), 0) END
+           CAST(CASE WHEN avg(CAST(starts_with(ts_text, 't_') AS DOUBLE)) OVER p = 1.0
+                THEN TRY_CAST(regexp_extract(ts_text, '^t_(\\d+)$', 1) AS BIGINT) END AS DOUBLE) AS time_index_strict,
+           CAST(CASE WHEN avg(CAST(starts_with(ts_text, 't_') AS DOUBLE)) OVER p > 0.8
+                THEN coalesce(TRY_CAST(regexp_extract(ts_text, '^t_(\\d+)$', 1) AS BIGINT), 0) END AS DOUBLE)
              AS time_index_lenient
     FROM (SELECT experiment_id, event_id, {_TS_SQL} AS ts_text FROM experiments) e
     WINDOW p AS (PARTITION BY experiment_id)""")
@@ -47,7 +47,9 @@ def sample_index(spark, sf):
         F.when(F.col("event_id") % 50 == 0, "bad").otherwise(F.col("timestamp")).alias("ts_text"))
     a = tf.with_sample_index(e, "ts_text", ["experiment_id"], "strict", "time_index_strict")
     b = tf.with_sample_index(a, "ts_text", ["experiment_id"], "lenient", "time_index_lenient")
-    return b.select("experiment_id", "event_id", "time_index_strict", "time_index_lenient")
+    # nullable indices are compared as doubles (same values, one numeric kind on both sides)
+    return b.select("experiment_id", "event_id", F.col("time_index_strict").cast("double").alias("time_index_strict"),
+                    F.col("time_index_lenient").cast("double").alias("time_index_lenient"))
 
 
 @register("calendar_features", adapters=["experiments"],
@@ -127,16 +129,19 @@ def unify_metrics(spark, sf):
 @register("unify_metrics_multi", adapters=["samples"], floats=["cpu_cores_value", "mem_bytes_value"], sql=f"""
     SELECT service, pod, idx, 't_' || idx AS "timestamp",
            max(CASE WHEN metric = 'cpu_cores' THEN value END) AS cpu_cores_value,
-           max(CASE WHEN metric = 'cpu_cores' THEN seq END) AS cpu_cores_seq,
+           CAST(max(CASE WHEN metric = 'cpu_cores' THEN seq END) AS DOUBLE) AS cpu_cores_seq,
            max(CASE WHEN metric = 'mem_bytes' THEN value END) AS mem_bytes_value,
-           max(CASE WHEN metric = 'mem_bytes' THEN seq END) AS mem_bytes_seq
+           CAST(max(CASE WHEN metric = 'mem_bytes' THEN seq END) AS DOUBLE) AS mem_bytes_seq
     FROM (SELECT *, row_number() OVER (PARTITION BY service, pod, metric ORDER BY ts, seq) - 1 AS idx
           FROM ({_UNIFY_SRC}) s) p
     GROUP BY service, pod, idx""")
 def unify_metrics_multi(spark, sf):
     """X-2: every listed column kept per metric."""
-    return ex.unify_metrics_multi(_unify_input(spark, sf), ["service", "pod"], ["cpu_cores", "mem_bytes"],
-                                  ["value", "seq"])
+    w = ex.unify_metrics_multi(_unify_input(spark, sf), ["service", "pod"], ["cpu_cores", "mem_bytes"],
+                               ["value", "seq"])
+    # the nullable sequence numbers are compared as doubles on both sides
+    return w.withColumn("cpu_cores_seq", F.col("cpu_cores_seq").cast("double")) \
+            .withColumn("mem_bytes_seq", F.col("mem_bytes_seq").cast("double"))
 
 
 @register("build_master", adapters=["experiments", "records"],
