@@ -52,3 +52,13 @@ def test_fill_gaps_chunked_equals_plain(spark):
     b = dv.fill_gaps(g, ["cpu_cores_value"], chunk_rows=None)
     assert _rows(a, "event_id", ["cpu_cores_value"]) == _rows(b, "event_id", ["cpu_cores_value"])
     assert a.where(F.col("cpu_cores_value").isNull()).count() == 0
+
+
+def test_future_target_chunked_equals_plain(spark):
+    from capstan.operators import targets as tg
+    e = ad.experiments(spark, SF)
+    a = tg.future_change_target(e, chunk_rows=5)
+    b = tg.future_change_target(e, chunk_rows=None)
+    cols = ["rel_change", "y_class", "y_reg"]
+    assert a.count() == b.count()
+    assert _rows(a, "event_id", cols) == _rows(b, "event_id", cols)
