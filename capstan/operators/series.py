@@ -29,10 +29,14 @@ def select_series(df: DataFrame, eq=None, re=None, ne=None, nre=None) -> DataFra
     """B-1: ``=``, ``=~`` (anchored regex), ``!=``, ``!~`` label matchers.
     A missing label is the empty string, as in the query language."""
     conds = []
+    # For a non-empty value the NULL-as-empty rule is the plain comparison
+    # (plus IS NULL for !=), which the parquet scan can evaluate (pushdown).
     for name, v in (eq or {}).items():
-        conds.append(F.coalesce(_label(df, name), F.lit("")) == v)
+        c = _label(df, name)
+        conds.append((c == v) if v != "" else F.coalesce(c, F.lit("")) == v)
     for name, v in (ne or {}).items():
-        conds.append(F.coalesce(_label(df, name), F.lit("")) != v)
+        c = _label(df, name)
+        conds.append(((c != v) | c.isNull()) if v != "" else F.coalesce(c, F.lit("")) != v)
     for name, v in (re or {}).items():
         conds.append(F.coalesce(_label(df, name), F.lit("")).rlike(f"^(?:{v})$"))
     for name, v in (nre or {}).items():
