@@ -128,15 +128,19 @@ def recommendations(inventory: DataFrame, samples: DataFrame, key: str = "servic
     v = F.col("value")
     cpu_v = F.when(F.col("metric") == cpu_metric, v)
     mem_v = F.when(F.col("metric") == mem_metric, v)
-    prof = (samples.where(F.col("metric").isin(cpu_metric, mem_metric) & v.isNotNull())
-            .groupBy(key).agg(
-                _quantile(cpu_v, percentile / 100.0, mode).alias("cpu_percentile_value"),
-                F.avg(cpu_v).alias("cpu_mean"),
-                F.max(cpu_v).alias("cpu_max"),
-                F.count(cpu_v).alias("cpu_count"),
-                F.max(mem_v).alias("mem_max_usage_bytes"),
-                F.avg(mem_v).alias("mem_mean"),
-                F.count(mem_v).alias("mem_count")))
+    rows = samples.where(F.col("metric").isin(cpu_metric, mem_metric) & v.isNotNull())
+    aggs = [F.avg(cpu_v).alias("cpu_mean"), F.max(cpu_v).alias("cpu_max"), F.count(cpu_v).alias("cpu_count"),
+            F.max(mem_v).alias("mem_max_usage_bytes"), F.avg(mem_v).alias("mem_mean"),
+            F.count(mem_v).alias("mem_count")]
+    if mode == "bounded":
+        # exact percentile with bounded memory per service (hot services)
+        from .quantiles import exact_quantile
+        pq = exact_quantile(rows.where(F.col("metric") == cpu_metric), [key], "value",
+                            percentile / 100.0, "cpu_percentile_value")
+        prof = rows.groupBy(key).agg(*aggs).join(pq, key, "left")
+    else:
+        prof = rows.groupBy(key).agg(
+            _quantile(cpu_v, percentile / 100.0, mode).alias("cpu_percentile_value"), *aggs)
     cores = recommend_cpu_expr(F.col("cpu_percentile_value"))
     mem_b = recommend_memory_expr(F.col("mem_max_usage_bytes"), buffer_pct)
     j = inventory.join(maybe_broadcast(prof), key, "left")

@@ -151,6 +151,14 @@ def recommendations(spark, sf):
     return rz.recommendations(ad.containers(spark, sf), ad.samples(spark, sf))
 
 
+@register("recommendations_bounded", adapters=["samples", "containers"],
+          floats=["cpu_percentile_value", "mem_max_usage_bytes", "cpu_percentile", "memory_buffer_percentage"],
+          sql=_REC_SQL)
+def recommendations_bounded(spark, sf):
+    """R-5 with the bounded-memory exact p95 (same result as R-5)."""
+    return rz.recommendations(ad.containers(spark, sf), ad.samples(spark, sf), mode="bounded")
+
+
 _VAL_CPU = S.parse_cpu("recommended_cpu")
 _VAL_MEM = S.parse_memory("recommended_memory")
 
