@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantities import format_cpu, format_memory
 from ..operators.rightsize import recommend_cpu_expr, recommend_memory_expr
-from ..operators.strategy import SLA_ERROR_LIMIT, VOLATILITY_WINDOW
+from ..operators.strategy import SLA_ERROR_LIMIT, VOLATILITY_WINDOW, stability_features
 from ..session import checkpoint_dir, maybe_broadcast
 
 APPROX_ACCURACY = 10000
@@ -182,12 +182,11 @@ def stream_stability(strategy_samples: DataFrame, base: str | None = None, n: in
             rows = carry.unionByName(new)
         else:
             rows = new
-        w = Window.partitionBy("experiment_id").orderBy("ts", "seq")
-        vol = F.coalesce(F.stddev_samp("cpu_utilization").over(w.rowsBetween(-n, -1)), F.lit(0.0))
-        ev = F.coalesce(F.lag("replica_count").over(w) != F.col("replica_count"), F.lit(False))
-        out = rows.select(*cols, "_new", vol.alias("volatility"), ev.alias("scaling_event"),
-                          F.row_number().over(Window.partitionBy("experiment_id")
-                                              .orderBy(F.col("ts").desc(), F.col("seq").desc())).alias("_rk"))
+        # the batch operator (chunked per experiment position, n-row halo)
+        feats = stability_features(rows, n)
+        out = feats.select(*cols, "_new", "volatility", "scaling_event",
+                           F.row_number().over(Window.partitionBy("experiment_id")
+                                               .orderBy(F.col("ts").desc(), F.col("seq").desc())).alias("_rk"))
         out = out.persist()
         out.where("_new").drop("_new", "_rk").write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
         nxt = f"{root}/carry/batch={batch_id}"
