@@ -18,12 +18,24 @@ def _r2(sse, var_n, n=None):
     return F.when(var_n == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - sse / var_n)
 
 
-def regression_metrics(pred: DataFrame, keys=GROUP, y="y_true", p="y_pred") -> DataFrame:
+def regression_metrics(pred: DataFrame, keys=GROUP, y="y_true", p="y_pred", median_mode: str = "exact") -> DataFrame:
     """V-1..V-5 in one aggregate: mse, rmse, mae, mape, r2, explained variance,
-    max error, median absolute error, smape, log error, wmape."""
+    max error, median absolute error, smape, log error, wmape.
+
+    ``median_mode='bounded'`` computes the median absolute error with the
+    bounded-memory exact quantile (for very large groups) and joins it;
+    ``'approx'`` uses ``percentile_approx``."""
     yt, yp = F.col(y), F.col(p)
     e = yp - yt
     ae = F.abs(e)
+    if median_mode == "bounded":
+        from .quantiles import exact_quantile
+        base = regression_metrics(pred, keys, y, p, median_mode="approx").drop("median_absolute_error")
+        med = exact_quantile(pred.select(*keys, ae.alias("_ae")), list(keys), "_ae", 0.5, "median_absolute_error")
+        cols = base.columns
+        at = cols.index("max_error") + 1
+        return base.join(med, list(keys)).select(*cols[:at], "median_absolute_error", *cols[at:])
+    med_expr = (F.percentile_approx(ae, 0.5, 10000) if median_mode == "approx" else F.percentile(ae, 0.5))
     agg = pred.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg(e * e).alias("mse"),
@@ -34,7 +46,7 @@ def regression_metrics(pred: DataFrame, keys=GROUP, y="y_true", p="y_pred") -> D
         F.var_pop(yt).alias("_vy"),
         F.var_pop(e).alias("_ve"),
         F.max(ae).alias("max_error"),
-        F.percentile(ae, 0.5).alias("median_absolute_error"),
+        med_expr.alias("median_absolute_error"),
         (F.avg(F.try_divide(2 * ae, F.abs(yt) + F.abs(yp))) * 100).alias("smape"),
         (F.avg(F.abs(F.log1p(yt) - F.log1p(yp))) * 100).alias("mape_log"),
         (F.try_divide(F.sum(ae), F.sum(F.abs(yt))) * 100).alias("wmape"))

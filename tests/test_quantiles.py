@@ -44,3 +44,15 @@ def test_prefix_counts_brute_force(spark):
     rows = df.collect()
     for (g, v), below in got.items():
         assert below == sum(1 for r in rows if r["g"] == g and r["v"] < v)
+
+
+def test_bounded_median_absolute_error(spark):
+    from capstan.operators.scoring import regression_metrics
+    from capstan.sources import adapters as ad
+    p = ad.predictions(spark, "/root/testdata/sf0.001")
+    a = {(r["service"], r["target"], r["model"]): r for r in regression_metrics(p).collect()}
+    b = {(r["service"], r["target"], r["model"]): r for r in regression_metrics(p, median_mode="bounded").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert abs(a[k]["median_absolute_error"] - b[k]["median_absolute_error"]) < 1e-6
+        assert a[k]["mse"] == b[k]["mse"]
