@@ -33,7 +33,7 @@ FROM documents d
 OP4 = rf"""
 WITH RECURSIVE
 docs AS (
-  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), x -> x <> '')) AS size,
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '')) AS size,
          CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
@@ -69,8 +69,8 @@ OP9 = rf"""
 WITH
 base AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
          row_number() OVER () AS r
   FROM documents),
 grams AS (
