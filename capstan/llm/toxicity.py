@@ -53,10 +53,9 @@ FEATURES = ("log_words", "insult_rate", "insult_count", "lexicon_rate", "lexicon
 
 
 def terms_of(word: str) -> tuple[str, ...]:
-    """A word and its beginnings, under which the lexicon may list it."""
-    if len(word) < 4:
-        return (word,)
-    return (word, word[:4] + "*") if len(word) == 4 else (word, word[:4] + "*", word[:5] + "*")
+    """A word and its beginnings of four to seven letters, under which the lexicon
+    may list it."""
+    return (word, *[word[:k] + "*" for k in range(4, min(8, len(word) + 1))])
 
 
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
