@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, maybe_broadcast
+from ..session import maybe_broadcast, scratch_table
 
 # Seasonal periods in hours, Fourier orders, changepoints, interval.
 DAY_H, WEEK_H = 24.0, 168.0
@@ -113,7 +113,7 @@ def seasonal_forecast(df: DataFrame, keys, t: str, y: str, horizon: int = 30, st
     keys = list(keys)
     # the coefficient table (one row per group) is used twice: materialise it
     # once in the shared checkpoint folder
-    coef = cut_lineage(fit_seasonal(df, keys, t, y, regressors))
+    coef = scratch_table(fit_seasonal(df, keys, t, y, regressors), "coefficients")
     hist = df.select(*keys, F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y"),
                      *[F.col(r) for r in regressors], F.lit(False).alias("future"))
     fut = coef.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_i"), "hi").select(

@@ -1,7 +1,7 @@
 """Grading, ranking, readiness and standards compliance (V-11..V-23).
 
 These run on metric tables (one row per service/target/model), which are tiny
-next to the predictions they summarise; joins to them are broadcast.
+next to the predictions they summarise.
 """
 
 from __future__ import annotations
@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast
-
 # Grade ladders as (grade, r2 must exceed, mape must stay below).
 LADDER_SEVEN = [("A+", 0.95, 0.05), ("A", 0.90, 0.10), ("B+", 0.80, 0.15), ("B", 0.70, 0.20),
                 ("C+", 0.60, 0.30), ("C", 0.50, 0.40)]
@@ -21,6 +19,13 @@ STANDARDS = [("cpu_target", 0.01, 0.05, 0.3, 0.7),
              ("memory_target", 1e12, 1e8, -5.0, 0.5),
              ("replica_target", 0.5, 0.3, 0.4, 0.7)]
 
+# Next steps by readiness verdict.
+NEXT_STEPS = {
+    "ready": ["deploy the best model", "set up monitoring", "schedule retraining"],
+    "conditionally_ready": ["deploy with close monitoring", "collect training data", "plan improvements"],
+    "not_ready": ["improve models before deployment", "collect varied training data", "try other algorithms"],
+}
+
 # Score bands.
 BANDS = [(80.0, "excellent"), (60.0, "good"), (40.0, "acceptable")]
 FLEET_BANDS = [(90.0, "outstanding"), (80.0, "excellent"), (70.0, "good"), (60.0, "acceptable")]
@@ -42,7 +47,7 @@ def rank_models(metrics: DataFrame, keys=("service", "target")) -> DataFrame:
     best = metrics.groupBy(*keys).agg(
         F.min_by("model", F.struct(-F.col("r2"), F.col("model"))).alias("best_model"),
         F.max_by("model", F.struct(-F.col("r2"), F.col("model"))).alias("worst_model"))
-    return ranked.join(maybe_broadcast(best), list(keys))
+    return ranked.join(best, list(keys))
 
 
 def best_model(metrics: DataFrame, keys=("service", "target"), by: str = "mse") -> DataFrame:
@@ -83,14 +88,12 @@ def readiness(metrics: DataFrame, keys=("service", "target")) -> DataFrame:
     verdict = (F.when(F.col("ready_ratio") >= 0.8, "ready")
                .when(F.col("ready_ratio") >= 0.5, "conditionally_ready").otherwise("not_ready"))
     summary = per.groupBy(*keys).agg(ratio.alias("ready_ratio"), F.count("*").alias("n_models"))
-    advice = (F.when(verdict == "ready", F.array(F.lit("Models are ready for production deployment")))
-              .when(verdict == "conditionally_ready",
-                    F.array(F.lit("Models can be deployed with monitoring"), F.lit("Consider additional training data")))
-              .otherwise(F.array(F.lit("Models need improvement before production"),
-                                 F.lit("Consider feature engineering"), F.lit("Collect more training data"))))
+    advice = (F.when(verdict == "ready", F.array(F.lit("ready to deploy")))
+              .when(verdict == "conditionally_ready", F.array(F.lit("deploy with monitoring"), F.lit("add training data")))
+              .otherwise(F.array(F.lit("improve models first"), F.lit("revise features"), F.lit("add training data"))))
     summary = summary.select(*keys, "ready_ratio", "n_models", verdict.alias("overall_readiness"),
                              advice.alias("recommendations"))
-    return per.join(maybe_broadcast(summary), list(keys))
+    return per.join(summary, list(keys))
 
 
 def advice(metrics: DataFrame, keys=("service", "target")) -> DataFrame:
@@ -100,10 +103,28 @@ def advice(metrics: DataFrame, keys=("service", "target")) -> DataFrame:
         F.when(F.col("r2") < 0.5, F.lit("Low R2: consider more features or another model")),
         F.when(F.col("mape") > 0.3, F.lit("High MAPE: predictions deviate strongly")),
         F.when(g.isin("A+", "A"), F.lit("Excellent accuracy: suitable for production")),
-        F.when(g == "D", F.lit("Poor grade: retrain with more data"))))
+        F.when(g.isin("C", "D"), F.lit("Poor grade: tune hyperparameters or retrain with more data"))))
     return metrics.select(*keys, "model", g.alias("grade"), texts.alias("advice"))
 
 
+def executive_summary(metrics: DataFrame, keys=("service", "target")) -> DataFrame:
+    """V-16: per key the number of models, the best one with its r2 and grade, the
+    readiness verdict, an overall assessment and the next steps."""
+    keys = list(keys)
+    best = F.min_by(F.struct("model", "r2", "mape"), F.struct(-F.col("r2"), F.col("model")))
+    top = metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_models"), best.alias("_b"))
+    verdict = readiness(metrics, keys).select(*keys, "overall_readiness").distinct()
+    r2 = F.col("_b.r2")
+    steps = (F.when(F.col("overall_readiness") == "ready", F.array(*map(F.lit, NEXT_STEPS["ready"])))
+             .when(F.col("overall_readiness") == "conditionally_ready", F.array(*map(F.lit, NEXT_STEPS["conditionally_ready"])))
+             .otherwise(F.array(*map(F.lit, NEXT_STEPS["not_ready"]))))
+    return top.join(verdict, keys).select(
+        *keys, "n_models", F.col("_b.model").alias("best_model"), r2.alias("best_model_r2"),
+        grade(r2, F.col("_b.mape")).alias("best_model_grade"), F.col("overall_readiness").alias("production_readiness"),
+        F.when(r2 > 0.9, "excellent").when(r2 > 0.8, "good").otherwise("needs_improvement").alias("overall_assessment"),
+        steps.alias("next_steps"))
+
+
 def cross_service(metrics: DataFrame) -> DataFrame:
     """V-17: best r2 per service (floored at 0), ranking and fleet statistics.
 
@@ -127,35 +148,35 @@ def standards_table(spark: SparkSession) -> DataFrame:
                                             "r2_min double, confidence_min double")
 
 
-def compliance(model_results: DataFrame, standards: DataFrame | None = None) -> DataFrame:
-    """V-18: per (service, target) checks against the standards table.
+def compliance(model_results: DataFrame, standards: DataFrame | None = None, keys=("service", "target")) -> DataFrame:
+    """V-18: checks against the standards table, one row per result.
 
-    A NULL metric fails its check.  Targets without a standard are dropped
-    (inner join with the small broadcast standards table).
-    """
+    A NULL metric fails its check.  A result that is no success keeps its row
+    with NULL checks, so that later counts see it.  Targets without a standard are
+    dropped."""
     st = standards if standards is not None else standards_table(model_results.sparkSession)
-    # the standards table has one row per target (three by default)
-    j = model_results.join(F.broadcast(st), "target")
-    ok = (F.col("status") == "success")
+    j = model_results.join(st.withColumnRenamed("target", "_st"), F.col("target") == F.col("_st")).drop("_st")
+    ok = F.col("status") == "success"
     mse_ok = F.coalesce(F.col("mse") <= F.col("mse_max"), F.lit(False))
     mae_ok = F.coalesce(F.col("mae") <= F.col("mae_max"), F.lit(False))
     r2_ok = F.coalesce(F.col("r2") >= F.col("r2_min"), F.lit(False))
-    conf_ok = F.when(F.col("confidence").isNull(), F.lit(None).cast("boolean")).otherwise(
-        F.col("confidence") >= F.col("confidence_min"))
-    return j.where(ok).select(
-        "service", "target", mse_ok.alias("mse_compliant"), mae_ok.alias("mae_compliant"),
-        r2_ok.alias("r2_compliant"), (mse_ok & mae_ok & r2_ok).alias("overall_compliant"),
-        conf_ok.alias("confidence_compliant"))
+    conf_ok = F.when(F.col("confidence").isNotNull(), F.col("confidence") >= F.col("confidence_min"))
+    return j.select(
+        *keys, "status", F.when(ok, mse_ok).alias("mse_compliant"), F.when(ok, mae_ok).alias("mae_compliant"),
+        F.when(ok, r2_ok).alias("r2_compliant"), F.when(ok, mse_ok & mae_ok & r2_ok).alias("overall_compliant"),
+        F.when(ok, conf_ok).alias("confidence_compliant"))
+
+
+CHECKS = ("mse_compliant", "mae_compliant", "r2_compliant", "overall_compliant", "confidence_compliant")
 
 
 def overall_score(comp: DataFrame) -> DataFrame:
-    """V-19: passed / counted checks x 100 per service (missing confidence is not counted)."""
-    checks = F.array("mse_compliant", "mae_compliant", "r2_compliant", "overall_compliant",
-                     "confidence_compliant")
-    long = comp.select("service", "target", F.explode(checks).alias("passed"))
-    return long.where(F.col("passed").isNotNull()).groupBy("service").agg(
-        (F.avg(F.col("passed").cast("double")) * 100).alias("overall_score"),
-        F.count("*").alias("n_checks"))
+    """V-19: passed / counted checks x 100 per service (missing confidence is not
+    counted); NULL for a service without a successful result."""
+    passed = sum(F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in CHECKS)
+    counted = sum(F.col(c).isNotNull().cast("int") for c in CHECKS)
+    return comp.groupBy("service").agg(F.sum(passed).alias("_p"), F.sum(counted).alias("n_checks")).select(
+        "service", (F.try_divide(F.col("_p"), F.col("n_checks")) * 100).alias("overall_score"), "n_checks")
 
 
 def score_band(score: Column) -> Column:
@@ -190,17 +211,28 @@ def evaluation_summary(scores: DataFrame) -> DataFrame:
 
 
 def score_by_target(comp: DataFrame, scores: DataFrame) -> DataFrame:
-    """V-22: mean overall score of the services that have each target."""
-    pairs = comp.select("service", "target").distinct()
-    return (pairs.join(maybe_broadcast(scores), "service")
+    """V-22: mean overall score of the services with a successful result for
+    each target."""
+    pairs = comp.where(F.col("status") == "success").select("service", "target").distinct()
+    return (pairs.join(scores, "service")
             .groupBy("target").agg(F.avg("overall_score").alias("mean_score"),
                                    F.count("*").alias("n_services")))
 
 
-def results_table(metrics: DataFrame, models, keys=("service", "target"),
-                  values=("mse", "mae", "r2")) -> DataFrame:
-    """V-23: one wide row per key with every model's metrics (explicit pivot list)."""
-    aggs = [F.first(v).alias(v) for v in values]
-    wide = metrics.groupBy(*keys).pivot("model", list(models)).agg(*aggs)
-    n = metrics.groupBy(*keys).agg(F.max("n").alias("n_samples"))
-    return wide.join(n, list(keys))
+def results_table(metrics: DataFrame, models, keys=("service", "target"), values=("mse", "mae", "r2"),
+                  split: DataFrame | None = None) -> DataFrame:
+    """V-23: one wide row per key with every model's metrics, the models' weights
+    in the inverse-RMSE hybrid (NULL where a model's rmse is 0) and the sample
+    counts; ``split`` (keys, split, n) adds train and test counts."""
+    keys = list(keys)
+    raw = F.when(F.col("rmse") > 0, 1.0 / F.col("rmse"))
+    cells = [F.max(F.when(F.col("model") == m, F.col(v))).alias(f"{m}_{v}") for m in models for v in values]
+    weights = [F.max(F.when(F.col("model") == m, raw)).alias(f"_{m}") for m in models]
+    wide = metrics.groupBy(*keys).agg(*cells, *weights, F.sum(raw).alias("_all"), F.max("n").alias("n_samples"))
+    out = wide.select(*keys, *[f"{m}_{v}" for m in models for v in values],
+                      *[(F.col(f"_{m}") / F.col("_all")).alias(f"{m}_weight") for m in models], "n_samples")
+    if split is not None:
+        counts = split.groupBy(*keys).agg(*[F.sum(F.when(F.col("split") == x, F.col("n")).otherwise(0)).alias(f"{x}_samples")
+                                            for x in ("train", "test")])
+        out = out.join(counts, keys, "left")
+    return out

@@ -2,14 +2,20 @@
 minority row and one of its k nearest minority neighbours, until the
 minority class is as large as the majority class.
 
-The k nearest neighbours are EXACT and found without pairing all rows:
-minority rows are ordered by a projection ``p = x . w`` (|w| = 1) and each
-row takes candidates from the ``m`` rows on either side in that order.
-Since ``|p_i - p_j| <= ||x_i - x_j||``, every row outside the window is at
-least ``gap`` away (the projection distance to the nearest row outside), so
-the window's k best are exact when the k-th distance is <= ``gap``.  Rows not
-yet proven get ``m`` doubled in the next round.  Windows run per position
-chunk with a two-sided halo, so no task holds the whole class.
+The k nearest neighbours are EXACT and found with a grid, not by pairing rows:
+
+1. rows are dealt into the cells of a grid over the (at most three) widest
+   features; the grid is made finer until no cell holds more than ``CELL_MAX``
+   distinct points (or it can get no finer);
+2. a row looks into its own and the neighbouring cells (a join on the cell).
+   Every point outside them is further away than their rim, so the k best found
+   are exact when the k-th is nearer than the rim;
+3. rows not yet proven look again in cells twice as wide, until none is left; a
+   cell as wide as the data holds everything.  Those are rows in thin regions, so
+   wide cells hold few points where they look.
+
+Rows at one point are one point with its k + 1 least ids.  The k best of a row are
+kept by a ranked window, never by a list of all candidates.
 
 Randomness (base row, neighbour, interpolation weight) comes from
 ``xxhash64`` of the synthetic row number and the seed, so the result does
@@ -18,68 +24,89 @@ not depend on partitioning.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .windows import CHUNK_ROWS, by_chunks_both, dense_position
+from ..session import scratch_table
+from .windows import dense_position
 
 K = 5
 SEED = 42
-MAX_ROUNDS = 30
-POSITION_BUCKETS = 4096
-
-
-def nearest_neighbours(points: DataFrame, k: int, id_col: str = "_id", x_col: str = "_x",
-                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(id, x, pos, nn) with ``nn`` the k nearest other points (struct of
-    distance, id, x), exact Euclidean, ties by id."""
-    d = points.select(F.col(id_col).alias("_id"), F.col(x_col).alias("_x"))
-    dim = len(d.select("_x").first()["_x"])      # one row: the vector length
-    d = d.withColumn("_p", F.aggregate("_x", F.lit(0.0), lambda a, e: a + e) / math.sqrt(dim))
-    rng = d.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi"), F.count("*").alias("n")).first()
-    n = rng["n"]
-    span = (rng["hi"] - rng["lo"]) or 1.0
-    bucket = F.least(F.floor((F.col("_p") - rng["lo"]) / span * POSITION_BUCKETS), F.lit(POSITION_BUCKETS - 1))
-    pos = cut_lineage(dense_position(d, [], ["_p", "_id"], "_pos", bucket=bucket))
-    inf = float("inf")
-    m = max(2 * k, 1)
-    found, todo = None, None
-    for _ in range(MAX_ROUNDS):
-        mm = min(m, n)
-
-        def run(dd, parts, mm=mm):
-            w = Window.partitionBy(*parts).orderBy("_pos")
-            cand = F.collect_list(F.struct("_id", "_x")).over(w.rowsBetween(-mm, mm))
-            return dd.select("*", cand.alias("_cand"), F.lag("_p", mm + 1).over(w).alias("_plo"),
-                             F.lead("_p", mm + 1).over(w).alias("_phi"))
-
-        win = by_chunks_both(pos, [], "_pos", mm + 1, run, chunk_rows)
-        if todo is not None:
-            win = win.join(todo, "_id", "left_semi")
-        dist = F.transform("_cand", lambda c: F.struct(
-            F.sqrt(F.aggregate(F.zip_with(c["_x"], F.col("_x"), lambda a, b: (a - b) * (a - b)),
-                               F.lit(0.0), lambda acc, v: acc + v)).alias("d"),
-            c["_id"].alias("id"), c["_x"].alias("x")))
-        top = F.slice(F.array_sort(F.filter(dist, lambda s: s["id"] != F.col("_id"))), 1, k)
-        gap = F.least(F.coalesce(F.col("_p") - F.col("_plo"), F.lit(inf)),
-                      F.coalesce(F.col("_phi") - F.col("_p"), F.lit(inf)))
-        res = win.select("_id", "_x", "_pos", top.alias("nn"),
-                         ((F.get(top, k - 1)["d"] <= gap) | (F.lit(mm) >= n)).alias("_ok"))
-        res = cut_lineage(res)
-        ok = res.where("_ok").drop("_ok")
+#: Distinct points of an average cell of the first grid, and of any cell of the
+#: grid that is looked into first.
+CELL_ROWS, CELL_MAX = 4, 64
+#: Halvings of the cell width at most.
+FINEST = 40
+#: Features that span the grid; distances always use all features.
+GRID_DIMS = 3
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
+def nearest_neighbours(points: DataFrame, k: int, id_col: str = "_id", x_col: str = "_x") -> DataFrame:
+    """(id, x, nn) with ``nn`` the k nearest other points (struct of distance,
+    id, x), exact Euclidean, ties by id."""
+    rows = scratch_table(points.select(F.col(id_col).alias("_id"), F.col(x_col).alias("_x")), "points")
+    dim = len(rows.select("_x").first()["_x"])      # one row: the vector length
+    first = Window.partitionBy("_x").orderBy("_id")
+    spots = rows.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k + 1)
+    spots = scratch_table(spots.groupBy("_x").agg(F.collect_list("_id").alias("_ids")), "spots")  # k + 1 ids at most
+    ends = spots.agg(*[f(F.col("_x")[i]).alias(f"{n}{i}") for i in range(dim) for n, f in (("lo", F.min), ("hi", F.max))],
+                     F.count(F.lit(1)).alias("n")).first()
+    spans = sorted(((ends[f"hi{i}"] - ends[f"lo{i}"], i) for i in range(dim)), reverse=True)[:GRID_DIMS]
+    axes = [(i, ends[f"lo{i}"], w) for w, i in spans if w > 0]
+    cells = max(1.0, (ends["n"] / CELL_ROWS) ** (1.0 / max(1, len(axes))))
+    for _ in range(FINEST if axes else 0):
+        per = spots.groupBy(*[_cell(i, lo, w / cells) for i, lo, w in axes]).agg(F.count(F.lit(1)).alias("n"))
+        if per.agg(F.max("n")).first()[0] <= CELL_MAX:
+            break
+        cells *= 2.0
+    todo, found = rows, None
+    while True:
+        met, reach = _ring_join(todo, spots, axes, {i: w / cells for i, _, w in axes})
+        ranked = met.withColumn("_rn", F.row_number().over(Window.partitionBy("_id").orderBy("d", "id"))).where(F.col("_rn") <= k)
+        best = ranked.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("d", "id", "x"))).alias("nn"))  # k at most
+        best = todo.join(best, "_id")
+        whole = cells <= 1.0 or not axes
+        proven = F.lit(True) if whole else (F.size("nn") >= k) & (F.get("nn", k - 1)["d"] < reach * (1 - 1e-12))
+        ok = scratch_table(best.where(proven), "neighbours")
         found = ok if found is None else found.unionByName(ok)
-        todo = res.where(~F.col("_ok")).select("_id")
+        if whole:
+            break
+        todo = scratch_table(todo.join(ok.select("_id"), "_id", "left_anti"), "unproven")
         if todo.isEmpty():
             break
-        m *= 2
-    return found.withColumnRenamed("_id", id_col)
+        cells /= 2.0
+    return found.withColumnRenamed("_id", id_col).withColumnRenamed("_x", x_col)
+
+
+def _cell(i: int, lo: float, width: float) -> Column:
+    return F.floor((F.col("_x")[i] - lo) / width).cast("long")
+
+
+def _ring_join(looking: DataFrame, spots: DataFrame, axes, width) -> tuple[DataFrame, Column]:
+    """Looking rows with the points of their own and the neighbouring cells, and
+    the distance up to which that is everything."""
+    inner = [f"_c{i}" for i, _, _ in axes]
+    there = spots.select(F.col("_x").alias("_sx"), "_ids", *[_cell(i, lo, width[i]).alias(f"_s{i}") for i, lo, _ in axes])
+    mine = looking.select("_id", "_x", *[_cell(i, lo, width[i]).alias(f"_c{i}") for i, lo, _ in axes])
+    for c in inner:
+        mine = mine.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    cond = F.lit(True)
+    for i, _, _ in axes:
+        cond = cond & (F.col(f"_c{i}") == F.col(f"_s{i}"))
+    met = mine.join(there, cond) if axes else mine.crossJoin(F.broadcast(there))  # without an axis there is one point
+    met = met.select("_id", "_x", F.explode("_ids").alias("id"), F.col("_sx").alias("x"), _distance(F.col("_x"), F.col("_sx")).alias("d"))
+    # distance to the rim of the ring: a whole cell beyond the row's own one
+    rim = [F.least((F.col("_x")[i] - lo) - F.floor((F.col("_x")[i] - lo) / width[i]) * width[i] + width[i],
+                   (F.floor((F.col("_x")[i] - lo) / width[i]) + 2) * width[i] - (F.col("_x")[i] - lo)) for i, lo, _ in axes]
+    reach = F.least(*rim) if len(rim) > 1 else (rim[0] if rim else F.lit(0.0))
+    return met.where(F.col("id") != F.col("_id")), reach
 
 
-def oversample(df: DataFrame, features, label: str, k: int = K, seed: int = SEED, id_col: str = "event_id",
-               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def oversample(df: DataFrame, features, label: str, k: int = K, seed: int = SEED, id_col: str = "event_id") -> DataFrame:
     """F-27: the original rows (``synthetic`` false) plus
     ``n_majority - n_minority`` synthetic minority rows ``a + u (b - a)``.
     Rows with a NULL feature are kept but not used as base or neighbour."""
@@ -92,14 +119,14 @@ def oversample(df: DataFrame, features, label: str, k: int = K, seed: int = SEED
     ok = F.lit(True)
     for c in features:
         ok = ok & F.col(c).isNotNull()
-    mino = df.where((F.col(label) == minority) & ok).select(F.col(id_col).alias("_id"), x.alias("_x"))
+    mino = scratch_table(df.where((F.col(label) == minority) & ok).select(F.col(id_col).alias("_id"), x.alias("_x")), "minority")
     n_min = mino.count()
     need = n_maj - counts[0]["count"]
     if need <= 0 or n_min < 2:
         return base
     kk = min(k, n_min - 1)
-    nn = nearest_neighbours(mino, kk, chunk_rows=chunk_rows)
-    nn = nn.select(F.col("_pos").alias("_bpos"), F.col("_x").alias("_a"), "nn")
+    nn = nearest_neighbours(mino, kk).select("_id", F.col("_x").alias("_a"), "nn")
+    nn = dense_position(nn, [], ["_id"], "_bpos").drop("_id")
     spark = df.sparkSession
     s = spark.range(need).select(F.col("id").alias("_s"))
     s = s.select("_s", F.pmod(F.xxhash64("_s", F.lit(seed)), F.lit(n_min)).alias("_bpos"),

@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast
 from .experiments import latest_window
 
 # Quality defaults.
@@ -58,7 +57,7 @@ def stability_cv(wide: DataFrame, keys, columns, order=("idx",), max_pct: float
     long = last.unpivot(list(keys), list(columns), "metric", "value")
     agg = long.groupBy(*keys, "metric").agg(F.count("value").alias("n_values"),
                                              F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    j = agg.join(maybe_broadcast(n), list(keys))
+    j = agg.join(n, list(keys))
     ok = (F.col("n_rows") >= STABILITY_MIN_ROWS) & (F.col("n_values") >= STABILITY_MIN_VALUES) & (F.col("mean") > 0)
     cv = F.when(ok, F.col("std") / F.col("mean") * 100)
     return j.select(*keys, "metric", cv.alias("cv_pct"), F.when(ok, cv <= max_pct).alias("passed"))

@@ -1,23 +1,21 @@
 """Exact quantiles with bounded memory per group (linear interpolation, as
 pandas' ``quantile`` and Spark's ``percentile``).
 
-Spark's exact ``percentile`` keeps a value -> count map per group, so one
-hot group with many distinct values lands whole in one task.  Here the
-answer is found by narrowing a value bracket:
-
-1. one aggregate gives n, min and max per group; the target ranks are
-   ``floor(h)`` and ``ceil(h)`` with ``h = q (n - 1)``;
-2. while a bracket holds more than ``max_bracket`` values, ONE aggregate
-   over the rows inside the brackets counts an equi-width histogram of
-   ``bins`` bins per group (with each bin's min and max), and the bracket
-   shrinks to the bins holding the target ranks (edges are real values,
-   so no float edge case can lose a row);
-3. the remaining <= ``max_bracket`` values per group are ranked with a
-   window, and the two ranks give the exact interpolated value.
-
-Every pass is a distributed aggregate; only the per-group bracket table
-(one row per group) is carried between passes, written to the shared
-checkpoint folder.
+Spark's exact ``percentile`` keeps a value -> count map per group, so one hot
+group with many distinct values lands whole in one task.  Here every wanted rank
+(``floor`` and ``ceil`` of ``q (n - 1)``) has a bracket of values of its own:
+
+1. one aggregate gives n, min and max per group, the first bracket of each rank;
+2. while a bracket holds more than ``max_bracket`` rows and more than one value,
+   one aggregate over the rows inside such brackets counts an equi-width
+   histogram with each bin's least and greatest value, and the bracket shrinks
+   to the bin that holds the rank.  The ends of a bracket lie in different bins,
+   so it shrinks in every pass, and passes go on until none is too wide;
+3. the rows left in a bracket are grouped to (value, count) and the counts are
+   summed up in order of value; ties, however many, are one row.
+
+Only the bracket table (two rows per group and quantile) is carried between
+passes, in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -25,78 +23,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, maybe_broadcast
+from ..session import maybe_broadcast, scratch_table, sized
 
 MAX_BRACKET = 200_000
 BINS = 1024
-MAX_PASSES = 10
 
 
-def exact_quantile(df: DataFrame, keys, value: str, q: float, out: str = "quantile",
-                   max_bracket: int = MAX_BRACKET, bins: int = BINS, max_passes: int = MAX_PASSES) -> DataFrame:
-    """(keys, ``out``) with the exact linear-interpolated ``q`` quantile of
-    the non-null ``value`` per group."""
+def exact_quantiles(df: DataFrame, keys, value: str, qs, prefix: str = "q",
+                    max_bracket: int = MAX_BRACKET, bins: int = BINS) -> DataFrame:
+    """(keys, ``<prefix>0``, ``<prefix>1``, ...) with the exact linear-interpolated
+    quantiles ``qs`` of the non-null ``value`` per group."""
     keys = list(keys)
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    h = F.lit(q) * (F.col("n") - 1)
-    st = (d.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-          .select(*keys, "n", F.floor(h).cast("long").alias("r1"), F.ceil(h).cast("long").alias("r2"),
-                  (h - F.floor(h)).alias("frac"), "lo", "hi", F.lit(0).cast("long").alias("below")))
-    st = cut_lineage(st)
     v = F.col("_v")
-    for _ in range(max_passes):
-        inside = d.join(maybe_broadcast(st), keys).where((v >= F.col("lo")) & (v <= F.col("hi")))
-        cnt = inside.groupBy(*keys).agg(F.count("*").alias("_in"))
-        wide = (st.join(cnt, keys).where((F.col("_in") > max_bracket) & (F.col("hi") > F.col("lo")))
-                .select(*keys))
-        if wide.isEmpty():                      # small action: are any brackets still too wide?
+    size = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    h = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
+    ranks = F.array(*[F.struct(F.lit(i).alias("_q"), F.lit(side).alias("_side"), r.cast("long").alias("_r"), (x - F.floor(x)).alias("_f"))
+                      for i, x in enumerate(h) for side, r in ((0, F.floor(x)), (1, F.ceil(x)))])
+    st = size.select(*keys, F.explode(ranks).alias("_x"), "_n", "_lo", "_hi")
+    st = scratch_table(st.select(*keys, "_x.*", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in")), "brackets")
+    bracket = ["_lo", "_hi", "_below"]
+
+    def inside(chosen: DataFrame) -> DataFrame:
+        b = sized(chosen.select(*keys, *bracket).distinct())
+        return d.join(b, keys).where((v >= F.col("_lo")) & (v <= F.col("_hi")))
+
+    while True:
+        wide = st.where((F.col("_in") > max_bracket) & (F.col("_hi") > F.col("_lo")))
+        if wide.isEmpty():
             break
-        rows = inside.join(maybe_broadcast(wide), keys)
-        width = F.col("hi") - F.col("lo")
-        b = F.least(F.floor((v - F.col("lo")) / width * bins), F.lit(bins - 1)).cast("int")
-        hist = rows.groupBy(*keys, b.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_bmin"),
-                                                       F.max("_v").alias("_bmax"))
-        w = Window.partitionBy(*keys).orderBy("_b")          # over <= bins rows per group
-        hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                                     F.lit(0)))
-        hist = hist.join(maybe_broadcast(st.select(*keys, "r1", "r2", "below")), keys)
-        t1, t2 = F.col("r1") - F.col("below"), F.col("r2") - F.col("below")
-        holds1 = (F.col("_before") <= t1) & (t1 < F.col("_before") + F.col("_c"))
-        holds2 = (F.col("_before") <= t2) & (t2 < F.col("_before") + F.col("_c"))
-        new = hist.groupBy(*keys).agg(
-            F.max(F.when(holds1, F.col("_bmin"))).alias("_lo"),
-            F.max(F.when(holds1, F.col("below") + F.col("_before"))).alias("_below"),
-            F.max(F.when(holds2, F.col("_bmax"))).alias("_hi"))
-        st = st.join(new, keys, "left").select(
-            *keys, "n", "r1", "r2", "frac",
-            F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi"),
-            F.coalesce("_below", "below").alias("below"))
-        st = cut_lineage(st)
-    # final: rank the few values left in each bracket
-    inside = d.join(maybe_broadcast(st), keys).where((v >= F.col("lo")) & (v <= F.col("hi")))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1 + F.col("below")
-    ranked = inside.select(*keys, "_v", "r1", "r2", "frac", rank.alias("_rank"))
-    res = ranked.groupBy(*keys).agg(F.max(F.when(F.col("_rank") == F.col("r1"), F.col("_v"))).alias("_v1"),
-                                    F.max(F.when(F.col("_rank") == F.col("r2"), F.col("_v"))).alias("_v2"),
-                                    F.first("frac").alias("_f"))
-    return res.select(*keys, (F.col("_v1") + F.col("_f") * (F.col("_v2") - F.col("_v1"))).alias(out))
+        bin_ = F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int")
+        hist = inside(wide).groupBy(*keys, *bracket, bin_.alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min(v).alias("_bmin"), F.max(v).alias("_bmax"))
+        w = Window.partitionBy(*keys, *bracket).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most `bins` rows
+        hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        t = F.col("_r") - F.col("_below")
+        new = wide.join(maybe_broadcast(hist), [*keys, *bracket]).where(
+            (F.col("_before") <= t) & (t < F.col("_before") + F.col("_c"))).select(
+            *keys, "_q", "_side", "_r", "_f", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
+            (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_in"))
+        narrow = st.where((F.col("_in") <= max_bracket) | (F.col("_hi") <= F.col("_lo")))
+        st = scratch_table(narrow.unionByName(new), "brackets")
+
+    settled = st.where(F.col("_lo") == F.col("_hi")).select(*keys, "_q", "_side", "_f", F.col("_lo").alias("_val"))
+    left = st.where(F.col("_lo") < F.col("_hi"))
+    counts = inside(left).groupBy(*keys, *bracket, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, *bracket).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)  # at most `max_bracket` rows
+    counts = counts.withColumn("_before", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    ranked = counts.join(sized(left), [*keys, *bracket]).where(
+        (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c"))).select(
+        *keys, "_q", "_side", "_f", F.col("_v").alias("_val"))
+    aggs = []
+    for i in range(len(qs)):
+        a, b = (F.max(F.when((F.col("_q") == i) & (F.col("_side") == side), F.col("_val"))) for side in (0, 1))
+        f = F.max(F.when(F.col("_q") == i, F.col("_f")))
+        aggs.append((a + f * (b - a)).alias(f"{prefix}{i}"))
+    return settled.unionByName(ranked).groupBy(*keys).agg(*aggs)
+
+
+def exact_quantile(df: DataFrame, keys, value: str, q: float, out: str = "quantile",
+                   max_bracket: int = MAX_BRACKET, bins: int = BINS) -> DataFrame:
+    """(keys, ``out``): one quantile of :func:`exact_quantiles`."""
+    return exact_quantiles(df, keys, value, [q], "_q", max_bracket, bins).withColumnRenamed("_q0", out)
 
 
 def quantile_table(df: DataFrame, keys, col: str, qs, mode: str = "exact", prefix: str | None = None) -> DataFrame:
     """Per-group quantiles of ``col`` as columns ``<prefix><i>`` (i = index in
-    ``qs``): ``exact`` (Spark ``percentile``), ``bounded`` (exact, bounded
-    memory per group) or ``approx`` (``percentile_approx``)."""
+    ``qs``): ``exact`` (bounded memory) or ``approx`` (``percentile_approx``)."""
     keys = list(keys)
     prefix = prefix or f"_q_{col}_"
-    if mode == "bounded":
-        out = None
-        for i, q in enumerate(qs):
-            t = exact_quantile(df, keys, col, q, f"{prefix}{i}")
-            out = t if out is None else out.join(t, keys)
-        return out
-    if mode == "approx":
-        arr = F.percentile_approx(col, list(qs), 10000)
-    else:
-        arr = F.percentile(col, list(qs))
-    t = df.groupBy(*keys).agg(arr.alias("_qs"))
+    if mode in ("exact", "bounded"):
+        return exact_quantiles(df, keys, col, qs, prefix)
+    if mode != "approx":
+        raise ValueError(mode)
+    t = df.groupBy(*keys).agg(F.percentile_approx(col, list(qs), 10000).alias("_qs"))
     return t.select(*keys, *[F.col("_qs")[i].alias(f"{prefix}{i}") for i in range(len(qs))])

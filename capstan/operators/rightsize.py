@@ -20,60 +20,43 @@ CPU_PERCENTILE = 95.0
 MEMORY_BUFFER_PCT = 15.0
 CPU_WARN_LOW, CPU_WARN_HIGH = 0.01, 8.0
 MEM_WARN_LOW, MEM_WARN_HIGH = 32 * 1024 ** 2, 32 * 1024 ** 3
-APPROX_ACCURACY = 10000
 
 
-def _quantile(c: Column, q: float, mode: str) -> Column:
-    if mode == "approx":
-        return F.percentile_approx(c, q, APPROX_ACCURACY)
-    # Exact linear interpolation (the pandas default).
-    return F.percentile(c, q)
+def _with_quantiles(base: DataFrame, values: DataFrame, keys, names: dict[str, float], mode: str) -> DataFrame:
+    """``base`` (one row per key) with quantiles of ``values.value`` joined."""
+    from .quantiles import quantile_table
+    q = quantile_table(values, keys, "value", list(names.values()), mode, "_q")
+    q = q.select(*keys, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)])
+    return base.join(q, list(keys), "left")  # one row a key on both sides
 
 
 def usage_profile_cpu(samples: DataFrame, keys=("service",), value: str = "value",
                       percentile: float = CPU_PERCENTILE, mode: str = "exact") -> DataFrame:
     """R-1: percentile + mean/median/std/min/max/count of cpu usage per key.
 
-    ``mode='exact'`` is linear interpolation like pandas' ``quantile``
-    (Spark ``percentile``: a value -> count map per group);
-    ``mode='bounded'`` gives the same exact values with bounded memory per
-    group (:func:`capstan.operators.quantiles.exact_quantile`), for groups too
-    large for one task; ``mode='approx'`` uses ``percentile_approx``.
-    NULL values are skipped, as ``dropna`` does.
+    Quantiles are exact (linear interpolation, as pandas) with bounded memory
+    per group (:mod:`capstan.operators.quantiles`); ``mode='approx'`` uses
+    ``percentile_approx``.  NULL values are skipped, as ``dropna`` does.
     """
-    v = F.col(value)
-    clean = samples.where(v.isNotNull())
-    stats = [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-             F.max(v).alias("max"), F.count(v).alias("count")]
-    if mode == "bounded":
-        from .quantiles import exact_quantile
-        keys = list(keys)
-        p = exact_quantile(clean, keys, value, percentile / 100.0, "percentile_value")
-        m = exact_quantile(clean, keys, value, 0.5, "median")
-        base = clean.groupBy(*keys).agg(*stats)
-        return (base.join(p, keys).join(m, keys)
-                .select(*keys, "percentile_value", "mean", "median", "std", "min", "max", "count"))
-    return (clean.groupBy(*keys).agg(
-        _quantile(v, percentile / 100.0, mode).alias("percentile_value"),
-        F.avg(v).alias("mean"),
-        _quantile(v, 0.5, mode).alias("median"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count(v).alias("count")))
+    keys = list(keys)
+    clean = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value"))
+    v = F.col("value")
+    base = clean.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+                                    F.max(v).alias("max"), F.count(v).alias("count"))
+    out = _with_quantiles(base, clean, keys, {"percentile_value": percentile / 100.0, "median": 0.5}, mode)
+    return out.select(*keys, "percentile_value", "mean", "median", "std", "min", "max", "count")
 
 
 def usage_profile_memory(samples: DataFrame, keys=("service",), value: str = "value",
                          mode: str = "exact") -> DataFrame:
     """R-3: max + the same statistics for memory usage."""
-    v = F.col(value)
-    return (samples.where(v.isNotNull()).groupBy(*keys).agg(
-        F.max(v).alias("max_usage_bytes"),
-        F.avg(v).alias("mean"),
-        _quantile(v, 0.5, mode).alias("median"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.count(v).alias("count")))
+    keys = list(keys)
+    clean = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value"))
+    v = F.col("value")
+    base = clean.groupBy(*keys).agg(F.max(v).alias("max_usage_bytes"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                    F.min(v).alias("min"), F.count(v).alias("count"))
+    out = _with_quantiles(base, clean, keys, {"median": 0.5}, mode)
+    return out.select(*keys, "max_usage_bytes", "mean", "median", "std", "min", "count")
 
 
 def recommend_cpu_expr(percentile_value: Column) -> Column:
@@ -91,7 +74,7 @@ def recommend_cpu(services: DataFrame, cpu_samples: DataFrame, key: str = "servi
                   percentile: float = CPU_PERCENTILE, mode: str = "exact") -> DataFrame:
     """R-2 per service: services without samples keep a row with has_data false."""
     prof = usage_profile_cpu(cpu_samples, (key,), percentile=percentile, mode=mode)
-    j = services.select(key).distinct().join(maybe_broadcast(prof), key, "left")
+    j = services.select(key).distinct().join(prof, key, "left")
     cores = recommend_cpu_expr(F.col("percentile_value"))
     return j.select(
         key,
@@ -104,8 +87,9 @@ def recommend_cpu(services: DataFrame, cpu_samples: DataFrame, key: str = "servi
 def recommend_memory(services: DataFrame, mem_samples: DataFrame, key: str = "service",
                      buffer_pct: float = MEMORY_BUFFER_PCT) -> DataFrame:
     """R-4 per service."""
-    prof = usage_profile_memory(mem_samples, (key,))
-    j = services.select(key).distinct().join(maybe_broadcast(prof), key, "left")
+    prof = mem_samples.where(F.col("value").isNotNull()).groupBy(key).agg(
+        F.max("value").alias("max_usage_bytes"), F.count("value").alias("count"))
+    j = services.select(key).distinct().join(prof, key, "left")
     b = recommend_memory_expr(F.col("max_usage_bytes"), buffer_pct)
     return j.select(
         key,
@@ -121,26 +105,20 @@ def recommendations(inventory: DataFrame, samples: DataFrame, key: str = "servic
                     mode: str = "exact") -> DataFrame:
     """R-5: one row per container: current vs recommended requests + analysis.
 
-    Both profiles come from ONE aggregation over the long samples table
-    (conditional aggregates on ``metric``), i.e. a single shuffle on the key.
-    Service-level usage repeats for each container of the service.
+    The plain statistics of both profiles come from ONE aggregation over the long
+    samples table (conditional aggregates on ``metric``); the cpu percentile is
+    exact with bounded memory.  Service-level usage repeats for each container of
+    the service.
     """
     v = F.col("value")
     cpu_v = F.when(F.col("metric") == cpu_metric, v)
     mem_v = F.when(F.col("metric") == mem_metric, v)
     rows = samples.where(F.col("metric").isin(cpu_metric, mem_metric) & v.isNotNull())
-    aggs = [F.avg(cpu_v).alias("cpu_mean"), F.max(cpu_v).alias("cpu_max"), F.count(cpu_v).alias("cpu_count"),
-            F.max(mem_v).alias("mem_max_usage_bytes"), F.avg(mem_v).alias("mem_mean"),
-            F.count(mem_v).alias("mem_count")]
-    if mode == "bounded":
-        # exact percentile with bounded memory per service (hot services)
-        from .quantiles import exact_quantile
-        pq = exact_quantile(rows.where(F.col("metric") == cpu_metric), [key], "value",
-                            percentile / 100.0, "cpu_percentile_value")
-        prof = rows.groupBy(key).agg(*aggs).join(pq, key, "left")
-    else:
-        prof = rows.groupBy(key).agg(
-            _quantile(cpu_v, percentile / 100.0, mode).alias("cpu_percentile_value"), *aggs)
+    base = rows.groupBy(key).agg(
+        F.avg(cpu_v).alias("cpu_mean"), F.max(cpu_v).alias("cpu_max"), F.count(cpu_v).alias("cpu_count"),
+        F.max(mem_v).alias("mem_max_usage_bytes"), F.avg(mem_v).alias("mem_mean"), F.count(mem_v).alias("mem_count"))
+    cpu = rows.where(F.col("metric") == cpu_metric).select(key, v.cast("double").alias("value"))
+    prof = _with_quantiles(base, cpu, [key], {"cpu_percentile_value": percentile / 100.0}, mode)
     cores = recommend_cpu_expr(F.col("cpu_percentile_value"))
     mem_b = recommend_memory_expr(F.col("mem_max_usage_bytes"), buffer_pct)
     j = inventory.join(maybe_broadcast(prof), key, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
 from .derive import KEYS
+from .quantiles import quantile_table
 
 
 def _fit_rows(df: DataFrame, fit_on: str, split: str = "split") -> DataFrame:
@@ -18,23 +19,23 @@ def scale(df: DataFrame, cols, method: str = "robust", fit_on: str = "train", ke
           split: str = "split") -> DataFrame:
     """F-19: robust (x - median) / (q75 - q25); standard (x - mean) / pop std;
     minmax (x - min) / (max - min).  A zero denominator becomes 1."""
-    fit = _fit_rows(df, fit_on, split)
-    aggs = []
-    for c in cols:
-        if method == "robust":
-            aggs += [F.percentile(c, [0.25, 0.5, 0.75]).alias(f"_p_{c}")]
-        elif method == "standard":
-            aggs += [F.avg(c).alias(f"_c_{c}"), F.stddev_pop(c).alias(f"_s_{c}")]
-        elif method == "minmax":
-            aggs += [F.min(c).alias(f"_c_{c}"), F.max(c).alias(f"_x_{c}")]
-        else:
-            raise ValueError(method)
-    params = fit.groupBy(*keys).agg(*aggs)
-    j = df.join(maybe_broadcast(params), list(keys), "left")
+    fit, keys = _fit_rows(df, fit_on, split), list(keys)
+    if method == "robust":
+        params = None
+        for c in cols:
+            t = quantile_table(fit, keys, c, [0.25, 0.5, 0.75], prefix=f"_p_{c}_")
+            params = t if params is None else params.join(t, keys, "full")
+    elif method == "standard":
+        params = fit.groupBy(*keys).agg(*[x for c in cols for x in (F.avg(c).alias(f"_c_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    elif method == "minmax":
+        params = fit.groupBy(*keys).agg(*[x for c in cols for x in (F.min(c).alias(f"_c_{c}"), F.max(c).alias(f"_x_{c}"))])
+    else:
+        raise ValueError(method)
+    j = df.join(maybe_broadcast(params), keys, "left")
     out = []
     for c in cols:
         if method == "robust":
-            center, den = F.col(f"_p_{c}")[1], F.col(f"_p_{c}")[2] - F.col(f"_p_{c}")[0]
+            center, den = F.col(f"_p_{c}_1"), F.col(f"_p_{c}_2") - F.col(f"_p_{c}_0")
         elif method == "standard":
             center, den = F.col(f"_c_{c}"), F.col(f"_s_{c}")
         else:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import CHUNK_ROWS, by_chunks, dense_position, prefix_counts
+
 EPS = 2.220446049250313e-16  # machine epsilon of float64 (mape floor)
 GROUP = ("service", "target", "model")
 
@@ -22,20 +24,20 @@ def regression_metrics(pred: DataFrame, keys=GROUP, y="y_true", p="y_pred", medi
     """V-1..V-5 in one aggregate: mse, rmse, mae, mape, r2, explained variance,
     max error, median absolute error, smape, log error, wmape.
 
-    ``median_mode='bounded'`` computes the median absolute error with the
-    bounded-memory exact quantile (for very large groups) and joins it;
-    ``'approx'`` uses ``percentile_approx``."""
+    The median absolute error is exact with bounded memory per group
+    (:mod:`capstan.operators.quantiles`) and joined to the aggregate;
+    ``median_mode='approx'`` uses ``percentile_approx`` inside it."""
     yt, yp = F.col(y), F.col(p)
     e = yp - yt
     ae = F.abs(e)
-    if median_mode == "bounded":
+    if median_mode != "approx":
         from .quantiles import exact_quantile
         base = regression_metrics(pred, keys, y, p, median_mode="approx").drop("median_absolute_error")
         med = exact_quantile(pred.select(*keys, ae.alias("_ae")), list(keys), "_ae", 0.5, "median_absolute_error")
         cols = base.columns
         at = cols.index("max_error") + 1
-        return base.join(med, list(keys)).select(*cols[:at], "median_absolute_error", *cols[at:])
-    med_expr = (F.percentile_approx(ae, 0.5, 10000) if median_mode == "approx" else F.percentile(ae, 0.5))
+        return base.join(med, list(keys), "left").select(*cols[:at], "median_absolute_error", *cols[at:])
+    med_expr = F.percentile_approx(ae, 0.5, 10000)
     agg = pred.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg(e * e).alias("mse"),
@@ -59,23 +61,18 @@ def regression_metrics(pred: DataFrame, keys=GROUP, y="y_true", p="y_pred", medi
 
 
 def directional_accuracy(pred: DataFrame, keys=GROUP, order="idx", y="y_true", p="y_pred",
-                         chunk_rows: int | None = None) -> DataFrame:
+                         chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """V-6: share of steps where the truth and the prediction move the same
-    way (``diff > 0``); 0 when a group has fewer than two rows.  With
-    ``chunk_rows`` the lag runs per position chunk with a one-row halo."""
-    from .windows import by_chunks, dense_position
-
+    way (``diff > 0``); 0 when a group has fewer than two rows.  Groups run per
+    position chunk with a one-row halo."""
     def run(d, parts):
         w = Window.partitionBy(*parts).orderBy(order)
         up_t = (F.col(y) - F.lag(y).over(w)) > 0
         up_p = (F.col(p) - F.lag(p).over(w)) > 0
         agree = F.when(F.lag(y).over(w).isNotNull(), (up_t == up_p).cast("int"))
         return d.select("*", agree.alias("agree"))
-    if chunk_rows:
-        d = dense_position(pred, keys, [order], "_dpos", bucket=F.floor(F.col(order) / chunk_rows))
-        steps = by_chunks(d, keys, "_dpos", 1, run, chunk_rows)
-    else:
-        steps = run(pred, list(keys))
+    d = dense_position(pred, keys, [order], "_dpos", chunk_rows)
+    steps = by_chunks(d, keys, "_dpos", 1, run, chunk_rows)
     return steps.groupBy(*keys).agg(F.coalesce(F.avg("agree"), F.lit(0.0)).alias("directional_accuracy"))
 
 
@@ -129,10 +126,9 @@ def roc_auc(pred: DataFrame, keys=GROUP, label="label", proba="proba") -> DataFr
     group has one class only.
 
     Rows are first reduced to one row per (group, score) with positive and
-    total counts (partial aggregation); the count of lower scores comes from
-    bucketed prefix sums, so no window spans a whole hot group.
+    total counts (partial aggregation); the count of lower scores is a prefix sum
+    in parts of bounded size.
     """
-    from .windows import prefix_counts
     per_score = pred.groupBy(*keys, proba).agg(
         F.count("*").alias("c"), F.sum(F.col(label).cast("long")).alias("pos"))
     ranked = prefix_counts(per_score, keys, proba, "c")

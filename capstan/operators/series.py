@@ -2,10 +2,10 @@
 
 Series semantics follow the usual metric query language: label matchers,
 counter rates with reset handling, aggregation by labels, label-matched
-binary operations, histogram quantiles and step-aligned evaluation.  Range
-windows are computed per (series, time bucket) with a halo copy of the
-look-back span (see :mod:`capstan.operators.windows`), so a long series is
-split across tasks.
+binary operations, histogram quantiles and step-aligned evaluation.  Series of up to
+``CHUNK_ROWS`` rows take plain range windows; longer ones are scanned in parts of
+bounded size, whatever their rows' spread in time (see
+:mod:`capstan.operators.windows`).
 """
 
 from __future__ import annotations
@@ -16,9 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
-from .windows import US, epoch_us, time_halo
-
-DAY_S = 86400
+from .windows import CHUNK_ROWS, US, by_chunks_both, dense_position, epoch_us, is_long, last_seen, sum_before
 
 
 def _label(df: DataFrame, name: str) -> Column:
@@ -45,31 +43,52 @@ def select_series(df: DataFrame, eq=None, re=None, ne=None, nre=None) -> DataFra
 
 
 def rate(df: DataFrame, range_s: int, series=("service",), ts="ts", value="value",
-         order=("ts", "seq"), bucket_s: int = DAY_S) -> DataFrame:
+         order=("ts", "seq"), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """B-2: per-second increase of a counter over the trailing ``range_s``
     window ``(t - range, t]`` at each sample, with counter resets (a drop
     counts the new value as the increase).  Only increases between samples
     inside the window count; no extrapolation to the window edges.  Samples
-    whose window holds fewer than two samples give no row.
-
-    Implemented as a bounded range window per (series, day bucket) with a
-    halo of ``range_s`` copied from the previous bucket.
-    """
+    whose window holds fewer than two samples give no row."""
     series = list(series)
-    # Increase per sample from its predecessor inside the (bucket + halo)
-    # partition; the earliest sample of each frame is excluded below, so a
-    # predecessor outside the halo never matters.
-    h = time_halo(df.withColumn("_t", epoch_us(ts)), ts, bucket_s, range_s)
-    wb = Window.partitionBy(*series, "_bucket").orderBy(*order)
-    v, pv = F.col(value), F.lag(value).over(wb)
-    h = h.withColumn("_inc", F.when(pv.isNull(), F.lit(None)).when(v < pv, v).otherwise(v - pv))
-    frame = Window.partitionBy(*series, "_bucket").orderBy("_t").rangeBetween(-(range_s * US - 1), 0)
-    inc_sum = F.sum("_inc").over(frame)
-    first_inc = F.first("_inc").over(frame)
-    n = F.count("*").over(frame)
-    out = h.select(*[c for c in df.columns], F.col("_halo"), n.alias("_n"),
-                   ((inc_sum - F.coalesce(first_inc, F.lit(0.0))) / float(range_s)).alias("rate"))
-    return out.where(~F.col("_halo") & (F.col("_n") >= 2)).drop("_halo", "_n")
+    if is_long(df, series, chunk_rows):
+        return _rate_in_parts(df, range_s, series, ts, value, list(order), chunk_rows)
+    w = Window.partitionBy(*series).orderBy(*order)
+    v, pv = F.col(value), F.lag(value).over(w)
+    h = df.withColumn("_t", epoch_us(ts)).withColumn(
+        "_inc", F.when(pv.isNull(), F.lit(None)).when(v < pv, v).otherwise(v - pv))
+    frame = Window.partitionBy(*series).orderBy("_t").rangeBetween(-(range_s * US - 1), 0)
+    # the first sample of a window has its predecessor outside
+    inside = F.sum("_inc").over(frame) - F.coalesce(F.first("_inc").over(frame), F.lit(0.0))
+    out = h.select(*df.columns, F.count(F.lit(1)).over(frame).alias("_n"), (inside / float(range_s)).alias("rate"))
+    return out.where(F.col("_n") >= 2).drop("_n")
+
+
+def _rate_in_parts(df: DataFrame, range_s: int, series, ts, value, order, chunk_rows: int) -> DataFrame:
+    """B-2 for long series: increases are summed up along the series, and each
+    sample looks up the running sum at the first sample of its window, found as
+    the one after the last sample at or before ``t - range``.  The window may
+    span any number of parts."""
+    p = dense_position(df.withColumn("_t", epoch_us(ts)), series, order, "_p", chunk_rows)
+
+    def steps(d, parts):
+        w = Window.partitionBy(*parts).orderBy("_p")
+        v, pv, nv = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
+        return d.withColumn("_inc", F.when(pv.isNull(), F.lit(0.0)).when(v < pv, v).otherwise(v - pv)) \
+                .withColumn("_next", F.when(nv < v, nv).otherwise(nv - v))
+
+    p = sum_before(by_chunks_both(p, series, "_p", 1, steps, chunk_rows), series, ["_p"], "_inc", "_before", chunk_rows)
+    p = p.withColumn("_sum", F.col("_before") + F.col("_inc"))
+    # samples of one instant share the window's end
+    ends = p.groupBy(*series, "_t").agg(F.max(F.struct("_p", "_sum")).alias("_end"))
+    p = p.join(ends, [*series, "_t"])
+    samples = p.select(*series, F.col("_t").alias("_at"), F.lit(0).alias("_kind"), F.col("_p").alias("_o"),
+                       F.struct((F.col("_sum") + F.coalesce("_next", F.lit(0.0))).alias("s"), F.col("_p").alias("p")).alias("_mark"))
+    probes = p.select(*df.columns, "_end", (F.col("_t") - range_s * US).alias("_at"), F.lit(1).alias("_kind"), F.col("_p").alias("_o"))
+    u = samples.unionByName(probes, allowMissingColumns=True)
+    found = last_seen(u, series, ["_at", "_kind", "_o"], "_mark", "_got", chunk_rows).where(F.col("_kind") == 1)
+    n = F.col("_end._p") - F.coalesce(F.col("_got.p"), F.lit(-1))
+    inside = F.col("_end._sum") - F.coalesce(F.col("_got.s"), F.lit(0.0))
+    return found.where(n >= 2).select(*df.columns, (inside / float(range_s)).alias("rate"))
 
 
 def agg_by(df: DataFrame, fn: str, by=(), ts="ts", value="value", name="value") -> DataFrame:
@@ -131,20 +150,31 @@ def histogram_quantile(buckets: DataFrame, q: float, series=("service",), ts="ts
     return pick.select(*keys, val.alias("quantile"))
 
 
-def error_ratio(requests: DataFrame, step: str, series=("service",), status="status") -> DataFrame:
-    """B-8: share of 5xx requests per (series, step window) - the ratio of the
-    two request rates over the same window."""
-    is5 = F.col(status).rlike("^5..$")
-    return requests.groupBy(*series, F.window("ts", step).start.alias("ts")).agg(
-        (F.count_if(is5) / F.count("*")).alias("error_ratio"))
+def grid_rates(counters: DataFrame, start: str, end: str, step_s: int, range_s: int, series) -> DataFrame:
+    """Counter rates (B-2) over the trailing ``range_s`` on a step grid (B-11): at
+    each step the rate of the series' latest sample, while that is not older than
+    the range.  Columns: series, ts, value."""
+    r = rate(counters, range_s, series).select(*series, "ts", "seq", F.col("rate").alias("value"))
+    return range_eval(r, start, end, step_s, range_s, series)
 
 
-def requests_per_second(requests: DataFrame, step: str, step_s: int, series=("service",),
-                        status="status") -> DataFrame:
-    """B-9: rate of non-5xx requests per (series, step window)."""
-    ok = ~F.col(status).rlike("^5..$")
-    return requests.groupBy(*series, F.window("ts", step).start.alias("ts")).agg(
-        (F.count_if(ok) / float(step_s)).alias("requests_per_second"))
+def error_ratio(counters: DataFrame, start: str, end: str, step_s: int, range_s: int, by=("service",),
+                status="status") -> DataFrame:
+    """B-8: rate of the 5xx counters over the rate of all counters, both over the
+    trailing range, per step."""
+    g = grid_rates(counters, start, end, step_s, range_s, [*by, status])
+    failed = agg_by(select_series(g, re={status: "5.."}), "sum", by)
+    return vector_binary(failed, agg_by(g, "sum", by), ["ts", *by], "/").withColumnRenamed("value", "error_ratio")
+
+
+def requests_per_second(counters: DataFrame, start: str, end: str, step_s: int, range_s: int, sources,
+                        by=("service",), status="status") -> DataFrame:
+    """B-9: rate of the non-5xx counters over the trailing range, per step, from
+    the first of ``sources`` (metric names in order) that a service has."""
+    ok = select_series(counters, nre={status: "5.."})
+    found = [agg_by(grid_rates(ok.where(F.col("metric") == m), start, end, step_s, range_s, [*by, status]), "sum", by)
+             for m in sources]
+    return first_available(found, by).withColumnRenamed("value", "requests_per_second")
 
 
 def first_available(candidates, series=("service",)) -> DataFrame:
@@ -167,31 +197,27 @@ def cpu_throttled_rate(throttled_seconds: DataFrame, throttled_periods: DataFram
 
 
 def range_eval(df: DataFrame, start: str, end: str, step_s: int, lookback_s: int = 300,
-               series=("service",), ts="ts", value="value", bucket_s: int = DAY_S) -> DataFrame:
+               series=("service",), ts="ts", value="value", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """B-11: value of each series on the step grid ``start..end``: the latest
     sample in ``(t - lookback, t]``; no row when the series is stale.
 
-    The grid is generated per series with ``sequence`` (output-sized), then
-    an as-of lookup by a bounded range window over grid + samples, per
-    (series, day bucket) with a look-back halo.
-    """
+    Only samples that some step can see are read (both bounds reach the scan).
+    The grid is generated per series with ``sequence`` (output-sized), and each
+    step takes the last sample seen before it."""
     series = list(series)
-    keys = df.select(*series).distinct()
-    grid = keys.select(*series, F.explode(F.sequence(
-        F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end)),
-        F.expr(f"make_dt_interval(0, 0, 0, {step_s})"))).alias(ts))
-    g = grid.select(*series, F.col(ts).cast(df.schema[ts].dataType).alias(ts),
-                    F.lit(None).cast("double").alias(value), F.lit(1).alias("_grid"))
-    s = df.select(*series, ts, F.col(value).cast("double").alias(value), F.lit(0).alias("_grid"))
-    u = g.unionByName(s)
-    lo_us = epoch_us(F.to_timestamp(F.lit(start))) - lookback_s * US
-    u = u.where(epoch_us(ts) > lo_us)
-    h = time_halo(u.withColumn("_t", epoch_us(ts) * 2 + F.col("_grid")), ts, bucket_s, lookback_s)
-    frame = Window.partitionBy(*series, "_bucket").orderBy("_t").rangeBetween(-(lookback_s * US * 2 - 1), 0)
-    last = F.last(value, ignorenulls=True).over(frame)
-    out = h.select(*series, ts, "_grid", "_halo", last.alias("_v"))
-    return (out.where((F.col("_grid") == 1) & ~F.col("_halo") & F.col("_v").isNotNull())
-            .select(*series, ts, F.col("_v").alias(value)))
+    kind = df.schema[ts].dataType
+    first, last = F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))
+    lookback = F.expr(f"make_dt_interval(0, 0, 0, {lookback_s})")
+    seen = df.where((F.col(ts) > (first - lookback).cast(kind)) & (F.col(ts) <= last.cast(kind)))
+    grid = seen.select(*series).distinct().select(*series, F.explode(F.sequence(
+        first, last, F.expr(f"make_dt_interval(0, 0, 0, {step_s})"))).alias("_g")).select(*series, F.col("_g").cast(kind).alias(ts))
+    at = epoch_us(ts)
+    s = seen.select(*series, ts, (at * 2).alias("_t"), F.when(F.col(value).isNotNull(), F.struct(
+        at.alias("at"), F.col(value).cast("double").alias("v"))).alias("_s"))
+    g = grid.select(*series, ts, (at * 2 + 1).alias("_t"), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"))
+    got = last_seen(g.unionByName(s), series, ["_t"], "_s", "_last", chunk_rows)
+    fresh = F.col("_last.at") > at - lookback_s * US
+    return got.where((F.col("_t") % 2 == 1) & fresh).select(*series, ts, F.col("_last.v").alias(value))
 
 
 def time_range(df: DataFrame, end: str, duration_s: int = 3600, ts="ts") -> DataFrame:
@@ -202,29 +228,67 @@ def time_range(df: DataFrame, end: str, duration_s: int = 3600, ts="ts") -> Data
     return df.where((t >= lo) & (t <= e))
 
 
-def collected_series(samples: DataFrame, step: str = "1 minute", by=("service",)) -> DataFrame:
-    """B-14: the collected per-service series (cpu cores, memory bytes, ...):
-    sum over pods per step window for every metric."""
-    return samples.groupBy("metric", *by, F.window("ts", step).start.alias("ts")).agg(
-        F.sum("value").alias("value"))
+# Raw metric -> collected series.
+COLLECTED = {"cpu_seconds": "cpu_cores", "net_rx": "net_rx_bytes", "net_tx": "net_tx_bytes",
+             "mem_working_set": "mem_bytes", "restarts": "pod_restarts", "replicas": "replica_count"}
+RATED = ("cpu_seconds", "net_rx", "net_tx")
+PANEL_RATES = ("net_rx", "net_tx", "fs_read", "fs_write")
+PANEL_VALUES = ("pod_phase", "replicas", "restarts")
+
+
+def collected_series(raw: DataFrame, start: str, end: str, step_s: int, range_s: int, by=("service",),
+                     instance="instance") -> DataFrame:
+    """B-14: the eight collected series on a step grid, as (metric, key, ts,
+    value).  Counters are rated over the trailing range, gauges and the restart
+    count are taken as they are, both summed by service; node cpu and memory
+    utilisation (B-5, B-6) are by instance."""
+    keys = ["metric", *by, instance]
+    rated = rate(raw.where(F.col("metric").isin(*RATED)), range_s, keys).select(*keys, "ts", "seq", F.col("rate").alias("value"))
+    plain = raw.where(F.col("metric").isin(*[m for m in COLLECTED if m not in RATED])).select(*keys, "ts", "seq", "value")
+    g = range_eval(rated.unionByName(plain), start, end, step_s, range_s, keys)
+    names = F.create_map(*[F.lit(x) for pair in COLLECTED.items() for x in pair])
+    per = agg_by(g.withColumn("metric", names[F.col("metric")]), "sum", ["metric", *by])
+    per = per.select("metric", F.concat_ws("/", *by).alias("key"), "ts", "value")
+    idle = grid_rates(raw.where(F.col("metric") == "node_idle"), start, end, step_s, range_s, [instance])
+    cpu = idle.select(F.lit("node_cpu_util").alias("metric"), F.col(instance).alias("key"), "ts", (100 - F.col("value") * 100).alias("value"))
+    gauges = raw.where(F.col("metric").isin("mem_available", "mem_total"))
+    mem = node_memory_utilization(range_eval(gauges, start, end, step_s, range_s, ["metric", instance]), instance)
+    mem = mem.select(F.lit("node_mem_util").alias("metric"), F.col(instance).alias("key"), "ts", F.col("memory_utilization").alias("value"))
+    return per.unionByName(cpu).unionByName(mem)
 
 
 def panel_queries(samples: DataFrame, step: str = "1 hour") -> DataFrame:
     """B-15: dashboard aggregates - avg cpu by pod, sum cpu by container,
     avg and sum memory by service - as ONE grouping-sets aggregate (one
-    shuffle for all panels)."""
+    shuffle for all panels).  A sample without a label is filed under the panel
+    with a NULL key."""
     t = F.window("ts", step).start.alias("ts")
     g = samples.select("metric", "service", "pod", "container", t, "value")
     gs = g.groupingSets([["metric", "ts", "pod"], ["metric", "ts", "container"], ["metric", "ts", "service"]],
                         "metric", "ts", "pod", "container", "service")
     agg = gs.agg(F.avg("value").alias("avg_value"), F.sum("value").alias("sum_value"),
-                 F.grouping_id().alias("_gid"))
-    key = F.coalesce("pod", "container", "service")
-    level = (F.when(F.col("pod").isNotNull(), "pod").when(F.col("container").isNotNull(), "container")
-             .otherwise("service"))
+                 F.grouping("pod").alias("_no_pod"), F.grouping("container").alias("_no_container"))
+    key = F.when(F.col("_no_pod") == 0, F.col("pod")).when(F.col("_no_container") == 0, F.col("container")).otherwise(F.col("service"))
+    level = F.when(F.col("_no_pod") == 0, "pod").when(F.col("_no_container") == 0, "container").otherwise("service")
     return agg.select("metric", "ts", level.alias("by"), key.alias("key"), "avg_value", "sum_value")
 
 
+def series_panels(raw: DataFrame, start: str, end: str, step_s: int, range_s: int,
+                  series=("metric", "service", "instance")) -> DataFrame:
+    """B-15, the panels by series: receive, transmit and file-system rates over
+    the trailing range, and pod phase, replicas and restarts as they are, on a
+    step grid."""
+    series = list(series)
+    rated = rate(raw.where(F.col("metric").isin(*PANEL_RATES)), range_s, series).select(*series, "ts", "seq", F.col("rate").alias("value"))
+    plain = raw.where(F.col("metric").isin(*PANEL_VALUES)).select(*series, "ts", "seq", "value")
+    return range_eval(rated.unionByName(plain), start, end, step_s, range_s, series)
+
+
+def metric_names(samples: DataFrame) -> DataFrame:
+    """B-16: the names of all metrics."""
+    return samples.select("metric").distinct()
+
+
 def available_metrics(samples: DataFrame, probe) -> DataFrame:
     """B-16: for each probed metric name, whether it has rows and how many."""
     spark = samples.sparkSession

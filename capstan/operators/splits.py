@@ -31,12 +31,10 @@ def time_split(df: DataFrame, test: float = TEST_SHARE, keys=KEYS, pos: str = "i
 
 def random_split(df: DataFrame, id_col: str, test: float = TEST_SHARE, seed: int = SEED, keys=KEYS) -> DataFrame:
     """P-2: shuffled split: rows ordered by ``xxhash64(id, seed)``, the first
-    ``int(n (1 - test))`` are train - independent of partitioning.  The rank
-    is a dense position over hash buckets (the top 16 hash bits), so no task
-    sorts a whole group."""
+    ``int(n (1 - test))`` are train - independent of partitioning."""
     from .windows import dense_position
     d = _with_n(df, keys).withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    d = dense_position(d, keys, ["_h", id_col], "_r", bucket=F.shiftright("_h", 48))
+    d = dense_position(d, keys, ["_h", id_col], "_r")
     cut = F.floor(F.col("_n") * (1 - test))
     return d.withColumn("split", F.when(F.col("_r") < cut, "train").otherwise("test")).drop("_n", "_h", "_r")
 

@@ -1,11 +1,10 @@
 """Window helpers that keep ordered windows bounded for very long series.
 
 A plain ``Window.partitionBy(series).orderBy(ts)`` sends a whole series to one
-task; one series may hold a third of all rows.  For frames that only look back
-a bounded distance we split each series into buckets and copy a halo (the
-look-back span just before a bucket) into that bucket, compute the window per
-(series, bucket) and drop the halo copies.  The answer is identical to the
-plain window as long as the look-back fits inside one bucket.
+task; one series may hold a third of all rows.  Running sums and carried values
+are computed in parts of bounded size with a small table of part totals; frames
+that look back a bounded number of rows run per position chunk with a halo of the
+rows just before it.  The answers are those of the plain window.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast, scratch_table
+
 US = 1_000_000
 
 
@@ -21,45 +22,73 @@ def epoch_us(ts) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def time_halo(df: DataFrame, ts: str, bucket_s: int, halo_s: int) -> DataFrame:
-    """Add ``_bucket`` and ``_halo``: each row lands in its own time bucket and,
-    when it lies within ``halo_s`` of the next bucket's start, also in that
-    next bucket as a halo copy.  Requires ``halo_s <= bucket_s``."""
-    if halo_s > bucket_s:
-        raise ValueError("halo must not exceed the bucket width")
-    t = epoch_us(ts)
-    b = F.floor(t / (bucket_s * US))
-    nxt = (b + 1) * bucket_s * US
-    copies = F.when(t >= nxt - halo_s * US,
-                    F.array(F.struct(b.alias("_bucket"), F.lit(False).alias("_halo")),
-                            F.struct((b + 1).alias("_bucket"), F.lit(True).alias("_halo"))))\
-        .otherwise(F.array(F.struct(b.alias("_bucket"), F.lit(False).alias("_halo"))))
-    return df.select("*", F.inline(copies))
+# Default rows per chunk for chunked trailing windows: large enough that the
+# halo copies are a negligible share, small enough for one task's memory.
+CHUNK_ROWS = 1_000_000
 
 
-def dense_position(df: DataFrame, keys, order, pos: str = "_pos", bucket=None) -> DataFrame:
+def is_long(df: DataFrame, keys, chunk_rows: int = CHUNK_ROWS) -> bool:
+    """Whether some series has more than ``chunk_rows`` rows (counted)."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
+    return not n.where(F.col("_n") > chunk_rows).isEmpty()
+
+
+def sum_before(df: DataFrame, keys, order, value, out: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows before each row in its
+    series by ``order`` (0 for the first).
+
+    Series of at most ``chunk_rows`` rows take a plain window.  As soon as one
+    is longer, the table is dealt by range of (keys, order) into parts of about
+    equal size, however the rows lie in time, and stored with its part; a row's
+    sum is the total of the series' earlier parts plus the sum inside its part,
+    so no task holds more than a part."""
+    keys, order = list(keys), list(order)
+    back = (Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    if not is_long(df, keys, chunk_rows):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*back)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(w), zero))
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // chunk_rows))
+    ranged = scratch_table(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_t"))
+    # one row for each part that a series lies in
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*back)
+    offsets = totals.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_part2"),
+                            F.coalesce(F.sum("_t").over(w), zero).alias("_off"))
+    same = F.col("_part") == F.col("_part2")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(*back)), zero)
+    d = ranged.join(maybe_broadcast(offsets), same)
+    return d.select(*df.columns, (F.col("_off") + inner).alias(out))
+
+
+def dense_position(df: DataFrame, keys, order, pos: str = "_pos", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """0-based position of each row inside its series (by ``order``) without
-    sending a whole series to one task: ``row_number`` inside buckets plus a
-    running offset from a small per-(series, bucket) count table.  Buckets
-    must be monotone in ``order``: by default the day of the first (time)
-    order column; any other monotone bucket expression can be given."""
-    keys = list(keys)
-    order = list(order)
-    b = bucket if bucket is not None else F.floor(epoch_us(order[0]) / (86400 * US))
-    d = df.withColumn("_day", b)
-    counts = d.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
-    w_prev = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_day", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(*keys, "_day").orderBy(*order)
-    from ..session import maybe_broadcast
-    return (d.join(maybe_broadcast(offsets), [*keys, "_day"])
-            .withColumn(pos, (F.col("_off") + F.row_number().over(w_in) - 1).cast("long"))
-            .drop("_off", "_day"))
+    sending a long series to one task (see :func:`sum_before`)."""
+    d = sum_before(df.withColumn("_one", F.lit(1)), keys, order, "_one", pos, chunk_rows).drop("_one")
+    return d.withColumn(pos, F.col(pos).cast("long"))
 
 
-# Default rows per chunk for chunked trailing windows: large enough that the
-# halo copies are a negligible share, small enough for one task's memory.
-CHUNK_ROWS = 1_000_000
+def last_seen(df: DataFrame, keys, order, value: str, out: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``out``: the last non-null ``value`` of the series up to and with each
+    row.  Long series are scanned by position chunks; the last value of every
+    chunk is carried into the later ones by a table of one row a chunk."""
+    keys = list(keys)
+    upto = (Window.unboundedPreceding, 0)
+    if not is_long(df, keys, chunk_rows):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    d = dense_position(df, keys, order, "_lpos", chunk_rows)
+    d = scratch_table(d.withColumn("_lc", F.floor(F.col("_lpos") / chunk_rows)), "chunks")
+    ends = d.where(F.col(value).isNotNull()).groupBy(*keys, "_lc").agg(F.max_by(value, "_lpos").alias("_end"))
+    every = d.select(*keys, "_lc").distinct().join(ends, [*keys, "_lc"], "left")
+    w = Window.partitionBy(*keys).orderBy("_lc").rowsBetween(Window.unboundedPreceding, -1)
+    carry = every.select(*keys, "_lc", F.last("_end", ignorenulls=True).over(w).alias("_carry"))
+    here = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_lc").orderBy("_lpos").rowsBetween(*upto))
+    d = d.withColumn(out, here).join(maybe_broadcast(carry), [*keys, "_lc"])
+    return d.withColumn(out, F.coalesce(out, "_carry")).drop("_lpos", "_lc", "_carry")
 
 
 def by_chunks(df: DataFrame, keys, pos: str, halo_rows: int, fn, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
@@ -101,26 +130,10 @@ def chunked_pass(df: DataFrame, keys, pos: str, specs, chunk_rows: int | None =
     return by_chunks(df, keys, pos, halo, run, chunk_rows)
 
 
-def prefix_counts(counts: DataFrame, keys, value: str, count: str, buckets: int = 4096) -> DataFrame:
+def prefix_counts(counts: DataFrame, keys, value: str, count: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """For a table of (group, value, count) rows, add ``_below``: the total
-    count of smaller values in the group.  The value range of each group is
-    cut into equi-width buckets; bucket totals (at most ``buckets`` rows per
-    group) give each bucket's offset and a running window inside each
-    (group, bucket) gives the rest, so no window spans a whole group."""
-    from ..session import maybe_broadcast
-    keys = list(keys)
-    rng = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    c = counts.join(maybe_broadcast(rng), keys)
-    v, lo, hi = F.col(value).cast("double"), F.col("_lo").cast("double"), F.col("_hi").cast("double")
-    b = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * buckets), F.lit(buckets - 1))).otherwise(0)
-    c = c.withColumn("_vb", b.cast("int")).drop("_lo", "_hi")
-    tot = c.groupBy(*keys, "_vb").agg(F.sum(count).alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_vb", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    c = c.join(maybe_broadcast(off), [*keys, "_vb"])
-    local = Window.partitionBy(*keys, "_vb").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return c.withColumn("_below", F.col("_off") + F.coalesce(F.sum(count).over(local), F.lit(0))) \
-            .drop("_vb", "_off")
+    count of smaller values in the group."""
+    return sum_before(counts, keys, [value], count, "_below", chunk_rows)
 
 
 def by_chunks_both(df: DataFrame, keys, pos: str, halo_rows: int, fn, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -128,7 +141,8 @@ def by_chunks_both(df: DataFrame, keys, pos: str, halo_rows: int, fn, chunk_rows
     ``lag``/``lead`` up to h): the first and last ``halo_rows`` rows of each
     chunk are copied into the previous and next chunk."""
     keys = list(keys)
-    chunk_rows = max(chunk_rows, halo_rows)
+    if halo_rows > chunk_rows:
+        raise ValueError("halo must not exceed the chunk size")
     c = F.floor(F.col(pos) / chunk_rows)
     inner = F.col(pos) - c * chunk_rows
     own = F.struct(c.alias("_chunk"), F.lit(False).alias("_halo"))

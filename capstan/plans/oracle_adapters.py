@@ -113,17 +113,18 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(value / 500.0 AS DOUBLE) AS cpu_utilization
         FROM ev"""),
     "model_results": (("predictions",), """
-        SELECT service, target,
-               CASE WHEN service = 'svc-4' AND target = 'replica_target' THEN 'failed' ELSE 'success' END AS status,
+        SELECT service, target, model,
+               CASE WHEN service = 'svc-3' OR service = 'svc-4' AND target = 'replica_target' THEN 'failed'
+                    ELSE 'success' END AS status,
                CASE target WHEN 'cpu_target' THEN m * 1e-7 WHEN 'memory_target' THEN m * 1e7 ELSE m * 5e-6 END AS mse,
                CASE target WHEN 'cpu_target' THEN a * 2e-4 WHEN 'memory_target' THEN a * 3.3e5 ELSE a * 1e-3 END AS mae,
                CASE target WHEN 'cpu_target' THEN 1 - m / 1.4e5 WHEN 'memory_target' THEN -5 * m / 1e5
                     ELSE 1 - m / 1.6e5 END AS r2,
                CASE WHEN m / 333.0 > 0 THEN least(0.9, greatest(0.5, 1.0 - m / 333.0 / 1000.0)) ELSE 0.7 END
                  AS confidence
-        FROM (SELECT service, target, avg((y_pred - y_true) * (y_pred - y_true)) AS m,
+        FROM (SELECT service, target, model, avg((y_pred - y_true) * (y_pred - y_true)) AS m,
                      avg(abs(y_pred - y_true)) AS a
-              FROM predictions WHERE model = 'seasonal' GROUP BY service, target) g"""),
+              FROM predictions GROUP BY service, target, model) g"""),
     "records": (("experiments",), """
         SELECT *, CASE WHEN load_users = 75 AND scenario = 'checkout' THEN 'failed'
                        WHEN load_users = 5 AND replica_count = 4 THEN 'skipped'

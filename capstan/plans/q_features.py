@@ -202,11 +202,11 @@ def stat_features(spark, sf):
     g = ad.gappy(spark, sf)
     base = g.select("event_id", "experiment_id", "cpu_cores_value", "replica_count_value", "node_cpu_util_value",
                     "node_mem_util_value")
-    z = fe.zscore(base, ["cpu_cores_value"])
-    r = fe.percent_rank_avg(z, "cpu_cores_value")
-    i = fe.interactions(r, [("cpu_cores_value", "replica_count_value"), ("node_cpu_util_value", "node_mem_util_value")])
-    c = fe.clip_outliers(i.withColumn("clipped_cpu", F.col("cpu_cores_value")), ["clipped_cpu"])
-    m = fe.impute_median(c.withColumn("imputed_cpu", F.col("cpu_cores_value")), ["imputed_cpu"])
+    c = "cpu_cores_value"
+    d = fe.percent_rank_avg(base, c)
+    d = fe.zscore(fe.with_statistics(d, [c]), [c])
+    d = fe.interactions(d, [(c, "replica_count_value"), ("node_cpu_util_value", "node_mem_util_value")])
+    m = fe.impute_median(fe.clip_outliers(d, [c], names=["clipped_cpu"]), [c], names=["imputed_cpu"])
     return m.select("event_id", "cpu_cores_value_zscore", "cpu_cores_value_pct_rank",
                     "cpu_cores_value_x_replica_count_value", "node_cpu_util_value_x_node_mem_util_value",
                     "clipped_cpu", "imputed_cpu")

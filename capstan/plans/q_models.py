@@ -163,6 +163,10 @@ def pairwise_compare(spark, sf):
     return gr.pairwise_compare(_metrics(spark, sf), ad.MODELS)
 
 
+_VERDICT = ("CASE WHEN s.ready_ratio >= 0.8 THEN 'ready' WHEN s.ready_ratio >= 0.5 THEN 'conditionally_ready' "
+            "ELSE 'not_ready' END")
+
+
 @register("readiness", adapters=["predictions"], floats=["ready_ratio"], sql=f"""
     WITH g AS (SELECT service, target, model, {_grade_sql('r2', 'mape')} AS grade, r2, mape
                FROM ({_metrics_sql()}) m),
@@ -174,25 +178,50 @@ def pairwise_compare(spark, sf):
     SELECT p.service, p.target, p.model, p.grade, hi OR med AS ready,
            CASE WHEN hi THEN 'high' WHEN med THEN 'medium' ELSE 'low' END AS confidence_level,
            s.ready_ratio, s.n_models,
-           CASE WHEN s.ready_ratio >= 0.8 THEN 'ready' WHEN s.ready_ratio >= 0.5 THEN 'conditionally_ready'
-                ELSE 'not_ready' END AS overall_readiness
+           {_VERDICT} AS overall_readiness,
+           CASE {_VERDICT} WHEN 'ready' THEN ['ready to deploy']
+                WHEN 'conditionally_ready' THEN ['deploy with monitoring', 'add training data']
+                ELSE ['improve models first', 'revise features', 'add training data'] END AS recommendations
     FROM p JOIN s ON p.service = s.service AND p.target = s.target""")
 def readiness(spark, sf):
     """V-15: per-model readiness and per-key verdict."""
-    return gr.readiness(_metrics(spark, sf)).drop("recommendations")
+    return gr.readiness(_metrics(spark, sf))
 
 
 @register("advice", adapters=["predictions"], sql=f"""
     WITH g AS (SELECT service, target, model, r2, mape, {_grade_sql('r2', 'mape')} AS grade
                FROM ({_metrics_sql()}) m)
-    SELECT service, target, model, grade,
-           CAST(r2 < 0.5 AS INTEGER) + CAST(mape > 0.3 AS INTEGER) + CAST(grade IN ('A+', 'A') AS INTEGER)
-             + CAST(grade = 'D' AS INTEGER) AS n_advice
+    SELECT service, target, model, grade, array_to_string(list_filter([
+             CASE WHEN r2 < 0.5 THEN 'Low R2: consider more features or another model' END,
+             CASE WHEN mape > 0.3 THEN 'High MAPE: predictions deviate strongly' END,
+             CASE WHEN grade IN ('A+', 'A') THEN 'Excellent accuracy: suitable for production' END,
+             CASE WHEN grade IN ('C', 'D') THEN 'Poor grade: tune hyperparameters or retrain with more data' END],
+             lambda x: x IS NOT NULL), '; ') AS advice
     FROM g""")
 def advice(spark, sf):
-    """V-16: advice texts per model (count compared with the oracle)."""
-    a = gr.advice(_metrics(spark, sf))
-    return a.select("service", "target", "model", "grade", F.size("advice").alias("n_advice"))
+    """V-16: advice texts per model."""
+    return gr.advice(_metrics(spark, sf)).withColumn("advice", F.array_join("advice", "; "))
+
+
+_STEPS = " ".join(f"WHEN '{k}' THEN '{'; '.join(v)}'" for k, v in gr.NEXT_STEPS.items())
+
+
+@register("executive_summary", adapters=["predictions"], floats=["best_model_r2"], sql=f"""
+    WITH g AS (SELECT service, target, model, r2, mape, {_grade_sql('r2', 'mape')} AS grade FROM ({_metrics_sql()}) m),
+    s AS (SELECT service, target, count(*) AS n_models, arg_min(model, (-r2, model)) AS best_model, max(r2) AS best_r2,
+                 arg_min(grade, (-r2, model)) AS best_grade,
+                 avg(CAST(grade IN ('A+', 'A', 'B+') AND r2 > 0.7 AND mape < 0.2
+                          OR grade IN ('B', 'C+') AND r2 > 0.6 AND mape < 0.3 AS DOUBLE)) AS ready_ratio
+          FROM g GROUP BY service, target)
+    SELECT service, target, n_models, best_model, best_r2 AS best_model_r2, best_grade AS best_model_grade,
+           {_VERDICT} AS production_readiness,
+           CASE WHEN best_r2 > 0.9 THEN 'excellent' WHEN best_r2 > 0.8 THEN 'good' ELSE 'needs_improvement' END
+             AS overall_assessment,
+           CASE {_VERDICT} {_STEPS} END AS next_steps
+    FROM s""")
+def executive_summary(spark, sf):
+    """V-16: best model, readiness, assessment and next steps per key."""
+    return gr.executive_summary(_metrics(spark, sf)).withColumn("next_steps", F.array_join("next_steps", "; "))
 
 
 @register("cross_service", adapters=["predictions"],
@@ -210,27 +239,27 @@ def cross_service(spark, sf):
 
 
 _COMP_SQL = """
-    SELECT r.service, r.target,
-           coalesce(mse <= mse_max, false) AS mse_compliant, coalesce(mae <= mae_max, false) AS mae_compliant,
-           coalesce(r2 >= r2_min, false) AS r2_compliant,
-           coalesce(mse <= mse_max, false) AND coalesce(mae <= mae_max, false) AND coalesce(r2 >= r2_min, false)
-             AS overall_compliant,
-           CASE WHEN confidence IS NULL THEN NULL ELSE confidence >= confidence_min END AS confidence_compliant
+    SELECT r.service, r.target, r.model, r.status,
+           CASE WHEN r.status = 'success' THEN coalesce(mse <= mse_max, false) END AS mse_compliant,
+           CASE WHEN r.status = 'success' THEN coalesce(mae <= mae_max, false) END AS mae_compliant,
+           CASE WHEN r.status = 'success' THEN coalesce(r2 >= r2_min, false) END AS r2_compliant,
+           CASE WHEN r.status = 'success' THEN coalesce(mse <= mse_max, false) AND coalesce(mae <= mae_max, false)
+                                               AND coalesce(r2 >= r2_min, false) END AS overall_compliant,
+           CASE WHEN r.status = 'success' THEN confidence >= confidence_min END AS confidence_compliant
     FROM model_results r JOIN (VALUES ('cpu_target', 0.01, 0.05, 0.3, 0.7),
                                       ('memory_target', 1e12, 1e8, -5.0, 0.5),
                                       ('replica_target', 0.5, 0.3, 0.4, 0.7))
-         st(target, mse_max, mae_max, r2_min, confidence_min) ON r.target = st.target
-    WHERE r.status = 'success'"""
+         st(target, mse_max, mae_max, r2_min, confidence_min) ON r.target = st.target"""
 
 _SCORE_SQL = f"""
-    SELECT service, avg(CAST(passed AS DOUBLE)) * 100 AS overall_score, count(*) AS n_checks
+    SELECT service, avg(CAST(passed AS DOUBLE)) * 100 AS overall_score, count(passed) AS n_checks
     FROM (SELECT service, unnest([mse_compliant, mae_compliant, r2_compliant, overall_compliant,
                                   confidence_compliant]) AS passed FROM ({_COMP_SQL}) c) u
-    WHERE passed IS NOT NULL GROUP BY service"""
+    GROUP BY service"""
 
 
 def _compliance(spark, sf):
-    return gr.compliance(ad.model_results(spark, sf))
+    return gr.compliance(ad.model_results(spark, sf), keys=("service", "target", "model"))
 
 
 @register("compliance", adapters=["model_results"], sql=_COMP_SQL)
@@ -270,7 +299,7 @@ def evaluation_summary(spark, sf):
 
 @register("score_by_target", adapters=["model_results"], floats=["mean_score"], sql=f"""
     SELECT p.target, avg(s.overall_score) AS mean_score, count(*) AS n_services
-    FROM (SELECT DISTINCT service, target FROM ({_COMP_SQL}) c) p JOIN ({_SCORE_SQL}) s
+    FROM (SELECT DISTINCT service, target FROM ({_COMP_SQL}) c WHERE status = 'success') p JOIN ({_SCORE_SQL}) s
       ON p.service = s.service GROUP BY p.target""")
 def score_by_target(spark, sf):
     """V-22: mean score of the services having each target."""
@@ -279,16 +308,26 @@ def score_by_target(spark, sf):
 
 
 @register("results_table", adapters=["predictions"],
-          floats=[f"{m}_{v}" for m in ad.MODELS for v in ("mse", "mae", "r2")], sql=f"""
-    WITH m AS ({_metrics_sql()})
-    SELECT service, target,
+          floats=[f"{m}_{v}" for m in ad.MODELS for v in ("mse", "mae", "r2", "weight")], sql=f"""
+    WITH m AS ({_metrics_sql()}),
+    c AS (SELECT service, target, count(*) FILTER (WHERE idx % 5 <> 0) AS train_samples,
+                 count(*) FILTER (WHERE idx % 5 = 0) AS test_samples
+          FROM predictions WHERE model = '{ad.MODELS[0]}' GROUP BY service, target),
+    w AS (SELECT service, target,
            {", ".join(f"max(CASE WHEN model = '{m}' THEN {v} END) AS {m}_{v}"
                       for m in ad.MODELS for v in ("mse", "mae", "r2"))},
+           {", ".join(f"max(CASE WHEN model = '{m}' AND rmse > 0 THEN 1.0 / rmse END) / sum(CASE WHEN rmse > 0 THEN 1.0 / rmse END) "
+                      f"AS {m}_weight" for m in ad.MODELS)},
            max(n) AS n_samples
-    FROM m GROUP BY service, target""")
+    FROM m GROUP BY service, target)
+    SELECT w.*, c.train_samples, c.test_samples FROM w JOIN c ON w.service = c.service AND w.target = c.target""")
 def results_table(spark, sf):
-    """V-23: one wide row per (service, target) with every model's metrics."""
-    return gr.results_table(_metrics(spark, sf), ad.MODELS)
+    """V-23: one wide row per (service, target): every model's metrics, hybrid
+    weights, sample counts of the (idx based) split."""
+    p = ad.predictions(spark, sf).where(F.col("model") == ad.MODELS[0])
+    split = p.groupBy("service", "target", F.when(F.col("idx") % 5 == 0, "test").otherwise("train").alias("split")).agg(
+        F.count("*").alias("n"))
+    return gr.results_table(_metrics(spark, sf), ad.MODELS, split=split)
 
 
 _W_SQL = f"""

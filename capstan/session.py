@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default ceiling for a side we are willing to broadcast (bytes, estimated by
-# Catalyst statistics).  Anything above this falls back to a shuffle join.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# A side is broadcast only when it was computed and counted, and has at most
+# this many rows.
+BROADCAST_ROWS = 200_000
 
 
 def get_session(master: str | None = None, app: str = "capstan",
@@ -40,10 +41,12 @@ def get_session(master: str | None = None, app: str = "capstan",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder named by the cluster in
+    ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) do we create a scratch folder.
+    Only a local session (one machine: tests, benches) may leave it unset; it
+    then gets a scratch folder.  On a cluster an unset folder is an error, because
+    executors could not read what the driver's machine holds.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -52,34 +55,51 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="capstan-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_scratch: list[str] = []
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimized plan (None if unknown)."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - defensive: plan API differences
-        return None
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the checkpoint folder, removed by
+    :func:`drop_scratch`."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast hint only when the estimated size is known and below ``limit``.
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this process.  Results that still read them
+    must have been written or collected before.  Returns how many were deleted."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _scratch:
+        p = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        n += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
 
-    Otherwise the frame is returned unchanged so the planner picks a
-    shuffle (sort-merge / shuffle-hash) join, which scales with the data.
-    """
-    size = estimated_bytes(df)
-    if size is not None and size <= limit:
-        return F.broadcast(df)
-    return df
+
+def scratch_table(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` to a scratch folder (never machine-local on a cluster) and
+    read it again: cuts the lineage, and later reads see the same rows."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A parameter table (one row per group) for a join: it is computed once,
+    stored and counted, and broadcast if it has at most ``limit`` rows.  A larger
+    one is returned for a shuffle join.  Estimates play no part."""
+    return sized(scratch_table(df, "parameters"), limit)
+
+
+def sized(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table, or a cheap view of one, with a broadcast hint if it was
+    counted to have at most ``limit`` rows."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table

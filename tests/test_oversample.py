@@ -9,9 +9,9 @@ from capstan.operators.oversample import nearest_neighbours, oversample
 def test_neighbours_exact_and_counts(spark):
     rng = np.random.default_rng(7)
     pts = rng.normal(0, 1, (300, 3))
-    pts[:40] = pts[:40] * 0.01            # a tight cluster: forces wider windows
+    pts[:40] = pts[:40] * 0.01            # a tight cluster: forces a finer grid
     df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "_id long, _x array<double>")
-    got = {r["_id"]: [e["id"] for e in r["nn"]] for r in nearest_neighbours(df, 4, chunk_rows=16).collect()}
+    got = {r["_id"]: [e["id"] for e in r["nn"]] for r in nearest_neighbours(df, 4).collect()}
     assert len(got) == 300
     for i, p in enumerate(pts):
         d = np.sqrt(((pts - p) ** 2).sum(axis=1))
@@ -29,3 +29,16 @@ def test_neighbours_exact_and_counts(spark):
     lo = lab.where("y = 1").agg(F.min("a"), F.max("a")).first()
     rng_a = syn.agg(F.min("a"), F.max("a")).first()
     assert lo[0] - 1e-12 <= rng_a[0] and rng_a[1] <= lo[1] + 1e-12
+
+
+def test_ties_and_more_features_than_grid_axes(spark):
+    rng = np.random.default_rng(3)
+    pts = np.round(rng.normal(0, 1, (200, 5)), 1)
+    pts[:60] = pts[0]                     # a third of the rows at one point
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "_id long, _x array<double>")
+    got = {r["_id"]: [e["id"] for e in r["nn"]] for r in nearest_neighbours(df, 5).collect()}
+    for i, p in enumerate(pts):
+        d = np.sqrt(((pts - p) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert len(set(got[i])) == 5 and i not in got[i]
+        assert np.allclose([d[j] for j in got[i]], np.sort(d)[:5]), i

@@ -40,7 +40,7 @@ def test_prefix_counts_brute_force(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 211).alias("v"),
                                   F.lit(1).alias("c"))
     counts = df.groupBy("g", "v").agg(F.sum("c").alias("c"))
-    got = {(r["g"], r["v"]): r["_below"] for r in prefix_counts(counts, ["g"], "v", "c", buckets=7).collect()}
+    got = {(r["g"], r["v"]): r["_below"] for r in prefix_counts(counts, ["g"], "v", "c", chunk_rows=20).collect()}
     rows = df.collect()
     for (g, v), below in got.items():
         assert below == sum(1 for r in rows if r["g"] == g and r["v"] < v)
@@ -56,3 +56,13 @@ def test_bounded_median_absolute_error(spark):
     for k in a:
         assert abs(a[k]["median_absolute_error"] - b[k]["median_absolute_error"]) < 1e-6
         assert a[k]["mse"] == b[k]["mse"]
+
+
+def test_one_value_in_a_third_of_the_rows_and_all_quantiles_at_once(spark):
+    from capstan.operators.quantiles import exact_quantiles
+    df = spark.range(9000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 == 0, 7.5).otherwise(F.sin("id") * 100).alias("v"))
+    qs = [0.0, 0.25, 0.5, 0.67, 0.95, 1.0]
+    want = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("v", qs).alias("p")).collect()}
+    for limit in (50, 10**9):
+        got = {r["g"]: [r[f"q{i}"] for i in range(len(qs))] for r in exact_quantiles(df, ["g"], "v", qs, max_bracket=limit, bins=8).collect()}
+        assert all(abs(a - b) < 1e-9 for g in want for a, b in zip(want[g], got[g]))

@@ -22,13 +22,39 @@ def test_rate_handles_reset_and_single_sample(spark):
     assert abs(r[4] - (10 + 10 + 5 + 10) / 60) < 1e-12
 
 
-def test_rate_halo_equals_plain_window(spark):
-    pts = [(s * 7, (s * 13) % 50 + s) for s in range(300)]
-    df = _counter(spark, pts)
-    small = {x["seq"]: x["rate"] for x in se.rate(df, 120, bucket_s=300).collect()}
-    plain = {x["seq"]: x["rate"] for x in se.rate(df, 120, bucket_s=10 ** 7).collect()}
-    assert small.keys() == plain.keys()
-    assert all(abs(small[k] - plain[k]) < 1e-9 for k in plain)
+def test_rate_in_parts_equals_plain_window(spark):
+    # resets, ties in time, two series, ranges that span many parts
+    df = _counter(spark, [(s * 7 // 3, (s * 13) % 50 + s) for s in range(300)]).unionByName(
+        _counter(spark, [(s * 50, s) for s in range(40)], "t"))
+    for range_s in (20, 120, 5000):
+        small = {(x["service"], x["seq"]): x["rate"] for x in se.rate(df, range_s, chunk_rows=16).collect()}
+        plain = {(x["service"], x["seq"]): x["rate"] for x in se.rate(df, range_s).collect()}
+        assert small.keys() == plain.keys()
+        assert all(abs(small[k] - plain[k]) < 1e-9 for k in plain)
+
+
+def test_range_eval_in_parts_equals_plain_and_bounds_reach_the_scan(spark, tmp_path):
+    _counter(spark, [(s * 11, s) for s in range(200)]).write.parquet(str(tmp_path / "c"))
+    df = spark.read.parquet(str(tmp_path / "c"))
+    args = ("2024-01-01 00:05:00", "2024-01-01 00:20:00", 30, 40)
+    rows = lambda d: sorted((x["ts"], x["value"]) for x in d.collect())
+    plain = se.range_eval(df, *args)
+    assert rows(plain) == rows(se.range_eval(df, *args, chunk_rows=16))
+    plan = plain._jdf.queryExecution().explainString(plain.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThan(ts" in plan and "LessThanOrEqual(ts" in plan
+
+
+def test_one_busy_series_is_dealt_to_many_parts(spark):
+    from capstan.operators import windows as wd
+
+    # three quarters of the rows: one series within one hour
+    df = spark.range(4000).select(F.when(F.col("id") % 4 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+                                  F.timestamp_millis(F.col("id")).alias("ts"), F.col("id").alias("seq"))
+    got = wd.dense_position(df, ["k"], ["ts", "seq"], chunk_rows=100)
+    hot = got.where("k = 'hot'").orderBy("seq").collect()
+    assert [r["_pos"] for r in hot] == list(range(3000))
+    parts = spark.read.parquet([p for p in __import__("capstan.session", fromlist=["x"])._scratch if "/ranged-" in p][-1])
+    assert parts.where("k = 'hot'").select("_part").distinct().count() >= 20
 
 
 def test_range_eval_staleness(spark):
