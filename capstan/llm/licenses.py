@@ -61,6 +61,11 @@ TEMPLATES = [
      ["all rights reserved", "no part"]),
 ]
 
+# Words too common in any text to be looked up; the index holds the
+# other, rare words of the notices.
+COMMON_WORDS = frozenset("a all and any are as at be by for from has in is it not of on or part person program software that the "
+                         "this to under use with without work you".split())
+
 #: Words looked up per file and template, and the least share of them (by IDF)
 #: that must agree on one relative position.
 LOOKUPS = 4
@@ -105,9 +110,10 @@ def needed_words() -> str:
 
 
 def postings(spark: SparkSession) -> DataFrame:
-    """(word, label, position) of the notices: a fixed table of some 300 rows."""
+    """(word, label, position) of the notices' rare words: a fixed table of some
+    200 rows."""
     rows = [F.struct(F.lit(w).alias("word"), F.lit(label).alias("label"), F.lit(k).cast("long").alias("at"))
-            for label, notice, _ in TEMPLATES for k, w in enumerate(notice.split(" "))]
+            for label, notice, _ in TEMPLATES for k, w in enumerate(notice.split(" ")) if w not in COMMON_WORDS]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
