@@ -104,6 +104,11 @@ def services_by_label(df: DataFrame, key: str, value: str | None = None, name: s
     return df.where(cond).select(name, "labels").dropDuplicates([name])
 
 
+def service_labels(df: DataFrame, name: str = "pod") -> DataFrame:
+    """X-9: the name -> labels listing, one row a name."""
+    return df.select(name, "labels").dropDuplicates([name])
+
+
 def _n_containers(d: DataFrame):
     if "n_containers" in d.columns:
         return F.col("n_containers")
@@ -111,21 +116,21 @@ def _n_containers(d: DataFrame):
 
 
 def service_status(deployments: DataFrame) -> DataFrame:
-    """X-10: ``ready`` when ready_replicas = replicas, else ``not_ready``."""
+    """X-10: ``ready`` when ready_replicas = replicas, else ``not_ready``; with the
+    names of the containers where the inventory lists them."""
+    names = [F.transform("containers", lambda c: c["name"]).alias("containers")] if "containers" in deployments.columns else []
     return deployments.select(
         "name", "replicas", "ready_replicas",
         F.when(F.col("ready_replicas") == F.col("replicas"), "ready").otherwise("not_ready").alias("status"),
-        _n_containers(deployments))
+        _n_containers(deployments), *names)
 
 
 def system_summary(deployments: DataFrame, n: int = 5) -> DataFrame:
     """X-11: the first ``n`` services (by name) with replicas / ready / containers
     and the total service count on every row."""
-    # the count runs over the per-service deployments table, not data rows
-    every = Window.partitionBy()
-    return (deployments.select("name", "replicas", "ready_replicas", _n_containers(deployments),
-                               F.count("*").over(every).alias("total_services"))
-            .orderBy("name").limit(n))
+    total = deployments.agg(F.count("*").alias("total_services"))
+    first = deployments.select("name", "replicas", "ready_replicas", _n_containers(deployments)).orderBy("name").limit(n)
+    return first.crossJoin(F.broadcast(total))  # one row
 
 
 def latest_window(df: DataFrame, keys, n: int, order=("ts", "seq")) -> DataFrame:

@@ -8,6 +8,22 @@ from __future__ import annotations
 
 _K = "TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
+
+def _raw_sql() -> str:
+    from ..sources.adapters import RAW_METRICS
+
+    parts = []
+    for m, node, up, x in RAW_METRICS:
+        service = "'node'" if node else "event_type"
+        expr = x.replace("v", "value")
+        if up:
+            expr = (f"sum(CAST({expr} AS DOUBLE)) OVER (PARTITION BY {service}, user_id % 4, CAST(ts AS DATE) ORDER BY ts, event_id "
+                    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        parts.append(f"SELECT '{m}' AS metric, {service} AS service, 'node-' || (user_id % 4) AS instance, ts, event_id AS seq, "
+                     f"CAST({expr} AS DOUBLE) AS value FROM ev")
+    return " UNION ALL ".join(parts)
+
+
 # name -> (dependencies, body)
 ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
     "ev": ((), f"SELECT *, {_K} AS k FROM events"),
@@ -134,10 +150,19 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
     "deployments": ((), """
         SELECT service || '-' || shard AS name, service, CAST(count(*) AS INTEGER) AS replicas,
                CAST(count(*) FILTER (WHERE p_size > 5) AS INTEGER) AS ready_replicas,
-               count(DISTINCT p_partkey) AS n_containers
+               count(DISTINCT p_partkey) AS n_containers,
+               array_to_string(list_sort(list('c-' || p_partkey)), ',') AS containers
         FROM (SELECT ['click', 'error', 'purchase', 'signup', 'view'][p_partkey % 5 + 1] AS service,
                      p_partkey % 40 AS shard, p_partkey, p_size FROM part) p
         GROUP BY 1, 2"""),
+    "http_counters": ((), """
+        SELECT metric, service, status, ts, seq,
+               CAST(count(*) OVER (PARTITION BY metric, service, status, CAST(ts AS DATE) ORDER BY ts, seq
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value
+        FROM (SELECT unnest(CASE user_id % 5 WHEN 0 THEN ['ingress_requests', 'http_requests'] WHEN 1 THEN ['mesh_requests']
+                            ELSE ['http_requests'] END) AS metric, 'svc-' || (user_id % 5) AS service,
+                     CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status, ts, event_id AS seq FROM events) e"""),
+    "raw_metrics": (("ev",), _raw_sql()),
 }
 
 

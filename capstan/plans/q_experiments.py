@@ -227,19 +227,27 @@ def select_services(spark, sf):
     return ex.select_services(ad.containers(spark, sf), ["c-1", "C-22"], name="container")
 
 
-@register("services_by_label")
+@register("services_by_label", adapters=["samples"], sql="SELECT DISTINCT pod FROM samples WHERE service = 'click'")
 def services_by_label(spark, sf):
-    """X-9: pods whose labels carry service = click (rows-only check)."""
+    """X-9: pods whose labels carry service = click."""
     return ex.services_by_label(ad.samples(spark, sf), "service", "click").select("pod")
 
 
+@register("service_labels", adapters=["samples"], sql="""
+    SELECT DISTINCT pod, pod AS pod_label FROM samples""")
+def service_labels(spark, sf):
+    """X-9: name -> labels listing (a pod's service label differs by event, its
+    pod label does not)."""
+    return ex.service_labels(ad.samples(spark, sf)).select("pod", F.col("labels").getItem("pod").alias("pod_label"))
+
+
 @register("service_status", adapters=["deployments"], sql="""
     SELECT name, replicas, ready_replicas,
-           CASE WHEN ready_replicas = replicas THEN 'ready' ELSE 'not_ready' END AS status, n_containers
+           CASE WHEN ready_replicas = replicas THEN 'ready' ELSE 'not_ready' END AS status, n_containers, containers
     FROM deployments""")
 def service_status(spark, sf):
-    """X-10: readiness per deployment."""
-    return ex.service_status(ad.deployments(spark, sf))
+    """X-10: readiness and container names per deployment."""
+    return ex.service_status(ad.deployments(spark, sf)).withColumn("containers", F.array_join("containers", ","))
 
 
 @register("system_summary", adapters=["deployments"], sql="""
@@ -260,9 +268,13 @@ def latest_window(spark, sf):
     return out.select("experiment_id", F.col("seq").alias("event_id"), "idx", "cpu_cores_value")
 
 
-@register("numeric_only")
+@register("numeric_only", adapters=["experiments"],
+          floats=["cpu_cores_value", "mem_bytes_value", "net_rx_bytes_value", "net_tx_bytes_value", "pod_restarts_value",
+                  "replica_count_value", "node_cpu_util_value", "node_mem_util_value"], sql="""
+    SELECT replica_count, load_users, cpu_cores_value, mem_bytes_value, net_rx_bytes_value, net_tx_bytes_value,
+           pod_restarts_value, replica_count_value, node_cpu_util_value, node_mem_util_value, idx FROM experiments""")
 def numeric_only(spark, sf):
-    """X-13: numeric columns of the experiment table (rows-only check)."""
+    """X-13: numeric columns of the experiment table."""
     return ex.numeric_only(ad.experiments(spark, sf), drop=["event_id"])
 
 

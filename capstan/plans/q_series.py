@@ -110,22 +110,44 @@ def histogram_quantile(spark, sf):
     return se.histogram_quantile(ad.buckets(spark, sf), 0.95)
 
 
-@register("error_ratio", adapters=["http"], floats=["error_ratio"], sql="""
-    SELECT service, date_trunc('hour', ts) AS ts,
-           CAST(count(*) FILTER (WHERE regexp_full_match(status, '5..')) AS DOUBLE) / count(*) AS error_ratio
-    FROM http GROUP BY 1, 2""")
+def _at_sql(src: str, series: str, extra: str = "") -> str:
+    """Latest sample of each series on the step grid, not older than the range."""
+    keys = ", ".join(f"g.{c}" for c in series.split(", "))
+    same = " AND ".join(f"c.{c} = g.{c}" for c in series.split(", "))
+    return f"""
+    SELECT {keys}, g.ts, arg_max(c.value, (c.ts, c.seq)) AS value
+    FROM (SELECT {series}, unnest(generate_series(TIMESTAMP '{GRID_START}', TIMESTAMP '{GRID_END}', INTERVAL {STEP_S} SECOND)) AS ts
+          FROM (SELECT DISTINCT {series} FROM {src}) s) g
+    JOIN {src} c ON {same} AND c.ts <= g.ts AND c.ts > g.ts - INTERVAL {RANGE_S} SECOND
+    GROUP BY {keys}, g.ts"""
+
+
+_HTTP = "metric, service, status"
+_HTTP_RATES = f"""
+    r AS (SELECT metric, service, status, ts, seq, rate AS value FROM ({_rate_sql('http_counters', series=_HTTP)}) x),
+    g AS ({_at_sql('r', _HTTP)})"""
+
+
+@register("error_ratio", adapters=["http_counters"], floats=["error_ratio"], sql=f"""
+    WITH {_HTTP_RATES}
+    SELECT metric, service, ts, CASE WHEN sum(value) = 0 THEN NULL
+             ELSE sum(value) FILTER (WHERE status LIKE '5%') / sum(value) END AS error_ratio
+    FROM g GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE status LIKE '5%') > 0""")
 def error_ratio(spark, sf):
-    """B-8: 5xx share per (service, hour)."""
-    return se.error_ratio(ad.http(spark, sf), "1 hour")
+    """B-8: rate of 5xx over rate of all, trailing 6 h, hourly, per source and service."""
+    return se.error_ratio(ad.http_counters(spark, sf), GRID_START, GRID_END, STEP_S, RANGE_S, by=("metric", "service"))
 
 
-@register("requests_per_second", adapters=["http"], floats=["requests_per_second"], sql="""
-    SELECT service, date_trunc('hour', ts) AS ts,
-           count(*) FILTER (WHERE NOT regexp_full_match(status, '5..')) / 3600.0 AS requests_per_second
-    FROM http GROUP BY 1, 2""")
+@register("requests_per_second", adapters=["http_counters"], floats=["requests_per_second"], sql=f"""
+    WITH {_HTTP_RATES},
+    u AS (SELECT service, ts, sum(value) AS requests_per_second,
+                 list_position({ad.HTTP_SOURCES}, metric) - 1 AS priority
+          FROM g WHERE status NOT LIKE '5%' GROUP BY metric, service, ts)
+    SELECT * FROM u WHERE priority = (SELECT min(priority) FROM u u2 WHERE u2.service = u.service)""")
 def requests_per_second(spark, sf):
-    """B-9: non-5xx requests per second per (service, hour)."""
-    return se.requests_per_second(ad.http(spark, sf), "1 hour", 3600)
+    """B-9 (+ B-13): non-5xx rate over the trailing 6 h, hourly, from the first
+    source that a service has."""
+    return se.requests_per_second(ad.http_counters(spark, sf), GRID_START, GRID_END, STEP_S, RANGE_S, ad.HTTP_SOURCES)
 
 
 @register("cpu_throttled_rate", adapters=["counters"], floats=["value", "rate"], sql=f"""
@@ -180,22 +202,58 @@ def first_available(spark, sf):
     return se.first_available([c0, c1, c2])
 
 
-@register("collected_series", adapters=["samples"], floats=["value"], sql="""
-    SELECT metric, service, date_trunc('minute', ts) AS ts, sum(value) AS value FROM samples GROUP BY 1, 2, 3""")
+_RAW = "metric, service, instance"
+
+
+def _raw_grid(rated, plain) -> str:
+    rated, plain = (", ".join(f"'{m}'" for m in x) for x in (rated, plain))
+    return f"""
+    c AS (SELECT * FROM raw_metrics WHERE metric IN ({rated})),
+    u AS (SELECT metric, service, instance, ts, seq, rate AS value FROM ({_rate_sql('c', series=_RAW)}) x
+          UNION ALL SELECT metric, service, instance, ts, seq, value FROM raw_metrics WHERE metric IN ({plain})),
+    g AS ({_at_sql('u', _RAW)})"""
+
+
+_NAMES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in se.COLLECTED.items())
+
+
+@register("collected_series", adapters=["raw_metrics"], floats=["value"], sql=f"""
+    WITH {_raw_grid([*se.RATED, 'node_idle'], [m for m in se.COLLECTED if m not in se.RATED] + ['mem_available', 'mem_total'])}
+    SELECT CASE metric {_NAMES} END AS metric, service AS "key", ts, sum(value) AS value
+    FROM g WHERE service <> 'node' GROUP BY metric, service, ts
+    UNION ALL SELECT 'node_cpu_util', instance, ts, 100 - value * 100 FROM g WHERE metric = 'node_idle'
+    UNION ALL SELECT 'node_mem_util', a.instance, a.ts, (1 - CASE WHEN t.value = 0 THEN NULL ELSE a.value / t.value END) * 100
+    FROM g a JOIN g t ON a.instance = t.instance AND a.ts = t.ts AND a.metric = 'mem_available' AND t.metric = 'mem_total'""")
 def collected_series(spark, sf):
-    """B-14: per-service series, summed over pods per minute."""
-    return se.collected_series(ad.samples(spark, sf))
+    """B-14: the eight collected series, hourly, counters rated over 6 h."""
+    return se.collected_series(ad.raw_metrics(spark, sf), GRID_START, GRID_END, STEP_S, RANGE_S)
+
+
+@register("series_panels", adapters=["raw_metrics"], floats=["value"], sql=f"""
+    WITH {_raw_grid(se.PANEL_RATES, se.PANEL_VALUES)}
+    SELECT metric, service, instance, ts, value FROM g""")
+def series_panels(spark, sf):
+    """B-15: receive, transmit and file-system rates, pod phase, replicas and
+    restarts by series, hourly."""
+    return se.series_panels(ad.raw_metrics(spark, sf), GRID_START, GRID_END, STEP_S, RANGE_S)
 
 
 @register("panel_queries", adapters=["samples"], floats=["avg_value", "sum_value"], sql="""
-    SELECT metric, ts, CASE WHEN pod IS NOT NULL THEN 'pod' WHEN container IS NOT NULL THEN 'container'
-                            ELSE 'service' END AS by,
-           coalesce(pod, container, service) AS "key", avg(value) AS avg_value, sum(value) AS sum_value
-    FROM (SELECT metric, service, pod, container, date_trunc('hour', ts) AS ts, value FROM samples) s
-    GROUP BY GROUPING SETS ((metric, ts, pod), (metric, ts, container), (metric, ts, service))""")
+    WITH s AS (SELECT metric, service, CASE WHEN seq % 11 = 0 THEN NULL ELSE pod END AS pod, container,
+                      date_trunc('hour', ts) AS ts, value FROM samples)
+    SELECT metric, ts, 'pod' AS "by", pod AS "key", avg(value) AS avg_value, sum(value) AS sum_value FROM s GROUP BY 1, 2, 4
+    UNION ALL SELECT metric, ts, 'container', container, avg(value), sum(value) FROM s GROUP BY 1, 2, 4
+    UNION ALL SELECT metric, ts, 'service', service, avg(value), sum(value) FROM s GROUP BY 1, 2, 4""")
 def panel_queries(spark, sf):
-    """B-15: dashboard panels in one grouping-sets aggregate."""
-    return se.panel_queries(ad.samples(spark, sf))
+    """B-15: dashboard panels in one grouping-sets aggregate; some samples have no pod."""
+    s = ad.samples(spark, sf)
+    return se.panel_queries(s.withColumn("pod", F.when(F.col("seq") % 11 != 0, F.col("pod"))))
+
+
+@register("metric_names", adapters=["samples"], sql="SELECT DISTINCT metric FROM samples")
+def metric_names(spark, sf):
+    """B-16: names of all metrics."""
+    return se.metric_names(ad.samples(spark, sf))
 
 
 @register("available_metrics", adapters=["samples"], sql="""

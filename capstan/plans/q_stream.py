@@ -15,28 +15,38 @@ def _events(spark, sf):
     return st.table_stream(spark, f"{sf}/events.parquet")
 
 
+def _table(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet")
+
+
 @register("stream_profile", adapters=["samples"], floats=["mean", '"max"', "total"], sql="""
     SELECT service, metric, time_bucket(INTERVAL 30 SECOND, ts) AS window_start,
            time_bucket(INTERVAL 30 SECOND, ts) + INTERVAL 30 SECOND AS window_end,
            count(*) AS n, avg(value) AS mean, max(value) AS "max", sum(value) AS total
-    FROM samples GROUP BY 1, 2, 3, 4
-    HAVING time_bucket(INTERVAL 30 SECOND, ts) + INTERVAL 30 SECOND
-           <= (SELECT max(ts) FROM samples) - INTERVAL 10 MINUTE""")
+    FROM samples GROUP BY 1, 2, 3, 4""")
 def stream_profile(spark, sf):
-    """T-1 (file stream of samples) + T-2: 30 s tumbling-window profile per (service, metric); windows are
-    final once the 10-minute watermark passes them."""
-    path = st.run_to_table(st.stream_profile(st.sample_stream(_events(spark, sf))), "profile")
-    out = spark.read.parquet(path)
+    """T-1 (file stream of samples) + T-2: 30 s tumbling-window profile per (service, metric)."""
+    out = st.run_windows(st.stream_profile, st.sample_stream(_events(spark, sf)), st.sample_stream(_table(spark, sf)),
+                         "profile", "30 SECONDS")
     return out.select("service", "metric", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n", "mean", "max", "total")
 
 
-@register("stream_rightsize")
+@register("stream_rightsize", adapters=["samples"], floats=["mem_max"], sql="""
+    WITH w AS (SELECT *, unnest([0, 1, 2]) AS back FROM samples),
+    s AS (SELECT service, metric, value, time_bucket(INTERVAL 2 MINUTE, ts) - back * INTERVAL 2 MINUTE AS window_start, ts FROM w)
+    SELECT service, window_start, window_start + INTERVAL 5 MINUTE AS window_end,
+           max(CASE WHEN metric = 'mem_bytes' THEN value END) AS mem_max,
+           count(CASE WHEN metric = 'cpu_cores' THEN value END) AS n_cpu
+    FROM s WHERE ts < window_start + INTERVAL 5 MINUTE GROUP BY service, window_start""")
 def stream_rightsize(spark, sf):
-    """T-3: recommendation over trailing 5 minutes every 2 minutes (rows-only;
-    tests compare it with the batch operator on the same windows)."""
-    path = st.run_to_table(st.stream_rightsize(st.sample_stream(_events(spark, sf))), "rightsize")
-    return spark.read.parquet(path)
+    """T-3: recommendation over trailing 5 minutes every 2 minutes.  The memory
+    maximum, counts and windows are compared with SQL; the approximate p95 and
+    the texts made from it by the tests."""
+    out = st.run_windows(st.stream_rightsize, st.sample_stream(_events(spark, sf)), st.sample_stream(_table(spark, sf)),
+                         "rightsize", "5 MINUTES")
+    return out.select("service", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "mem_max", "n_cpu")
 
 
 @register("stream_stability", adapters=["strategy_samples"], floats=["cpu_utilization", "volatility"], sql=f"""
@@ -59,10 +69,10 @@ def stream_stability(spark, sf):
            avg(error_rate) AS avg_error_rate, avg(throughput) AS avg_throughput,
            avg(CASE WHEN error_rate < 0.05 THEN 1.0 - error_rate ELSE 0.0 END) AS avg_sla_compliance
     FROM strategy_samples
-    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM strategy_samples) - INTERVAL 1 HOUR
     GROUP BY experiment_id, service_name, strategy, status""")
 def stream_summary(spark, sf):
-    """T-5: running experiment summaries (daily partials, final once the
-    1-hour watermark passes each day), folded into the L-6 fields."""
-    path = st.run_to_table(st.stream_summary(st.strategy_stream(_events(spark, sf))), "summary")
-    return st.finalize_summary(spark.read.parquet(path))
+    """T-5: running experiment summaries (daily partials), folded into the L-6
+    fields at the end of the run."""
+    parts = st.run_windows(st.stream_summary, st.strategy_stream(_events(spark, sf)), st.strategy_stream(_table(spark, sf)),
+                           "summary", "1 DAY")
+    return st.finalize_summary(parts)

@@ -268,4 +268,48 @@ def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(F.concat_ws("-", "service", F.col("shard").cast("string")).alias("name"), "service").agg(
         F.count("*").cast("int").alias("replicas"),
         F.count_if(F.col("p_size") > 5).cast("int").alias("ready_replicas"),
-        F.count_distinct("p_partkey").alias("n_containers"))
+        F.count_distinct("p_partkey").alias("n_containers"),
+        # a deployment's containers: bounded by its pod template, here the parts of one shard
+        F.sort_array(F.collect_list(F.struct(F.concat(F.lit("c-"), F.col("p_partkey").cast("string")).alias("name")))).alias("containers"))
+
+
+HTTP_SOURCES = ["ingress_requests", "mesh_requests", "http_requests"]
+
+
+def http_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request counters per (source metric, service, status): requests so far in
+    the day.  svc-0 is seen by the ingress and by itself, svc-1 by the mesh, the
+    others by themselves."""
+    u = F.col("user_id") % 5
+    sources = F.when(u == 0, F.array(F.lit("ingress_requests"), F.lit("http_requests"))) \
+        .when(u == 1, F.array(F.lit("mesh_requests"))).otherwise(F.array(F.lit("http_requests")))
+    ev = table(spark, sf_dir, "events").select(
+        F.explode(sources).alias("metric"), F.concat(F.lit("svc-"), u.cast("string")).alias("service"),
+        F.when(F.col("event_type") == "error", "500").otherwise("200").alias("status"), "ts", F.col("event_id").alias("seq"))
+    w = Window.partitionBy("metric", "service", "status", F.to_date("ts")).orderBy("ts", "seq").rowsBetween(
+        Window.unboundedPreceding, 0)
+    return ev.withColumn("value", F.count(F.lit(1)).over(w).cast("double"))
+
+
+# Metrics of the raw adapter, their service ('node' for node
+# metrics), whether they count up, and their value as a function of value v and k.
+RAW_METRICS = [
+    ("cpu_seconds", False, True, "v / 1000.0"), ("net_rx", False, True, "k * 10.0"), ("net_tx", False, True, "v * 2.0"),
+    ("fs_read", False, True, "k * 3.0"), ("fs_write", False, True, "v * 0.5"), ("restarts", False, True, "floor(k / 25.0) * 1.0"),
+    ("mem_working_set", False, False, "(64 + k) * 1048576.0"), ("replicas", False, False, "(k % 3) + 1.0"),
+    ("pod_phase", False, False, "(k % 2) * 1.0"), ("node_idle", True, True, "v / 2000.0"),
+    ("mem_available", True, False, "k * 1.0"), ("mem_total", True, False, "k * 1.0 + v"),
+]
+
+
+def raw_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw series (metric, service, instance): counters sum up within the day."""
+    ev = table(spark, sf_dir, "events").select("event_type", "user_id", "ts", "event_id", F.col("value").alias("v"), _k().cast("double").alias("k"))
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(node).alias("node"), F.lit(up).alias("up"), F.expr(x).cast("double").alias("x"))
+                     for m, node, up, x in RAW_METRICS])
+    ev = ev.select("event_type", F.concat(F.lit("node-"), (F.col("user_id") % 4).cast("string")).alias("instance"), "ts",
+                   F.col("event_id").alias("seq"), F.inline(rows))
+    ev = ev.withColumn("service", F.when(F.col("node"), "node").otherwise(F.col("event_type")))
+    w = Window.partitionBy("metric", "service", "instance", F.to_date("ts")).orderBy("ts", "seq").rowsBetween(
+        Window.unboundedPreceding, 0)
+    return ev.select("metric", "service", "instance", "ts", "seq", F.when(F.col("up"), F.sum("x").over(w)).otherwise(F.col("x")).alias("value"))

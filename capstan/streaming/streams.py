@@ -14,24 +14,30 @@ files and the same aggregates run incrementally:
 * T-5 ``stream_summary``     - per (experiment, window) partial summaries
   (watermark, append) that :func:`finalize_summary` folds into L-6.
 
-Sinks write into the shared checkpoint folder, never to the driver.
+Append mode holds back the windows that the watermark has not passed.  A run that
+ends (``availableNow``) is closed with a batch pass over the rows of just those
+windows, so its table is complete.  Sinks write into the shared checkpoint
+folder, never to the driver; a run is waited for without a time limit, and its
+failure is raised.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantities import format_cpu, format_memory
 from ..operators.rightsize import recommend_cpu_expr, recommend_memory_expr
 from ..operators.strategy import SLA_ERROR_LIMIT, VOLATILITY_WINDOW, stability_features
-from ..session import checkpoint_dir, maybe_broadcast
+from ..session import maybe_broadcast, scratch_path
 
 APPROX_ACCURACY = 10000
 
 
+#: Input files of a micro-batch.
+FILES_PER_BATCH = 64
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -39,15 +45,14 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
-def table_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A file stream over a parquet table (a directory, or a single file via
-    a glob so the file source can list it)."""
+def table_stream(spark: SparkSession, path: str, max_files: int = FILES_PER_BATCH) -> DataFrame:
+    """A file stream over a parquet table: a directory, or a single file by a
+    pattern that fits its name alone (the file source lists, it cannot open one).
+    A micro-batch takes at most ``max_files`` files."""
     schema = spark.read.parquet(path).schema
-    src = path if _is_dir(spark, path) else path.rstrip("/") + "*"
-    r = spark.readStream.schema(schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(src)
+    path = path.rstrip("/")
+    src = path if _is_dir(spark, path) else f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(src)
 
 
 def sample_stream(events: DataFrame) -> DataFrame:
@@ -83,11 +88,12 @@ def stream_rightsize(samples: DataFrame, over: str = "5 minutes", every: str = "
     agg = (samples.withWatermark("ts", watermark)
            .groupBy("service", F.window("ts", over, every).alias("w"))
            .agg(F.percentile_approx(F.when(F.col("metric") == "cpu_cores", v), 0.95, APPROX_ACCURACY).alias("p95"),
-                F.max(F.when(F.col("metric") == "mem_bytes", v)).alias("mem_max")))
+                F.max(F.when(F.col("metric") == "mem_bytes", v)).alias("mem_max"),
+                F.count(F.when(F.col("metric") == "cpu_cores", v)).alias("n_cpu")))
     cores = recommend_cpu_expr(F.col("p95"))
     mem = recommend_memory_expr(F.col("mem_max"))
     return agg.select("service", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                      "p95", "mem_max", format_cpu(cores).alias("recommended_cpu"),
+                      "p95", "mem_max", "n_cpu", format_cpu(cores).alias("recommended_cpu"),
                       format_memory(mem).alias("recommended_memory"))
 
 
@@ -105,7 +111,7 @@ def stream_summary(strategy_samples: DataFrame, window: str = "1 day", watermark
                  F.max(F.when(p95 > 0, p95)).alias("p95_max"),
                  F.sum("error_rate").alias("err_sum"), F.sum("throughput").alias("tput_sum"),
                  F.sum(sla).alias("sla_sum"))
-            .withColumn("window_start", F.col("w.start")).drop("w"))
+            .withColumn("window_start", F.col("w.start")).withColumn("window_end", F.col("w.end")).drop("w"))
 
 
 def finalize_summary(parts: DataFrame) -> DataFrame:
@@ -125,23 +131,54 @@ def finalize_summary(parts: DataFrame) -> DataFrame:
         (F.col("_ss") / n).alias("avg_sla_compliance"))
 
 
+def _finish(query) -> None:
+    """Wait for the end of a run and raise what ended it, if it failed."""
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", base: str | None = None,
-                 timeout_s: int = 600) -> str:
+                 rest=None) -> str:
     """Run a stream to completion (``availableNow``) into a parquet table;
     ``base`` is a fixed shared location (restartable), by default a fresh
-    folder under the shared checkpoint folder.  Returns the table path."""
+    folder under the shared checkpoint folder.  Returns the table path.
+
+    ``rest``: function of the final watermark (a timestamp; None for an empty
+    stream) that returns the windows still open, computed in batch; they are
+    appended, and the table is complete."""
     spark = stream.sparkSession
-    root = base.rstrip("/") if base else (checkpoint_dir(spark).rstrip("/")
-                                          + f"/streams/{name}-{uuid.uuid4().hex[:8]}")
+    root = base.rstrip("/") if base else scratch_path(spark, f"stream-{name}")
     q = (stream.writeStream.format("parquet").outputMode(mode)
          .option("checkpointLocation", root + "/_checkpoint").option("path", root + "/data")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    _finish(q)
+    if rest is not None:
+        last = [p["eventTime"]["watermark"] for p in q.recentProgress if "watermark" in (p["eventTime"] or {})]
+        rest(last[-1] if last else None).write.mode("overwrite").parquet(root + "/rest")
     return root + "/data"
 
 
-def stream_stability(strategy_samples: DataFrame, base: str | None = None, n: int = VOLATILITY_WINDOW,
-                     timeout_s: int = 600) -> str:
+def run_windows(aggregate, stream: DataFrame, table: DataFrame, name: str, span: str, window_end: str = "window_end") -> DataFrame:
+    """A windowed aggregate over a finite stream, complete: the windows the
+    watermark passed from the stream, the others from ``table`` (the same rows as
+    a batch table), of which only the rows that those windows can hold are read.
+    ``span`` is the window length."""
+    def rest(watermark):
+        if watermark is None:
+            return aggregate(table)
+        mark = F.to_timestamp(F.lit(watermark))
+        recent = table.where(F.col("ts") >= mark - F.expr(f"INTERVAL {span}"))
+        return aggregate(recent).where(F.col(window_end) > mark)
+
+    path = run_to_table(aggregate(stream), name, rest=rest)
+    spark = stream.sparkSession
+    schema = aggregate(table).schema
+    closed = spark.read.schema(schema).parquet(path)
+    return closed.unionByName(spark.read.schema(schema).parquet(path[:-len("data")] + "rest"))
+
+
+def stream_stability(strategy_samples: DataFrame, base: str | None = None, n: int = VOLATILITY_WINDOW) -> str:
     """T-4: volatility and scaling events with bounded state kept as a table.
 
     In each micro-batch the carry (last ``n`` rows per experiment from earlier
@@ -149,17 +186,16 @@ def stream_stability(strategy_samples: DataFrame, base: str | None = None, n: in
     per experiment; output rows are the new ones, and the last ``n`` rows per
     experiment become the next carry.  Writes are keyed by batch id, so a
     retried batch overwrites its own output.  Rows older than the carry's
-    newest row of their experiment (late data) are dropped.
+    newest row of their experiment (late data) are not used; each batch writes
+    their number to ``late/batch=<id>``.
     Returns the output table path.
     """
     spark = strategy_samples.sparkSession
-    root = base.rstrip("/") if base else (checkpoint_dir(spark).rstrip("/")
-                                          + f"/streams/stability-{uuid.uuid4().hex[:8]}")
+    root = base.rstrip("/") if base else scratch_path(spark, "stream-stability")
     cols = ["experiment_id", "ts", "seq", "replica_count", "cpu_utilization"]
-    state = {"carry": None}
 
     def latest_carry(before: int):
-        # after a restart the carry is found again in the shared folder
+        # found in the shared folder, also after a restart
         jvm = spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(root + "/carry")
         fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -172,29 +208,26 @@ def stream_stability(strategy_samples: DataFrame, base: str | None = None, n: in
         return f"{root}/carry/batch={max(ids)}" if ids else None
 
     def step(batch: DataFrame, batch_id: int):
-        new = batch.select(*cols).withColumn("_new", F.lit(True))
-        carry_path = state["carry"] or latest_carry(batch_id)
+        rows = batch.select(*cols).withColumn("_new", F.lit(True))
+        late = spark.createDataFrame([(0,)], "late long")
+        carry_path = latest_carry(batch_id)
         if carry_path:
             carry = spark.read.parquet(carry_path).withColumn("_new", F.lit(False))
-            last = carry.groupBy("experiment_id").agg(F.max(F.struct("ts", "seq")).alias("_last"))
-            new = (new.join(maybe_broadcast(last), "experiment_id", "left")
-                   .where(F.col("_last").isNull() | (F.struct("ts", "seq") > F.col("_last"))).drop("_last"))
-            rows = carry.unionByName(new)
-        else:
-            rows = new
+            last = maybe_broadcast(carry.groupBy("experiment_id").agg(F.max(F.struct("ts", "seq")).alias("_last")))
+            seen = rows.join(last, "experiment_id", "left").withColumn(
+                "_late", F.coalesce(F.struct("ts", "seq") <= F.col("_last"), F.lit(False)))
+            late = seen.agg(F.count_if("_late").alias("late"))
+            rows = carry.unionByName(seen.where(~F.col("_late")).drop("_last", "_late"))
+        late.write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
         # the batch operator (chunked per experiment position, n-row halo)
-        feats = stability_features(rows, n)
-        out = feats.select(*cols, "_new", "volatility", "scaling_event",
-                           F.row_number().over(Window.partitionBy("experiment_id")
-                                               .orderBy(F.col("ts").desc(), F.col("seq").desc())).alias("_rk"))
-        out = out.persist()
-        out.where("_new").drop("_new", "_rk").write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
-        nxt = f"{root}/carry/batch={batch_id}"
-        out.where(F.col("_rk") <= n).select(*cols).write.mode("overwrite").parquet(nxt)
-        out.unpersist()
-        state["carry"] = nxt
+        feats = stability_features(rows, n).where("_new")
+        feats.select(*cols, "volatility", "scaling_event").write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
+        # a rank limit keeps n rows of an experiment in each task before the exchange
+        newest = Window.partitionBy("experiment_id").orderBy(F.col("ts").desc(), F.col("seq").desc())
+        rows.withColumn("_rk", F.row_number().over(newest)).where(F.col("_rk") <= n).select(*cols) \
+            .write.mode("overwrite").parquet(f"{root}/carry/batch={batch_id}")
 
     q = (strategy_samples.writeStream.foreachBatch(step)
          .option("checkpointLocation", root + "/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    _finish(q)
     return root + "/data"

@@ -55,12 +55,45 @@ def test_profile_drops_rows_behind_watermark(spark):
 
 def test_rightsize_stream_equals_batch_windows(spark):
     ev = ss.table_stream(spark, f"{SF}/events.parquet")
-    got = spark.read.parquet(ss.run_to_table(ss.stream_rightsize(ss.sample_stream(ev)), "rs"))
-    s = ad.samples(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
-    mx = s.agg(F.max("ts")).first()[0]
-    batch = (s.groupBy("service", F.window("ts", "5 minutes", "2 minutes").alias("w"))
-             .agg(F.percentile_approx(F.when(F.col("metric") == "cpu_cores", F.col("value")), 0.95, 10000).alias("p95"))
-             .where(F.col("w.end") <= F.lit(mx) - F.expr("INTERVAL 10 MINUTES")))
-    a = {(r["service"], r["window_start"]): r["p95"] for r in got.collect()}
-    b = {(r["service"], r["w"]["start"]): r["p95"] for r in batch.collect()}
-    assert a == b
+    table = ss.sample_stream(spark.read.parquet(f"{SF}/events.parquet"))
+    got = ss.run_windows(ss.stream_rightsize, ss.sample_stream(ev), table, "rs", "5 MINUTES")
+    batch = ss.stream_rightsize(table)
+    rows = lambda d: {(r["service"], r["window_start"]): (r["p95"], r["recommended_cpu"], r["recommended_memory"])
+                      for r in d.collect()}
+    assert rows(got) == rows(batch) and got.count() == batch.count()
+
+
+def test_windows_in_several_batches_are_complete(spark):
+    d = tempfile.mkdtemp(prefix="capstan-parts-")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    days = [r[0] for r in events.select(F.to_date("ts")).distinct().orderBy(1).collect()]
+    for i in range(0, len(days), 6):      # files in time order, one file a micro-batch
+        events.where(F.to_date("ts").isin(days[i:i + 6])).coalesce(1).write.parquet(os.path.join(d, f"part={i:02d}"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(d + "/*")
+    got = ss.finalize_summary(ss.run_windows(ss.stream_summary, ss.strategy_stream(stream), ss.strategy_stream(events), "sum", "1 DAY"))
+    want = ss.finalize_summary(ss.stream_summary(ss.strategy_stream(events)))
+    rows = lambda d: sorted((r["experiment_id"], r["data_points"], round(r["total_cpu_hours"], 9)) for r in d.collect())
+    assert rows(got) == rows(want)
+
+
+def test_failed_run_is_raised(spark):
+    import pytest
+
+    ev = ss.sample_stream(ss.table_stream(spark, f"{SF}/events.parquet"))
+    bad = ev.select("service", F.raise_error(F.lit("broken sample")).alias("x"))
+    with pytest.raises(Exception, match="broken sample"):
+        ss.run_to_table(bad, "bad")
+
+
+def test_late_rows_are_counted(spark):
+    d = tempfile.mkdtemp(prefix="capstan-late4-")
+    sch = "experiment_id string, ts timestamp, seq long, replica_count int, cpu_utilization double"
+    t0 = dt.datetime(2024, 1, 1)
+    for b, minutes in enumerate(([0, 10, 20], [30, 5, 40])):
+        spark.createDataFrame([("e", t0 + dt.timedelta(minutes=m), m, 1, float(m)) for m in minutes], sch).coalesce(1) \
+            .write.parquet(os.path.join(d, f"b={b}"))
+    stream = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(d + "/*")
+    path = ss.stream_stability(stream)
+    assert {r["seq"] for r in spark.read.parquet(path).collect()} == {0, 10, 20, 30, 40}
+    late = spark.read.parquet(path[:-len("data")] + "late")
+    assert late.agg(F.sum("late")).first()[0] == 1
