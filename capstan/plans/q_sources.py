@@ -5,24 +5,23 @@ result, so reader and writer are checked end to end."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import experiments as ex
 from ..operators import grading as gr
 from ..operators import strategy as st
-from ..session import checkpoint_dir
+from ..session import scratch_path, scratch_table
 from ..sources import adapters as ad
 from ..sources import readers as rd
 from ..sources import writers as wr
 from ..schemas import EXPERIMENTS_WIDE, INVENTORY, PODS
-from .q_strategy import _SUMMARY_SQL
+from .q_models import _COMP_SQL, _SCORE_SQL
+from .q_strategy import _COST, _PERF, _STAB, _SUMMARY_SQL, _by_strategy
 from .registry import register
 
 
 def _scratch(spark, name: str) -> str:
-    return checkpoint_dir(spark).rstrip("/") + f"/io/{name}-{uuid.uuid4().hex[:10]}"
+    return scratch_path(spark, f"io-{name}")
 
 
 _WIDE_COLS = [f.name for f in EXPERIMENTS_WIDE.fields if f.name in
@@ -87,12 +86,13 @@ def experiment_records(spark, sf):
 @register("range_results", adapters=["counters"], floats=["value"], sql="""
     SELECT metric, service, ts, value FROM counters""")
 def range_results(spark, sf):
-    """A-4: counters exported as range-query JSON, one document per (service,
-    day), rotating through the three response layouts, read back."""
+    """A-4: counters exported as range-query JSON, documents per (service, day)
+    of a bounded number of samples, rotating through the three response layouts, read back."""
     root = _scratch(spark, "range")
     c = ad.counters(spark, sf)
     epoch = F.format_string("%.6f", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    per = c.groupBy("metric", "service", F.to_date("ts").alias("day")).agg(
+    c = wr.documents_of(c.withColumn("day", F.to_date("ts")), ["metric", "service", "day"])
+    per = c.groupBy("metric", "service", "day", "_doc").agg(
         F.collect_list(F.array(epoch, F.col("value").cast("string"))).alias("values"))
     item = F.array(F.struct(F.create_map(F.lit("__name__"), F.col("metric"), F.lit("service"), F.col("service"))
                             .alias("metric"), F.col("values").alias("values")))
@@ -112,7 +112,7 @@ def range_results(spark, sf):
     FROM samples GROUP BY pod, metric""")
 def instant_vector(spark, sf):
     """A-5 + A-6: latest value per (pod, metric) exported as instant-vector
-    responses (one per metric and pod shard) and read back as resource rows."""
+    responses (a bounded number of pods each) and read back as resource rows."""
     root = _scratch(spark, "vector")
     s = ad.samples(spark, sf)
     last = s.groupBy("metric", "pod", "container").agg(
@@ -122,7 +122,7 @@ def instant_vector(spark, sf):
                                  F.lit("resource"), F.when(F.col("metric") == "cpu_cores", "cpu").otherwise("memory"))
                     .alias("metric"),
                     F.array(F.format_string("%.6f", F.col("v.t") / 1e6), F.col("v.value").cast("string")).alias("value"))
-    docs = last.groupBy("metric", F.pmod(F.hash("pod"), F.lit(8)).alias("shard")).agg(
+    docs = wr.documents_of(last, ["metric"]).groupBy("metric", "_doc").agg(
         F.collect_list(item).alias("result"))
     docs.select(F.to_json(F.struct(F.lit("success").alias("status"),
                                    F.struct(F.lit("vector").alias("resultType"), "result").alias("data")))
@@ -186,7 +186,7 @@ def request_log(spark, sf):
            scaling_events, avg_volatility FROM ({_SUMMARY_SQL}) s""")
 def strategy_results(spark, sf):
     """A-10: experiment summaries written as nested comparative-results JSON
-    (one document per service) and flattened back."""
+    (documents of a bounded number of experiments) and flattened back."""
     root = _scratch(spark, "results")
     s = st.experiment_summary(ad.strategy_samples(spark, sf))
     exp = F.struct("experiment_id", "service_name", "strategy", "status", F.struct(
@@ -195,16 +195,36 @@ def strategy_results(spark, sf):
         F.struct("avg_p95_latency", "max_p95_latency", "avg_error_rate", "avg_throughput")
         .alias("performance_integrity"),
         F.struct("scaling_events", "avg_volatility", "max_volatility").alias("stability")).alias("summary"))
-    s.groupBy("service_name").agg(F.collect_list(exp).alias("experiments")).write.json(root)
+    s = wr.documents_of(s, ["service_name"])
+    s.groupBy("service_name", "_doc").agg(F.collect_list(exp).alias("experiments")).drop("_doc").write.json(root)
     back = rd.read_strategy_results(spark, root, multiline=False)
     return back.select("experiment_id", "service_name", "strategy", "status", "data_points", "total_cpu_hours",
                        "avg_p95_latency", "scaling_events", "avg_volatility")
 
 
-@register("strategy_report_markdown")
+def _report_sql() -> str:
+    rows, titles = [], [("# Comparative report: all",)]
+    for title, cols in wr.REPORT_SECTIONS:
+        titles += [(f"## {title}",), (" | ".join(["| strategy", *[t for t, _, _ in cols]]) + " |",), ("| --- " * (len(cols) + 1) + "|",)]
+        cells = " || ' | ' || ".join(f"printf('%.{d}f', coalesce(CAST({c} AS DOUBLE), 0.0))" for _, c, d in cols)
+        rows.append(f"SELECT '| ' || strategy || ' | ' || {cells} || ' |' AS value FROM r")
+    heads = ", ".join(f"('{t}')" for (t,) in titles)
+    return " UNION ALL ".join([f"SELECT * FROM (VALUES {heads}) h(value)", *rows])
+
+
+@register("strategy_report_markdown", adapters=["strategy_samples"], sql=f"""
+    WITH r AS ({_by_strategy(f"{_COST}, {_PERF}, {_STAB}")}),
+    o AS (SELECT max(CASE WHEN strategy = 'statistical' THEN mean_cpu_hours END) AS bc,
+                 max(CASE WHEN strategy = 'predictive' THEN mean_cpu_hours END) AS cc,
+                 max(CASE WHEN strategy = 'statistical' THEN mean_memory_hours END) AS bm,
+                 max(CASE WHEN strategy = 'predictive' THEN mean_memory_hours END) AS cm FROM r),
+    p AS (SELECT CASE WHEN bc > 0 THEN (bc - cc) / bc * 100 ELSE 0.0 END AS c, CASE WHEN bm > 0 THEN (bm - cm) / bm * 100 ELSE 0.0 END AS m
+          FROM o WHERE bc IS NOT NULL AND cc IS NOT NULL)
+    {_report_sql()}
+    UNION ALL SELECT 'Savings of predictive over statistical: cpu ' || printf('%.2f', c) || '%, memory ' || printf('%.2f', m)
+                     || '%, overall ' || printf('%.2f', (c + m) / 2.0) || '%' FROM p""")
 def strategy_report_markdown(spark, sf):
-    """A-13: the comparative report as markdown lines (rows-only); JSON and
-    unsupported formats are covered by tests."""
+    """A-13: the comparative report as markdown lines."""
     s = st.experiment_summary(ad.strategy_samples(spark, sf))
     lines = wr.strategy_report_lines(st.strategy_report(s), st.savings(st.cost_by_strategy(s)), "all")
     root = _scratch(spark, "report")
@@ -212,26 +232,60 @@ def strategy_report_markdown(spark, sf):
     return spark.read.text(root)
 
 
-@register("metrics_json", adapters=["strategy_samples"], sql="""
-    SELECT count(*) AS n_samples, count(DISTINCT experiment_id) AS n_experiments FROM strategy_samples""")
+@register("strategy_report_json", adapters=["strategy_samples"], floats=["mean_cpu_hours", "mean_p95_latency", "max_volatility"], sql=f"""
+    SELECT 'all' AS service_name, strategy, mean_cpu_hours, mean_p95_latency, max_volatility, total_scaling_events
+    FROM ({_by_strategy(f"{_COST}, {_PERF}, {_STAB}")}) r""")
+def strategy_report_json(spark, sf):
+    """A-13: the report as one JSON document, written and read back."""
+    s = st.experiment_summary(ad.strategy_samples(spark, sf))
+    root = _scratch(spark, "report")
+    wr.write_report(wr.strategy_report_lines(st.strategy_report(s), None, "all", fmt="json"), root)
+    doc = spark.read.json(root)
+    rows = doc.select("service_name", F.explode(F.arrays_zip("cost_efficiency", "performance_integrity", "stability")).alias("z"))
+    return rows.select("service_name", F.col("z.cost_efficiency.strategy").alias("strategy"), "z.cost_efficiency.mean_cpu_hours",
+                       "z.performance_integrity.mean_p95_latency", "z.stability.max_volatility", "z.stability.total_scaling_events")
+
+
+@register("metrics_json", adapters=["strategy_samples"], floats=["cpu_hours", "avg_p95"], sql=f"""
+    SELECT s.experiment_id, s.n_samples, s.cpu_hours, x.avg_p95_latency AS avg_p95
+    FROM (SELECT experiment_id, count(*) AS n_samples, sum(cpu_cores * elapsed_hours) AS cpu_hours
+          FROM strategy_samples GROUP BY experiment_id) s
+    JOIN ({_SUMMARY_SQL}) x ON x.experiment_id = s.experiment_id""")
 def metrics_json(spark, sf):
-    """A-14: samples and summaries written as JSON; the counts read back."""
+    """A-14: samples and summaries written as JSON and read back, joined per experiment."""
     root = _scratch(spark, "metrics")
     smp = ad.strategy_samples(spark, sf)
     wr.write_metrics(smp, st.experiment_summary(smp), root)
-    a = spark.read.json(root + "/samples").agg(F.count("*").alias("n"), F.lit("samples").alias("k"))
-    b = spark.read.json(root + "/summary").agg(F.count("*").alias("n"), F.lit("summary").alias("k"))
-    u = a.unionByName(b)
-    return u.agg(F.max(F.when(F.col("k") == "samples", F.col("n"))).alias("n_samples"),
-                 F.max(F.when(F.col("k") == "summary", F.col("n"))).alias("n_experiments"))
-
-
-@register("evaluation_report")
+    a = spark.read.json(root + "/samples").groupBy("experiment_id").agg(
+        F.count("*").alias("n_samples"), F.sum(F.col("cpu_cores") * F.col("elapsed_hours")).alias("cpu_hours"))
+    b = spark.read.json(root + "/summary").select("experiment_id", F.col("avg_p95_latency").alias("avg_p95"))
+    return a.join(b, "experiment_id")
+
+
+@register("evaluation_report", adapters=["model_results"], sql=f"""
+    WITH c AS ({_COMP_SQL}), s AS ({_SCORE_SQL})
+    SELECT CASE WHEN overall_score IS NULL THEN service || ': no successful result'
+                ELSE service || ': overall score ' || printf('%.1f', overall_score) || '% (' ||
+                     CASE WHEN overall_score >= 80 THEN 'excellent' WHEN overall_score >= 60 THEN 'good'
+                          WHEN overall_score >= 40 THEN 'acceptable' ELSE 'below_standard' END || ')' END AS value FROM s
+    UNION ALL
+    SELECT 'Services: ' || count(*) || ', failed ' || (count(*) - count(overall_score)) || ', average score '
+           || printf('%.1f', avg(overall_score)) || '%, excellent ' || count(*) FILTER (WHERE overall_score >= 80)
+           || ', good ' || count(*) FILTER (WHERE overall_score >= 60 AND overall_score < 80)
+           || ', acceptable ' || count(*) FILTER (WHERE overall_score >= 40 AND overall_score < 60)
+           || ', below ' || count(*) FILTER (WHERE overall_score < 40) FROM s
+    UNION ALL
+    SELECT service || ' / ' || target || ' / ' || model || ': ' ||
+           {" || ', ' || ".join(f"'{n} ' || CASE WHEN {n}_compliant THEN 'pass' WHEN NOT {n}_compliant THEN 'fail' ELSE 'none' END"
+                                for n in ("mse", "mae", "r2", "overall", "confidence"))} FROM c
+    UNION ALL
+    SELECT p.target || ': mean score ' || printf('%.1f', avg(s.overall_score)) || '% over ' || count(*) || ' services'
+    FROM (SELECT DISTINCT service, target FROM c WHERE status = 'success') p JOIN s ON p.service = s.service GROUP BY p.target""")
 def evaluation_report(spark, sf):
-    """A-15: per-service and fleet evaluation lines (rows-only)."""
-    comp = gr.compliance(ad.model_results(spark, sf))
+    """A-15: fleet, per-service and per-target standards lines."""
+    comp = scratch_table(gr.compliance(ad.model_results(spark, sf), keys=("service", "target", "model")), "compliance")
     scores = gr.overall_score(comp).withColumn("band", gr.score_band(F.col("overall_score")))
-    lines = wr.evaluation_lines(scores, gr.evaluation_summary(scores))
+    lines = wr.evaluation_lines(scores, gr.evaluation_summary(scores), comp, gr.score_by_target(comp, scores))
     root = _scratch(spark, "evaluation")
     wr.write_report(lines, root)
     return spark.read.text(root)

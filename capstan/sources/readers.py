@@ -3,6 +3,7 @@ records, inventories and request logs, all with explicit schemas."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,28 +34,52 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
                      *([F.col("source_file")] if "source_file" in have else []))
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Files of a folder or pattern, through the file system that Spark uses."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = p.getFileSystem(conf), []
+    for st in fs.globStatus(p) or []:
+        if st.isFile():
+            out.append(st.getPath().toString())
+            continue
+        below = fs.listFiles(st.getPath(), True)
+        while below.hasNext():
+            out.append(below.next().getPath().toString())
+    return [f for f in out if not f.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    """First line of one file; nothing beyond its first block is read."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(file)
+    r = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p), "UTF-8"))
+    try:
+        return r.readLine() or ""
+    finally:
+        r.close()
+
+
 def read_experiments(spark: SparkSession, path: str, service: str | None = None,
                      schema: T.StructType = FEATURES, base_path: str | None = None) -> DataFrame:
     """A-2: experiment CSVs; files whose headers differ (schema drift) are
-    read per header and combined by column NAME with NULL fill.  The header
-    of each file is found with one distributed pass over the first lines."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("source_file"))
-    names = F.array(*[F.lit(f.name) for f in schema.fields])
-    tokens = F.split("value", ",")
-    # a header is a line whose tokens are mostly known column names
-    is_header = F.size(F.array_intersect(tokens, names)) * 2 >= F.greatest(F.size(tokens), F.lit(2))
-    headers = (lines.where(is_header)
-               .groupBy("value").agg(F.collect_set("source_file").alias("files")).collect())
-    if not headers:
+    read per header and combined by column NAME with NULL fill.  Only the first
+    line of each file is looked at for its header."""
+    files = _files(spark, path)
+    with ThreadPoolExecutor(16) as pool:
+        firsts = list(pool.map(lambda f: _first_line(spark, f), files))
+    by_header: dict[str, list[str]] = {}
+    for f, line in zip(files, firsts):
+        if line:
+            by_header.setdefault(line, []).append(f)
+    if not by_header:
         return spark.createDataFrame([], schema)
     parts = []
-    for h in headers:   # one entry per distinct header: a handful
+    for _, names in sorted(by_header.items()):
         r = spark.read.option("header", True).option("mode", "PERMISSIVE")
         if base_path:
             r = r.option("basePath", base_path)      # keeps partition columns such as service
-        d = (r.csv(list(h["files"]))
-             .withColumn("source_file", F.input_file_name()))
-        parts.append(_typed(d, schema))
+        parts.append(_typed(r.csv(names).withColumn("source_file", F.input_file_name()), schema))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return out.where(F.col("service") == service) if service else out
 

@@ -6,6 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import maybe_broadcast
 
 
 def write_experiments(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
@@ -24,37 +27,66 @@ def write_master(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def _fmt(x: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+#: Rows that one exported document may hold.
+DOCUMENT_ROWS = 1000
+
+
+def documents_of(df: DataFrame, keys, rows: int = DOCUMENT_ROWS) -> DataFrame:
+    """Add ``_doc``: a number that splits the rows of each key over documents of
+    about ``rows`` rows, so that no document grows with the data."""
+    keys = list(keys)
+    n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_docs"))
+    each = F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)])
+    return df.join(maybe_broadcast(n), keys).withColumn("_doc", F.pmod(each, F.col("_docs"))).drop("_docs")
+
+
+def _fmt(x: str, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", F.coalesce(F.col(x).cast("double"), F.lit(0.0)))
+
+
+# section number and title -> (column title, column, digits)
+REPORT_SECTIONS = [
+    ("Cost efficiency", [("cpu hours", "mean_cpu_hours", 4), ("memory hours", "mean_memory_hours", 4),
+                         ("cpu cores", "mean_cpu_cores", 2), ("memory GB", "mean_memory_gb", 2)]),
+    ("Performance integrity", [("mean p95", "mean_p95_latency", 4), ("max p95", "max_p95_latency", 4),
+                               ("error rate", "mean_error_rate", 4), ("throughput", "mean_throughput", 2)]),
+    ("Stability", [("scaling events", "mean_scaling_events", 2), ("all scaling events", "total_scaling_events", 0),
+                   ("volatility", "mean_volatility", 4), ("max volatility", "max_volatility", 4)]),
+]
+UNSUPPORTED = "Unsupported output format"
+
+
+def _lines(spark, rows) -> DataFrame:
+    return spark.createDataFrame(rows, "line string, _o string")
 
 
 def strategy_report_lines(report: DataFrame, savings: DataFrame | None, service: str,
                           fmt: str = "markdown") -> DataFrame:
-    """A-13: the comparative report as text lines (markdown or JSON); any
-    other format gives the single line ``Unsupported output format``.
+    """A-13: the comparative report as (line, _o), _o giving the order: markdown
+    with a section each for cost, performance and stability, or one JSON document;
+    any other format gives the single line ``Unsupported output format``.
     ``report`` is the L-11 table (one row per strategy)."""
     spark = report.sparkSession
     if fmt == "json":
-        body = report.select(F.to_json(F.struct("*")).alias("line"))
-        head = spark.createDataFrame([(f'{{"service_name": "{service}"}}',)], "line string")
-        return head.unionByName(body)
+        # one entry a strategy: a handful
+        part = lambda cols: F.sort_array(F.collect_list(F.struct("strategy", *[c for _, c, _ in cols])))
+        doc = report.agg(*[part(cols).alias(title.lower().replace(" ", "_")) for title, cols in REPORT_SECTIONS])
+        if savings is not None:
+            doc = doc.join(savings.agg(F.collect_list(F.struct("*")).alias("savings")))
+        return doc.select(F.to_json(F.struct(F.lit(service).alias("service_name"), "*")).alias("line"), F.lit("0").alias("_o"))
     if fmt != "markdown":
-        return spark.createDataFrame([("Unsupported output format",)], "line string")
-    rows = report.select(F.concat_ws(" | ", F.lit(""), "strategy", _fmt(F.col("mean_cpu_hours"), 4),
-                                     _fmt(F.col("mean_memory_hours"), 4), _fmt(F.col("mean_p95_latency"), 4),
-                                     _fmt(F.col("mean_error_rate"), 4),
-                                     F.col("total_scaling_events").cast("string"), F.lit("")).alias("line"),
-                         F.col("strategy").alias("_o"))
-    head = spark.createDataFrame(
-        [(f"# Comparative report: {service}", "0"), ("", "1"),
-         ("| strategy | cpu hours | memory hours | p95 latency | error rate | scaling events |", "2"),
-         ("| --- | --- | --- | --- | --- | --- |", "3")], "line string, _o string")
-    parts = head.unionByName(rows.withColumn("_o", F.concat(F.lit("4"), F.col("_o"))))
-    if savings is not None:
-        sv = savings.select(F.format_string("Savings vs %s: cpu %.1f%%, memory %.1f%%, overall %.1f%%", "baseline",
-                                            "cpu_savings_percent", "memory_savings_percent",
-                                            "overall_savings_percent").alias("line"), F.lit("9").alias("_o"))
-        parts = parts.unionByName(sv)
+        return _lines(spark, [(UNSUPPORTED, "0")])
+    parts = _lines(spark, [(f"# Comparative report: {service}", "0")])
+    for k, (title, cols) in enumerate(REPORT_SECTIONS, 1):
+        head = " | ".join(["| strategy", *[t for t, _, _ in cols]]) + " |"
+        parts = parts.unionByName(_lines(spark, [(f"## {title}", f"{k}0"), (head, f"{k}1"), ("| --- " * (len(cols) + 1) + "|", f"{k}2")]))
+        row = F.concat(F.lit("| "), F.concat_ws(" | ", "strategy", *[_fmt(c, d) for _, c, d in cols]), F.lit(" |"))
+        parts = parts.unionByName(report.select(row.alias("line"), F.concat(F.lit(f"{k}3"), "strategy").alias("_o")))
+        if k == 1 and savings is not None:
+            parts = parts.unionByName(savings.select(F.concat(
+                F.lit("Savings of "), "candidate", F.lit(" over "), "baseline", F.lit(": cpu "), _fmt("cpu_savings_percent", 2),
+                F.lit("%, memory "), _fmt("memory_savings_percent", 2), F.lit("%, overall "), _fmt("overall_savings_percent", 2),
+                F.lit("%")).alias("line"), F.concat(F.lit("14"), "candidate").alias("_o")))
     return parts
 
 
@@ -72,12 +104,27 @@ def write_metrics(samples: DataFrame, summary: DataFrame, path: str) -> str:
     return path
 
 
-def evaluation_lines(scores: DataFrame, summary: DataFrame) -> DataFrame:
-    """A-15: per-service and fleet evaluation text (from V-19..V-21 tables)."""
-    per = scores.select(F.format_string("%s: overall score %.1f%% (%s)", "service", "overall_score",
-                                        "band").alias("line"), F.concat(F.lit("1"), F.col("service")).alias("_o"))
+def evaluation_lines(scores: DataFrame, summary: DataFrame, comp: DataFrame | None = None,
+                     by_target: DataFrame | None = None) -> DataFrame:
+    """A-15: fleet line, a line per service (V-19..V-21), and the standards report:
+    a line per checked result (V-18) and the mean score per target (V-22)."""
+    failed = F.col("overall_score").isNull()
+    per = scores.select(
+        F.when(failed, F.format_string("%s: no successful result", "service"))
+        .otherwise(F.format_string("%s: overall score %.1f%% (%s)", "service", "overall_score", "band")).alias("line"),
+        F.concat(F.lit("1"), F.col("service")).alias("_o"))
     fleet = summary.select(F.format_string(
-        "Services: %d, average score %.1f%%, excellent %d, good %d, acceptable %d, below %d",
-        "total_services", "average_score", "excellent_services", "good_services", "acceptable_services",
+        "Services: %d, failed %d, average score %.1f%%, excellent %d, good %d, acceptable %d, below %d",
+        "total_services", "failed_evaluations", "average_score", "excellent_services", "good_services", "acceptable_services",
         "below_standard_services").alias("line"), F.lit("0").alias("_o"))
-    return fleet.unionByName(per)
+    out = fleet.unionByName(per)
+    if comp is not None:
+        keys = [c for c in ("service", "target", "model") if c in comp.columns]
+        word = lambda c: F.when(F.col(c), "pass").when(~F.col(c), "fail").otherwise("none")
+        checks = F.concat_ws(", ", *[F.concat(F.lit(f"{n} "), word(f"{n}_compliant")) for n in ("mse", "mae", "r2", "overall", "confidence")])
+        out = out.unionByName(comp.select(F.concat(F.concat_ws(" / ", *keys), F.lit(": "), checks).alias("line"),
+                                          F.concat(F.lit("2"), F.concat_ws("/", *keys)).alias("_o")))
+    if by_target is not None:
+        out = out.unionByName(by_target.select(F.format_string("%s: mean score %.1f%% over %d services", "target", "mean_score", "n_services")
+                                               .alias("line"), F.concat(F.lit("3"), "target").alias("_o")))
+    return out
