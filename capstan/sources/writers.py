@@ -65,19 +65,22 @@ def strategy_report_lines(report: DataFrame, savings: DataFrame | None, service:
     """A-13: the comparative report as (line, _o), _o giving the order: markdown
     with a section each for cost, performance and stability, or one JSON document;
     any other format gives the single line ``Unsupported output format``.
-    ``report`` is the L-11 table (one row per strategy)."""
+    ``report`` is the L-11 table (one row per strategy); columns it lacks are left
+    out."""
     spark = report.sparkSession
+    have = set(report.columns)
+    sections = [(title, [x for x in cols if x[1] in have]) for title, cols in REPORT_SECTIONS]
     if fmt == "json":
         # one entry a strategy: a handful
         part = lambda cols: F.sort_array(F.collect_list(F.struct("strategy", *[c for _, c, _ in cols])))
-        doc = report.agg(*[part(cols).alias(title.lower().replace(" ", "_")) for title, cols in REPORT_SECTIONS])
+        doc = report.agg(*[part(cols).alias(title.lower().replace(" ", "_")) for title, cols in sections])
         if savings is not None:
             doc = doc.join(savings.agg(F.collect_list(F.struct("*")).alias("savings")))
         return doc.select(F.to_json(F.struct(F.lit(service).alias("service_name"), "*")).alias("line"), F.lit("0").alias("_o"))
     if fmt != "markdown":
         return _lines(spark, [(UNSUPPORTED, "0")])
     parts = _lines(spark, [(f"# Comparative report: {service}", "0")])
-    for k, (title, cols) in enumerate(REPORT_SECTIONS, 1):
+    for k, (title, cols) in enumerate(sections, 1):
         head = " | ".join(["| strategy", *[t for t, _, _ in cols]]) + " |"
         parts = parts.unionByName(_lines(spark, [(f"## {title}", f"{k}0"), (head, f"{k}1"), ("| --- " * (len(cols) + 1) + "|", f"{k}2")]))
         row = F.concat(F.lit("| "), F.concat_ws(" | ", "strategy", *[_fmt(c, d) for _, c, d in cols]), F.lit(" |"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from capstan.operators import ensemble as en
 from capstan.operators import forecast as fc
 from capstan.operators import grading as gr
+from capstan.operators import models as md
 from capstan.operators import scaling as sc
 from capstan.operators import splits as sp
 from capstan.operators.experiments import experiment_grid
@@ -92,3 +93,76 @@ def test_yeo_johnson_lambda_matches_grid_search(spark):
     grid = np.arange(-2, 4.0001, 0.001)
     best = grid[np.argmax([ll(g) for g in grid])]
     assert abs(lam - best) < 0.02
+
+
+def _points(spark, n=240, seed=5):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 2))
+    y = 3 * x[:, 0] - x[:, 1] + rng.normal(0, 0.05, n)
+    rows = [("ab"[i % 2], i, float(x[i, 0]), float(x[i, 1]), float(y[i]), int(y[i] > 0)) for i in range(n)]
+    return spark.createDataFrame(rows, "service string, idx long, a double, b double, y double, c int")
+
+
+def test_forest_and_boosted_explain_a_plain_target(spark):
+    d = _points(spark)
+    tr, te = d.where("idx < 180"), d.where("idx >= 180")
+    for fit in (md.rf_regressor, md.boosted_regressor):
+        m, pred = fit(tr, te, ["a", "b"], "y", params={"maxDepth": 5})
+        p = pred.toPandas()
+        assert len(p) == 60 and np.corrcoef(p["y"], p["prediction"])[0, 1] > 0.9
+        imp = {r["feature"]: r["importance"] for r in md.feature_importance(m, ["a", "b"], "m", spark).collect()}
+        assert abs(sum(imp.values()) - 1) < 1e-9 and imp["a"] > imp["b"]
+
+
+def test_failed_service_is_visible(spark):
+    d = _points(spark)
+
+    def fit(part, service):
+        if service == "b":
+            raise ValueError("no rows fit " + "x" * 300)
+        return part
+
+    preds, status = md.train_per_service(d, ["a", "b"], fit)
+    got = {r["service"]: r for r in status.collect()}
+    assert len(preds) == 1 and got["a"]["status"] == "success" and got["b"]["status"] == "failed"
+    assert got["b"]["error"].endswith("x" * 300)
+
+
+def test_stack_equals_numpy_per_key_and_skips_missing_predictions(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for s, scale in (("a", 1.0), ("b", 1e6)):
+        y = rng.normal(5, 2, 80) * scale
+        p = np.stack([y + rng.normal(0, scale, 80), 0.5 * y + rng.normal(0, scale, 80)], axis=1)
+        keep = [i for i in range(80) if not (s == "a" and i == 7)]
+        for i in range(80):
+            rows += [(s, "t", m, i, float(y[i]), float(p[i, k])) for k, m in enumerate(("m1", "m2")) if not (k == 1 and i not in keep)]
+        cut = len(keep) // 2
+        x = np.c_[np.ones(cut), p[keep[:cut]]]
+        w = np.linalg.lstsq(x, y[keep[:cut]], rcond=None)[0]
+        want |= {(s, i): w[0] + p[i] @ w[1:] for i in keep[cut:]}
+    df = spark.createDataFrame(rows, "service string, target string, model string, idx long, y_true double, y_pred double")
+    got = {(r["service"], r["idx"]): r["y_pred"] for r in md.stack(df, ["m1", "m2"]).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-6 * max(1, abs(want[k])) for k in want)
+
+
+def test_search_returns_a_fitted_model(spark):
+    d = _points(spark)
+    tr, te = d.where("idx < 180"), d.where("idx >= 180")
+    res = md.rf_classifier_search(tr, ["a", "b"], "c", [(tr.where("idx < 90"), tr.where("idx >= 90"))], n_iter=2,
+                                  space={"numTrees": [5, 10], "maxDepth": [3]}, max_rows=60)
+    m = md.score_classifier(res["model"], md.assemble(te, ["a", "b"]), "c")
+    assert set(res["params"]) == {"numTrees", "maxDepth"} and len(res["scores"]) == 2
+    assert m["accuracy"] > 0.8 and m["roc_auc"] > 0.9 and m["tp"] + m["fp"] + m["tn"] + m["fn"] == 60
+
+
+def test_autoregression_and_its_classifier(spark):
+    rows = [(i, [[np.sin(i / 3 + k / 3)] for k in range(6)], float(np.sin(i / 3 + 2)), int(np.sin(i / 3 + 2) > 0)) for i in range(200)]
+    s = spark.createDataFrame([(i, [[float(v) for v in r] for r in q], t, c) for i, q, t, c in rows],
+                              "idx long, sequence array<array<double>>, target double, y_class int")
+    tr, te = s.where("idx < 150"), s.where("idx >= 150")
+    p = md.autoregressive(tr, te)[1].toPandas()
+    assert np.abs(p["prediction"] - p["target"]).max() < 0.1
+    q = md.autoregressive_classifier(tr, te)[1].toPandas()
+    assert ((q["proba"] > 0.5) == (q["y_class"] == 1)).mean() > 0.9

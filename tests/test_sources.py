@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from capstan.session import scratch_path
 from capstan.sources import readers as rd
 from capstan.sources import writers as wr
 
@@ -56,7 +57,10 @@ def test_report_formats(spark):
     md = [r["line"] for r in wr.strategy_report_lines(rep, None, "svc").orderBy("_o").collect()]
     assert md[0].startswith("# Comparative report") and any("statistical" in x for x in md)
     js = wr.strategy_report_lines(rep, None, "svc", fmt="json").collect()
-    assert json.loads(js[1]["line"])["strategy"] == "statistical"
+    assert json.loads(js[0]["line"])["cost_efficiency"][0]["strategy"] == "statistical" and len(js) == 1
+    for fmt in ("markdown", "json", "csv"):
+        path = wr.write_report(wr.strategy_report_lines(rep, None, "svc", fmt=fmt), scratch_path(spark, "report"))
+        assert spark.read.text(path).count() >= 1
     assert wr.strategy_report_lines(rep, None, "svc", fmt="csv").first()["line"] == "Unsupported output format"
 
 
