@@ -19,6 +19,8 @@ HEADLINE = [
     "usage_profile_cpu_pod",    # R-1 exact percentiles, many groups
     "validate_recommendations",  # R-6
     "regression_metrics",       # V-1..V-5 one-pass scoring
+    "stat_features",            # F-14..F-18 on one statistics table
+    "power_transform",          # F-20
     "roc_auc",                  # V-9 rank form
     "inverse_error_vote",       # M-6 ensemble
     "rate",                     # B-2 counter rate, halo windows
@@ -35,6 +37,9 @@ HEADLINE = [
     "strategy_report",          # L-11
     "performance_sample",       # L-3
     "seasonal_forecast",        # M-4 normal equations
+    "forest_predictions",       # M-2 + M-12
+    "oversample",               # F-27 exact neighbours
+    "stream_profile",           # T-2
 ]
 
 

@@ -47,13 +47,11 @@ def with_sample_index(df: DataFrame, col: str = "timestamp", keys=(), mode: str
     ``lenient`` - more than 80 % must, failures map to 0."""
     share = F.avg(F.col(col).startswith("t_").cast("double"))
     idx = sample_index(col)
+    from ..session import maybe_broadcast
     if keys:
-        gate = df.groupBy(*keys).agg(share.alias("_share"))
-        from ..session import maybe_broadcast
-        d = df.join(maybe_broadcast(gate), list(keys))
+        d = df.join(maybe_broadcast(df.groupBy(*keys).agg(share.alias("_share"))), list(keys))
     else:
-        from pyspark.sql import Window
-        d = df.withColumn("_share", share.over(Window.partitionBy()))
+        d = df.crossJoin(F.broadcast(df.agg(share.alias("_share"))))  # one row
     if mode == "strict":
         v = F.when(F.col("_share") == 1.0, idx)
     else:

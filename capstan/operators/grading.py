@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_table
+from .windows import dense_position
+
 # Grade ladders as (grade, r2 must exceed, mape must stay below).
 LADDER_SEVEN = [("A+", 0.95, 0.05), ("A", 0.90, 0.10), ("B+", 0.80, 0.15), ("B", 0.70, 0.20),
                 ("C+", 0.60, 0.30), ("C", 0.50, 0.40)]
@@ -131,16 +134,15 @@ def cross_service(metrics: DataFrame) -> DataFrame:
     Everything after the first aggregate runs over the per-service table
     (one row per service), never over data rows.
     """
-    per = metrics.groupBy("service").agg(F.greatest(F.max("r2"), F.lit(0.0)).alias("best_r2"))
-    order = Window.orderBy(F.col("best_r2").desc(), F.col("service"))
-    every = Window.partitionBy()
+    per = scratch_table(metrics.groupBy("service").agg(F.greatest(F.max("r2"), F.lit(0.0)).alias("best_r2")), "services")
     r = F.col("best_r2")
-    return per.select(
-        "service", "best_r2", F.row_number().over(order).alias("rank"),
-        F.avg(r).over(every).alias("mean_r2"), F.stddev_pop(r).over(every).alias("std_r2"),
-        F.min(r).over(every).alias("min_r2"), F.max(r).over(every).alias("max_r2"),
-        F.min_by("service", F.struct(-r, F.col("service"))).over(every).alias("best_service"),
-        F.min_by("service", F.struct(r, F.col("service"))).over(every).alias("worst_service"))
+    fleet = per.agg(F.avg(r).alias("mean_r2"), F.stddev_pop(r).alias("std_r2"), F.min(r).alias("min_r2"), F.max(r).alias("max_r2"),
+                    F.min_by("service", F.struct(-r, F.col("service"))).alias("best_service"),
+                    F.min_by("service", F.struct(r, F.col("service"))).alias("worst_service"))
+    ranked = dense_position(per.withColumn("_neg", -r), [], ["_neg", "service"], "_pos")
+    return ranked.crossJoin(F.broadcast(fleet)).select(  # one row
+        "service", "best_r2", (F.col("_pos") + 1).cast("int").alias("rank"), "mean_r2", "std_r2", "min_r2", "max_r2",
+        "best_service", "worst_service")
 
 
 def standards_table(spark: SparkSession) -> DataFrame:

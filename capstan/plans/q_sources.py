@@ -141,8 +141,8 @@ def inventory(spark, sf):
     back to one row per container."""
     root = _scratch(spark, "pods")
     c = ad.containers(spark, sf).withColumn("_k", F.substring("container", 3, 20).cast("long"))
-    pods = c.groupBy(F.concat_ws("-", "service", (F.col("_k") % 40).cast("string")).alias("name"), "namespace",
-                     "service").agg(
+    c = wr.documents_of(c.withColumn("_name", F.concat_ws("-", "service", (F.col("_k") % 40).cast("string"))), ["_name"])
+    pods = c.groupBy(F.col("_name").alias("name"), "namespace", "service", "_doc").agg(
         F.collect_list(F.struct(F.col("container").alias("name"), F.concat(F.lit("img/"), "service").alias("image"),
                                 F.create_map(F.lit("cpu"), F.col("cpu_request"), F.lit("memory"),
                                              F.col("memory_request")).alias("requests"),
