@@ -348,38 +348,46 @@ def stability_cv(spark, sf):
     return qa.stability_cv(ad.gappy(spark, sf), ["experiment_id"], _CV_COLS)
 
 
+# for the verdict: limits that some experiments meet, and metrics that some lack
+_VERDICT_NULL, _VERDICT_CV = 20.0, 60.0
+
+
 @register("quality_verdict", adapters=["gappy"], sql=f"""
-    WITH c AS (SELECT experiment_id, 2 AS found, false AS c_ok FROM gappy GROUP BY experiment_id),
-    nb AS (SELECT experiment_id, count(*) FILTER (WHERE NOT passed) AS n_bad FROM ({_NULL_SQL}) x
-           GROUP BY experiment_id),
-    sb AS (SELECT experiment_id, count(*) FILTER (WHERE passed = false) AS s_bad FROM ({_CV_SQL}) y
-           GROUP BY experiment_id)
-    SELECT c.experiment_id,
-           CASE WHEN found = 0 THEN 'failed'
-                WHEN CAST(NOT c_ok AS INTEGER) + coalesce(n_bad, 0) + coalesce(s_bad, 0) > 0 THEN 'warnings'
-                ELSE 'passed' END AS quality,
-           CAST(NOT c_ok AS INTEGER) + coalesce(n_bad, 0) + coalesce(s_bad, 0) AS n_warnings,
-           CASE WHEN found = 0 THEN 'failed'
-                WHEN CAST(NOT c_ok AS INTEGER) + coalesce(n_bad, 0) + coalesce(s_bad, 0) > 0
-                THEN 'completed_with_warnings' ELSE 'completed' END AS status
-    FROM c LEFT JOIN nb ON c.experiment_id = nb.experiment_id LEFT JOIN sb ON c.experiment_id = sb.experiment_id""")
+    WITH e AS (SELECT DISTINCT experiment_id, load_users, replica_count FROM gappy),
+    c AS (SELECT experiment_id, CASE WHEN load_users >= 30 THEN 3 ELSE 2 END AS found FROM e WHERE NOT (load_users = 75 AND replica_count = 4)),
+    n AS (SELECT experiment_id, metric, null_pct FROM ({_NULL_SQL}) x WHERE null_pct > {_VERDICT_NULL}),
+    v AS (SELECT experiment_id, metric, cv_pct FROM ({_CV_SQL}) y WHERE cv_pct > {_VERDICT_CV}),
+    w AS (SELECT experiment_id, printf('Low data completeness: %.1f%%', found / 3.0 * 100) AS t FROM c WHERE found < 3
+          UNION ALL SELECT experiment_id, 'High NULL share in ' || metric || printf(': %.1f%%', null_pct) FROM n
+          UNION ALL SELECT experiment_id, 'High variability in ' || metric || printf(': CV=%.1f%%', cv_pct) FROM v),
+    g AS (SELECT experiment_id, count(*) AS n_warnings, string_agg(t, '; ' ORDER BY t) AS warnings FROM w GROUP BY 1)
+    SELECT e.experiment_id,
+           CASE WHEN c.found IS NULL THEN 'failed' WHEN coalesce(g.n_warnings, 0) > 0 THEN 'warnings' ELSE 'passed' END AS quality,
+           coalesce(g.n_warnings, 0) AS n_warnings, coalesce(g.warnings, '') AS warnings,
+           CASE WHEN c.found IS NULL THEN 'failed' WHEN coalesce(g.n_warnings, 0) > 0 THEN 'completed_with_warnings'
+                ELSE 'completed' END AS status
+    FROM e LEFT JOIN c ON e.experiment_id = c.experiment_id LEFT JOIN g ON e.experiment_id = g.experiment_id""")
 def quality_verdict(spark, sf):
-    """G-4: verdict per experiment from G-1 (cpu + memory present of the three
-    required), G-2 and G-3."""
+    """G-4: verdict and warning texts per experiment from G-1, G-2 and G-3; some
+    experiments lack a required metric, some have no metric at all."""
     g = ad.gappy(spark, sf)
-    long = g.select("experiment_id", F.explode(F.array(F.lit("cpu_cores"), F.lit("mem_bytes"))).alias("metric"))
-    comp = qa.completeness(long, ["experiment_id"])
-    v = qa.quality_verdict(comp, qa.null_share(g, ["experiment_id"], _NULL_COLS),
-                           qa.stability_cv(g, ["experiment_id"], _CV_COLS), ["experiment_id"])
-    return v.select("experiment_id", "quality", F.col("n_warnings").cast("long").alias("n_warnings"), "status")
+    names = F.array_compact(F.array(F.lit("cpu_cores"), F.lit("mem_bytes"), F.when(F.col("load_users") >= 30, F.lit("requests_per_second"))))
+    has = g.where(~((F.col("load_users") == 75) & (F.col("replica_count") == 4)))
+    comp = qa.completeness(has.select("experiment_id", F.explode(names).alias("metric")), ["experiment_id"])
+    v = qa.quality_verdict(comp, qa.null_share(g, ["experiment_id"], _NULL_COLS, max_pct=_VERDICT_NULL),
+                           qa.stability_cv(g, ["experiment_id"], _CV_COLS, max_pct=_VERDICT_CV), ["experiment_id"])
+    return v.select("experiment_id", "quality", F.col("n_warnings").cast("long").alias("n_warnings"),
+                    F.array_join(F.array_sort("warnings"), "; ").alias("warnings"), "status")
 
 
 @register("freshness", adapters=["samples", "containers"], floats=["age_seconds"], sql=f"""
     SELECT w.service, c.service IS NOT NULL AS is_valid,
-           CAST(c.service IS NULL AS INTEGER) AS n_issues,
-           CAST(coalesce(p.ncpu, 0) = 0 AS INTEGER) + CAST(coalesce(p.nmem, 0) = 0 AS INTEGER)
-             + CAST(coalesce((epoch_us(TIMESTAMP '2024-01-30 23:45:00') - epoch_us(p.last_ts)) / 1e6 > 3600, false)
-                    AS INTEGER) AS n_warnings,
+           CASE WHEN c.service IS NULL THEN 'No deployment information found' ELSE '' END AS issues,
+           array_to_string(list_filter([
+             CASE WHEN coalesce(p.ncpu, 0) = 0 THEN 'No CPU metrics data' END,
+             CASE WHEN coalesce(p.nmem, 0) = 0 THEN 'No memory metrics data' END,
+             CASE WHEN (epoch_us(TIMESTAMP '2024-01-30 23:45:00') - epoch_us(p.last_ts)) / 1e6 > 3600 THEN 'Data is stale' END],
+             lambda x: x IS NOT NULL), '; ') AS warnings,
            (epoch_us(TIMESTAMP '2024-01-30 23:45:00') - epoch_us(p.last_ts)) / 1e6 AS age_seconds
     FROM ({_WANTED_SQL}) w
     LEFT JOIN (SELECT DISTINCT service FROM containers WHERE service <> 'signup') c ON w.service = c.service
@@ -392,5 +400,5 @@ def freshness(spark, sf):
     inv = ad.containers(spark, sf).where(F.col("service") != "signup")
     s = ad.samples(spark, sf).where(~((F.col("metric") == "mem_bytes") & (F.col("service") == "view")))
     f = qa.freshness(_wanted(spark, sf), inv, s, "2024-01-30 23:45:00")
-    return f.select("service", "is_valid", F.size("issues").alias("n_issues"), F.size("warnings").alias("n_warnings"),
-                    "age_seconds")
+    return f.select("service", "is_valid", F.array_join("issues", "; ").alias("issues"),
+                    F.array_join("warnings", "; ").alias("warnings"), "age_seconds")

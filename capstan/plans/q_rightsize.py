@@ -163,11 +163,18 @@ _VAL_CPU = S.parse_cpu("recommended_cpu")
 _VAL_MEM = S.parse_memory("recommended_memory")
 
 
+_WARN = f"""array_to_string(list_filter([
+             CASE WHEN {_VAL_CPU} < 0.01 THEN 'Very low CPU recommendation for ' || container || ': ' || {_VAL_CPU}
+                  WHEN {_VAL_CPU} > 8.0 THEN 'High CPU recommendation for ' || container || ': ' || {_VAL_CPU} || ' cores' END,
+             CASE WHEN {_VAL_MEM} < 33554432 THEN 'Very low memory recommendation for ' || container || ': ' || recommended_memory
+                  WHEN {_VAL_MEM} > 34359738368 THEN 'Very high memory recommendation for ' || container || ': ' || recommended_memory END],
+             lambda x: x IS NOT NULL), '; ')"""
+
+
 @register("validate_recommendations", adapters=["samples", "containers"], floats=["recommended_cores"], sql=f"""
     SELECT service, container, recommended_cpu, recommended_memory,
            {_VAL_CPU} AS recommended_cores, {_VAL_MEM} AS recommended_bytes,
-           CAST(({_VAL_CPU} < 0.01 OR {_VAL_CPU} > 8.0) AS INTEGER)
-             + CAST(({_VAL_MEM} < 33554432 OR {_VAL_MEM} > 34359738368) AS INTEGER) AS n_warnings,
+           {_WARN} AS warnings,
            CASE WHEN {_VAL_CPU} < 0.01 THEN 'low_cpu' WHEN {_VAL_CPU} > 8.0 THEN 'high_cpu' END AS cpu_flag,
            CASE WHEN {_VAL_MEM} < 33554432 THEN 'low_memory'
                 WHEN {_VAL_MEM} > 34359738368 THEN 'high_memory' END AS memory_flag
@@ -175,7 +182,28 @@ _VAL_MEM = S.parse_memory("recommended_memory")
 def validate_recommendations(spark, sf):
     """R-6: warnings from the formatted recommendations."""
     v = rz.validate_recommendations(rz.recommendations(ad.containers(spark, sf), ad.samples(spark, sf)))
-    return v.withColumn("n_warnings", F.size("warnings")).drop("warnings")
+    return v.withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@register("validation_summary", adapters=["samples", "containers"], sql=f"""
+    SELECT true AS is_valid, CAST(sum(CAST(({_VAL_CPU} < 0.01 OR {_VAL_CPU} > 8.0) AS INTEGER)
+             + CAST(({_VAL_MEM} < 33554432 OR {_VAL_MEM} > 34359738368) AS INTEGER)) AS BIGINT) AS n_warnings,
+           count(*) AS n_recommendations
+    FROM ({_REC_SQL}) r""")
+def validation_summary(spark, sf):
+    """R-6: overall verdict and number of warnings."""
+    return rz.validation_summary(rz.validate_recommendations(rz.recommendations(ad.containers(spark, sf), ad.samples(spark, sf))))
+
+
+@register("recommendations_nested", adapters=["samples", "containers"], floats=["percentile_value"], sql=f"""
+    SELECT service, namespace, container, strategy, 95.0::DOUBLE AS cpu_percentile, current_cpu, recommended_memory,
+           cpu_percentile_value AS percentile_value, mem_has_data FROM ({_REC_SQL}) r""")
+def recommendations_nested(spark, sf):
+    """R-5, the nested view, with fields of each of its structs."""
+    n = rz.recommendations_nested(rz.recommendations(ad.containers(spark, sf), ad.samples(spark, sf)))
+    return n.select("service", "namespace", "container", "strategy", "parameters.cpu_percentile",
+                    F.col("current_requests.cpu").alias("current_cpu"), F.col("recommended_requests.memory").alias("recommended_memory"),
+                    F.col("analysis.cpu.percentile_value").alias("percentile_value"), F.col("analysis.memory.has_data").alias("mem_has_data"))
 
 
 @register("resource_delta", adapters=["samples", "containers"],

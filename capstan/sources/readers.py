@@ -133,11 +133,6 @@ def read_instant_vector(spark: SparkSession, path: str, whole_files: bool = True
                     F.coalesce(val, F.lit(0.0)).alias("value"))
 
 
-def scalar_value(vec: DataFrame, default: float = 0.0) -> Column:
-    """A-5 scalar pick: the first result's value, else ``default``."""
-    return F.coalesce(F.first("value"), F.lit(default))
-
-
 def resource_requests(vec: DataFrame) -> DataFrame:
     """A-6: instant vector of resource requests -> (pod, container, resource, value)."""
     lab = F.col("labels")
