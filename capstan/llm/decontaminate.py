@@ -40,24 +40,24 @@ UNITS = ("km m cm mm mi miles kg g mg lb lbs oz l ml s sec seconds min minutes h
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 UNIT = re.compile("(\ue001)(\\s*)(" + "|".join(sorted(UNITS.split(), key=len, reverse=True)) + r"|%)(?![^\W_])", re.IGNORECASE)
 #: A capitalised word inside a sentence: after a word, a comma or a semicolon.
-NAME = re.compile(r"(?<=[^\W_][ ])[A-ZÀ-Þ][^\W\d_]*[a-zß-ÿ](?![^\W_])|(?<=[,;][ ])[A-ZÀ-Þ][^\W\d_]*[a-zß-ÿ](?![^\W_])")
-TOKEN = re.compile("[\ue000-\ue002]|[^\\W_]+")
+#: (The look back follows the capital, so that the search skips to capitals.)
+NAME = re.compile(r"[A-ZÀ-Þ](?:(?<=[^\W_] .)|(?<=[,;] .))[^\W\d_]*[a-zß-ÿ](?![^\W_])")
+TOKEN = re.compile("[\ue001\ue002]|\ue000?[^\\W_]+")
 DIGIT = re.compile(r"\d")
 #: Placeholders: characters of the private use area, blanked in texts that hold them.
 NAME_MARK, NUMBER_MARK, UNIT_MARK = "\ue000", "\ue001", "\ue002"
 MARKS = NAME_MARK + NUMBER_MARK + UNIT_MARK
 
 
-def readings(text: str) -> list[tuple[int, str]]:
-    """(0, literal reading) and, where it differs, (1, reading with names as
-    placeholders); numbers and units are placeholders in both."""
-    text = text.translate({0xE000: " ", 0xE001: " ", 0xE002: " "}) if any(m in text for m in MARKS) else text
-    out = [(0, text)]
-    if NAME.search(text):
-        out.append((1, NAME.sub(NAME_MARK, text)))
+def tokens_of(text: str) -> list[str]:
+    """Words of the text, lower-cased; numbers and units are placeholders, names
+    carry the name mark in front."""
+    if any(m in text for m in MARKS):
+        text = text.translate({0xE000: " ", 0xE001: " ", 0xE002: " "})
+    text = NAME.sub(NAME_MARK + r"\g<0>", text)
     if DIGIT.search(text):
-        out = [(k, UNIT.sub(rf"{NUMBER_MARK}\2{UNIT_MARK}", NUMBER.sub(NUMBER_MARK, t))) for k, t in out]
-    return [(k, t.lower()) for k, t in out]
+        text = UNIT.sub(rf"{NUMBER_MARK}\2{UNIT_MARK}", NUMBER.sub(NUMBER_MARK, text))
+    return TOKEN.findall(text.lower())
 
 
 def slot_values(text: str, reading: int) -> list[str]:
@@ -74,28 +74,42 @@ def slot_values(text: str, reading: int) -> list[str]:
     return [v for _, v in sorted(kinds)]
 
 
+#: Odd multipliers of a window's words.
+FACTORS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def window_hashes(w: np.ndarray, reading: int) -> np.ndarray:
+    n = len(w) - WINDOW + 1
+    h = w[:n] * FACTORS[0]
+    for j in range(1, WINDOW):
+        h = h + w[j:j + n] * FACTORS[j]
+    return mix64(h + np.uint64(reading)).view(np.int64)
+
+
 def windows(text: str, words: WordHashes):
     """For each reading: (reading, tokens, window hashes, whether a window has
     enough literal words)."""
-    for k, t in readings(text):
-        tokens = TOKEN.findall(t)
-        n = len(tokens) - WINDOW + 1
-        if n < 1:
-            continue
-        w = words.of(tokens)
-        h = np.zeros(n, np.uint64)
-        for j in range(WINDOW):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + mix64(w[j:j + n] + np.uint64(j + 1))
-        ok = np.ones(n, bool)
-        if k or NUMBER_MARK in t:
-            slot = np.fromiter((x in MARKS for x in tokens), bool, len(tokens))
-            c = np.append(0, np.cumsum(slot))
-            ok = WINDOW - (c[WINDOW:] - c[:n]) >= LITERAL
-            if k:
-                # windows without a name are in the literal reading already
-                name = np.append(0, np.cumsum([x == NAME_MARK for x in tokens]))
-                ok &= name[WINDOW:] - name[:n] > 0
-        yield k, tokens, mix64(h + np.uint64(k)).view(np.int64), ok
+    tokens = tokens_of(text)
+    n = len(tokens) - WINDOW + 1
+    if n < 1:
+        return
+    named = NAME_MARK in "".join(tokens)
+    literal = [x.lstrip(NAME_MARK) for x in tokens] if named else tokens
+    w = words.of(literal)
+    ok = np.ones(n, bool)
+    if any(m in tokens for m in (NUMBER_MARK, UNIT_MARK)):
+        slot = np.append(0, np.cumsum([x in MARKS for x in literal]))
+        ok = WINDOW - (slot[WINDOW:] - slot[:n]) >= LITERAL
+    yield 0, literal, window_hashes(w, 0), ok
+    if named:
+        tokens = [NAME_MARK if x[0] == NAME_MARK else x for x in tokens]
+        name = np.array([x == NAME_MARK for x in tokens])
+        slot = np.append(0, np.cumsum([x in MARKS for x in tokens]))
+        names = np.append(0, np.cumsum(name))
+        # windows without a name are in the literal reading already
+        ok = (WINDOW - (slot[WINDOW:] - slot[:n]) >= LITERAL) & (names[WINDOW:] - names[:n] > 0)
+        w = np.where(name, words.of([NAME_MARK])[0], w)
+        yield 1, tokens, window_hashes(w, 1), ok
 
 
 ROW = "reading int, at int, h bigint, slots array<string>"
