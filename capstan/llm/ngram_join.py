@@ -11,6 +11,9 @@ A bucket with many nodes is split into blocks, and each pair of blocks is a task
 of its own, so no task holds a whole bucket.  A pair that shares several bands is
 looked at in the first one only.
 
+Links are counted and joined into classes where they are verified; pairs are
+given out neither there nor later.
+
 Texts of fewer words than a shingle have one shingle of all their words; texts
 without a word are linked to nothing.  Equal rows are copies of each other.  An
 empty table gives an empty result.
@@ -180,7 +183,7 @@ KEY = ["key", "band", "bi", "bj"]
 
 def prune(batches):
     """Surviving pairs of each bucket block, as one row for each node involved:
-    its partners in the block that come after it."""
+    its place in the block and the places of its partners after it."""
     need = least_matches()
     names = [*KEY, "blk", "node", "size", "sig"]
     for t in groups_of(batches, names, KEY):
@@ -196,14 +199,14 @@ def prune(batches):
             i, j = i[ok], j[ok]
             got = np.zeros(len(i), np.int32)
             for n in range(STEP, HASHES + 1, STEP):
+                if not len(i):
+                    break
                 equal = sig[i, n - STEP:n] == sig[j, n - STEP:n]
                 got += equal.sum(1)
                 shared = equal.reshape(len(i), -1, ROWS).all(2)
                 earlier = (shared & (np.arange((n - STEP) // ROWS, n // ROWS)[None, :] < band[i][:, None])).any(1)
                 ok = (got >= need[n]) & ~earlier
                 i, j, got = i[ok], j[ok], got[ok]
-                if not len(i):
-                    break
             left.append(i)
             right.append(j)
         if not left:
@@ -214,63 +217,93 @@ def prune(batches):
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
         rows = np.union1d(i, j)
+        first = starts[np.searchsorted(starts, rows, "right") - 1]
+        partner = j - starts[np.searchsorted(starts, j, "right") - 1]
         offsets = np.append(np.searchsorted(i, rows), len(i))
-        node = t.column("node").combine_chunks()
-        partners = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), node.take(pa.array(j)))
-        out = t.select([*KEY, "node"]).take(pa.array(rows)).append_column("partners", partners)
+        out = t.select([*KEY, "node"]).take(pa.array(rows))
+        out = out.append_column("place", pa.array(rows - first, pa.int32()))
+        out = out.append_column("partners", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(partner, pa.int32())))
         yield from out.combine_chunks().to_batches()
 
 
 def verify(batches):
-    """Exact similarity of the surviving pairs of each bucket block."""
-    names = [*KEY, "node", "partners", "x"]
+    """Exact similarity of the surviving pairs of each bucket block: one row for
+    each node with a pair at or above the threshold.  ``near`` counts the
+    documents of its partners in this block, ``link`` is another node of its
+    component (null for one node of it); no pair is given out."""
+    names = [*KEY, "node", "place", "partners", "x", "copies"]
     for t in groups_of(batches, names, KEY):
         starts = starts_of(t, KEY)
-        node, x = t.column("node").to_pylist(), t.column("x").to_pylist()
-        partners = t.column("partners").to_pylist()
-        a, b, sim = [], [], []
+        node, sets = t.column("node").to_pylist(), t.column("x").to_pylist()
+        place, copies, partners = t.column("place").to_numpy(), t.column("copies").to_numpy(), t.column("partners").to_pylist()
+        out_node, out_near, out_link = [], [], []
         for s, e in zip(starts[:-1], starts[1:]):
-            sets = {node[k]: np.frombuffer(x[k], np.uint64) for k in range(s, e)}
-            for k in range(s, e):
-                u = sets[node[k]]
-                for p in partners[k]:
-                    v = sets[p]
-                    both = len(u) + len(v) - len(np.union1d(u, v))
-                    union = len(u) + len(v) - both
-                    if both >= THRESHOLD * union - 1e-9:
-                        a.append(node[k])
-                        b.append(p)
-                        sim.append(both / union)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
+            row_of = {int(p): k for k, p in enumerate(place[s:e])}
+            parts = [np.frombuffer(x, np.uint64) for x in sets[s:e]]
+            at = np.append(0, np.cumsum([len(x) for x in parts]))
+            distinct, ids = np.unique(np.concatenate(parts), return_inverse=True)
+            mark, near = np.zeros(len(distinct), bool), np.zeros(e - s, np.int64)
+            root, link = list(range(e - s)), [None] * (e - s)
+
+            def find(k):
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for i in range(e - s):
+                if not partners[s + i]:
+                    continue
+                with_ = np.array([row_of[p] for p in partners[s + i]])
+                n = at[with_ + 1] - at[with_]
+                begin = np.append(0, np.cumsum(n)[:-1])
+                mine = ids[at[i]:at[i + 1]]
+                mark[mine] = True
+                both = np.add.reduceat(mark[np.concatenate([ids[at[k]:at[k + 1]] for k in with_])], begin, dtype=np.int64)
+                mark[mine] = False
+                hit = with_[both >= THRESHOLD * (n + len(mine) - both) - 1e-9]
+                near[i] += copies[s + hit].sum()
+                near[hit] += copies[s + i]
+                for k in hit:
+                    a, b = find(i), find(int(k))
+                    if a != b:
+                        root[b], link[b] = a, node[s + a]
+            for k in np.flatnonzero(near):
+                out_node.append(node[s + k])
+                out_near.append(int(near[k]))
+                out_link.append(link[k])
+        yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.binary()), pa.array(out_near, pa.int64()), pa.array(out_link, pa.binary())],
+                                         ["node", "near", "link"])
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, similarity): every pair of nodes at or above the threshold."""
+    """(node, near, link): by bucket block, the documents linked to a node and
+    one edge of a spanning forest of its links."""
     spark = docs.sparkSession
     members = bucket_members(nodes)
     sigs = nodes.select(F.col("node").alias("_n"), "size", "sig")
     members = members.join(sigs, F.col("node") == F.col("_n")).drop("_n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = members.repartition(parts, *KEY).sortWithinPartitions(*KEY).mapInArrow(
-        prune, "key bigint, band int, bi bigint, bj bigint, node binary, partners array<binary>")
+        prune, "key bigint, band int, bi bigint, bj bigint, node binary, place int, partners array<int>")
     left = stored(left, "survivors")
 
     # shingle sets of the nodes involved, from one document each
-    involved = left.select("node").distinct().join(nodes.select(F.col("node").alias("_n"), "rep"), F.col("node") == F.col("_n"))
-    involved = stored(involved.select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.rk").alias("_rk")), "involved")
+    involved = left.select("node").distinct().join(nodes.select(F.col("node").alias("_n"), "rep", "copies"), F.col("node") == F.col("_n"))
+    involved = stored(involved.select("node", "copies", F.col("rep.doc_id").alias("_id"), F.col("rep.rk").alias("_rk")), "involved")
 
     def sets(batches):
         words = WordHashes()
         for b in batches:
             x = [shingle_hashes(t, words).tobytes() for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(x, pa.binary())], ["_n", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array(x, pa.binary())], ["_n", "copies", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest(docs, "text").alias("rk"), text_of().alias("t"))
     texts = texts.join(sized(involved), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")))
     # rows equal in id and text give the same set
-    x = texts.select("node", "t").mapInArrow(sets, "_n binary, x binary").dropDuplicates(["_n"])
+    x = texts.select("node", "copies", "t").mapInArrow(sets, "_n binary, copies long, x binary").dropDuplicates(["_n"])
     ready = left.join(x, F.col("node") == F.col("_n")).drop("_n")
-    return ready.repartition(parts, *KEY).sortWithinPartitions(*KEY).mapInArrow(verify, "a binary, b binary, similarity double")
+    return ready.repartition(parts, *KEY).sortWithinPartitions(*KEY).mapInArrow(verify, "node binary, near long, link binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -310,10 +343,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     nodes = stored(nodes, "nodes")
     found = stored(links(docs, nodes), "links")
-    copies = nodes.select(F.col("node").alias("_n"), "copies")
-    both = found.select("a", "b").union(found.select("b", "a"))
-    near = both.join(copies, F.col("b") == F.col("_n")).groupBy(F.col("a").alias("_a")).agg(F.sum("copies").alias("near"))
-    comp = components(found).withColumnRenamed("node", "_c")
+    near = found.groupBy(F.col("node").alias("_a")).agg(F.sum("near").alias("near"))
+    forest = found.where(F.col("link").isNotNull()).select(F.col("node").alias("a"), F.col("link").alias("b"))
+    comp = components(forest).withColumnRenamed("node", "_c")
     info = nodes.select("node", "copies", "rep").join(near, F.col("node") == F.col("_a"), "left").join(comp, F.col("node") == F.col("_c"), "left")
     info = info.select("node", "copies", "rep", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("root", "node").alias("root"))
     info = stored(info, "node-info")
