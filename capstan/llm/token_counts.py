@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from .common import sized, stored, text_of
 
+#: With at most so many misses (a warm cache) their digests are broadcast and the
+#: texts stay where they are; beyond it the texts are dealt by digest.
+WARM_MISSES = 10_000
+
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
 
@@ -83,7 +87,7 @@ def count_tokens(docs: DataFrame, name: str = "piece_bpe_32k.model", cache_path:
     missing = stored(keyed.groupBy("digest").agg(F.min("doc_id").alias("_id")).join(known, "digest", "left_anti")
                      .withColumnRenamed("digest", "_digest"), "missing")
     todo = docs.select("doc_id", text_of().alias("t"), digest.alias("digest")).join(
-        sized(missing), (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        sized(missing, WARM_MISSES), (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
 
     def encode(batches):
         count = load_encoder(name)
