@@ -49,7 +49,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
 
     from capstan.plans import REGISTRY
-    from capstan.session import checkpoint_dir, get_session
+    from capstan.session import checkpoint_dir, drop_scratch, get_session
 
     spark = get_session(f"local[{cpus}]", app="capstan-bench", shuffle_partitions=int(cpus))
     checkpoint_dir(spark)
@@ -58,12 +58,14 @@ def main() -> None:
     if os.path.isdir(warm):
         for n in names:
             REGISTRY[n].build(spark, warm).write.format("noop").mode("overwrite").save()
+            drop_scratch(spark)
 
     times: dict[str, float] = {}
     for n in names:
         t0 = time.perf_counter()
         REGISTRY[n].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)
+        drop_scratch(spark)
 
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
