@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, keep_rows, mix64, row_digest, sized, stored, text_of
+from .common import keep_rows, mix64, row_digest, sized, stored, text_of, WordHashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 25 bands of 5 values: a pair of similarity 0.8 shares none in 5 of 100,000 cases.
