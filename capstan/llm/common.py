@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,14 @@ def keep_rows(docs: DataFrame, rejected: DataFrame, *digest_of: str) -> DataFram
     return left.join(right, cond, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def small(batches, rows: int = 1000):
+    """The rows of Arrow batches in portions, so that a task holds the Python
+    objects of one portion only."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bit mixer over uint64 (Stafford's variant 13, as in SplitMix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -100,13 +109,11 @@ class WordHashes(dict):
     """word -> 64-bit hash, kept between documents of a task and emptied when
     it grows past ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
         h = xxhash.xxh3_64_intdigest(word)
         self[word] = h
         return h
