@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, keep_rows, mix64, row_digest, sized, stored, text_of
+from .common import keep_rows, mix64, row_digest, sized, small, stored, text_of, WordHashes
 
 #: Words in a window, words of a window that must not be placeholders, and words
 #: of an item that must be covered (or all of a shorter item).
@@ -134,7 +134,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     being the digest of its text."""
     def run(batches):
         words = WordHashes()
-        for b in batches:
+        for b in small(batches):
             rows = []
             for item, t in zip(b.column("item").to_pylist(), b.column("t").to_pylist()):
                 n = {k: len(tokens) for k, tokens, _, _ in windows(t, words)}
@@ -169,7 +169,7 @@ def document_windows(docs: DataFrame, bitmap: bytes) -> DataFrame:
             b = h.view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
             return (bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-        for b in batches:
+        for b in small(batches):
             rows = [(i, rk, *x) for i, rk, t in zip(b.column("doc_id").to_pylist(), b.column("rk").to_pylist(), b.column("t").to_pylist())
                     for x in emit(t, words, wanted)]
             cols = list(zip(*rows)) if rows else [[]] * 6
