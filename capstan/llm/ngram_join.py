@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, mix64, row_digest, sized, stored, text_of, WordHashes
+from .common import keep_rows, mix64, row_digest, sized, small, stored, text_of, WordHashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 25 bands of 5 values: a pair of similarity 0.8 shares none in 5 of 100,000 cases.
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     signature and band keys."""
     def run(batches):
         words, (mult, mask) = WordHashes(), hash_family()
-        for b in batches:
+        for b in small(batches):
             node, size, sig, keys = [], [], [], []
             for t in b.column("t").to_pylist():
                 x = shingle_hashes(t, words)
@@ -135,23 +135,21 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return both.select("key", "band", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "node")
 
 
-def groups_of(batches, names: list[str], key: list[str]):
+def groups_of(batches, names: list[str], key: list[str], portion: int = 2000):
     """Tables of whole groups from sorted Arrow batches: the rows of a key stay
-    together even when they lie in several batches."""
+    together even when they lie in several batches.  A table has about ``portion``
+    rows at the most, unless a single group has more."""
     rest = None
     for b in batches:
         t = pa.Table.from_batches([b]).select(names)
         t = t if rest is None else pa.concat_tables([rest, t])
-        cols = [t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in key]
-        new = np.zeros(t.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        cut = np.flatnonzero(new)
-        if not len(cut):
-            rest = t
-            continue
-        yield t.slice(0, cut[-1])
-        rest = t.slice(cut[-1])
+        ends = starts_of(t, key)[1:]  # of all groups; the last one may go on in the next batch
+        at = 0
+        while len(ends) > 1 and at < ends[-2]:
+            end = ends[:-1][max(np.searchsorted(ends[:-1], at + portion, "right") - 1, np.searchsorted(ends[:-1], at, "right"))]
+            yield t.slice(at, end - at)
+            at = end
+        rest = t.slice(at)
     if rest is not None and rest.num_rows:
         yield rest
 
@@ -235,10 +233,13 @@ def verify(batches):
     for t in groups_of(batches, names, KEY):
         starts = starts_of(t, KEY)
         node, sets = t.column("node").to_pylist(), t.column("x").to_pylist()
-        place, copies, partners = t.column("place").to_numpy(), t.column("copies").to_numpy(), t.column("partners").to_pylist()
+        place, copies = t.column("place").to_numpy(), t.column("copies").to_numpy()
+        lists = t.column("partners").combine_chunks()
+        partners, of = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
         out_node, out_near, out_link = [], [], []
         for s, e in zip(starts[:-1], starts[1:]):
-            row_of = {int(p): k for k, p in enumerate(place[s:e])}
+            row_of = np.full(place[s:e].max() + 1, -1)
+            row_of[place[s:e]] = np.arange(e - s)
             parts = [np.frombuffer(x, np.uint64) for x in sets[s:e]]
             at = np.append(0, np.cumsum([len(x) for x in parts]))
             distinct, ids = np.unique(np.concatenate(parts), return_inverse=True)
@@ -252,9 +253,9 @@ def verify(batches):
                 return k
 
             for i in range(e - s):
-                if not partners[s + i]:
+                with_ = row_of[partners[of[s + i]:of[s + i + 1]]]
+                if not len(with_):
                     continue
-                with_ = np.array([row_of[p] for p in partners[s + i]])
                 n = at[with_ + 1] - at[with_]
                 begin = np.append(0, np.cumsum(n)[:-1])
                 mine = ids[at[i]:at[i + 1]]
@@ -294,7 +295,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def sets(batches):
         words = WordHashes()
-        for b in batches:
+        for b in small(batches):
             x = [shingle_hashes(t, words).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array(x, pa.binary())], ["_n", "copies", "x"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_digest, stored, text_of
+from .common import row_digest, small, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -118,7 +118,7 @@ MENTION = pa.struct([("value", pa.string()), ("start", pa.int64()), ("end", pa.i
 def extract(docs: DataFrame) -> DataFrame:
     """Base spans and mentions of every document."""
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             spans, found = [], []
             for t in b.column("t").to_pylist():
                 s = base_spans(t)
