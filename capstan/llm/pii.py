@@ -1,10 +1,11 @@
 """Personal data by rules and by bootstrapped contextual extraction.
 
 Base spans come from four fixed rules.  They seed a graph of lexical patterns
-(neighbouring words and the shape of the value) and instances (values): Spark
-scores patterns by the instances they hold and instances by the patterns that
-hold them, in turns; patterns of high confidence then add spans for values that
-no rule caught.
+(two words before the value, or the words on both sides of it) and instances
+(values): Spark scores patterns by the instances they hold and instances by the
+patterns that hold them, in turns; patterns of high confidence then add spans for
+values that no rule caught.  The form of a value plays no part in a pattern; it
+only tells of which kinds a value can be.
 
 Edge cases: a null text counts as empty; empty texts have no spans; rows equal in
 id and text get equal results; an empty table gives an empty result.
@@ -35,8 +36,20 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-VALUE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9_+./:@-]{4,62}[A-Za-z0-9])(?![A-Za-z0-9])")
-WORD = re.compile(r"\S+")
+AT = r"(?:\x20?@\x20?|\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20)"
+DOT = r"(?:\.|\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20)"
+#: A mail address told in words or with blanks: at and dot in brackets or spelt.
+SPELT = re.compile(rf"(?<!\S)[A-Za-z0-9._%+-]{{1,64}}{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*+", re.IGNORECASE)
+SPELT_HINT = re.compile(r"[(\[{]\x20?at\x20?[)\]}]|\x20dot\x20|[(\[{]\x20?dot|@\x20|\x20@", re.IGNORECASE)
+#: Words with a digit or an @, with the words with a digit right after them.
+VALUE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9]\S*+)*+")
+LABEL = re.compile(r"[A-Za-z_]+[:=](?=[^:]+$)")
+IP_LIKE = re.compile(r"[\[(]?[0-9A-Fa-f]*(?:(?:[.:]|[\[(]\.[\])])[0-9A-Fa-f]*){2,}(?:[/%:][0-9A-Za-z]+)?[\])]?")
+CARD_LIKE = re.compile(r"[0-9](?:[\x20._/-]*[0-9]){11,18}")
+LETTER = re.compile(r"[^\W\d_]")
+#: Longest value that can be of a kind.
+VALUE_CHARS = 254
+WORD = re.compile(r"[^\W_]+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -82,37 +95,77 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(value: str) -> str:
-    """Character classes of a value with run lengths of digits kept."""
-    s = re.sub(r"[A-Z]+", "A", re.sub(r"[a-z]+", "a", value))
-    return re.sub(r"[0-9]+", lambda m: f"9{len(m.group())}", s)
+def types(value: str) -> int:
+    """Bits of the kinds that a value can be of by its form, judged coarsely."""
+    if len(value) > VALUE_CHARS:
+        return 0
+    n = sum(map(str.isdigit, value))
+    bits = int("@" in value[1:-1] or SPELT.fullmatch(value) is not None)
+    bits |= 2 * (IP_LIKE.fullmatch(value) is not None)
+    bits |= 4 * (CARD_LIKE.fullmatch(value) is not None)
+    # letters: an extension
+    return bits | 8 * (7 <= n <= 17 and "@" not in value and len(LETTER.findall(value)) <= 6)
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with line ends in place of the spans, which are sorted."""
+    out, end = [], 0
+    for s, e in spans:
+        s = max(s, end)
+        if e > s:
+            out += [text[end:s], "\n" * (e - s)]
+            end = e
+    return "".join([*out, text[end:]]) if out else text
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the values beside the base spans: whatever holds a digit
+    or an @, or tells a mail address in words."""
+    text = without(text, sorted((s, e) for s, _, e in spans))
+    out = [m.span() for m in SPELT.finditer(text) if SPELT_HINT.search(m.group())] if SPELT_HINT.search(text) else []
+    text = without(text, out)
+    for m in VALUE.finditer(text):
+        s, v = m.start(), m.group()
+        label = LABEL.match(v)
+        if label:
+            s, v = s + label.end(), v[label.end():]
+        w = v.lstrip("\"'<>[]{},;:.!?*)#=")if not v.startswith(("::", "[")) else v
+        s, v = s + len(v) - len(w), w.rstrip("\"'<>{},;:.!?*(=")
+        if v.startswith("(") and ")" not in v:
+            s, v = s + 1, v[1:]
+        if v.endswith(")") and "(" not in v:
+            v = v[:-1]
+        if v.startswith("[") and "]" not in v:
+            s, v = s + 1, v[1:]
+        if v.endswith("]") and "[" not in v:
+            v = v[:-1]
+        if v:
+            out.append((s, s + len(v)))
+    return out
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, list[str]]]:
-    """(value, start, end, kind number or -1, patterns) of base spans and of other
-    values with a digit that look like identifiers."""
-    out, busy, k = [], sorted((s, e) for s, _, e in spans), 0
-    todo = [(s, e, kind) for s, kind, e in spans]
-    for m in VALUE.finditer(text):
-        while k < len(busy) and busy[k][1] <= m.start():
-            k += 1
-        if DIGIT.search(m.group()) and not any(s < m.end() and e > m.start() for s, e in busy[k:k + 4]):
-            todo.append((m.start(), m.end(), -1))
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, int, list[str]]]:
+    """(value, start, end, kind number or -1, bits of the kinds it can be of,
+    patterns) of base spans and of the other values that stand in a pattern."""
+    out = []
+    todo = [(s, e, kind) for s, kind, e in spans] + [(s, e, -1) for s, e in candidates(text, spans)]
     for s, e, kind in todo:
-        value = text[s:e]
         left = WORD.findall(text[max(0, s - 60):s].lower())[-2:]
         right = WORD.findall(text[e:e + 40].lower())[:1]
-        sh = shape(value)
-        if kind < 0 and len(sh) > 24:
-            sh = "long"
-        one, two, nxt = " ".join(left[-1:]), " ".join(left), " ".join(right)
-        out.append((value, s, e, kind, sorted({f"{two} _ {sh}", f"{one} _ {nxt} {sh}", f"{one} _ {sh}"})))
+        patterns = []
+        if len(left) == 2:
+            patterns.append(f"{left[0]} {left[1]} _")
+        if left and right:
+            patterns.append(f"{left[-1]} _ {right[0]}")
+        if patterns:
+            value = text[s:e]
+            out.append((value[:VALUE_CHARS + 1], s, e, kind, types(value) | (1 << kind if kind >= 0 else 0), patterns))
     return out
 
 
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
 MENTION = pa.struct([("value", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()),
-                     ("patterns", pa.list_(pa.string()))])
+                     ("types", pa.int32()), ("patterns", pa.list_(pa.string()))])
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -123,26 +176,26 @@ def extract(docs: DataFrame) -> DataFrame:
             for t in b.column("t").to_pylist():
                 s = base_spans(t)
                 spans.append([{"start": x, "kind": k, "end": y} for x, k, y in s])
-                found.append([dict(zip(("value", "start", "end", "kind", "patterns"), m))
-                              for m in (mentions(t, s) if DIGIT.search(t) or s else [])])
+                found.append([dict(zip(("value", "start", "end", "kind", "types", "patterns"), m))
+                              for m in mentions(t, s)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(spans, pa.list_(SPAN)), pa.array(found, pa.list_(MENTION))],
                                              ["doc_id", "rk", "spans", "mentions"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_digest(docs, "text").alias("rk"), text_of().alias("t")).mapInArrow(
         run, "doc_id long, rk long, spans array<struct<start:bigint,kind:int,end:bigint>>, "
-        "mentions array<struct<value:string,start:bigint,end:bigint,kind:int,patterns:array<string>>>")
+        "mentions array<struct<value:string,start:bigint,end:bigint,kind:int,types:int,patterns:array<string>>>")
 
 
 def score_graph(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confidence of patterns and of instances for each kind, after some rounds.
 
-    ``seen`` has (value, kind, pattern).  An instance is known by the digest of
+    ``seen`` has (value, kind, types, pattern).  An instance is known by the digest of
     its value.  A pattern's confidence is the mean confidence of its instances
     with one doubtful instance added; an instance that is no seed has 1 minus the
-    product of the doubts of its counted patterns."""
+    product of the doubts of its counted patterns, for the kinds it can be of."""
     edges = stored(seen.groupBy(F.md5(F.col("value").cast("binary")).alias("inst"), "pattern")
-                   .agg(*[F.max((F.col("kind") == k).cast("double")).alias(f"s{k}") for k in range(len(KINDS))]), "pii-edges")
-    seeds = edges.groupBy("inst").agg(*[F.max(f"s{k}").alias(f"c{k}") for k in range(len(KINDS))])
+                   .agg(F.bit_or("types").alias("types"), *[F.max((F.col("kind") == k).cast("double")).alias(f"s{k}") for k in range(len(KINDS))]), "pii-edges")
+    seeds = edges.groupBy("inst").agg(F.bit_or("types").alias("types"), *[F.max(f"s{k}").alias(f"c{k}") for k in range(len(KINDS))])
     inst = seeds
     pattern = None
     links = edges.select("inst", "pattern")
@@ -155,10 +208,14 @@ def score_graph(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
         grown = links.join(good, "pattern").groupBy("inst").agg(
             *[(1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col(f"p{k}")))))).alias(f"g{k}") for k in range(len(KINDS))])
         inst = stored(seeds.join(grown, "inst", "left").select(
-            "inst", *[F.greatest(f"c{k}", F.coalesce(f"g{k}", F.lit(0.0))).alias(f"c{k}") for k in range(len(KINDS))]), "pii-instances")
+            "inst", "types", *[F.greatest(f"c{k}", F.when(_can_be(k), F.col(f"g{k}")).otherwise(0.0)).alias(f"c{k}") for k in range(len(KINDS))]), "pii-instances")
     return pattern, inst
 
 
+def _can_be(k: int) -> Column:
+    return F.col("types").bitwiseAND(F.lit(1 << k)) != 0
+
+
 def _counts(k: int) -> Column:
     return (F.col(f"p{k}") >= PATTERN_CONFIDENCE) & (F.col(f"n{k}") >= PATTERN_SUPPORT)
 
@@ -175,15 +232,17 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     (text of all spans; those of the method are named ctx- and the kind)."""
     rows = stored(extract(docs), "pii")
     seen = rows.select("doc_id", "rk", F.explode("mentions").alias("m")).select(
-        "doc_id", "rk", "m.value", "m.start", "m.end", "m.kind", F.explode("m.patterns").alias("pattern"))
+        "doc_id", "rk", "m.value", "m.start", "m.end", "m.kind", "m.types", F.explode("m.patterns").alias("pattern"))
     pattern, inst = score_graph(seen)
 
-    best = F.greatest(*[F.struct(F.when(_counts(k), F.col(f"p{k}")).otherwise(F.lit(-1.0)).alias("p"), F.lit(k).alias("k")) for k in range(len(KINDS))])
-    good = pattern.where(_counted()).select("pattern", best["k"].alias("_k"))
+    good = pattern.where(_counted()).select("pattern", F.array(*[_counts(k) for k in range(len(KINDS))]).alias("_good"))
     sure = inst.select("inst", F.array(*[F.col(f"c{k}") for k in range(len(KINDS))]).alias("_c"))
     new = seen.where(F.col("kind") < 0).join(good, "pattern").withColumn("inst", F.md5(F.col("value").cast("binary"))).join(sure, "inst")
-    new = new.where(F.get("_c", F.col("_k")) >= INSTANCE_CONFIDENCE)
-    new = new.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "start", "end").agg((F.min("_k") + len(KINDS)).cast("int").alias("kind"))
+    # the surest of the kinds that a value can be of and its patterns stand for
+    best = F.array_max(F.filter(F.array(*[F.struct(F.when(F.get("_good", F.lit(k)) & _can_be(k), F.get("_c", F.lit(k))).alias("c"), F.lit(-k).alias("k"))
+                                          for k in range(len(KINDS))]), lambda x: x["c"] >= INSTANCE_CONFIDENCE))
+    new = new.withColumn("_best", best).where(F.col("_best").isNotNull())
+    new = new.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "start", "end").agg((len(KINDS) - F.max("_best")["k"]).cast("int").alias("kind"))
     # as many entries as the document has values
     new = new.groupBy("_id", "_rk").agg(F.collect_set(F.struct("start", "kind", "end")).alias("_new"))
     out = rows.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")), "left")
