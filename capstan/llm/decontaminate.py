@@ -38,42 +38,32 @@ UNITS = ("km m cm mm mi miles kg g mg lb lbs oz l ml s sec seconds min minutes h
          "eur usd dollars euros percent mph kph")
 
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-UNIT = re.compile("(\ue001)(\\s*)(" + "|".join(sorted(UNITS.split(), key=len, reverse=True)) + r"|%)(?![^\W_])", re.IGNORECASE)
+UNIT = re.compile("(\ue001\\d++(?:[.,]\\d++)*+\\s*)\ue000?(" + "|".join(sorted(UNITS.split(), key=len, reverse=True)) + r"|%)(?![^\W_])", re.IGNORECASE)
 #: A capitalised word inside a sentence: after a word, a comma or a semicolon.
 #: (The look back follows the capital, so that the search skips to capitals.)
 NAME = re.compile(r"[A-ZÀ-Þ](?:(?<=[^\W_] .)|(?<=[,;] .))[^\W\d_]*[a-zß-ÿ](?![^\W_])")
-TOKEN = re.compile("[\ue001\ue002]|\ue000?[^\\W_]+")
+TOKEN = re.compile("\ue001\\d++(?:[.,]\\d++)*+|\ue002(?:%|[^\\W\\d_]+)|\ue000?[^\\W_]+")
 DIGIT = re.compile(r"\d")
 #: Placeholders: characters of the private use area, blanked in texts that hold them.
 NAME_MARK, NUMBER_MARK, UNIT_MARK = "\ue000", "\ue001", "\ue002"
 MARKS = NAME_MARK + NUMBER_MARK + UNIT_MARK
 
 
+#: Placeholders of the readings.
+SLOTS = (NUMBER_MARK + UNIT_MARK, MARKS)
+
+
 def tokens_of(text: str) -> list[str]:
-    """Words of the text, lower-cased; numbers and units are placeholders, names
-    carry the name mark in front."""
+    """Words of the text, lower-cased; numbers, units and names carry their mark in
+    front, so a placeholder and its value are one token."""
     if any(m in text for m in MARKS):
         text = text.translate({0xE000: " ", 0xE001: " ", 0xE002: " "})
     text = NAME.sub(NAME_MARK + r"\g<0>", text)
     if DIGIT.search(text):
-        text = UNIT.sub(rf"{NUMBER_MARK}\2{UNIT_MARK}", NUMBER.sub(NUMBER_MARK, text))
+        text = UNIT.sub(rf"\1{UNIT_MARK}\2", NUMBER.sub(NUMBER_MARK + r"\g<0>", text))
     return TOKEN.findall(text.lower())
 
 
-def slot_values(text: str, reading: int) -> list[str]:
-    """Values of the placeholders of a reading, in order."""
-    kinds = []
-    if reading:
-        kinds += [(m.start(), m.group()) for m in NAME.finditer(text)]
-    numbers = list(NUMBER.finditer(text))
-    kinds += [(m.start(), m.group()) for m in numbers]
-    for m in numbers:
-        u = UNIT.match(NUMBER_MARK + text[m.end():m.end() + 24])
-        if u:
-            kinds.append((m.end() + len(u.group(2)), u.group(3).lower()))
-    return [v for _, v in sorted(kinds)]
-
-
 #: Odd multipliers of a window's words.
 FACTORS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -93,18 +83,22 @@ def windows(text: str, words: WordHashes):
     n = len(tokens) - WINDOW + 1
     if n < 1:
         return
-    named = NAME_MARK in "".join(tokens)
-    literal = [x.lstrip(NAME_MARK) for x in tokens] if named else tokens
-    w = words.of(literal)
+    joined = "".join(tokens)
+    named, numbered = NAME_MARK in joined, NUMBER_MARK in joined
     ok = np.ones(n, bool)
-    if any(m in tokens for m in (NUMBER_MARK, UNIT_MARK)):
-        slot = np.append(0, np.cumsum([x in MARKS for x in literal]))
+    if not named and not numbered:
+        yield 0, tokens, window_hashes(words.of(tokens), 0), ok
+        return
+    marks = [x[0] for x in tokens]
+    literal = [c if c in SLOTS[0] else x.lstrip(NAME_MARK) for c, x in zip(marks, tokens)]
+    w = words.of(literal)
+    if numbered:
+        slot = np.append(0, np.cumsum([c in SLOTS[0] for c in marks]))
         ok = WINDOW - (slot[WINDOW:] - slot[:n]) >= LITERAL
-    yield 0, literal, window_hashes(w, 0), ok
+    yield 0, tokens, window_hashes(w, 0), ok
     if named:
-        tokens = [NAME_MARK if x[0] == NAME_MARK else x for x in tokens]
-        name = np.array([x == NAME_MARK for x in tokens])
-        slot = np.append(0, np.cumsum([x in MARKS for x in tokens]))
+        name = np.array([c == NAME_MARK for c in marks])
+        slot = np.append(0, np.cumsum([c in MARKS for c in marks]))
         names = np.append(0, np.cumsum(name))
         # windows without a name are in the literal reading already
         ok = (WINDOW - (slot[WINDOW:] - slot[:n]) >= LITERAL) & (names[WINDOW:] - names[:n] > 0)
@@ -121,12 +115,8 @@ def emit(text: str, words: WordHashes, wanted=None):
         pick = np.flatnonzero(ok if wanted is None else ok & wanted(h))
         if not len(pick):
             continue
-        values = slot_values(text, k)
-        before = np.append(0, np.cumsum([x in MARKS for x in tokens]))
-        exact = before[-1] == len(values)
         for p in pick:
-            s = [f"{tokens[q]}{values[before[q]]}" for q in range(p, p + WINDOW) if tokens[q] in MARKS] if exact else []
-            yield k, int(p), int(h[p]), s
+            yield k, int(p), int(h[p]), [x for x in tokens[p:p + WINDOW] if x[0] in SLOTS[k]]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
