@@ -53,8 +53,8 @@ def stream_rightsize(spark, sf):
     SELECT experiment_id, seq, replica_count, cpu_utilization, volatility, scaling_event FROM ({_STAB_SQL}) s""")
 def stream_stability(spark, sf):
     """T-4: volatility / scaling events with table-kept state; equals L-4 + L-5."""
-    path = st.stream_stability(st.strategy_stream(_events(spark, sf)))
-    return spark.read.parquet(path).select("experiment_id", "seq", "replica_count", "cpu_utilization",
+    out = st.run_stability(st.strategy_stream(_events(spark, sf)), st.strategy_stream(_table(spark, sf)))
+    return out.select("experiment_id", "seq", "replica_count", "cpu_utilization",
                                            "volatility", "scaling_event")
 
 

@@ -16,8 +16,9 @@ files and the same aggregates run incrementally:
 
 Append mode holds back the windows that the watermark has not passed.  A run that
 ends (``availableNow``) is closed with a batch pass over the rows of just those
-windows, so its table is complete.  Sinks write into the shared checkpoint
-folder, never to the driver; a run is waited for without a time limit, and its
+windows, so its table is complete; where the order of the files made rows late, the
+run is computed in batch, since a finite table has no late rows.  Sinks write into
+the shared checkpoint folder, never to the driver; a run is waited for without a time limit, and its
 failure is raised.
 """
 
@@ -131,6 +132,11 @@ def finalize_summary(parts: DataFrame) -> DataFrame:
         (F.col("_ss") / n).alias("avg_sla_compliance"))
 
 
+#: Setting for the number of micro-batches whose progress is kept, and its value in
+#: a run that counts dropped rows.
+PROGRESS_KEPT, MOST_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates", 1_000_000
+
+
 def _finish(query) -> None:
     """Wait for the end of a run and raise what ended it, if it failed."""
     query.awaitTermination()
@@ -145,17 +151,25 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", base: str |
     folder under the shared checkpoint folder.  Returns the table path.
 
     ``rest``: function of the final watermark (a timestamp; None for an empty
-    stream) that returns the windows still open, computed in batch; they are
-    appended, and the table is complete."""
+    stream) and of the number of (partly aggregated) rows dropped as late, that
+    returns the windows to be computed in batch; they are written to ``rest``."""
     spark = stream.sparkSession
     root = base.rstrip("/") if base else scratch_path(spark, f"stream-{name}")
-    q = (stream.writeStream.format("parquet").outputMode(mode)
-         .option("checkpointLocation", root + "/_checkpoint").option("path", root + "/data")
-         .trigger(availableNow=True).start())
+    # the progress of every micro-batch is kept: it tells of dropped rows
+    kept = spark.conf.get(PROGRESS_KEPT)
+    spark.conf.set(PROGRESS_KEPT, str(MOST_PROGRESS))
+    try:
+        q = (stream.writeStream.format("parquet").outputMode(mode)
+             .option("checkpointLocation", root + "/_checkpoint").option("path", root + "/data")
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(PROGRESS_KEPT, kept)
     _finish(q)
     if rest is not None:
-        last = [p["eventTime"]["watermark"] for p in q.recentProgress if "watermark" in (p["eventTime"] or {})]
-        rest(last[-1] if last else None).write.mode("overwrite").parquet(root + "/rest")
+        progress = q.recentProgress
+        last = [p["eventTime"]["watermark"] for p in progress if "watermark" in (p["eventTime"] or {})]
+        dropped = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+        rest(last[-1] if last else None, dropped).write.mode("overwrite").parquet(root + "/rest")
     return root + "/data"
 
 
@@ -163,9 +177,13 @@ def run_windows(aggregate, stream: DataFrame, table: DataFrame, name: str, span:
     """A windowed aggregate over a finite stream, complete: the windows the
     watermark passed from the stream, the others from ``table`` (the same rows as
     a batch table), of which only the rows that those windows can hold are read.
-    ``span`` is the window length."""
-    def rest(watermark):
-        if watermark is None:
+    ``span`` is the window length.  If the files are not in time order and rows
+    were dropped as late, all windows come from ``table``."""
+    late = []
+
+    def rest(watermark, dropped):
+        late.append(dropped)
+        if watermark is None or dropped:
             return aggregate(table)
         mark = F.to_timestamp(F.lit(watermark))
         recent = table.where(F.col("ts") >= mark - F.expr(f"INTERVAL {span}"))
@@ -174,6 +192,8 @@ def run_windows(aggregate, stream: DataFrame, table: DataFrame, name: str, span:
     path = run_to_table(aggregate(stream), name, rest=rest)
     spark = stream.sparkSession
     schema = aggregate(table).schema
+    if late[0]:
+        return spark.read.schema(schema).parquet(path[:-len("data")] + "rest")
     closed = spark.read.schema(schema).parquet(path)
     return closed.unionByName(spark.read.schema(schema).parquet(path[:-len("data")] + "rest"))
 
@@ -231,3 +251,16 @@ def stream_stability(strategy_samples: DataFrame, base: str | None = None, n: in
          .option("checkpointLocation", root + "/_checkpoint").trigger(availableNow=True).start())
     _finish(q)
     return root + "/data"
+
+
+def run_stability(stream: DataFrame, table: DataFrame) -> DataFrame:
+    """T-4 over a finite stream, complete: from the stream, or in batch from
+    ``table`` (the same rows as a batch table) if files out of time order made
+    rows late."""
+    spark = stream.sparkSession
+    path = stream_stability(stream)
+    late = spark.read.schema("late long").parquet(path[:-len("data")] + "late/*")
+    if late.where(F.col("late") > 0).isEmpty():
+        return spark.read.parquet(path)
+    cols = ["experiment_id", "ts", "seq", "replica_count", "cpu_utilization"]
+    return stability_features(table.select(*cols)).select(*cols, "volatility", "scaling_event")
