@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
-from .windows import CHUNK_ROWS, US, by_chunks_both, dense_position, epoch_us, is_long, last_seen, sum_before
+from .windows import CHUNK_ROWS, US, by_chunks_both, dense_position, epoch_us, is_long, join_null_safe, last_seen, sum_before
 
 
 def _label(df: DataFrame, name: str) -> Column:
@@ -74,20 +74,25 @@ def _rate_in_parts(df: DataFrame, range_s: int, series, ts, value, order, chunk_
         w = Window.partitionBy(*parts).orderBy("_p")
         v, pv, nv = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
         return d.withColumn("_inc", F.when(pv.isNull(), F.lit(0.0)).when(v < pv, v).otherwise(v - pv)) \
-                .withColumn("_next", F.when(nv < v, nv).otherwise(nv - v))
+                .withColumn("_next", F.when(nv < v, nv).otherwise(nv - v)) \
+                .withColumn("_has", (v.isNotNull() & pv.isNotNull()).cast("long"))
 
     p = sum_before(by_chunks_both(p, series, "_p", 1, steps, chunk_rows), series, ["_p"], "_inc", "_before", chunk_rows)
-    p = p.withColumn("_sum", F.col("_before") + F.col("_inc"))
+    p = sum_before(p, series, ["_p"], "_has", "_had", chunk_rows)
+    p = p.withColumn("_sum", F.col("_before") + F.coalesce("_inc", F.lit(0.0)))
     # samples of one instant share the window's end
-    ends = p.groupBy(*series, "_t").agg(F.max(F.struct("_p", "_sum")).alias("_end"))
-    p = p.join(ends, [*series, "_t"])
+    ends = p.groupBy(*series, "_t").agg(F.max(F.struct("_p", "_sum", (F.col("_had") + F.col("_has")).alias("_n"))).alias("_end"))
+    p = join_null_safe(p, ends, [*series, "_t"])
     samples = p.select(*series, F.col("_t").alias("_at"), F.lit(0).alias("_kind"), F.col("_p").alias("_o"),
-                       F.struct((F.col("_sum") + F.coalesce("_next", F.lit(0.0))).alias("s"), F.col("_p").alias("p")).alias("_mark"))
+                       F.struct((F.col("_sum") + F.coalesce("_next", F.lit(0.0))).alias("s"), F.col("_p").alias("p"),
+                                (F.col("_had") + F.col("_has")).alias("n")).alias("_mark"))
     probes = p.select(*df.columns, "_end", (F.col("_t") - range_s * US).alias("_at"), F.lit(1).alias("_kind"), F.col("_p").alias("_o"))
     u = samples.unionByName(probes, allowMissingColumns=True)
     found = last_seen(u, series, ["_at", "_kind", "_o"], "_mark", "_got", chunk_rows).where(F.col("_kind") == 1)
     n = F.col("_end._p") - F.coalesce(F.col("_got.p"), F.lit(-1))
-    inside = F.col("_end._sum") - F.coalesce(F.col("_got.s"), F.lit(0.0))
+    # a window without an increase between two values has no rate
+    known = F.col("_end._n") > F.coalesce(F.col("_got.n"), F.lit(0))
+    inside = F.when(known, F.col("_end._sum") - F.coalesce(F.col("_got.s"), F.lit(0.0)))
     return found.where(n >= 2).select(*df.columns, (inside / float(range_s)).alias("rate"))
 
 

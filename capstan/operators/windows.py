@@ -64,6 +64,19 @@ def sum_before(df: DataFrame, keys, order, value, out: str, chunk_rows: int = CH
     return d.select(*df.columns, (F.col("_off") + inner).alias(out))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join by equal keys, a null being equal to a null; the keys come once."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(right)
+    right = right.select(*[F.col(k).alias(f"_same{i}") if k in keys else F.col(k)
+                           for i, k in enumerate([*keys, *[c for c in right.columns if c not in keys]])])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_same{i}"))
+    return left.join(right, same, how).drop(*[f"_same{i}" for i in range(len(keys))])
+
+
 def dense_position(df: DataFrame, keys, order, pos: str = "_pos", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """0-based position of each row inside its series (by ``order``) without
     sending a long series to one task (see :func:`sum_before`)."""
@@ -83,11 +96,11 @@ def last_seen(df: DataFrame, keys, order, value: str, out: str, chunk_rows: int
     d = dense_position(df, keys, order, "_lpos", chunk_rows)
     d = scratch_table(d.withColumn("_lc", F.floor(F.col("_lpos") / chunk_rows)), "chunks")
     ends = d.where(F.col(value).isNotNull()).groupBy(*keys, "_lc").agg(F.max_by(value, "_lpos").alias("_end"))
-    every = d.select(*keys, "_lc").distinct().join(ends, [*keys, "_lc"], "left")
+    every = join_null_safe(d.select(*keys, "_lc").distinct(), ends, [*keys, "_lc"], "left")
     w = Window.partitionBy(*keys).orderBy("_lc").rowsBetween(Window.unboundedPreceding, -1)
     carry = every.select(*keys, "_lc", F.last("_end", ignorenulls=True).over(w).alias("_carry"))
     here = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_lc").orderBy("_lpos").rowsBetween(*upto))
-    d = d.withColumn(out, here).join(maybe_broadcast(carry), [*keys, "_lc"])
+    d = join_null_safe(d.withColumn(out, here), maybe_broadcast(carry), [*keys, "_lc"])
     return d.withColumn(out, F.coalesce(out, "_carry")).drop("_lpos", "_lc", "_carry")
 
 
