@@ -6,8 +6,10 @@ diagonal are checked for consistent slots (each value on one side stands for one
 value on the other), which tells re-parameterised questions from chance; and the
 words of an item that consistent windows cover decide.
 
-Each text is read in two ways: literally (names kept as lower-case words, so that
-changed case or punctuation does no harm) and with names as placeholders.
+Each text is read in three ways: with numbers and units as placeholders (names
+kept as lower-case words, so that changed case or punctuation does no harm), with
+names as placeholders too, and exactly, with numbers and units as written, so that
+verbatim copies are found however many numbers they hold.
 
 Only windows whose hash is set in a bitmap of fixed size, made from the
 benchmark, leave the scan; the join decides exactly.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, mix64, row_digest, sized, small, stored, text_of, WordHashes
 
-#: Words in a window, words of a window that must not be placeholders, and words
+#: Words in a window, words of a template window that must not be placeholders, and words
 #: of an item that must be covered (or all of a shorter item).
 WINDOW, LITERAL, COVER = 6, 3, 13
 BITMAP_BITS = 24
@@ -50,7 +52,8 @@ MARKS = NAME_MARK + NUMBER_MARK + UNIT_MARK
 
 
 #: Placeholders of the readings.
-SLOTS = (NUMBER_MARK + UNIT_MARK, MARKS)
+SLOTS = (NUMBER_MARK + UNIT_MARK, MARKS, "")
+EXACT = 2
 
 
 def tokens_of(text: str) -> list[str]:
@@ -95,6 +98,11 @@ def windows(text: str, words: WordHashes):
     if numbered:
         slot = np.append(0, np.cumsum([c in SLOTS[0] for c in marks]))
         ok = WINDOW - (slot[WINDOW:] - slot[:n]) >= LITERAL
+        # all windows of a text with numbers; the others are read exactly already
+        v = w.copy()
+        at = np.flatnonzero(np.diff(slot))
+        v[at] = words.of([tokens[i][1:] for i in at])
+        yield EXACT, tokens, window_hashes(v, EXACT), np.ones(n, bool)
     yield 0, tokens, window_hashes(w, 0), ok
     if named:
         name = np.array([c == NAME_MARK for c in marks])
@@ -201,7 +209,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (s["n"] + F.least(F.lit(WINDOW), p + WINDOW - s["end"])).alias("n"), (p + WINDOW).alias("end")), lambda s: s["n"])
     cover = cover.withColumn("covered", covered).where(F.col("covered") >= F.least(F.lit(COVER), F.col("n_words")))
     cover = cover.groupBy("doc_id", "rk", "item").agg(
-        F.max("covered").alias("covered"), F.max("n_words").alias("item_words"), F.min("changed").alias("changed"))
+        F.max("covered").alias("covered"), F.max("n_words").alias("item_words"),
+        F.coalesce(F.max(F.when(F.col("reading") == EXACT, F.col("covered"))), F.lit(0)).alias("_exact"),
+        F.min(F.when(F.col("reading") != EXACT, F.col("changed"))).alias("changed"))
+    # the exact reading decides only where a template does not cover more
+    cover = cover.withColumn("changed", F.when((F.col("changed") == 1) & (F.col("_exact") < F.col("covered")), 1).otherwise(0))
     items = benchmark.select("item_id", F.md5(text_of().cast("binary")).alias("_i")).distinct()
     return cover.join(items, F.col("item") == F.col("_i")).select(
         "doc_id", "rk", "item_id", F.col("covered").cast("long").alias("covered"), F.col("item_words").cast("long").alias("item_words"),
