@@ -1,5 +1,6 @@
 """Training-data operators: toxicity, near duplicates, decontamination, mixing,
-licences, sharding, token counts, personal data, quality rules, language ID."""
+licences, sharding, token counts, personal data, quality rules, language ID,
+ranked search, fill-in-the-middle, byte-level BPE."""
 
 import sys
 

@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,19 @@ def small(batches, rows: int = 1000):
             yield b.slice(k, rows)
 
 
+def byte_portions(batches, column: str, most: int = 4 << 20):
+    """The rows of Arrow batches in portions of at most ``most`` bytes in the named
+    text or binary column, or of one longer row."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < b.num_rows:
+            done = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, done + most, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bit mixer over uint64 (Stafford's variant 13, as in SplitMix64)."""
     x = x ^ (x >> np.uint64(30))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, quality
+from . import fill_middle, mixing, ngram_join, quality
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -103,4 +103,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM ruled r JOIN rates h ON r.source IS NOT DISTINCT FROM h.source
 """
 
-ORACLE_SQL = {"op2_ngram_join": OP2, "op4_mix_sources": OP4, "op9_host_quality": OP9}
+TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP11 = rf"""
+WITH
+docs AS (SELECT * FROM (SELECT doc_id, {TERMS} AS w FROM documents) WHERE len(w) > 0),
+total AS (SELECT count(*) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM docs),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs) GROUP BY 1, 2),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term),
+lengths AS (SELECT doc_id, 100 - 90 + (90 * len(w) * big_n) // big_l AS m FROM docs, total),
+items AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark)),
+scores AS (
+  SELECT item_id, c.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM items JOIN counts c USING (term) JOIN weights USING (term) JOIN lengths l ON l.doc_id = c.doc_id GROUP BY 1, 2),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP12 = rf"""
+WITH
+cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, w, len(w) AS n, {', '.join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))} FROM cut),
+placed AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fill_middle.CUT_PCT} THEN 'plain'
+              WHEN h4 % 100 < {fill_middle.SUFFIX_FIRST_PCT} THEN 'spm' ELSE 'psm' END AS form, w FROM drawn),
+parts AS (
+  SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS head, array_to_string(w[a + 1:b], '') AS mid,
+         array_to_string(w[b + 1:n], '') AS tail FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(head) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid
+                        ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL = {"op11_lexical_search": OP11, "op12_fill_in_middle": OP12, "op2_ngram_join": OP2, "op4_mix_sources": OP4, "op9_host_quality": OP9}
