@@ -5,7 +5,9 @@ rank; any other piece starts as single bytes, and a segment tree over its byte
 positions holds, at each position where a live token starts, the rank of that
 token joined with the next one.  The root is the leftmost pair of least rank.  A
 merge changes three leaves: that of the grown token, that of the token it took in,
-and that of its live left neighbour; each change climbs the tree once.
+and that of its live left neighbour; each change climbs the tree once.  Short pieces are
+merged many at a time, a tree in each row of an array; longer ones have a tree of
+their own.
 
 Edge cases: a null or empty text has no tokens; a piece of any length is merged
 whole, in O(n log n) steps and about 40 bytes of memory a byte; equal rows give equal results; an empty
@@ -19,16 +21,20 @@ import base64
 from array import array
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_portions, text_of
 
-#: Pieces of at most so many bytes are remembered, so many of them in a task.
-KEEP_BYTES, KEEP_PIECES = 128, 200_000
-#: Pieces of a text that are held at once.
-PIECES = 1 << 16
+#: Pieces of at most so many bytes are merged many at a time and remembered, so many
+#: of them in a task.
+KEEP_BYTES, KEEP_PIECES = 64, 300_000
+#: Pieces that are held before their ids are looked up, and rows of trees.
+PIECES, ROWS = 1 << 18, 1 << 14
+#: Texts longer than this are cut piece by piece, others at once (equal pieces).
+LONG = 1 << 20
 #: A leaf or node without a pair.
 NONE = (1 << 63) - 1
 
@@ -100,48 +106,125 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int
     return out
 
 
-class PieceIds(dict):
-    """piece -> its ids as little-endian 32-bit integers, kept between texts."""
+class Merges:
+    """The merges of a rank file, for single pieces and for many short ones at once:
+    these are rows of one array of trees, and each step makes one merge in each row."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
         self.ranks, self.longest = ranks, max(map(len, ranks))
-
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        rank = self.ranks.get(data)
-        ids = [rank] if rank is not None else merge_piece(data, self.ranks, self.longest)
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(data) <= KEEP_BYTES:
-            self[piece] = packed
-        return packed
-
-    def of(self, pieces: list[str]) -> bytes:
-        if len(self) > KEEP_PIECES:
-            self.clear()
-        return b"".join(map(self.__getitem__, pieces))
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.base = max(ranks.values()) + 1
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left * self.base + right] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.joined = np.array([pairs[p] for p in self.pairs.tolist()], np.int64)
+
+    def keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+        """``rank << bits | place`` of joined ids, NONE where they do not join (an id
+        of -1 joins with nothing)."""
+        pair = np.where((left < 0) | (right < 0), -1, left * self.base + right)
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.joined[at] << bits | place, NONE)
+
+    def merge_rows(self, pieces: list[bytes], bits: int) -> list[bytes]:
+        """Packed ids of pieces of at most ``2 ** bits`` bytes each."""
+        size, n = 1 << bits, len(pieces)
+        lengths = np.array([len(p) for p in pieces])
+        column = np.arange(size)
+        live = column < lengths[:, None]
+        token = np.full((n, size + 2), -1, np.int64)  # -1 beyond the last byte and before the first
+        token[:, :size][live] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        stop = np.tile(np.arange(1, size + 3), (n, 1))
+        before = np.tile(np.arange(-1, size + 1), (n, 1))
+        tree = np.full((n, 2 * size), NONE, np.int64)
+        tree[:, size:] = self.keys(token[:, :size], token[:, 1:size + 1], column, bits)
+        for i in range(size - 1, 0, -1):
+            np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
+        rows = np.arange(n)
+        while len(rows := rows[tree[rows, 1] != NONE]):
+            found = tree[rows, 1]
+            i = found & (size - 1)
+            j = stop[rows, i]
+            end, left = stop[rows, j], before[rows, i]
+            grown = found >> bits
+            token[rows, i], stop[rows, i], before[rows, end], live[rows, j] = grown, end, i, False
+            right_key = self.keys(grown, token[rows, end], i, bits)
+            left_key = self.keys(token[rows, left], grown, left, bits)  # the token at -1 is none
+            tree[rows, size + j] = NONE
+            tree[rows, size + i] = right_key
+            has_left = left >= 0
+            left = np.where(has_left, left, i)
+            tree[rows, size + left] = np.where(has_left, left_key, right_key)
+            for leaf in (j, i, left):
+                node = leaf + size
+                for _ in range(bits):
+                    node >>= 1
+                    tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+        packed, ends = token[:, :size][live].astype("<u4").tobytes(), 4 * np.cumsum(live.sum(axis=1))
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece."""
+        out: list[bytes | None] = [None] * len(pieces)
+        classes: dict[int, list[int]] = {}
+        for k, piece in enumerate(pieces):
+            rank = self.ranks.get(piece)
+            if rank is not None:
+                out[k] = rank.to_bytes(4, "little")
+            elif len(piece) <= KEEP_BYTES:
+                classes.setdefault((len(piece) - 1).bit_length(), []).append(k)
+            else:
+                out[k] = np.array(merge_piece(piece, self.ranks, self.longest), "<u4").tobytes()
+        for bits, members in classes.items():
+            for first in range(0, len(members), ROWS):
+                part = members[first:first + ROWS]
+                for k, ids in zip(part, self.merge_rows([pieces[k] for k in part], bits)):
+                    out[k] = ids
+        return out
 
 
 def encoder(name: str):
-    """Function from a text to its packed ids."""
+    """Function from texts to their packed ids.  Pieces wait until there are enough
+    to merge many at once; ids of short pieces are remembered between calls."""
     import public_tokenizers
     import regex
 
-    cut, known = regex.compile(public_tokenizers.PATTERN), PieceIds(read_ranks(name))
-
-    def encode_text(text: str) -> bytes:
-        found, out = (m.group() for m in cut.finditer(text)), []
-        while pieces := list(islice(found, PIECES)):
-            out.append(known.of(pieces))
-        return b"".join(out)
-
-    return encode_text
+    cut, merges, known = regex.compile(public_tokenizers.PATTERN), Merges(read_ranks(name)), {}
+
+    def ids_of(parts: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        if len(known) > KEEP_PIECES:
+            known.clear()
+        new = list(set().union(*(pieces for _, pieces in parts)).difference(known))
+        data = [p.encode() for p in new]
+        known.update(zip(new, merges.encode(data)))
+        for row, pieces in parts:
+            out[row].append(b"".join(map(known.__getitem__, pieces)))
+        for piece, x in zip(new, data):
+            if len(x) > KEEP_BYTES:
+                del known[piece]
+
+    def encode_texts(texts: list[str]) -> list[bytes]:
+        out, waiting, n = [[] for _ in texts], [], 0
+        for row, text in enumerate(texts):
+            found = (m.group() for m in cut.finditer(text)) if len(text) > LONG else iter(cut.findall(text))
+            while pieces := list(islice(found, PIECES)):
+                waiting.append((row, pieces))
+                n += len(pieces)
+                if n >= PIECES:
+                    ids_of(waiting, out)
+                    waiting, n = [], 0
+        ids_of(waiting, out)
+        return [b"".join(x) for x in out]
+
+    return encode_texts
 
 
 def decoder(name: str):
     """Function from packed ids to bytes."""
-    import numpy as np
-
     tokens = {rank: token for token, rank in read_ranks(name).items()}
 
     def decode_ids(packed: bytes) -> bytes:
@@ -156,9 +239,9 @@ def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFr
     every document, without special tokens."""
 
     def run(batches):
-        encode_text = encoder(name)
+        encode_texts = encoder(name)
         for b in byte_portions(batches, "t"):
-            ids = [encode_text(t) for t in b.column("t").to_pylist()]
+            ids = encode_texts(b.column("t").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 

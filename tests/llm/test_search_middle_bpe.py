@@ -163,6 +163,14 @@ def test_one_index_serves_many_draws(spark, odd, odd_rows):
 
 # --- byte-level BPE ----------------------------------------------------------
 
+def test_small_portions_and_caches_give_the_same(library, monkeypatch):
+    texts = [prose(k, 60) + "z" * k for k in range(90)]
+    want = [library.encode_ordinary(t) for t in texts]
+    for name, size in (("PIECES", 11), ("KEEP_PIECES", 5), ("LONG", 300), ("ROWS", 3)):
+        monkeypatch.setattr(byte_bpe, name, size)
+        assert [np.frombuffer(x, "<u4").tolist() for x in byte_bpe.encoder(BPE)(texts)] == want
+
+
 def test_bpe_of_odd_rows(spark, odd, odd_rows, none, library):
     r = random.Random(4)
     more = [(100 + k, "".join(chr(r.choice([r.randrange(32, 127), r.randrange(0x2000), r.randrange(0x10000, 0x1F700)])) for _ in range(r.randrange(60)))
@@ -179,7 +187,7 @@ def test_bpe_of_odd_rows(spark, odd, odd_rows, none, library):
 
 def test_merges_in_order_of_rank_then_place(library):
     ranks = byte_bpe.read_ranks(BPE)
-    longest, r = max(map(len, ranks)), random.Random(2)
+    longest, r, merges, many = max(map(len, ranks)), random.Random(2), byte_bpe.Merges(ranks), []
     for _ in range(3000):
         piece = bytes(r.choice(b"aaabtheisn \xc3\xa9\xff") for _ in range(r.randint(1, 70)))
         parts = [bytes([b]) for b in piece]
@@ -188,7 +196,14 @@ def test_merges_in_order_of_rank_then_place(library):
             if least[0] == byte_bpe.NONE:
                 break
             parts[least[1]:least[1] + 2] = [parts[least[1]] + parts[least[1] + 1]]
-        assert byte_bpe.merge_piece(piece, ranks, longest) == [ranks[p] for p in parts]
+        want = [ranks[p] for p in parts]
+        assert byte_bpe.merge_piece(piece, ranks, longest) == want
+        if len(piece) <= byte_bpe.KEEP_BYTES:
+            many.append((piece, want))
+    for bits in range(7):  # the same pieces as rows of one array of trees
+        part = [x for x in many if len(x[0]) <= 1 << bits]
+        got = merges.merge_rows([p for p, _ in part], bits)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [w for _, w in part]
 
 
 def test_pair_tree_keeps_the_leftmost_minimum():
