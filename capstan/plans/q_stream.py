@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from ..streaming import late
 from ..streaming import streams as st
 from .q_strategy import _STAB_SQL
 from .registry import register
@@ -44,11 +46,69 @@ def stream_rightsize(spark, sf):
     maximum, counts and windows are compared with SQL; the approximate p95 and
     the texts made from it by the tests."""
     out = st.run_windows(st.stream_rightsize, st.sample_stream(_events(spark, sf)), st.sample_stream(_table(spark, sf)),
-                         "rightsize", "5 MINUTES")
+                         "rightsize", "5 MINUTES", "2 MINUTES")
     return out.select("service", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"), "mem_max", "n_cpu")
 
 
+PERIOD_DAYS = 6
+
+
+def _arrivals(spark, sf, windows):
+    """A profile run over events as they arrive: files of six days at a time, in which
+    every tenth event is one period late.  A run takes what has arrived as one
+    micro-batch and ends; the next goes on from its tables.  Returns the folder of the
+    tables, the stream and the events."""
+    events = _table(spark, sf)
+    day = F.date_diff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
+    period = F.floor(day / PERIOD_DAYS) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    landing, base = scratch_path(spark, "arrivals"), scratch_path(spark, "arrivals-run")
+    stream = st.sample_stream(spark.readStream.schema(events.schema).parquet(landing + "/*"))
+    for p in [r[0] for r in events.select(period.alias("p")).where("p IS NOT NULL").distinct().orderBy("p").collect()]:  # one a period
+        events.where(period == p).write.parquet(f"{landing}/period={p}")
+        late.run_windows_with_late(st.stream_profile, stream, windows, base=base)
+    return base, stream, st.sample_stream(events)
+
+
+_ARRIVALS_SQL = f"""
+    arrived AS (
+      SELECT *, CAST(floor((CAST(ts AS DATE) - DATE '1970-01-01') / {PERIOD_DAYS}) AS BIGINT) + CASE WHEN seq % 10 = 0 THEN 1 ELSE 0 END AS period
+      FROM samples),
+    marks AS (
+      SELECT period, row_number() OVER (ORDER BY period) - 1 AS batch,
+             max(max(ts)) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS missed
+      FROM arrived GROUP BY period)"""
+
+
+@register("stream_late_rows", adapters=["samples"], floats=["total"], sql=f"""
+    WITH {_ARRIVALS_SQL}
+    SELECT batch, missed, service, metric, count(*) AS n_late, sum(value) AS total
+    FROM arrived JOIN marks USING (period)
+    WHERE time_bucket(INTERVAL 30 SECOND, ts) + INTERVAL 30 SECOND <= missed GROUP BY 1, 2, 3, 4""")
+def stream_late_rows(spark, sf):
+    """Side table of a stream of files out of time order: the rows that come behind
+    the watermark, by micro-batch."""
+    root, stream, _ = _arrivals(spark, sf, late.Windows.of(spark, "30 SECONDS", "10 MINUTES"))
+    return late.late_rows(root, stream).groupBy(
+        "batch", F.col("missed").cast("timestamp_ntz").alias("missed"), "service", "metric").agg(
+        F.count("*").alias("n_late"), F.sum("value").alias("total"))
+
+
+@register("stream_profile_of_arrivals", adapters=["samples"], floats=["mean", '"max"', "total"], sql="""
+    SELECT service, metric, time_bucket(INTERVAL 30 SECOND, ts) AS window_start,
+           time_bucket(INTERVAL 30 SECOND, ts) + INTERVAL 30 SECOND AS window_end,
+           count(*) AS n, avg(value) AS mean, max(value) AS "max", sum(value) AS total
+    FROM samples GROUP BY 1, 2, 3, 4""")
+def stream_profile_of_arrivals(spark, sf):
+    """T-2 over files out of time order: closed windows and late rows make the whole
+    profile."""
+    windows = late.Windows.of(spark, "30 SECONDS", "10 MINUTES")
+    root, stream, table = _arrivals(spark, sf, windows)
+    out = late.complete(root, st.stream_profile, stream, table, windows)
+    return out.select("service", "metric", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n", "mean", "max", "total")
+
+
 @register("stream_stability", adapters=["strategy_samples"], floats=["cpu_utilization", "volatility"], sql=f"""
     SELECT experiment_id, seq, replica_count, cpu_utilization, volatility, scaling_event FROM ({_STAB_SQL}) s""")
 def stream_stability(spark, sf):
@@ -74,5 +134,5 @@ def stream_summary(spark, sf):
     """T-5: running experiment summaries (daily partials), folded into the L-6
     fields at the end of the run."""
     parts = st.run_windows(st.stream_summary, st.strategy_stream(_events(spark, sf)), st.strategy_stream(_table(spark, sf)),
-                           "summary", "1 DAY")
+                           "summary", "1 DAY", delay="1 hour")
     return st.finalize_summary(parts)

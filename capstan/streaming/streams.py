@@ -14,10 +14,11 @@ files and the same aggregates run incrementally:
 * T-5 ``stream_summary``     - per (experiment, window) partial summaries
   (watermark, append) that :func:`finalize_summary` folds into L-6.
 
-Append mode holds back the windows that the watermark has not passed.  A run that
-ends (``availableNow``) is closed with a batch pass over the rows of just those
-windows, so its table is complete; where the order of the files made rows late, the
-run is computed in batch, since a finite table has no late rows.  Sinks write into
+Spark's append mode holds back the windows that the watermark has not passed and
+drops later rows.  Finite runs of T-2, T-3 and T-5 go through
+:mod:`capstan.streaming.late` instead: windows close as the watermark passes, late
+rows go to a table of their own with their micro-batch, and only the windows that
+they belong to are computed again.  Sinks write into
 the shared checkpoint folder, never to the driver; a run is waited for without a time limit, and its
 failure is raised.
 """
@@ -31,6 +32,7 @@ from ..functions.quantities import format_cpu, format_memory
 from ..operators.rightsize import recommend_cpu_expr, recommend_memory_expr
 from ..operators.strategy import SLA_ERROR_LIMIT, VOLATILITY_WINDOW, stability_features
 from ..session import maybe_broadcast, scratch_path
+from .late import Windows, complete, run_windows_with_late
 
 APPROX_ACCURACY = 10000
 
@@ -132,11 +134,6 @@ def finalize_summary(parts: DataFrame) -> DataFrame:
         (F.col("_ss") / n).alias("avg_sla_compliance"))
 
 
-#: Setting for the number of micro-batches whose progress is kept, and its value in
-#: a run that counts dropped rows.
-PROGRESS_KEPT, MOST_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates", 1_000_000
-
-
 def _finish(query) -> None:
     """Wait for the end of a run and raise what ended it, if it failed."""
     query.awaitTermination()
@@ -144,58 +141,29 @@ def _finish(query) -> None:
         raise query.exception()
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", base: str | None = None,
-                 rest=None) -> str:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", base: str | None = None) -> str:
     """Run a stream to completion (``availableNow``) into a parquet table;
     ``base`` is a fixed shared location (restartable), by default a fresh
-    folder under the shared checkpoint folder.  Returns the table path.
-
-    ``rest``: function of the final watermark (a timestamp; None for an empty
-    stream) and of the number of (partly aggregated) rows dropped as late, that
-    returns the windows to be computed in batch; they are written to ``rest``."""
-    spark = stream.sparkSession
-    root = base.rstrip("/") if base else scratch_path(spark, f"stream-{name}")
-    # the progress of every micro-batch is kept: it tells of dropped rows
-    kept = spark.conf.get(PROGRESS_KEPT)
-    spark.conf.set(PROGRESS_KEPT, str(MOST_PROGRESS))
-    try:
-        q = (stream.writeStream.format("parquet").outputMode(mode)
-             .option("checkpointLocation", root + "/_checkpoint").option("path", root + "/data")
-             .trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(PROGRESS_KEPT, kept)
+    folder under the shared checkpoint folder.  Returns the table path.  In append
+    mode rows behind the watermark are dropped and the last windows held back;
+    :func:`run_windows` loses none."""
+    root = base.rstrip("/") if base else scratch_path(stream.sparkSession, f"stream-{name}")
+    q = (stream.writeStream.format("parquet").outputMode(mode)
+         .option("checkpointLocation", root + "/_checkpoint").option("path", root + "/data")
+         .trigger(availableNow=True).start())
     _finish(q)
-    if rest is not None:
-        progress = q.recentProgress
-        last = [p["eventTime"]["watermark"] for p in progress if "watermark" in (p["eventTime"] or {})]
-        dropped = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
-        rest(last[-1] if last else None, dropped).write.mode("overwrite").parquet(root + "/rest")
     return root + "/data"
 
 
-def run_windows(aggregate, stream: DataFrame, table: DataFrame, name: str, span: str, window_end: str = "window_end") -> DataFrame:
-    """A windowed aggregate over a finite stream, complete: the windows the
-    watermark passed from the stream, the others from ``table`` (the same rows as
-    a batch table), of which only the rows that those windows can hold are read.
-    ``span`` is the window length.  If the files are not in time order and rows
-    were dropped as late, all windows come from ``table``."""
-    late = []
-
-    def rest(watermark, dropped):
-        late.append(dropped)
-        if watermark is None or dropped:
-            return aggregate(table)
-        mark = F.to_timestamp(F.lit(watermark))
-        recent = table.where(F.col("ts") >= mark - F.expr(f"INTERVAL {span}"))
-        return aggregate(recent).where(F.col(window_end) > mark)
-
-    path = run_to_table(aggregate(stream), name, rest=rest)
-    spark = stream.sparkSession
-    schema = aggregate(table).schema
-    if late[0]:
-        return spark.read.schema(schema).parquet(path[:-len("data")] + "rest")
-    closed = spark.read.schema(schema).parquet(path)
-    return closed.unionByName(spark.read.schema(schema).parquet(path[:-len("data")] + "rest"))
+def run_windows(aggregate, stream: DataFrame, table: DataFrame, name: str, span: str, every: str | None = None,
+                delay: str = "10 minutes", window_end: str = "window_end") -> DataFrame:
+    """A windowed aggregate over a finite stream, complete (see
+    :mod:`capstan.streaming.late`): the windows come from the stream, and those that
+    late rows belong to from ``table`` (the same rows as a batch table).  Windows of
+    length ``span`` begin every ``every`` (by default ``span``)."""
+    windows = Windows.of(stream.sparkSession, span, delay, every, window_end)
+    root = run_windows_with_late(aggregate, stream, windows, name)
+    return complete(root, aggregate, stream, table, windows)
 
 
 def stream_stability(strategy_samples: DataFrame, base: str | None = None, n: int = VOLATILITY_WINDOW) -> str:
