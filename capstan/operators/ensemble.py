@@ -47,14 +47,14 @@ def weighted_vote(pred: DataFrame, weights: DataFrame, keys=KEYS, order: str = "
 
 def inverse_error_vote(pred: DataFrame, keys=KEYS) -> DataFrame:
     """M-6: metrics of the inverse-MSE weighted ensemble per key."""
-    metrics = regression_metrics(pred, (*keys, "model"))
+    metrics = regression_metrics(pred, (*keys, "model"), median_mode=None)
     ens = weighted_vote(pred, inverse_mse_weights(metrics, keys), keys)
     return regression_metrics(ens.withColumn("model", F.lit("weighted_voting")), (*keys, "model"))
 
 
 def hybrid_rmse(pred: DataFrame, keys=KEYS) -> DataFrame:
     """M-7: metrics of the inverse-RMSE weighted hybrid per key."""
-    metrics = regression_metrics(pred, (*keys, "model"))
+    metrics = regression_metrics(pred, (*keys, "model"), median_mode=None)
     ens = weighted_vote(pred, inverse_rmse_weights(metrics, keys), keys)
     return regression_metrics(ens.withColumn("model", F.lit("hybrid")), (*keys, "model"))
 

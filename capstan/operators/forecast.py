@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import maybe_broadcast, scratch_table
+from .windows import join_null_safe
 
 # Seasonal periods in hours, Fourier orders, changepoints, interval.
 DAY_H, WEEK_H = 24.0, 168.0
@@ -55,7 +56,7 @@ def fit_seasonal(df: DataFrame, keys, t: str, y: str, regressors=(), ridge: floa
     """Coefficients per group: (keys, lo, span, beta array, sigma, n)."""
     keys = list(keys)
     rng = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    d = df.where(F.col(y).isNotNull()).join(maybe_broadcast(rng), keys)
+    d = join_null_safe(df.where(F.col(y).isNotNull()), maybe_broadcast(rng), keys)
     span = F.col("_hi") - F.col("_lo")
     x = _design(F.col(t).cast("double"), F.col("_lo"), span, regressors)
     k = len(x)
@@ -119,7 +120,7 @@ def seasonal_forecast(df: DataFrame, keys, t: str, y: str, horizon: int = 30, st
     fut = coef.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_i"), "hi").select(
         *keys, (F.col("hi") + F.col("_i") * step).alias("t"), F.lit(None).cast("double").alias("y"),
         *[F.lit(0.0).alias(r) for r in regressors], F.lit(True).alias("future"))
-    allr = hist.unionByName(fut).join(maybe_broadcast(coef), keys)
+    allr = join_null_safe(hist.unionByName(fut), maybe_broadcast(coef), keys)
     span = F.col("hi") - F.col("lo")
     x = F.array(*_design(F.col("t"), F.col("lo"), span, regressors))
     yhat = _dot(x, F.col("beta"))

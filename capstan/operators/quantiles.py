@@ -2,7 +2,8 @@
 pandas' ``quantile`` and Spark's ``percentile``).
 
 Spark's exact ``percentile`` keeps a value -> count map per group, so one hot
-group with many distinct values lands whole in one task.  Here every wanted rank
+group with many distinct values lands whole in one task.  It is used where no group
+has more than ``max_bracket`` rows (counted).  Otherwise every wanted rank
 (``floor`` and ``ceil`` of ``q (n - 1)``) has a bracket of values of its own:
 
 1. one aggregate gives n, min and max per group, the first bracket of each rank;
@@ -14,8 +15,9 @@ group with many distinct values lands whole in one task.  Here every wanted rank
 3. the rows left in a bracket are grouped to (value, count) and the counts are
    summed up in order of value; ties, however many, are one row.
 
-Only the bracket table (two rows per group and quantile) is carried between
-passes, in the shared checkpoint folder.
+The (keys, value) projection is stored once, so the source is read twice however
+many passes there are; only the bracket table (two rows per group and quantile) is
+carried between passes, in the shared checkpoint folder.  A null key is a group.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast, scratch_table, sized
+from .windows import join_null_safe
 
 MAX_BRACKET = 200_000
 BINS = 1024
@@ -36,7 +39,12 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs, prefix: str = "q",
     keys = list(keys)
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     v = F.col("_v")
-    size = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    size = scratch_table(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi")), "sizes")
+    if size.where(F.col("_n") > max_bracket).isEmpty():
+        # no group is larger than a bracket may be: all its values fit a task
+        q = d.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs])).alias("_qs"))
+        return q.select(*keys, *[F.get("_qs", F.lit(i)).alias(f"{prefix}{i}") for i in range(len(qs))])
+    d = scratch_table(d, "values")  # the narrow projection; the passes below read it instead of the source
     h = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
     ranks = F.array(*[F.struct(F.lit(i).alias("_q"), F.lit(side).alias("_side"), r.cast("long").alias("_r"), (x - F.floor(x)).alias("_f"))
                       for i, x in enumerate(h) for side, r in ((0, F.floor(x)), (1, F.ceil(x)))])
@@ -46,7 +54,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs, prefix: str = "q",
 
     def inside(chosen: DataFrame) -> DataFrame:
         b = sized(chosen.select(*keys, *bracket).distinct())
-        return d.join(b, keys).where((v >= F.col("_lo")) & (v <= F.col("_hi")))
+        return join_null_safe(d, b, keys).where((v >= F.col("_lo")) & (v <= F.col("_hi")))
 
     while True:
         wide = st.where((F.col("_in") > max_bracket) & (F.col("_hi") > F.col("_lo")))
@@ -58,7 +66,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs, prefix: str = "q",
         w = Window.partitionBy(*keys, *bracket).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most `bins` rows
         hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
         t = F.col("_r") - F.col("_below")
-        new = wide.join(maybe_broadcast(hist), [*keys, *bracket]).where(
+        new = join_null_safe(wide, maybe_broadcast(hist), [*keys, *bracket]).where(
             (F.col("_before") <= t) & (t < F.col("_before") + F.col("_c"))).select(
             *keys, "_q", "_side", "_r", "_f", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
             (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_in"))
@@ -70,7 +78,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, qs, prefix: str = "q",
     counts = inside(left).groupBy(*keys, *bracket, "_v").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys, *bracket).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)  # at most `max_bracket` rows
     counts = counts.withColumn("_before", F.col("_below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    ranked = counts.join(sized(left), [*keys, *bracket]).where(
+    ranked = join_null_safe(counts, sized(left), [*keys, *bracket]).where(
         (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c"))).select(
         *keys, "_q", "_side", "_f", F.col("_v").alias("_val"))
     aggs = []

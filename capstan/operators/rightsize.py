@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.quantities import (MIN_CPU_CORES, MIN_MEMORY_BYTES, format_cpu,
                                     format_memory, parse_cpu, parse_memory)
 from ..session import maybe_broadcast
+from .windows import join_null_safe
 
 # Defaults of the statistical strategy and its validation bounds.
 CPU_PERCENTILE = 95.0
@@ -27,7 +28,7 @@ def _with_quantiles(base: DataFrame, values: DataFrame, keys, names: dict[str, f
     from .quantiles import quantile_table
     q = quantile_table(values, keys, "value", list(names.values()), mode, "_q")
     q = q.select(*keys, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)])
-    return base.join(q, list(keys), "left")  # one row a key on both sides
+    return join_null_safe(base, q, list(keys), "left")  # one row a key on both sides
 
 
 def usage_profile_cpu(samples: DataFrame, keys=("service",), value: str = "value",
@@ -74,7 +75,7 @@ def recommend_cpu(services: DataFrame, cpu_samples: DataFrame, key: str = "servi
                   percentile: float = CPU_PERCENTILE, mode: str = "exact") -> DataFrame:
     """R-2 per service: services without samples keep a row with has_data false."""
     prof = usage_profile_cpu(cpu_samples, (key,), percentile=percentile, mode=mode)
-    j = services.select(key).distinct().join(prof, key, "left")
+    j = join_null_safe(services.select(key).distinct(), prof, [key], "left")
     cores = recommend_cpu_expr(F.col("percentile_value"))
     return j.select(
         key,
@@ -89,7 +90,7 @@ def recommend_memory(services: DataFrame, mem_samples: DataFrame, key: str = "se
     """R-4 per service."""
     prof = mem_samples.where(F.col("value").isNotNull()).groupBy(key).agg(
         F.max("value").alias("max_usage_bytes"), F.count("value").alias("count"))
-    j = services.select(key).distinct().join(prof, key, "left")
+    j = join_null_safe(services.select(key).distinct(), prof, [key], "left")
     b = recommend_memory_expr(F.col("max_usage_bytes"), buffer_pct)
     return j.select(
         key,
@@ -121,7 +122,7 @@ def recommendations(inventory: DataFrame, samples: DataFrame, key: str = "servic
     prof = _with_quantiles(base, cpu, [key], {"cpu_percentile_value": percentile / 100.0}, mode)
     cores = recommend_cpu_expr(F.col("cpu_percentile_value"))
     mem_b = recommend_memory_expr(F.col("mem_max_usage_bytes"), buffer_pct)
-    j = inventory.join(maybe_broadcast(prof), key, "left")
+    j = join_null_safe(inventory, maybe_broadcast(prof), [key], "left")
     return j.select(
         F.col(key).alias("service"), "namespace", "container",
         F.lit("statistical").alias("strategy"),

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast
+from ..session import maybe_broadcast, scratch_table
 from .derive import KEYS
 from .quantiles import quantile_table
+from .windows import join_null_safe
 
 
 def _fit_rows(df: DataFrame, fit_on: str, split: str = "split") -> DataFrame:
@@ -21,17 +22,16 @@ def scale(df: DataFrame, cols, method: str = "robust", fit_on: str = "train", ke
     minmax (x - min) / (max - min).  A zero denominator becomes 1."""
     fit, keys = _fit_rows(df, fit_on, split), list(keys)
     if method == "robust":
-        params = None
+        params = fit.select(*keys).distinct()
         for c in cols:
-            t = quantile_table(fit, keys, c, [0.25, 0.5, 0.75], prefix=f"_p_{c}_")
-            params = t if params is None else params.join(t, keys, "full")
+            params = join_null_safe(params, quantile_table(fit, keys, c, [0.25, 0.5, 0.75], prefix=f"_p_{c}_"), keys, "left")
     elif method == "standard":
         params = fit.groupBy(*keys).agg(*[x for c in cols for x in (F.avg(c).alias(f"_c_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     elif method == "minmax":
         params = fit.groupBy(*keys).agg(*[x for c in cols for x in (F.min(c).alias(f"_c_{c}"), F.max(c).alias(f"_x_{c}"))])
     else:
         raise ValueError(method)
-    j = df.join(maybe_broadcast(params), keys, "left")
+    j = join_null_safe(df, maybe_broadcast(params), keys, "left")
     out = []
     for c in cols:
         if method == "robust":
@@ -69,7 +69,11 @@ def yeo_johnson_lambda(df: DataFrame, col: str, keys=KEYS, grid=None) -> DataFra
     keys = list(keys)
     grid = list(grid or [i / 4 for i in range(-8, 17)])
     x = F.col(col).cast("double")
-    d = df.where(x.isNotNull()).select(*keys, x.alias("_x"))
+    return _lambdas(scratch_table(df.where(x.isNotNull()).select(*keys, x.alias("_x")), "values"), keys, grid)
+
+
+def _lambdas(d: DataFrame, keys, grid) -> DataFrame:
+    """The fit on a stored table of keys and non-null values ``_x``."""
     xv = F.col("_x")
     aggs = [F.count(xv).alias("_n"), F.sum(F.signum(xv) * F.log1p(F.abs(xv))).alias("_sl")]
     aggs += [F.var_pop(_yj(xv, lam)).alias(f"_v{i}") for i, lam in enumerate(grid)]
@@ -80,7 +84,7 @@ def yeo_johnson_lambda(df: DataFrame, col: str, keys=KEYS, grid=None) -> DataFra
     for step in (0.05, 0.01):
         cand = best.select(*keys, F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("_o"),
                            "lam").withColumn("_lam", F.col("lam") + F.col("_o") * step)
-        j = d.join(maybe_broadcast(cand), keys)
+        j = join_null_safe(d, maybe_broadcast(cand), keys)
         r = j.groupBy(*keys, "_lam").agg(F.count(xv).alias("_n"),
                                           F.sum(F.signum(xv) * F.log1p(F.abs(xv))).alias("_sl"),
                                           F.var_pop(_yj(xv, F.col("_lam"))).alias("_v"))
@@ -91,12 +95,15 @@ def yeo_johnson_lambda(df: DataFrame, col: str, keys=KEYS, grid=None) -> DataFra
 
 
 def power_transform(df: DataFrame, col: str, keys=KEYS) -> DataFrame:
-    """F-20: Yeo-Johnson with the fitted lambda, then standardised (pop std);
-    all JVM-side column expressions."""
-    lam = yeo_johnson_lambda(df, col, keys)
-    j = df.join(maybe_broadcast(lam), list(keys))
-    t = j.withColumn("_yj", _yj(F.col(col).cast("double"), F.col("lam")))
-    st = t.groupBy(*keys).agg(F.avg("_yj").alias("_m"), F.stddev_pop("_yj").alias("_s"))
-    t = t.join(maybe_broadcast(st), list(keys))
+    """F-20: Yeo-Johnson with the fitted lambda, then standardised (pop std); all
+    JVM-side column expressions.  Every row comes back; the rows of a group without a
+    value have a null lambda and result.  The source is read once for the stored
+    (keys, value) projection that all passes of the fit use, and once for the result."""
+    keys, x = list(keys), F.col(col).cast("double")
+    d = scratch_table(df.where(x.isNotNull()).select(*keys, x.alias("_x")), "values")
+    lam = maybe_broadcast(_lambdas(d, keys, [i / 4 for i in range(-8, 17)]))
+    t = join_null_safe(d, lam, keys).withColumn("_yj", _yj(F.col("_x"), F.col("lam")))
+    params = t.groupBy(*keys).agg(F.first("lam").alias("lam"), F.avg("_yj").alias("_m"), F.stddev_pop("_yj").alias("_s"))
+    j = join_null_safe(df, maybe_broadcast(params), keys, "left")
     den = F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
-    return t.select(*df.columns, "lam", ((F.col("_yj") - F.col("_m")) / den).alias(f"{col}_power"))
+    return j.select(*df.columns, "lam", ((_yj(x, F.col("lam")) - F.col("_m")) / den).alias(f"{col}_power"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import CHUNK_ROWS, by_chunks, dense_position, prefix_counts
+from .windows import CHUNK_ROWS, by_chunks, dense_position, join_null_safe, prefix_counts
 
 EPS = 2.220446049250313e-16  # machine epsilon of float64 (mape floor)
 GROUP = ("service", "target", "model")
@@ -26,18 +26,19 @@ def regression_metrics(pred: DataFrame, keys=GROUP, y="y_true", p="y_pred", medi
 
     The median absolute error is exact with bounded memory per group
     (:mod:`capstan.operators.quantiles`) and joined to the aggregate;
-    ``median_mode='approx'`` uses ``percentile_approx`` inside it."""
+    ``median_mode='approx'`` uses ``percentile_approx`` inside it, and None leaves
+    the column out."""
     yt, yp = F.col(y), F.col(p)
     e = yp - yt
     ae = F.abs(e)
-    if median_mode != "approx":
+    if median_mode not in (None, "approx"):
         from .quantiles import exact_quantile
-        base = regression_metrics(pred, keys, y, p, median_mode="approx").drop("median_absolute_error")
+        base = regression_metrics(pred, keys, y, p, median_mode=None)
         med = exact_quantile(pred.select(*keys, ae.alias("_ae")), list(keys), "_ae", 0.5, "median_absolute_error")
         cols = base.columns
         at = cols.index("max_error") + 1
-        return base.join(med, list(keys), "left").select(*cols[:at], "median_absolute_error", *cols[at:])
-    med_expr = F.percentile_approx(ae, 0.5, 10000)
+        return join_null_safe(base, med, list(keys), "left").select(*cols[:at], "median_absolute_error", *cols[at:])
+    median = [F.percentile_approx(ae, 0.5, 10000).alias("median_absolute_error")] if median_mode == "approx" else []
     agg = pred.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg(e * e).alias("mse"),
@@ -48,7 +49,7 @@ def regression_metrics(pred: DataFrame, keys=GROUP, y="y_true", p="y_pred", medi
         F.var_pop(yt).alias("_vy"),
         F.var_pop(e).alias("_ve"),
         F.max(ae).alias("max_error"),
-        med_expr.alias("median_absolute_error"),
+        *median,
         (F.avg(F.try_divide(2 * ae, F.abs(yt) + F.abs(yp))) * 100).alias("smape"),
         (F.avg(F.abs(F.log1p(yt) - F.log1p(yp))) * 100).alias("mape_log"),
         (F.try_divide(F.sum(ae), F.sum(F.abs(yt))) * 100).alias("wmape"))
@@ -57,7 +58,7 @@ def regression_metrics(pred: DataFrame, keys=GROUP, y="y_true", p="y_pred", medi
         _r2(F.col("_sse"), F.col("_sst")).alias("r2"),
         F.when(F.col("_vy") == 0, F.when(F.col("_ve") == 0, 1.0).otherwise(0.0))
          .otherwise(1 - F.col("_ve") / F.col("_vy")).alias("explained_variance"),
-        "max_error", "median_absolute_error", "smape", "mape_log", "wmape")
+        "max_error", *(["median_absolute_error"] if median else []), "smape", "mape_log", "wmape")
 
 
 def directional_accuracy(pred: DataFrame, keys=GROUP, order="idx", y="y_true", p="y_pred",
