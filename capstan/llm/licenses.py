@@ -1,11 +1,13 @@
 """Licence scan with a positional rare-token index, in DataFrame functions only.
 
-Licence notices are indexed as postings (word, template, position).  Files that
-hold a word which every template's key phrase needs are broken into positioned
-words; each file's highest-IDF words of a template are looked up in the
-postings, postings of a template that agree on the relative position are
-counted, and templates whose mandatory key phrases stand in the file are
-labelled.
+Licence notices are indexed as postings (word, template, position).  The document
+frequency of every indexed word is counted over all documents.  A template's rare
+words are the rarest word of its first key phrase and all words of its notice that are
+at least as rare; each file's rare words are looked up in the postings, those of a
+template that agree on the relative position add up their IDF, and templates whose
+mandatory key phrases stand in the file are labelled.  A standing key phrase holds the
+rare word that looks it up, whatever else is in the file, so more words never take a
+label away.
 
 Edge cases: a null text counts as empty; empty texts have no labels and score 0;
 rows equal in id and text get equal results; an empty table gives an empty result.
@@ -61,15 +63,6 @@ TEMPLATES = [
      ["all rights reserved", "no part"]),
 ]
 
-# Words too common in any text to be looked up; the index holds the
-# other, rare words of the notices.
-COMMON_WORDS = frozenset("a all and any are as at be by for from has in is it not of on or part person program software that the "
-                         "this to under use with without work you".split())
-
-#: Words looked up per file and template, and the least share of them (by IDF)
-#: that must agree on one relative position.
-LOOKUPS = 4
-MIN_AGREE = 0.5
 #: Words a notice may be shifted by inserted words and still agree.
 SLACK = 3
 
@@ -109,25 +102,30 @@ def needed_words() -> str:
     return "|".join(sorted(alts))
 
 
+def notice_words() -> list[str]:
+    return sorted({w for _, notice, _ in TEMPLATES for w in notice.split(" ")} | {w for _, _, keys in TEMPLATES for w in keys[0].split(" ")})
+
+
 def postings(spark: SparkSession) -> DataFrame:
-    """(word, label, position) of the notices' rare words: a fixed table of some
-    200 rows."""
-    rows = [F.struct(F.lit(w).alias("word"), F.lit(label).alias("label"), F.lit(k).cast("long").alias("at"))
-            for label, notice, _ in TEMPLATES for k, w in enumerate(notice.split(" ")) if w not in COMMON_WORDS]
+    """(word, label, position, whether it is a word of the first key phrase) of the
+    notices: a fixed table of some 250 rows."""
+    rows = [F.struct(F.lit(w).alias("word"), F.lit(label).alias("label"), F.lit(k).cast("long").alias("at"), F.lit(w in keys[0].split(" ")).alias("key"))
+            for label, notice, keys in TEMPLATES for k, w in enumerate(notice.split(" "))]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and
-    score (best IDF share of a notice's looked-up words that agree on a position;
+    score (best IDF share of a labelled notice's rare words that agree on a position;
     1 where a base phrase stands) of every document."""
     spark = docs.sparkSession
     low = F.translate(text_of(), UPPER, LOWER)
     base = docs.select("doc_id", row_digest(docs, "text").alias("rk"), low.alias("_low"))
     base = base.select("doc_id", "rk", words_of(F.col("_low")).alias("_w"),
                        F.col("_low").rlike(needed_words()).alias("_c"))
-    # the words stay only for files that can hold a phrase
-    base = stored(base.select("doc_id", "rk", F.size("_w").cast("long").alias("n_words"),
+    # the words stay only for files that can hold a phrase; of the others, which notice words they hold
+    vocabulary = F.array(*[F.lit(w) for w in notice_words()])
+    base = stored(base.select("doc_id", "rk", F.size("_w").cast("long").alias("n_words"), F.array_intersect(vocabulary, F.col("_w")).alias("v"),
                               F.when(F.col("_c"), F.col("_w")).alias("w")), "licence-words")
 
     found = F.concat(*[labelled(places(F.col("w"), phrase), label) for phrase, label in BASE_PHRASES.items()])
@@ -136,7 +134,7 @@ def scan(docs: DataFrame) -> DataFrame:
                        F.array_min(F.col("_f.at")).alias("first_word"), F.array_max(F.col("_f.at")).alias("last_word"),
                        F.array_distinct(F.col("_f.label")).alias("_base"))
 
-    extra = matched(base.where(F.col("w").isNotNull()), postings(spark)).select(
+    extra = matched(base.where(F.col("w").isNotNull()), rare_postings(base, postings(spark))).select(
         F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "found", "best")
     out = hits.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")), "left")
     every = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("found", F.array().cast("array<string>")))))
@@ -146,37 +144,29 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
 
 
-def matched(files: DataFrame, index: DataFrame) -> DataFrame:
+def rare_postings(held: DataFrame, index: DataFrame) -> DataFrame:
+    """Postings of the rare words with their ``idf`` and the ``weight`` of all rare words
+    of their template, from the notice words ``v`` that each document holds."""
+    n = held.count()
+    df = held.select(F.explode("v").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    idf = stored(df.select(F.col("word").alias("_w"), F.log1p(F.lit(float(n)) / F.col("df")).alias("idf")), "licence-idf")  # a row a notice word
+    every = index.join(F.broadcast(idf), F.col("word") == F.col("_w")).drop("_w")
+    limit = every.where("key").groupBy(F.col("label").alias("_l")).agg(F.max("idf").alias("_least"))
+    rare = every.join(F.broadcast(limit), F.col("label") == F.col("_l")).where(F.col("idf") >= F.col("_least")).drop("_l", "_least", "key")
+    weight = rare.select("label", "word", "idf").distinct().groupBy(F.col("label").alias("_l")).agg(F.sum("idf").alias("weight"))
+    return stored(rare.join(F.broadcast(weight), F.col("label") == F.col("_l")).drop("_l"), "licence-postings")  # some 250 rows at the most
+
+
+def matched(files: DataFrame, rare: DataFrame) -> DataFrame:
     """Labels and best score of each file (doc_id, rk) by the positional index."""
     files = files.select("doc_id", "rk", "w")
     # postings are a fixed table: its broadcast has a fixed size
-    vocab = F.broadcast(index.select("word").distinct())
-    seen = stored(files.select("doc_id", "rk", F.posexplode("w").alias("pos", "word")).join(vocab, "word")
-                  .select("doc_id", "rk", "word", F.col("pos").cast("long").alias("pos")).distinct(), "licence-hits")
-    # IDF over all files that hold a needed word
-    n = files.select("doc_id", "rk").distinct().agg(F.count(F.lit(1)).alias("n"))
-    df = seen.select("doc_id", "rk", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("word", F.log1p(F.col("n") / F.col("df")).alias("idf"))  # one row
-    idf = stored(idf, "licence-idf")  # at most as many rows as the postings
-
-    per = seen.select("doc_id", "rk", "word").distinct().join(F.broadcast(idf), "word").join(
-        F.broadcast(index.select("word", "label").distinct()), "word")
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("a"), F.col("word"))))
-    # at most as many words as the notice has
-    top = per.groupBy("doc_id", "rk", "label").agg(F.slice(ranked, 1, LOOKUPS).alias("top"))
-    top = top.select("doc_id", "rk", "label", F.explode("top").alias("t"),
-                     F.aggregate("top", F.lit(0.0), lambda s, x: s - x["a"]).alias("weight"))
-    top = top.select("doc_id", "rk", "label", F.col("t.word").alias("word"), (-F.col("t.a")).alias("idf"), "weight")
-
+    at = files.select("doc_id", "rk", F.posexplode("w").alias("pos", "_word")).join(F.broadcast(rare), F.col("_word") == F.col("word"))
     # relative positions: two neighbouring slots of width SLACK + 1 cover a shift across their border
-    at = (top.join(seen.withColumnRenamed("doc_id", "_id").withColumnRenamed("rk", "_rk").withColumnRenamed("word", "_word"),
-                   F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")) & (F.col("word") == F.col("_word")))
-          .join(F.broadcast(index.select(F.col("word").alias("_w2"), F.col("label").alias("_l2"), "at")),
-                (F.col("word") == F.col("_w2")) & (F.col("label") == F.col("_l2"))))
     slot = F.floor((F.col("pos") - F.col("at")) / (SLACK + 1))
     at = at.select("doc_id", "rk", "label", "word", "idf", "weight", F.explode(F.array(slot, slot + 1)).alias("slot")).distinct()
     agree = at.groupBy("doc_id", "rk", "label", "slot").agg((F.sum("idf") / F.max("weight")).alias("share"))
-    best = agree.groupBy("doc_id", "rk", "label").agg(F.max("share").alias("share")).where(F.col("share") >= MIN_AGREE)
+    best = agree.groupBy("doc_id", "rk", "label").agg(F.max("share").alias("share"))
 
     # key phrases, checked on the files that have a candidate
     keys = F.lit(None).cast("boolean")
