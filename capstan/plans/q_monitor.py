@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.quantities import parse_cpu as parse_cpu_col
-from ..operators import alerts, allocation, drift, selection, settling
+from ..operators import alerts, allocation, drift, intervals, reduction, selection, settling
 from ..sources import adapters as ad
 from ..streaming import alerts as stream
+from ..streaming import sessions
 from ..streaming import streams as st
 from .registry import register
 from .sqlfn import parse_cpu
@@ -182,3 +183,54 @@ def granted_requests(spark, sf):
     r = ad.containers(spark, sf).select(
         "service", F.col("container").alias("name"), F.floor(parse_cpu_col(F.col("cpu_request")) * 1000 + 0.5).cast("long").alias("requested"))
     return allocation.grants(r, r.agg(F.sum("requested")).first()[0] or 0, priorities=PRIORITY)
+
+
+COMPONENT_COLUMNS = ["cpu_cores_value", "node_cpu_util_value"]
+
+
+@register("principal_components", adapters=["experiments"], floats=["variance", "share"], sql="""
+    WITH r AS (SELECT abs(corr(cpu_cores_value, node_cpu_util_value)) AS r FROM experiments)
+    SELECT 1 AS component, 1 + r AS variance, (1 + r) / 2 AS share FROM r UNION ALL SELECT 2, 1 - r, (1 - r) / 2 FROM r""")
+def principal_components(spark, sf):
+    """Components of two standardised columns, whose variances have a closed form."""
+    return reduction.principal_components(ad.experiments(spark, sf), COMPONENT_COLUMNS).table(spark)
+
+
+@register("samples_after_errors", floats=["total"], sql="""
+    SELECT e.event_id AS error_id, count(*) AS n, sum(s.value) AS total
+    FROM events e JOIN events s ON s.ts >= e.ts AND s.ts < e.ts + to_minutes(CAST(1 + e.event_id % 60 AS INTEGER))
+    WHERE e.event_type = 'error' GROUP BY 1""")
+def samples_after_errors(spark, sf):
+    """All events in the minutes after each error, by an interval join."""
+    e = ad.table(spark, sf, "events")
+    minutes = F.make_dt_interval(F.lit(0), F.lit(0), (1 + F.col("event_id") % 60).cast("int"))
+    spans = e.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("start"), (F.col("ts") + minutes).alias("end"))
+    out = intervals.interval_join(e.select("ts", "value"), spans)
+    return out.groupBy("error_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+_SESSIONS_SQL = """
+    WITH s AS (SELECT event_type AS service, ts, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+    b AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS begins FROM s WINDOW w AS (PARTITION BY service ORDER BY ts)),
+    i AS (SELECT *, sum(begins) OVER (PARTITION BY service ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM b)
+    SELECT service, min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTE AS session_end, count(*) AS n, sum(value) AS total, max(value) AS peak
+    FROM i GROUP BY service, session"""
+
+
+def _plain(df):
+    return df.select("service", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+                     F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n", "total", "peak")
+
+
+@register("event_sessions", floats=["total", "peak"], sql=_SESSIONS_SQL)
+def event_sessions(spark, sf):
+    """Bursts of events per type."""
+    return _plain(sessions.batch_sessions(ad.table(spark, sf, "events").withColumnRenamed("event_type", "service")))
+
+
+@register("stream_event_sessions", floats=["total", "peak"], sql=_SESSIONS_SQL)
+def stream_event_sessions(spark, sf):
+    """The same bursts from a file stream with session state."""
+    events = f"{sf}/events.parquet"
+    upto = spark.read.parquet(events).agg(F.max("ts").cast("timestamp")).first()[0]
+    return _plain(sessions.run_sessions(st.table_stream(spark, events).withColumnRenamed("event_type", "service"), upto))

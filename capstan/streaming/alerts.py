@@ -134,16 +134,22 @@ def run_alerts(samples: DataFrame, upto, name: str = "alerts", base: str | None
     their end; then a tick, a hold time, a stale time and a delay after ``upto`` (the
     newest time; None without samples), moves the watermark past all that can still
     happen, and the run goes on from its state.  Keys are strings."""
-    spark: SparkSession = samples.sparkSession
     keys = list(rule.get("keys", ("service",)))
+    after = [rule.get(k, d) for k, d in (("hold", CPU_HOLD), ("stale", "5 minutes"), ("delay", "10 minutes"))]
+    return run_with_tick(lambda rows: stream_alerts(rows, **rule), samples, keys, upto, after, name, base)
+
+
+def run_with_tick(build, samples: DataFrame, keys: list[str], upto, after: list[str], name: str, base: str | None = None) -> DataFrame:
+    """A stateful query ``build`` over a finite stream of (keys, ts, value), complete: a
+    tick beyond ``upto`` by the intervals ``after`` and an hour ends the run."""
+    spark: SparkSession = samples.sparkSession
     root = base.rstrip("/") if base else scratch_path(spark, f"stream-{name}")
     samples = samples.select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
-    after = " + ".join(f"INTERVAL {rule.get(k, d)}" for k, d in (("hold", CPU_HOLD), ("stale", "5 minutes"), ("delay", "10 minutes")))
+    beyond = " + ".join(f"INTERVAL {x}" for x in [*after, "1 hour"])
     tick = spark.range(1).select(*[F.lit(None).cast("string").alias(k) for k in keys],
-                                 (F.lit(upto).cast("timestamp") + F.expr(after) + F.expr("INTERVAL 1 HOUR")).alias("ts"),
-                                 F.lit(None).cast("double").alias("value"))
+                                 (F.lit(upto).cast("timestamp") + F.expr(beyond)).alias("ts"), F.lit(None).cast("double").alias("value"))
     tick.limit(0).write.mode("append").parquet(root + "/ticks")
-    out = stream_alerts(samples.unionByName(spark.readStream.schema(tick.schema).parquet(root + "/ticks")), **rule)
+    out = build(samples.unionByName(spark.readStream.schema(tick.schema).parquet(root + "/ticks")))
     _run(out, root)
     if upto is not None:
         tick.write.mode("append").parquet(root + "/ticks")
