@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.quantities import parse_cpu as parse_cpu_col
-from ..operators import alerts, allocation, drift, intervals, reduction, selection, settling
+from ..operators import alerts, allocation, drift, intervals, isolation, reduction, selection, settling
 from ..sources import adapters as ad
 from ..streaming import alerts as stream
 from ..streaming import sessions
@@ -234,3 +234,11 @@ def stream_event_sessions(spark, sf):
     events = f"{sf}/events.parquet"
     upto = spark.read.parquet(events).agg(F.max("ts").cast("timestamp")).first()[0]
     return _plain(sessions.run_sessions(st.table_stream(spark, events).withColumnRenamed("event_type", "service"), upto))
+
+
+@register("isolation_scores")
+def isolation_scores(spark, sf):
+    """Outlier scores of the experiment rows; seeded, so checked by the tests."""
+    rows = ad.experiments(spark, sf)
+    forest = isolation.fit_isolation(rows, ["cpu_cores_value", "mem_bytes_value", "pod_restarts_value"])
+    return isolation.isolation_scores(rows, forest).select("event_id", "isolation_score")
