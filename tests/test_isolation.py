@@ -9,7 +9,7 @@ from capstan.operators import isolation
 def frame(spark, n=3000):
     r = np.random.default_rng(5)
     rows = [(k, float(a), float(b), 1.0) for k, (a, b) in enumerate(r.normal(size=(n, 2)))]
-    rows += [(n + k, *at, 1.0) for k, at in enumerate([(12.0, -12.0), (-12.0, 12.0), (12.0, 12.0), (-12.0, -12.0), (0.0, 20.0)])]  # far apart + [(n + 10, None, 0.0, 1.0)]
+    rows += [(n + k, *at, 1.0) for k, at in enumerate([(12.0, -12.0), (-12.0, 12.0), (12.0, 12.0), (-12.0, -12.0), (0.0, 20.0)])] + [(n + 10, None, 0.0, 1.0)]
     return spark.createDataFrame(rows, "id long, a double, b double, same double").repartition(4).cache()
 
 
