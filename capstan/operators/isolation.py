@@ -4,7 +4,8 @@ split off early is unlike the others.
 Each tree grows on its own part of a seeded sample of ``trees * rows`` rows (a bound on
 what reaches the driver, whatever the table's size); all rows are scored, in Arrow
 batches, by the average length of their paths.  Scores lie between 0 and 1; ordinary
-rows are near or below 0.5.
+rows are near or below 0.5.  A row that is extreme in one column only can rank behind
+rows at the edge of several.
 
 A row with a null among the columns has a null score and is not sampled; a table
 without complete rows scores null everywhere.  The sample, and so the scores, agree
