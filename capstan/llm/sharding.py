@@ -6,15 +6,21 @@ arrival, shuffles it with Fisher-Yates from a seed, and numbers its records
 after those of the buckets before it.  Records go to shards in turn by that
 number, so shard counts differ by one at most (law ``rows``).
 
-Edge cases: a null text has no bytes; null ids are scattered by their text;
+Rows equal in every column share a hash.  Where their copies would fill more than
+a part of a bucket, one row a hot group is kept with its count and the copies are
+made anew, numbered, so that each number scatters to a bucket of its own choice.
+That depends on the table's rows alone, so a lost executor changes nothing.
+
+Edge cases: a null text has no bytes; null ids are scattered by the other columns;
 equal rows are interchangeable; an empty table gives an empty result; columns
-``shard`` and ``slot`` of the input are replaced.
+``shard`` and ``slot`` of the input are replaced; maps are compared by their sorted
+entries.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +29,13 @@ from .common import sized, stored, text_of
 BUCKET_BYTES = 64 << 20
 #: Buckets at least, so that small inputs use several tasks too.
 MIN_BUCKETS = 64
+#: What a record takes besides its text.
+ROW_BYTES = 64
+#: Equal rows are hot from this part of a bucket's bytes on, or from this part of the
+#: table's, so that the list of hot hashes has at most so many 8-byte entries.
+HOT_PART, HOT_KEYS = 8, 1_000_000
+#: Bytes and copies of one hot row that one task makes.
+BLOCK_BYTES, BLOCK_COPIES = 64 << 20, 100_000
 
 
 def fisher_yates(seed: int, bucket: int, n: int):
@@ -40,10 +53,14 @@ def shuffled(docs: DataFrame, n_shards: int = 8, seed: int = 20, bucket_bytes: i
     from 0 in its shard)."""
     docs = docs.drop("shard", "slot")
     names = [f"`{c}`" for c in docs.columns]
-    total = docs.agg(F.sum(F.octet_length(text_of()).cast("long") + 1)).first()[0] or 0
+    size = F.octet_length(text_of()).cast("long") + ROW_BYTES
+    total = docs.agg(F.sum(size)).first()[0] or 0
     n_buckets = max(min_buckets, -(-total // bucket_bytes))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
-    rows = docs.withColumn("_cx_h", key).withColumn("_cx_b", F.pmod(F.col("_cx_h"), F.lit(n_buckets)))
+    keyed = docs.withColumn("_cx_h", F.xxhash64(F.lit(seed), *[comparable(f) for f in docs.schema.fields]))
+    hot_bytes = max(min(bucket_bytes, max(total, 1) // n_buckets) // HOT_PART, total // HOT_KEYS)
+    copies = keyed.groupBy("_cx_h").agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("bytes"))
+    hot = stored(copies.where((F.col("n") > 1) & (F.col("n") * F.col("bytes") > hot_bytes)).select("_cx_h"), "hot-rows")
+    rows = spread(keyed, hot, docs.columns, seed).withColumn("_cx_b", F.pmod(F.col("_cx_h"), F.lit(n_buckets)))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_cx_b", T.LongType()), T.StructField("_cx_k", T.LongType())])
 
@@ -55,13 +72,34 @@ def shuffled(docs: DataFrame, n_shards: int = 8, seed: int = 20, bucket_bytes: i
         return t.append_column("_cx_k", pa.array(range(t.num_rows), pa.int64()))
 
     out = rows.repartition(int(min(n_buckets, 20_000)), "_cx_b").groupBy("_cx_b").applyInArrow(pass_two, schema)
-    offsets = sized(stored(bucket_offsets(docs.select(key.alias("_cx_h")).select(
-        F.pmod(F.col("_cx_h"), F.lit(n_buckets)).alias("_cx_b"))), "buckets"))
+    offsets = sized(stored(bucket_offsets(rows.select("_cx_b")), "buckets"))
     number = F.col("_cx_off") + F.col("_cx_k")
     return out.join(offsets, "_cx_b").select(
         *names, (number % n_shards).cast("int").alias("shard"), F.floor(number / n_shards).cast("long").alias("slot"))
 
 
+def comparable(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    return F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c
+
+
+def spread(keyed: DataFrame, hot: DataFrame, names: list[str], seed: int) -> DataFrame:
+    """``keyed`` with a hash of its own for every copy of a hot row; other rows stay
+    where they are.  ``hot`` has at most ``HOT_KEYS`` rows by its definition."""
+    if hot.isEmpty():
+        return keyed
+    few, fields = F.broadcast(hot), [f for f in keyed.schema.fields if f.name in names]
+    held = keyed.join(few, "_cx_h", "left_semi").groupBy("_cx_h", *[comparable(f).alias(f.name) for f in fields]).agg(F.count(F.lit(1)).alias("_cx_n"))
+    step = F.greatest(F.lit(1), F.least(F.lit(BLOCK_COPIES), F.floor(BLOCK_BYTES / (F.octet_length(text_of()) + ROW_BYTES)))).cast("long")
+    blocks = held.withColumn("_cx_d", step).withColumn("_cx_s", F.explode(F.sequence(F.lit(0), F.floor((F.col("_cx_n") - 1) / F.col("_cx_d")))))
+    blocks = blocks.repartition("_cx_h", "_cx_s")
+    first = F.col("_cx_s") * F.col("_cx_d")
+    made = blocks.withColumn("_cx_c", F.explode(F.sequence(first, F.least(first + F.col("_cx_d"), F.col("_cx_n")) - 1)))
+    back = [F.map_from_entries(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in fields]
+    made = made.select(*back, F.xxhash64(F.lit(seed), "_cx_h", "_cx_c").alias("_cx_h"))
+    return keyed.join(few, "_cx_h", "left_anti").select(*[F.col(f"`{c}`") for c in names], "_cx_h").unionByName(made)
+
+
 def bucket_offsets(buckets: DataFrame, group: int = 1024) -> DataFrame:
     """Records in the buckets before each bucket, by sums in two levels, so that
     neither window holds more than a part of the buckets."""
