@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators and their DuckDB SQL."""
+"""Registered queries of the training-data operators 1 to 10 and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, decontaminate, fill_middle, language, lexical_search, licenses, mixing, ngram_join, pii, quality, sharding, token_counts,
-               toxicity)
+from . import decontaminate, language, licenses, mixing, ngram_join, pii, quality, sharding, token_counts, toxicity
 from .common import table, text_of
 
 TOKEN_LIMIT = 4096
@@ -60,20 +59,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
-                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
-
-
-def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken")
-
-
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,4 +67,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity, op2_ngram_join, op3_decontaminate, op4_mix_sources, op5_license_scan, op6_shard, op7_token_counts,
-    op8_personal_data, op9_host_quality, op10_language_id, op11_lexical_search, op12_fill_in_middle, op13_byte_bpe, pipeline)}
+    op8_personal_data, op9_host_quality, op10_language_id, pipeline)}
