@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantities import parse_cpu as parse_cpu_col
-from ..operators import alerts, allocation, drift, intervals, isolation, reduction, selection, settling
+from ..operators import alerts, allocation, drift, imputation, intervals, isolation, reduction, selection, settling
 from ..sources import adapters as ad
 from ..streaming import alerts as stream
 from ..streaming import sessions
@@ -242,3 +243,33 @@ def isolation_scores(spark, sf):
     rows = ad.experiments(spark, sf)
     forest = isolation.fit_isolation(rows, ["cpu_cores_value", "mem_bytes_value", "pod_restarts_value"])
     return isolation.isolation_scores(rows, forest).select("event_id", "isolation_score")
+
+
+IMPUTE_ROUNDS = 3
+
+
+def _impute_sql() -> str:
+    """Rounds of fits of two columns on each other, each with the fills of the round before."""
+    out = """
+    x AS (
+      SELECT event_id, net_rx_bytes_value AS a, cpu_cores_value - lag(cpu_cores_value) OVER (PARTITION BY experiment_id ORDER BY idx) AS b FROM experiments),
+    y0 AS (SELECT event_id, a, b, coalesce(a, avg(a) OVER ()) AS ya, coalesce(b, avg(b) OVER ()) AS yb FROM x)"""
+    for k in range(IMPUTE_ROUNDS):
+        out += f""",
+    f{k} AS (
+      SELECT regr_slope(ya, yb) FILTER (a IS NOT NULL) AS sa, regr_intercept(ya, yb) FILTER (a IS NOT NULL) AS ca,
+             regr_slope(yb, ya) FILTER (b IS NOT NULL) AS sb, regr_intercept(yb, ya) FILTER (b IS NOT NULL) AS cb FROM y{k}),
+    y{k + 1} AS (SELECT event_id, a, b, coalesce(a, sa * yb + ca) AS ya, coalesce(b, sb * ya + cb) AS yb FROM y{k}, f{k})"""
+    return f"""WITH {out}
+    SELECT event_id, coalesce(a, round(ya, 4)) AS net_rx_bytes_value, coalesce(b, round(yb, 9)) AS cpu_change FROM y{IMPUTE_ROUNDS}"""
+
+
+@register("iterative_impute", adapters=["experiments"], floats=["net_rx_bytes_value", "cpu_change"], sql=_impute_sql())
+def iterative_impute(spark, sf):
+    """Received bytes (missing in a fifth of the rows) and the change of cpu (missing in
+    an experiment's first row) filled from each other."""
+    e = ad.experiments(spark, sf)
+    before = F.lag("cpu_cores_value").over(Window.partitionBy("experiment_id").orderBy("idx"))
+    x = e.select("event_id", F.col("net_rx_bytes_value").cast("double").alias("a"), (F.col("cpu_cores_value") - before).alias("b"))
+    y = imputation.iterative_impute(x.select("*", F.col("a").alias("ya"), F.col("b").alias("yb")), ["ya", "yb"], IMPUTE_ROUNDS)
+    return y.select("event_id", F.coalesce("a", F.round("ya", 4)).alias("net_rx_bytes_value"), F.coalesce("b", F.round("yb", 9)).alias("cpu_change"))
