@@ -198,6 +198,37 @@ def cv_summary(spark, sf):
                                  "mean double, std double, min double, max double, n_rows long")
 
 
+CV_FEATURE, CV_TARGET = "cpu_cores_value", "node_cpu_util_value"
+
+
+@register("cv_folds", adapters=["experiments"], floats=["r2", "mean", "std"], sql=f"""
+    WITH n AS (SELECT *, count(*) OVER (PARTITION BY experiment_id) AS n FROM experiments),
+    s AS (SELECT {CV_FEATURE} AS x, {CV_TARGET} AS y, idx, n // 5 AS base, n % 5 AS extra FROM n),
+    f AS (
+      SELECT x, y, CAST(CASE WHEN idx < (base + 1) * extra THEN idx // (base + 1) ELSE extra + (idx - (base + 1) * extra) // base END AS INTEGER) AS fold FROM s),
+    k AS (
+      SELECT k.fold, count(*) AS n_train, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icept
+      FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold GROUP BY 1),
+    e AS (
+      SELECT fold, n_train, count(*) AS n_test, 1 - sum(power(y - slope * x - icept, 2)) / (var_pop(y) * count(*)) AS r2 FROM f JOIN k USING (fold) GROUP BY 1, 2)
+    SELECT fold, n_train, n_test, round(r2, 9) AS r2, round(avg(r2) OVER (), 9) AS mean, round(stddev_pop(r2) OVER (), 9) AS std FROM e""")
+def cv_folds(spark, sf):
+    """V-10 on a measured target: R2 of a linear model refitted per contiguous fold,
+    with the summary of all folds; the SQL solves the normal equations of each fold."""
+    d = scratch_table(sp.contiguous_folds(ad.experiments(spark, sf), 5), "folds")
+    sizes = {r["fold"]: r["n"] for r in d.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # five
+    rows = []
+    for k in range(5):
+        tr, te = d.where(F.col("fold") != k), d.where(F.col("fold") == k)
+        m = LinearRegression(featuresCol="features", labelCol=CV_TARGET, solver="normal").fit(md.assemble(tr, [CV_FEATURE]))
+        p = md._predictions(m.transform(md.assemble(te, [CV_FEATURE])), "all", CV_TARGET, "linear", "idx", CV_TARGET)
+        rows.append((k, sum(sizes.values()) - sizes[k], sizes[k], sc.regression_metrics(p, median_mode="approx").first()["r2"]))
+    r2 = [r[3] for r in rows]
+    mean, std = round(statistics.fmean(r2), 9), round(statistics.pstdev(r2), 9)
+    return spark.createDataFrame([(k, a, b, round(v, 9), mean, std) for k, a, b, v in rows],
+                                 "fold int, n_train long, n_test long, r2 double, mean double, std double")
+
+
 @register("oversample", adapters=["experiments"], sql="""
     WITH t AS (SELECT lead(cpu_cores_value) OVER w AS nxt, cpu_cores_value AS cur, lead(idx) OVER w AS more
                FROM experiments WINDOW w AS (PARTITION BY experiment_id ORDER BY idx)),
