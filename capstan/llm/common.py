@@ -89,14 +89,6 @@ def keep_rows(docs: DataFrame, rejected: DataFrame, *digest_of: str) -> DataFram
     return left.join(right, cond, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def small(batches, rows: int = 1000):
-    """The rows of Arrow batches in portions, so that a task holds the Python
-    objects of one portion only."""
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
 def byte_portions(batches, column: str, most: int = 4 << 20):
     """The rows of Arrow batches in portions of at most ``most`` bytes in the named
     text or binary column, or of one longer row."""

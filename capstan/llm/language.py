@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, mix64, row_digest, small, text_of
+from .common import byte_portions, fold_of, mix64, row_digest, text_of
 
 #: Bound of the training sample, in documents of all languages together.
 SAMPLE_DOCS = 2000
@@ -117,7 +117,7 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2, most: int = SAMPL
     picked = sample(docs, usable, most)
 
     def to_bags(batches):
-        for b in small(batches):
+        for b in byte_portions(batches, "text"):
             at, share = [], []
             for t in b.column("text").to_pylist():
                 g = np.bincount(gram_hashes(t), minlength=BUCKETS) if LETTER.search(t) else np.zeros(BUCKETS)
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2, most: int = SAMPL
 
     def predict(batches):
         table = shared.value
-        for b in small(batches):
+        for b in byte_portions(batches, "t"):
             pred, score = [], []
             for t in b.column("t").to_pylist():
                 if not langs or not LETTER.search(t):

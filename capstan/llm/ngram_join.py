@@ -27,10 +27,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, mix64, row_digest, sized, small, stored, text_of, WordHashes
+from .common import byte_portions, keep_rows, mix64, row_digest, sized, stored, text_of, WordHashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 25 bands of 5 values: a pair of similarity 0.8 shares none in 5 of 100,000 cases.
@@ -101,7 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     signature and band keys."""
     def run(batches):
         words, (mult, mask) = WordHashes(), hash_family()
-        for b in small(batches):
+        for b in byte_portions(batches, "t"):
             node, size, sig, keys = [], [], [], []
             for t in b.column("t").to_pylist():
                 x = shingle_hashes(t, words)
@@ -135,18 +136,21 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return both.select("key", "band", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "node")
 
 
-def groups_of(batches, names: list[str], key: list[str], portion: int = 2000):
+def groups_of(batches, names: list[str], key: list[str], heavy: str, portion: int = 2000, most: int = 32 << 20):
     """Tables of whole groups from sorted Arrow batches: the rows of a key stay
     together even when they lie in several batches.  A table has about ``portion``
-    rows at the most, unless a single group has more."""
+    rows and ``most`` bytes in the binary column ``heavy`` at the most, unless a
+    single group has more."""
     rest = None
     for b in batches:
         t = pa.Table.from_batches([b]).select(names)
         t = t if rest is None else pa.concat_tables([rest, t])
         ends = starts_of(t, key)[1:]  # of all groups; the last one may go on in the next batch
+        upto = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(t.column(heavy)), 0).to_numpy(), dtype=np.int64))
         at = 0
         while len(ends) > 1 and at < ends[-2]:
-            end = ends[:-1][max(np.searchsorted(ends[:-1], at + portion, "right") - 1, np.searchsorted(ends[:-1], at, "right"))]
+            far = min(at + portion, np.searchsorted(upto, upto[at] + most, "right") - 1)
+            end = ends[:-1][max(np.searchsorted(ends[:-1], far, "right") - 1, np.searchsorted(ends[:-1], at, "right"))]
             yield t.slice(at, end - at)
             at = end
         rest = t.slice(at)
@@ -184,7 +188,7 @@ def prune(batches):
     its place in the block and the places of its partners after it."""
     need = least_matches()
     names = [*KEY, "blk", "node", "size", "sig"]
-    for t in groups_of(batches, names, KEY):
+    for t in groups_of(batches, names, KEY, "sig"):
         starts = starts_of(t, KEY)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
         size = t.column("size").to_numpy()
@@ -230,7 +234,7 @@ def verify(batches):
     documents of its partners in this block, ``link`` is another node of its
     component (null for one node of it); no pair is given out."""
     names = [*KEY, "node", "place", "partners", "x", "copies"]
-    for t in groups_of(batches, names, KEY):
+    for t in groups_of(batches, names, KEY, "x"):
         starts = starts_of(t, KEY)
         node, sets = t.column("node").to_pylist(), t.column("x").to_pylist()
         place, copies = t.column("place").to_numpy(), t.column("copies").to_numpy()
@@ -295,7 +299,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def sets(batches):
         words = WordHashes()
-        for b in small(batches):
+        for b in byte_portions(batches, "t"):
             x = [shingle_hashes(t, words).tobytes() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array(x, pa.binary())], ["_n", "copies", "x"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import sized, small, stored, text_of
+from .common import byte_portions, sized, stored, text_of
 
 #: With at most so many misses (a warm cache) their digests are broadcast and the
 #: texts stay where they are; beyond it the texts are dealt by digest.
@@ -91,7 +91,7 @@ def count_tokens(docs: DataFrame, name: str = "piece_bpe_32k.model", cache_path:
 
     def encode(batches):
         count = load_encoder(name)
-        for b in small(batches):
+        for b in byte_portions(batches, "t"):
             texts, got = b.column("t").to_pylist(), []
             for k in range(0, len(texts), 64):
                 got += count(texts[k:k + 64])

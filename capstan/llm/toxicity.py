@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, small, stored, text_of
+from .common import byte_portions, fold_of, stored, text_of
 
 #: Bounds of the training sample (rows with a label) and of the induced lexicon.
 SAMPLE_ROWS = 15_000
@@ -129,7 +129,7 @@ def induce_lexicon(texts: DataFrame, most: int = LEXICON_TERMS) -> dict[str, flo
             seen[1].clear()
             return b
 
-        for b in small(batches):
+        for b in byte_portions(batches, "t"):
             for text, toxic in zip(b.column("t").to_pylist(), b.column("toxic").to_pylist()):
                 seen[toxic].update({x for w in set(WORD.findall(text.lower())) for x in terms_of(w)})
                 if len(seen[0]) + len(seen[1]) > 500_000:
@@ -170,7 +170,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
 
     def to_features(batches):
         lex = shared.value
-        for b in small(batches):
+        for b in byte_portions(batches, "t"):
             names = [c for c in b.schema.names if c != "t"]
             x = [features(t, lex) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(x, pa.list_(pa.float64()))], [*names, "x"])
