@@ -193,7 +193,7 @@ def rolling_across_split(spark, sf):
               AND r.cpu_cores_value = g.cpu_cores_value) / nn AS cpu_cores_value_pct_rank,
            g.cpu_cores_value * replica_count_value AS cpu_cores_value_x_replica_count_value,
            node_cpu_util_value * node_mem_util_value AS node_cpu_util_value_x_node_mem_util_value,
-           least(greatest(g.cpu_cores_value, q1 - 3.0 * (q3 - q1)), q3 + 3.0 * (q3 - q1)) AS clipped_cpu,
+           CASE WHEN g.cpu_cores_value IS NOT NULL THEN least(greatest(g.cpu_cores_value, q1 - 3.0 * (q3 - q1)), q3 + 3.0 * (q3 - q1)) END AS clipped_cpu,
            coalesce(g.cpu_cores_value, med) AS imputed_cpu
     FROM g""")
 def stat_features(spark, sf):

@@ -125,3 +125,9 @@ def test_sample_of_classes_is_bounded_and_never_empty(spark):
     d = spark.range(60_000).select(F.lit(1.0).alias("x"), F.when(F.col("id") % 100 == 0, 1).when(F.col("id") % 100 < 98, 0).alias("y"))  # equal rows
     got = {r["y"]: r["count"] for r in bounded_rows(d, 2000, "y").groupBy("y").count().collect()}
     assert set(got) == {0, 1} and 150 < got[1] < 290 and 1600 < got[0] < 1950
+
+
+def test_a_null_value_is_not_clipped(spark):
+    df = spark.createDataFrame([("a", float(k) if k % 5 else None) for k in range(40)] + [("a", 1e6), ("b", None)], "service string, value double")
+    got = [r["value"] for r in fe.clip_outliers(df, ["value"], 1.0, ["service"]).collect()]
+    assert len(got) == 42 and sum(v is None for v in got) == 9 and max(v for v in got if v is not None) < 100
