@@ -27,11 +27,14 @@ FEATURES = ([f"{c}_lag{k}" for c in LAG_COLS for k in (1, 2, 3)]
 
 def model_frame(spark, sf):
     """Experiments with lag features, buffered targets and the time split, stored
-    once for all fits of a query."""
+    once for all fits of a query by range of service, so that a fit of one service
+    reads its row groups only."""
     e = ad.experiments(spark, sf)
     e = fe.lag_features(e, LAG_COLS, lags=(1, 2, 3), fill=0.0)
     e = tg.buffered_targets(e)
-    return scratch_table(sp.time_split(e), "model-frame")
+    # stored before it is dealt: the bounds of the ranges take a pass of their own
+    e = scratch_table(sp.time_split(e), "model-rows").repartitionByRange("service", "experiment_id", "idx")
+    return scratch_table(e.sortWithinPartitions("service", "experiment_id", "idx"), "model-frame")
 
 
 def _forest(tr, te):
