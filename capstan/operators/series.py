@@ -2,10 +2,11 @@
 
 Series semantics follow the usual metric query language: label matchers,
 counter rates with reset handling, aggregation by labels, label-matched
-binary operations, histogram quantiles and step-aligned evaluation.  Series of up to
-``CHUNK_ROWS`` rows take plain range windows; longer ones are scanned in parts of
-bounded size, whatever their rows' spread in time (see
-:mod:`capstan.operators.windows`).
+binary operations, histogram quantiles and step-aligned evaluation.  Trailing ranges
+are put together from running sums of buckets of time as long as the range, so the work
+grows with the rows and not with the rows of a range; where a bucket has more than
+``CHUNK_ROWS`` rows, series are scanned in parts of bounded size, whatever their rows'
+spread in time (see :mod:`capstan.operators.windows`).
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast
-from .windows import CHUNK_ROWS, US, by_chunks_both, dense_position, epoch_us, is_long, join_null_safe, last_seen, sum_before
+from ..session import maybe_broadcast, scratch_table
+from .windows import CHUNK_ROWS, US, by_chunks_both, dense_position, epoch_us, join_null_safe, last_seen, sum_before
 
 
 def _label(df: DataFrame, name: str) -> Column:
@@ -49,18 +50,46 @@ def rate(df: DataFrame, range_s: int, series=("service",), ts="ts", value="value
     counts the new value as the increase).  Only increases between samples
     inside the window count; no extrapolation to the window edges.  Samples
     whose window holds fewer than two samples give no row."""
-    series = list(series)
-    if is_long(df, series, chunk_rows):
-        return _rate_in_parts(df, range_s, series, ts, value, list(order), chunk_rows)
-    w = Window.partitionBy(*series).orderBy(*order)
-    v, pv = F.col(value), F.lag(value).over(w)
-    h = df.withColumn("_t", epoch_us(ts)).withColumn(
-        "_inc", F.when(pv.isNull(), F.lit(None)).when(v < pv, v).otherwise(v - pv))
-    frame = Window.partitionBy(*series).orderBy("_t").rangeBetween(-(range_s * US - 1), 0)
+    series, order, span = list(series), list(order), range_s * US
+    d = df.withColumn("_t", epoch_us(ts)).withColumn("_b", F.expr(f"(_t - pmod(_t, {span}L)) div {span}L"))
+    per = d.groupBy(*series, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    longest = per.groupBy(*series).agg(F.greatest(F.max("_n"), F.count(F.lit(1))).alias("_n"))
+    if not longest.where(F.col("_n") > chunk_rows).isEmpty():
+        return _rate_in_parts(df, range_s, series, ts, value, order, chunk_rows)
+    return _rate_in_buckets(scratch_table(d, "samples"), df.columns, range_s, series, value, order)
+
+
+def _rate_in_buckets(d: DataFrame, columns, range_s: int, series, value, order) -> DataFrame:
+    """B-2 with samples in buckets ``_b`` of the range's length: a window is the rest of
+    one bucket after ``t - range`` and the beginning of the next one up to ``t``.  Both
+    are running sums, of the next bucket forwards and of the one before backwards, where
+    each sample looks in at ``t - range``."""
+    order = ["_t", *order, value]
+    v = F.col(value)
+    ends = d.groupBy(*series, "_b").agg(F.max_by(F.struct(v.alias("v")), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])).alias("_end"))
+    carry = ends.select(*series, "_b", F.lag("_end").over(Window.partitionBy(*series).orderBy("_b")).alias("_carry"))
+    d = join_null_safe(d, maybe_broadcast(carry), [*series, "_b"])
+    part = Window.partitionBy(*series, "_b")
+    w, upto = part.orderBy(*order), part.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    pv = F.coalesce(F.lag(F.struct(v.alias("v"))).over(w), "_carry")["v"]
+    d = d.withColumn("_inc", F.when(pv.isNull(), F.lit(None)).when(v < pv, v).otherwise(v - pv))
+    # samples of one instant share the window's end
+    d = d.select(*columns, "_b", "_t", "_inc", F.sum("_inc").over(upto).alias("_sum"), F.count("_inc").over(upto).alias("_has"),
+                 F.count(F.lit(1)).over(upto).alias("_n"),
+                 F.first(F.struct("_inc")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_first"))
+    samples = d.select(*series, "_b", *order, "_inc", F.lit(1).alias("_kind"))
+    probes = d.select(*columns, (F.col("_b") - 1).alias("_b"), (F.col("_t") - range_s * US).alias("_t"), "_sum", "_has", "_n", "_first", F.lit(0).alias("_kind"))
+    back = part.orderBy(F.desc("_t"), "_kind", *[F.desc(c) for c in order[1:]]).rowsBetween(Window.unboundedPreceding, 0)
+    sample = F.col("_kind") == 1
+    u = samples.unionByName(probes, allowMissingColumns=True).select(
+        "*", F.sum("_inc").over(back).alias("_sum2"), F.count("_inc").over(back).alias("_has2"), F.count(F.when(sample, 1)).over(back).alias("_n2"),
+        F.last(F.when(sample, F.struct("_inc")), ignorenulls=True).over(back).alias("_first2")).where(~sample)
+    total = F.coalesce("_sum", F.lit(0.0)) + F.coalesce("_sum2", F.lit(0.0))
     # the first sample of a window has its predecessor outside
-    inside = F.sum("_inc").over(frame) - F.coalesce(F.first("_inc").over(frame), F.lit(0.0))
-    out = h.select(*df.columns, F.count(F.lit(1)).over(frame).alias("_n"), (inside / float(range_s)).alias("rate"))
-    return out.where(F.col("_n") >= 2).drop("_n")
+    outside = F.coalesce(F.coalesce("_first2", "_first")["_inc"], F.lit(0.0))
+    # a window without an increase between two values has no rate
+    inside = F.when(F.col("_has") + F.col("_has2") > 0, total - outside)
+    return u.where(F.col("_n") + F.col("_n2") >= 2).select(*columns, (inside / float(range_s)).alias("rate"))
 
 
 def _rate_in_parts(df: DataFrame, range_s: int, series, ts, value, order, chunk_rows: int) -> DataFrame:
@@ -207,22 +236,31 @@ def range_eval(df: DataFrame, start: str, end: str, step_s: int, lookback_s: int
     sample in ``(t - lookback, t]``; no row when the series is stale.
 
     Only samples that some step can see are read (both bounds reach the scan).
-    The grid is generated per series with ``sequence`` (output-sized), and each
-    step takes the last sample seen before it."""
+    Of the samples between two steps the latest is kept, and stands for the steps
+    up to the next one kept, as long as it is fresh."""
     series = list(series)
     kind = df.schema[ts].dataType
     first, last = F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))
     lookback = F.expr(f"make_dt_interval(0, 0, 0, {lookback_s})")
-    seen = df.where((F.col(ts) > (first - lookback).cast(kind)) & (F.col(ts) <= last.cast(kind)))
-    grid = seen.select(*series).distinct().select(*series, F.explode(F.sequence(
-        first, last, F.expr(f"make_dt_interval(0, 0, 0, {step_s})"))).alias("_g")).select(*series, F.col("_g").cast(kind).alias(ts))
-    at = epoch_us(ts)
-    s = seen.select(*series, ts, (at * 2).alias("_t"), F.when(F.col(value).isNotNull(), F.struct(
-        at.alias("at"), F.col(value).cast("double").alias("v"))).alias("_s"))
-    g = grid.select(*series, ts, (at * 2 + 1).alias("_t"), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"))
-    got = last_seen(g.unionByName(s), series, ["_t"], "_s", "_last", chunk_rows)
-    fresh = F.col("_last.at") > at - lookback_s * US
-    return got.where((F.col("_t") % 2 == 1) & fresh).select(*series, ts, F.col("_last.v").alias(value))
+    seen = df.where((F.col(ts) > (first - lookback).cast(kind)) & (F.col(ts) <= last.cast(kind)) & F.col(value).isNotNull())
+    begin, stop = df.sparkSession.range(1).select(F.unix_micros(first), F.unix_micros(last)).first()
+    step, steps = step_s * US, (stop - begin) // (step_s * US) + 1
+    s = seen.withColumn("_t", epoch_us(ts)).withColumn("_i", F.expr(f"(greatest(_t - {begin}L, 0L) + {step - 1}L) div {step}L"))
+    # equal times by the order of the samples, where they have one
+    latest = F.struct("_t", *[c for c in ("seq",) if c in df.columns], F.col(value).cast("double").alias("_v"))
+    kept = s.groupBy(*series, "_i").agg(F.max(latest).alias("_last"))
+
+    def until(d, parts):
+        return d.withColumn("_next", F.lead("_i").over(Window.partitionBy(*parts).orderBy("_i")))
+
+    if steps <= chunk_rows:  # a series has no more rows than steps
+        kept = until(kept, series)
+    else:
+        kept = by_chunks_both(dense_position(kept, series, ["_i"], "_p", chunk_rows), series, "_p", 1, until, chunk_rows)
+    fresh = F.expr(f"(_last._t + {lookback_s * US - 1 - begin}L) div {step}L")
+    upto = F.least(fresh, F.coalesce(F.col("_next") - 1, F.lit(steps - 1)), F.lit(steps - 1))
+    out = kept.where(F.col("_i") <= upto).select(*series, F.explode(F.sequence("_i", upto)).alias("_i"), "_last")
+    return out.select(*series, F.timestamp_micros(F.lit(begin) + F.col("_i") * step).cast(kind).alias(ts), F.col("_last._v").alias(value))
 
 
 def time_range(df: DataFrame, end: str, duration_s: int = 3600, ts="ts") -> DataFrame:

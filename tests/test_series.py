@@ -85,3 +85,14 @@ def test_dense_position_matches_row_number(spark):
     from pyspark.sql import Window
     rn = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("ts", "seq")) - 1)
     assert all(pos[(x["k"], x["seq"])] == x["rn"] for x in rn.collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_grid_rates_read_the_latest_of_equal_times(spark):
+    df = _counter(spark, [(0, 1), (60, 5), (60, 9), (60, 7)])
+    for seed in range(3):
+        got = se.range_eval(df.orderBy(F.xxhash64("seq", F.lit(seed))), "2024-01-01 00:00:00", "2024-01-01 00:02:00", 60, 90).collect()
+        assert sorted((x["ts"].minute, x["value"]) for x in got) == [(0, 1.0), (1, 7.0), (2, 7.0)]
