@@ -96,3 +96,12 @@ def test_grid_rates_read_the_latest_of_equal_times(spark):
     for seed in range(3):
         got = se.range_eval(df.orderBy(F.xxhash64("seq", F.lit(seed))), "2024-01-01 00:00:00", "2024-01-01 00:02:00", 60, 90).collect()
         assert sorted((x["ts"].minute, x["value"]) for x in got) == [(0, 1.0), (1, 7.0), (2, 7.0)]
+
+
+def test_requests_per_second_rates_all_sources_at_once(spark):
+    rows = [(m, s, c, t, i, v) for m, s in (("mesh", "a"), ("own", "a"), ("own", "b")) for c in ("200", "500") for i, (t, v) in enumerate([(0, 0.0), (60, 60.0), (120, 180.0)])]
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(m, s, c, t0 + dt.timedelta(seconds=t), i, v) for m, s, c, t, i, v in rows],
+                               "metric string, service string, status string, ts timestamp, seq long, value double")
+    out = se.requests_per_second(df, "2024-01-01 00:02:00", "2024-01-01 00:02:00", 60, 100, ["edge", "mesh", "own"])
+    assert sorted((x["service"], x["priority"], x["requests_per_second"]) for x in out.collect()) == [("a", 1, 1.2), ("b", 2, 1.2)]
