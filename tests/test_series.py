@@ -91,6 +91,31 @@ def _plan(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
+def test_rate_equals_brute_force_without_frames_that_slide(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, r.choice([r.randrange(0, 90), r.randrange(400, 460), 900]), i, r.choice([None, *map(float, range(9))])) for i in range(160) for k in ("a", None)]
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(k, t0 + dt.timedelta(seconds=s), i, v) for k, s, i, v in rows], "service string, ts timestamp, seq long, value double")
+    for range_s in (1, 7, 60, 1000):
+        want = {}
+        for key in ("a", None):
+            s = sorted((x[1], x[2], x[3]) for x in rows if x[0] == key)
+            inc = [None if i == 0 or s[i - 1][2] is None or s[i][2] is None else s[i][2] - (s[i - 1][2] if s[i][2] >= s[i - 1][2] else 0) for i in range(len(s))]
+            for t, seq, _ in s:
+                held = [inc[i] for i in range(len(s)) if t - range_s < s[i][0] <= t]
+                known = [x for x in held if x is not None]
+                if len(held) >= 2:
+                    want[key, seq] = (sum(known) - (held[0] or 0)) / range_s if known else None
+        out = se.rate(df, range_s)
+        got = {(x["service"], x["seq"]): x["rate"] for x in out.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
+        # a frame that slides sums all rows of a range again at each row
+        assert "RangeFrame, -" not in _plan(out)
+
+
 def test_grid_rates_read_the_latest_of_equal_times(spark):
     df = _counter(spark, [(0, 1), (60, 5), (60, 9), (60, 7)])
     for seed in range(3):
