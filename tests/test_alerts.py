@@ -96,3 +96,57 @@ def test_samples_behind_the_watermark_change_nothing(spark):
     late = got.where("state = 'late'").collect()
     assert [(r["service"], r["at"], r["since"]) for r in late] == [("a", T0 + dt.timedelta(minutes=2), None)]
     assert stream_alerts(stream, **RULE).isStreaming
+
+
+def test_state_is_read_and_written_by_block():
+    import pandas as pd
+
+    from capstan.streaming import alerts
+
+    calls, timers = [], set()
+
+    class State(dict):
+        def keys(self):
+            return [*super().keys()]
+
+        def getValue(self, k):
+            calls.append(k)
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+        def removeKey(self, k):
+            calls.append(k)
+            del self[k]
+
+    class Value:
+        kept = None
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+
+        def update(self, v):
+            self.kept = v
+
+    class Handle:
+        getMapState = lambda self, *_: State()
+        getValueState = lambda self, *_: Value()
+        registerTimer, deleteTimer = timers.add, timers.discard
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    minute, n = 60_000_000, 20_000
+    rule = alerts._rule(["service"], 80.0, 5 * minute, 7 * minute)
+    rule.init(Handle())
+    at = [k * minute // 100 for k in range(n)]  # 200 minutes
+    rows = pd.DataFrame({"at": at, "value": [90.0 if k // 2000 % 2 == 0 else 10.0 for k in range(n)]}).sample(frac=1.0, random_state=1)
+    assert list(rule.handleInputRows(("a",), iter([rows[:n // 2], rows[n // 2:]]), At(0))) == []
+    (due,) = timers
+    out = pd.concat(rule.handleExpiredTimer(("a",), At(150 * 60_000), due))
+    out = pd.concat([out, *rule.handleExpiredTimer(("a",), At(300 * 60_000), 0)])
+    assert [(s, t / minute) for s, t in zip(out["state"], out["at"])] == [
+        (s, t) for k in range(5) for s, t in (("pending", 40.0 * k), ("firing", 40.0 * k + 5), ("resolved", 40.0 * k + 20))]
+    assert len(calls) < 150
