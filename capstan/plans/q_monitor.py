@@ -202,12 +202,12 @@ def principal_components(spark, sf):
     FROM events e JOIN events s ON s.ts >= e.ts AND s.ts < e.ts + to_minutes(CAST(1 + e.event_id % 60 AS INTEGER))
     WHERE e.event_type = 'error' GROUP BY 1""")
 def samples_after_errors(spark, sf):
-    """All events in the minutes after each error, by an interval join."""
+    """All events in the minutes after each error, by an interval join that adds them up."""
     e = ad.table(spark, sf, "events")
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), (1 + F.col("event_id") % 60).cast("int"))
     spans = e.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("start"), (F.col("ts") + minutes).alias("end"))
-    out = intervals.interval_join(e.select("ts", "value"), spans)
-    return out.groupBy("error_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = intervals.interval_join(e.select("ts", "value"), spans, value="value")
+    return out.groupBy("error_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 _SESSIONS_SQL = """

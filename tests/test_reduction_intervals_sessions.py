@@ -56,6 +56,32 @@ def test_interval_join_matches_brute_force(spark, keys):
     assert intervals.interval_join(p, i.limit(0)).count() == 0 == intervals.interval_join(p.limit(0), i, keys).count()
 
 
+@pytest.mark.parametrize("keys", [[], ["service"]])
+def test_interval_totals_match_brute_force_without_pairs(spark, keys):
+    r = random.Random(4)
+    us = lambda m: None if m is None else T0 + dt.timedelta(microseconds=m)
+    # a tenth of the points are no finite values; many share an instant
+    points = [(r.choice(["a", "b", None]), r.choice([None, 7, *[r.randrange(-10**9, 10**9) for _ in range(6)]]),
+               r.choice([None, float("inf"), -float("inf"), *[r.randrange(100) / 4 for _ in range(27)]])) for _ in range(400)]
+    spans = []
+    for k in range(150):
+        s = r.choice([7, r.randrange(-10**9, 10**9)])
+        spans.append((r.choice(["a", None]), s, s + r.choice([-5, 0, 1, 2, 10**6, 2**20, 10**7, 10**8, 10**9]), k))
+    spans += [("a", None, 5, 900), ("a", 5, None, 901), spans[0]]
+    p = spark.createDataFrame([(s, us(t), v) for s, t, v in points], "service string, ts timestamp, v double").repartition(3)
+    i = spark.createDataFrame([(s, us(a), us(b), k) for s, a, b, k in spans], "service string, start timestamp, end timestamp, id int")
+    out = intervals.interval_join(p, i, keys, value="v")
+    assert out.columns == ["service", "start", "end", "id", "n", "total"]
+    want = []
+    for s, a, b, k in spans:
+        inside = [v for q, t, v in points if None not in (a, b, t) and a <= t < b and (not keys or q == s)]
+        known = [v for v in inside if v is not None]
+        if inside:
+            want.append((k, len(inside), repr(sum(known)) if known else "None"))
+    assert sorted((x["id"], x["n"], repr(x["total"])) for x in out.collect()) == sorted(want) and len(want) > 60
+    assert intervals.interval_join(p, i.limit(0), keys, value="v").count() == 0 == intervals.interval_join(p.limit(0), i, keys, value="v").count()
+
+
 def sessions_of(rows, gap=10):
     out, series = [], {}
     for s, m, v in rows:
