@@ -62,3 +62,12 @@ def test_future_target_chunked_equals_plain(spark):
     cols = ["rel_change", "y_class", "y_reg"]
     assert a.count() == b.count()
     assert _rows(a, "event_id", cols) == _rows(b, "event_id", cols)
+
+
+def test_sequences_keep_columns_without_a_join(spark):
+    e = ad.experiments(spark, SF)
+    s = fe.sequences(e, ["cpu_cores_value"], "cpu_cores_value", 5, chunk_rows=6, extra=("service", "event_id"))
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    want = {(r["experiment_id"], r["idx"]): (r["service"], r["event_id"]) for r in e.where("idx >= 5").collect()}
+    assert {(r["experiment_id"], r["idx"]): (r["service"], r["event_id"]) for r in s.collect()} == want
