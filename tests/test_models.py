@@ -166,3 +166,18 @@ def test_autoregression_and_its_classifier(spark):
     assert np.abs(p["prediction"] - p["target"]).max() < 0.1
     q = md.autoregressive_classifier(tr, te)[1].toPandas()
     assert ((q["proba"] > 0.5) == (q["y_class"] == 1)).mean() > 0.9
+
+
+def test_search_fits_equal_draws_once_and_stores_no_fold_scores(spark, monkeypatch):
+    fits, stored = [], []
+    fit, store = md.RandomForestClassifier.fit, md.scratch_table
+    monkeypatch.setattr(md.RandomForestClassifier, "fit", lambda self, d: fits.append(1) or fit(self, d))
+    monkeypatch.setattr(md, "scratch_table", lambda d, label="table": stored.append(label) or store(d, label))
+    d = _points(spark)
+    res = md.rf_classifier_search(d, ["a", "b"], "c", [(d.where("idx < 90"), d.where("idx >= 90"))], n_iter=4,
+                                  space={"numTrees": [5], "maxDepth": [3]}, max_rows=60)
+    assert len(fits) == 2 and len(res["scores"]) == 4 and len(set(res["scores"])) == 1 and "scored" not in stored
+    tr, va = md.assemble(d.where("idx < 90"), ["a", "b"]), md.assemble(d.where("idx >= 90"), ["a", "b"])
+    m = md.RandomForestClassifier(featuresCol="features", labelCol="c", seed=md.SEED, maxMemoryInMB=512, **res["params"]).fit(
+        md.bounded_rows(tr, 60, "c").coalesce(1))
+    assert abs(md.score_classifier(m, va, "c")["f1"] - res["f1"]) < 0.05
