@@ -42,3 +42,26 @@ def test_ties_and_more_features_than_grid_axes(spark):
         d[i] = np.inf
         assert len(set(got[i])) == 5 and i not in got[i]
         assert np.allclose([d[j] for j in got[i]], np.sort(d)[:5]), i
+
+
+def test_slices_of_blocks_and_no_shuffled_pairs(spark, monkeypatch):
+    from capstan.operators import oversample as ov
+
+    rng = np.random.default_rng(11)
+    pts = np.round(np.r_[rng.normal(0, 1, (150, 2)), rng.normal(40, 9, (30, 2))], 1)
+    pts[:50] = pts[0]
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "_id long, _x array<double>")
+    monkeypatch.setattr(ov, "BLOCK_POINTS", 20)
+    out = nearest_neighbours(df, 4)
+    got = {r["_id"]: [e["id"] for e in r["nn"]] for r in out.collect()}
+    for i, p in enumerate(pts):
+        d = np.sqrt(((pts - p) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert got[i] == sorted(range(len(pts)), key=lambda j: (d[j], j))[:4], i
+
+
+def test_rows_of_one_id_still_fill_the_minority(spark):
+    rows = [(7 if i < 4 else i, float(i % 3), float(i), int(i < 6)) for i in range(40)]
+    lab = spark.createDataFrame(rows, "event_id long, a double, b double, y int")
+    out = oversample(lab, ["a", "b"], "y", k=5).groupBy("y", "synthetic").count().collect()
+    assert sorted((r["y"], r["synthetic"], r["count"]) for r in out) == [(0, False, 34), (1, False, 6), (1, True, 28)]
