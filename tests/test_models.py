@@ -114,6 +114,20 @@ def test_forest_and_boosted_explain_a_plain_target(spark):
         assert abs(sum(imp.values()) - 1) < 1e-9 and imp["a"] > imp["b"]
 
 
+def test_trees_are_fitted_on_all_rows_in_parts_of_even_size(spark, monkeypatch):
+    d = _points(spark).withColumn("text", F.lit("x")).repartition(1)
+    monkeypatch.setattr(md, "FIT_FILE_ROWS", 50)
+    for fit, model in ((md.rf_regressor, "RandomForestRegressor"), (md.boosted_regressor, "GBTRegressor")):
+        parts, est = [], getattr(md, model)
+        plain = est.fit
+        monkeypatch.setattr(est, "fit", lambda self, x, plain=plain, parts=parts: parts.append(
+            [[r["y"] for r in p] for p in x.rdd.glom().collect()]) or plain(self, x))
+        fit(d.where("service = 'a'"), d, ["a", "b"], "y", params={"maxDepth": 2})
+        # one part of 120 rows had one task a pass
+        assert sorted(map(len, parts[0])) == [20, 50, 50]
+        assert sorted(v for p in parts[0] for v in p) == sorted(r["y"] for r in d.where("service = 'a'").collect())
+
+
 def test_failed_service_is_visible(spark):
     d = _points(spark)
 
