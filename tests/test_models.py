@@ -1,5 +1,7 @@
 """Invariants of splits, ensembles, forecasting and the power transform."""
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -195,3 +197,44 @@ def test_search_fits_equal_draws_once_and_stores_no_fold_scores(spark, monkeypat
     m = md.RandomForestClassifier(featuresCol="features", labelCol="c", seed=md.SEED, maxMemoryInMB=512, **res["params"]).fit(
         md.bounded_rows(tr, 60, "c").coalesce(1))
     assert abs(md.score_classifier(m, va, "c")["f1"] - res["f1"]) < 0.05
+
+
+def test_search_fits_all_labelled_rows_in_parts_of_trees(spark, monkeypatch):
+    # 900 labelled rows of 1,000; the fits saw a sample of 500 at the most
+    d = _points(spark, 1000).withColumn("c", F.when(F.col("idx") % 10 != 9, F.col("c")))
+    fits, fit = [], md.RandomForestClassifier.fit
+
+    def counted(self, x):
+        m = fit(self, x)
+        fits.append((x.rdd.getNumPartitions(), x.where("c IS NOT NULL").count(), m.getNumTrees, self.getSeed(), m))
+        return m
+
+    monkeypatch.setattr(md.RandomForestClassifier, "fit", counted)
+    monkeypatch.setattr(md, "TREE_ROWS", 1800)
+    res = md.rf_classifier_search(d, ["a", "b"], "c", [(d.where("idx < 800"), d.where("idx >= 800"))], n_iter=1, space={"numTrees": [5], "maxDepth": [20]})
+    assert sorted(f[1:3] for f in fits) == [(720, 1), (720, 2), (720, 2), (900, 1), (900, 2), (900, 2)]
+    assert len({f[3] for f in fits if f[1] == 900}) == 3
+    te = md.assemble(d.where("c IS NOT NULL"), ["a", "b"])
+    got = {r["idx"]: r["probability"][1] for r in res["model"].transform(te).collect()}
+    want = dict.fromkeys(got, 0.0)
+    for *_, m in [f for f in fits if f[1] == 900]:
+        for r in m.transform(te).collect():
+            want[r["idx"]] += r["rawPrediction"][1] / 5
+    assert len(got) == 900 and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+
+
+def test_parts_of_a_forest_hold_all_its_trees(monkeypatch):
+    assert md.forest_parts([500], 100) == [(0, 500)]
+    for marks, n in (([300], 7929), ([300, 500], 79_290), ([5], 10**9), ([3, 7], 10)):
+        parts = md.forest_parts(marks, n)
+        assert sum(k for _, k in parts) == marks[-1] and [f for f, _ in parts] == [sum(k for _, k in parts[:i]) for i in range(len(parts))]
+        assert all(k == 1 or k * n <= md.TREE_ROWS for _, k in parts) and {f + k for f, k in parts} >= set(marks)
+
+
+def test_a_stored_table_is_dropped_alone(spark):
+    from capstan import session
+
+    a, b = (session.scratch_table(spark.range(5), "drop") for _ in range(2))
+    n, files = len(session._scratch), a.inputFiles()
+    session.drop_table(a)
+    assert len(session._scratch) == n - 1 and b.count() == 5 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
