@@ -223,6 +223,30 @@ def test_search_fits_all_labelled_rows_in_parts_of_trees(spark, monkeypatch):
     assert len(got) == 900 and all(abs(got[i] - want[i]) < 1e-12 for i in got)
 
 
+def test_draws_that_differ_in_trees_alone_share_the_first_ones(spark, monkeypatch):
+    d = _points(spark)
+    tr, va = d.where("idx < 180"), d.where("idx >= 180")
+    fits, fit = [], md.RandomForestClassifier.fit
+    monkeypatch.setattr(md.RandomForestClassifier, "fit", lambda self, x: fits.append((self.getNumTrees(), self.getCacheNodeIds())) or fit(self, x))
+    space = {"numTrees": [3, 5], "maxDepth": [2]}
+    res = md.rf_classifier_search(d, ["a", "b"], "c", [(tr, va)], n_iter=6, space=space)
+    rnd = md.random.Random(md.SEED)
+    draws = [{k: rnd.choice(v) for k, v in space.items()}["numTrees"] for _ in range(6)]
+    assert set(draws) == {3, 5}
+    # a fold fits 3 and 2 trees, not 3 and 5; the last fit is the best draw's
+    assert [n for n, _ in fits[:2]] == [3, 2] and sum(n for n, _ in fits[2:]) == res["params"]["numTrees"] and all(c for _, c in fits)
+    x, v = md.assemble(tr, ["a", "b"]).coalesce(1), md.assemble(va, ["a", "b"])
+    est = lambda n, seed: fit(md.RandomForestClassifier(featuresCol="features", labelCol="c", seed=seed, maxMemoryInMB=512, maxDepth=2, numTrees=n), x)
+    one, two = est(3, md.SEED), est(2, md.SEED + 3 * 1_000_003)
+    truth = {r["idx"]: r["c"] for r in v.collect()}
+    votes = {3: {r["idx"]: r["rawPrediction"][1] for r in one.transform(v).collect()}}
+    votes[5] = {r["idx"]: votes[3][r["idx"]] + r["rawPrediction"][1] for r in two.transform(v).collect()}
+    for n, score in zip(draws, res["scores"]):
+        hit = {i for i, s in votes[n].items() if s / n > 0.5}
+        tp = sum(truth[i] for i in hit)
+        assert abs(score - 2 * tp / (len(hit) + sum(truth.values()))) < 0.05
+
+
 def test_parts_of_a_forest_hold_all_its_trees(monkeypatch):
     assert md.forest_parts([500], 100) == [(0, 500)]
     for marks, n in (([300], 7929), ([300, 500], 79_290), ([5], 10**9), ([3, 7], 10)):
